@@ -1,0 +1 @@
+"""Empty on purpose: the corpus is a frozen snapshot and no job reads a stream."""
