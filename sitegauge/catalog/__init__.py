@@ -1 +1,48 @@
-"""Named queries over the test tables, each with the SQL that must give the same rows."""
+"""Named queries over the test tables, each with the SQL that must give the same rows.
+
+A query takes a session and the folder of the tables and returns a DataFrame.
+Queries whose result SQL cannot state (fitted models, digests) carry no SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name."""
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql.strip()
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def r(c: str | Column, places: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, places)
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Round every double, so that both engines agree on the last digits."""
+    return df.select(*[r(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def load() -> tuple[dict[str, Query], dict[str, str]]:
+    from sitegauge.catalog import (  # noqa: F401
+        aggregates, joining, ranks, scores,
+    )
+
+    return QUERIES, SQL

@@ -61,6 +61,12 @@ def scale_between(c: str | Column, low: float, high: float) -> Column:
     return clip((col(c) - low) / (high - low), 0.0, 1.0) * 100
 
 
+def half_even(c: str | Column, places: int) -> Column:
+    """Scale, round to the even neighbour on a tie, and scale back."""
+    scale = float(10 ** places)
+    return F.rint(col(c) * scale) / scale
+
+
 def invert(c: str | Column) -> Column:
     return F.lit(100.0) - col(c)
 

@@ -9,7 +9,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitegauge.functions.scalars import existing, row_known_share, row_mean
+from sitegauge.functions.scalars import existing, half_even, row_known_share, row_mean
 from sitegauge.operators.normalize import normalize
 from sitegauge.operators.ranking import with_sequence
 from sitegauge.sources.fixed_values import DIMENSIONS, INVERTED_FEATURES, MODEL_VERSION
@@ -31,7 +31,7 @@ def dimension_scores(
     features = feature_columns(df, dimensions)
     total = sum(len(cols) for cols in dimensions.values())
     share = len(features) / total if total else 0.0
-    confidence = (F.bround(F.lit(share) * row_known_share(features), 3)
+    confidence = (half_even(F.lit(share) * row_known_share(features), 3)
                   if features else F.lit(share))
     narrow = df.select(*keep, *features, confidence.alias("confidence"))
     scaled = normalize(narrow, features, [c for c in inverted if c in features])
@@ -71,7 +71,7 @@ def score_locations(
 
 def head_and_tail(scores: DataFrame, best: int = 10, worst: int = 5) -> DataFrame:
     """The best and worst locations, numbers rounded for display."""
-    shown = [F.bround(c, 1).alias(c) if t in ("double", "float") else F.col(c)
+    shown = [half_even(c, 1).alias(c) if t in ("double", "float") else F.col(c)
              for c, t in scores.dtypes]
     top = scores.orderBy(F.asc("rank")).limit(best).withColumn("part", F.lit("top"))
     low = scores.orderBy(F.desc("rank")).limit(worst).withColumn("part", F.lit("bottom"))

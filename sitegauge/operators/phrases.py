@@ -30,7 +30,7 @@ def phrase_hits(
     texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str,
     negations: Sequence[str] = (), window: int = 3,
 ) -> DataFrame:
-    """Every listed phrase in every text, the longest at each position, none inside another.
+    """The longest listed phrase at each position of each text.
 
     Columns: key, pos, len, the phrase table's columns, and ``negated`` (one of
     the ``window`` tokens before it is a negation).  ``key`` must be unique.
@@ -63,10 +63,14 @@ def phrase_hits(
     # One text is one group here, so all steps below share this one shuffle.
     found = found.repartition(key)
     longest_first = Window.partitionBy(key, "pos").orderBy(F.desc("len"))
+    best = found.withColumn("_nth", F.row_number().over(longest_first)).filter("_nth = 1")
+    return best.drop("_nth", "_form")
+
+
+def outermost(hits: DataFrame, key: str) -> DataFrame:
+    """Hits that do not lie inside an earlier, longer one."""
     earlier = (Window.partitionBy(key).orderBy("pos")
                .rowsBetween(Window.unboundedPreceding, -1))
-    best = found.withColumn("_nth", F.row_number().over(longest_first)).filter("_nth = 1")
-    covered = F.max(F.col("pos") + F.col("len")).over(earlier)
-    return (best.withColumn("_covered", covered)
-            .filter(F.col("_covered").isNull() | (F.col("_covered") < F.col("pos") + F.col("len")))
-            .drop("_covered", "_nth", "_form"))
+    end = F.col("pos") + F.col("len")
+    return (hits.withColumn("_covered", F.coalesce(F.max(end).over(earlier), F.lit(0)))
+            .filter(F.col("_covered") < end).drop("_covered"))

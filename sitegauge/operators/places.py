@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitegauge.functions.scalars import pad_code
 from sitegauge.functions.text import clean_text, county_label, forum_of, place_key
 from sitegauge.operators.joins import distinct_in_order, override, with_cached
-from sitegauge.operators.phrases import phrase_hits
+from sitegauge.operators.phrases import outermost, phrase_hits
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import COUNTRY_NAMES, words
 
@@ -97,7 +97,7 @@ def gazetteer(spark, crosswalk: DataFrame | None = None) -> DataFrame:
 
 def place_mentions(posts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """key, pos, place: each listed place once per text, in order of first mention."""
-    hits = phrase_hits(posts, key, text, names.select("place"), "place")
+    hits = outermost(phrase_hits(posts, key, text, names.select("place"), "place"), key)
     hits = hits.filter((F.length("place") >= 2) & ~F.col("place").isin(words(COUNTRY_NAMES)))
     return distinct_in_order(hits, key, "place", "pos")
 

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitegauge.functions.scalars import clip, col, collinearity, numeric_columns
+from sitegauge.functions.scalars import clip, col, collinearity, half_even, numeric_columns
 from sitegauge.operators.ranking import quantiles
 
 
@@ -31,7 +31,7 @@ def pearson(a: str | Column, b: str | Column) -> Column:
 
 def null_pct(c: str | Column) -> Column:
     missing = F.avg(F.when(col(c).isNull(), 1.0).otherwise(0.0)) * 100.0
-    return F.bround(missing, 1)
+    return half_even(missing, 1)
 
 
 def drop_all_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -100,7 +100,7 @@ def collinear_pairs(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Pairs beyond the threshold, strongest first, with a note on how strong."""
     return (
         pairs.filter(F.abs("r") > threshold)
-        .select("feature_1", "feature_2", F.bround("r", 4).alias("r"),
+        .select("feature_1", "feature_2", half_even("r", 4).alias("r"),
                 collinearity("r").alias("action"))
         .orderBy(F.desc(F.abs("r")), "feature_1", "feature_2"))
 

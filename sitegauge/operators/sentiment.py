@@ -71,10 +71,24 @@ def joined_score(
     posts: DataFrame, key: str, text: str, lexicon: DataFrame, out: str = "sentiment",
     negations: Sequence[str] = NEGATIONS,
 ) -> DataFrame:
-    """The same score for a lexicon of any size; ``key`` must be unique."""
+    """The same score for a lexicon of any size; ``key`` must be unique.
+
+    A text's hits are added up from left to right, skipping those that begin
+    inside the last one counted.
+    """
     hits = phrase_hits(posts, key, text, lexicon, "term", negations, REACH)
     value = F.when(F.col("negated"), F.col("valence") * NEGATED).otherwise(F.col("valence"))
-    totals = hits.groupBy(key).agg(F.sum(value).alias("_total"))
+    listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct("pos", "len", value.cast("double").alias("value")))).alias("_hits"))
+
+    def add(acc: Column, hit: Column) -> Column:
+        free = hit["pos"] >= acc["end"]
+        return F.struct(
+            F.when(free, hit["pos"] + hit["len"]).otherwise(acc["end"]).alias("end"),
+            (acc["total"] + F.when(free, hit["value"]).otherwise(0.0)).alias("total"))
+
+    start = F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("total"))
+    totals = listed.select(key, F.aggregate("_hits", start, add)["total"].alias("_total"))
     return posts.join(totals, key, "left").withColumn(
         out, compound(F.coalesce("_total", F.lit(0.0)))).drop("_total")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitegauge.functions.scalars import nonzero, number, scale_between, state_prefix
+from sitegauge.functions.scalars import half_even, nonzero, number, scale_between, state_prefix
 from sitegauge.operators.joins import left_chain
 from sitegauge.sources.fixed_values import RENEWABLE_FUELS, TOTAL_FUEL
 
@@ -44,7 +44,7 @@ def latest_mix(
         F.max_by(F.struct("green", "total"), period).alias("m"))
     total = F.when(F.col("m.total") > 0, F.col("m.total"))
     return latest.select(
-        key, F.bround(F.try_divide(F.col("m.green"), total) * 100.0, 2).alias("renewable_pct"),
+        key, half_even(F.try_divide(F.col("m.green"), total) * 100.0, 2).alias("renewable_pct"),
         total.alias("total_generation_mwh"))
 
 
@@ -59,7 +59,7 @@ def potential(solar: str | Column, wind: str | Column) -> Column:
     """Mean of the scaled solar and wind readings, or solar alone; unknown without solar."""
     sun = scale_between(solar, 3.0, 6.5)
     air = scale_between(wind, 0.15, 0.45)
-    return nonzero(F.bround(F.coalesce((sun + air) / 2, sun), 2))
+    return nonzero(half_even(F.coalesce((sun + air) / 2, sun), 2))
 
 
 def sun_and_wind(centroids: DataFrame, solar: DataFrame, wind: DataFrame, payload: str = "payload") -> DataFrame:
@@ -131,7 +131,7 @@ def mean_flow(rows: DataFrame, key: str = "county_fips", first: int = 10) -> Dat
     The series limit is part of the indicator's definition.
     """
     flow = F.avg(F.when(F.col("series") < first, number("reading")))
-    return rows.groupBy(key).agg(nonzero(F.bround(flow, 2)).alias("surface_water_flow_cfs"))
+    return rows.groupBy(key).agg(nonzero(half_even(flow, 2)).alias("surface_water_flow_cfs"))
 
 
 def water(counties: DataFrame, ground: DataFrame, surface: DataFrame) -> DataFrame:
