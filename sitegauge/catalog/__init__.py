@@ -42,7 +42,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from sitegauge.catalog import (  # noqa: F401
-        aggregates, joining, ranks, scores,
+        aggregates, evidence, joining, outcomes, ranks, scores, texts,
     )
 
     return QUERIES, SQL

@@ -337,16 +337,16 @@ def last_reading_per_kind(spark, folder):
 
 
 @query("""
-WITH last AS (SELECT user_id, day(ts) - 1 AS series, arg_max(value, event_id) AS reading
+WITH last AS (SELECT user_id, day(ts) - 1 AS series, arg_max((props->>'$.k')::INT, event_id) AS reading
               FROM events GROUP BY 1, 2)
-SELECT user_id AS county_fips, nullif(round_even(avg(reading) FILTER (series < 10), 2), 0)
+SELECT user_id AS county_fips, nullif(round_even(avg(reading) FILTER (series < 10) * 100, 0) / 100, 0)
        AS surface_water_flow_cfs
 FROM last GROUP BY user_id
 """)
 def mean_of_last_readings(spark, folder):
     rows = table(spark, folder, "events").select(
         F.col("user_id").alias("county_fips"), (F.dayofmonth("ts") - 1).alias("series"),
-        "event_id", F.col("value").cast("string").alias("reading"))
+        "event_id", F.get_json_object("props", "$.k").alias("reading"))
     return features.mean_flow(features.last_readings(rows, "county_fips", "series", "event_id", "reading"))
 
 

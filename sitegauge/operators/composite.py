@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitegauge.functions.scalars import existing, half_even, row_known_share, row_mean
 from sitegauge.operators.normalize import normalize
 from sitegauge.operators.ranking import with_sequence
+from sitegauge.session import small_table
 from sitegauge.sources.fixed_values import DIMENSIONS, INVERTED_FEATURES, MODEL_VERSION
 
 Dimensions = Mapping[str, Sequence[str]]
@@ -82,7 +83,7 @@ def weight_shift(
     spark, derived: Mapping[str, float], assumed: Mapping[str, float],
 ) -> DataFrame:
     """Derived minus assumed weight per dimension."""
-    return spark.createDataFrame(
-        [(d, float(assumed.get(d, 0)), float(w), float(w) - float(assumed.get(d, 0)))
+    return small_table(
+        spark, [(d, float(assumed.get(d, 0)), float(w), float(w) - float(assumed.get(d, 0)))
          for d, w in derived.items()],
         "dimension string, assumed double, derived double, delta double")

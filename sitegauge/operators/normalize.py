@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitegauge.functions.scalars import clip, invert, numeric_columns
 from sitegauge.operators.profile import skew_g1
 from sitegauge.operators.ranking import value_ranges, with_average_rank
+from sitegauge.session import small_table
 from sitegauge.sources.fixed_values import ID_COLUMNS
 
 SKEW_LIMIT = 2.0
@@ -102,8 +103,8 @@ def normalize_table(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 def normalization_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Skewness and chosen method per column."""
     stats = column_stats(df, columns)
-    return df.sparkSession.createDataFrame(
-        [(c, s.skew, s.method) for c, s in stats.items()],
+    return small_table(
+        df.sparkSession, [(c, s.skew, s.method) for c, s in stats.items()],
         "column string, skew double, method string")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions.scalars import clip, col, collinearity, half_even, numeric_columns
 from sitegauge.operators.ranking import quantiles
+from sitegauge.session import small_table
 
 
 def skew_g1(c: str | Column) -> Column:
@@ -73,7 +74,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations(columns, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, r double")
+        return small_table(df.sparkSession, [], "feature_1 string, feature_2 string, r double")
     wide = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[
         F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
@@ -155,7 +156,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     low, high = df.agg(F.min(v), F.max(v)).head()
     spark = df.sparkSession
     if low is None:
-        return spark.createDataFrame([], "bin int, low double, high double, n long")
+        return small_table(spark, [], "bin int, low double, high double, n long")
     if low == high:
         low, high = low - 0.5, high + 0.5
     step = (high - low) / bins

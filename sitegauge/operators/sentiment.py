@@ -61,7 +61,8 @@ def inline_score(text: str | Column, terms: dict[str, float], negations: Sequenc
     if not negations:
         return compound(found)
     turn = "(?:" + "|".join(map(re.escape, negations)) + rf"|[^ ]{{0,{LONGEST}}}n't)"
-    before = rf"(?<= {turn} (?:[^ ]{{1,{LONGEST}}} ){{0,{REACH - 1}}})"
+    between = rf"[^ ]{{1,{LONGEST}}} "
+    before = "(?<= " + "| ".join(f"{turn} {between * i}" for i in range(REACH)) + ")"
     behind = rf"(?<= )(?={either} ){before}{either}(?= )"
     negated = total(F.regexp_extract_all(spaced, F.lit(behind), 0))
     return compound(found - negated * (1.0 - NEGATED))

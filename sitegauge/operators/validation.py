@@ -6,18 +6,19 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions import significance
 from sitegauge.functions.scalars import stability, viable
 from sitegauge.operators.composite import Dimensions, dimension_scores, weighted_score
 from sitegauge.operators.joins import inner_suffixed
-from sitegauge.operators.profile import skew_g1  # noqa: F401  (re-exported for reports)
 from sitegauge.operators.ranking import (
     average_rank, hot_safe_join, quantiles, value_ranges, with_preceding, with_range,
 )
-from sitegauge.session import stage
-from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS, INVERTED_FEATURES, WEIGHT_SCENARIOS
+from sitegauge.session import small_table, stage
+from sitegauge.sources.fixed_values import (
+    DIMENSIONS, FALLBACK_WEIGHTS, INVERTED_FEATURES, WEIGHT_SCENARIOS,
+)
 
 
 def match_outcomes(labels: DataFrame, scores: DataFrame, key: str = "county_fips") -> DataFrame:
@@ -271,21 +272,19 @@ def kendall_pairs(ranks: DataFrame, names: Sequence[str], key: str = "county_fip
         p_value = significance.tau_p(*counts, (t["x_m0"], t["x_m1"]), (t["y_m0"], t["y_m1"]))
         rows.append((names[i], names[j], None if tau is None else round(tau, 3),
                      None if p_value is None else round(p_value, 4)))
-    out = spark.createDataFrame(
-        rows, "scenario_1 string, scenario_2 string, kendall_tau double, p_value double")
+    out = small_table(
+        spark, rows, "scenario_1 string, scenario_2 string, kendall_tau double, p_value double")
     return out.withColumn("stability", stability("kendall_tau"))
 
 
 def sensitivity(
     df: DataFrame, derived: Mapping[str, float] = FALLBACK_WEIGHTS,
-    dimensions: Dimensions | None = None, inverted: Iterable[str] = tuple(INVERTED_FEATURES),
+    dimensions: Dimensions = DIMENSIONS, inverted: Iterable[str] = tuple(INVERTED_FEATURES),
     key: str = "county_fips",
 ) -> tuple[DataFrame, DataFrame]:
     """Rank agreement of all scenario pairs, and the ten best by derived weights in each."""
-    from sitegauge.sources.fixed_values import DIMENSIONS
-
     names = [*WEIGHT_SCENARIOS, "Derived"]
-    long = scenario_scores(df, derived, dimensions or DIMENSIONS, inverted, key)
+    long = scenario_scores(df, derived, dimensions, inverted, key)
     ranks = stage(scenario_ranks(long, key), "ranks")
     table = rank_table(ranks, names, key).orderBy(F.asc_nulls_last("Derived"), key).limit(10)
     return kendall_pairs(ranks, names, key), table

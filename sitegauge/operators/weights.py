@@ -20,7 +20,7 @@ from sitegauge.operators.composite import Dimensions
 from sitegauge.operators.profile import fill_medians
 from sitegauge.operators.ranking import with_sequence
 from sitegauge.operators.validation import classification_report
-from sitegauge.session import stage
+from sitegauge.session import small_table, stage
 from sitegauge.sources.fixed_values import DIMENSIONS, FALLBACK_WEIGHTS
 
 MIN_ROWS = 10
@@ -79,7 +79,7 @@ def fit_balanced(df: DataFrame, columns: Sequence[str]) -> LogisticRegressionMod
         df.withColumn("_w", weight))
     return LogisticRegression(
         featuresCol="_x", labelCol="label", weightCol="_w", regParam=1.0 / n,
-        elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8).fit(rows)
+        elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6).fit(rows)
 
 
 def predict(model: LogisticRegressionModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -141,7 +141,8 @@ def oversample(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, seed:
     made = ends.join(start, "rank").join(other, "_other").select(
         F.lit(small).alias("label"),
         *[(F.col(c) + F.col("_gap") * (F.col(f"_to_{c}") - F.col(c))).alias(c) for c in columns])
-    return base.unionByName(made)
+    # Fitting passes over the rows many times; the search behind them runs once.
+    return stage(base.unionByName(made), "oversampled")
 
 
 def macro_f1(predictions: DataFrame) -> float:
@@ -211,6 +212,6 @@ def derive_weights(
 def coefficient_report(spark, document: Mapping) -> DataFrame:
     """Each dimension's weight, coefficient, and which way it pushes."""
     rows = [(d, float(w), document["raw_coefficients"].get(d)) for d, w in document["weights"].items()]
-    table = spark.createDataFrame(rows, "dimension string, weight double, coefficient double")
+    table = small_table(spark, rows, "dimension string, weight double, coefficient double")
     return table.withColumn("direction", F.when(F.col("coefficient") > 0, "helps").when(
         F.col("coefficient").isNotNull(), "hurts"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitegauge.functions.scalars import existing, finite_columns, pad_code, state_prefix
 from sitegauge.operators.joins import with_records
 from sitegauge.operators.profile import sorted_distinct
+from sitegauge.session import small_table
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import SORTABLE_SCORES, STATES, rows
 
@@ -108,7 +109,7 @@ def validation_summary(
     """One row with everything known about how well the model does."""
     weights, metrics = weights or {}, metrics or {}
     stops, built = weights.get("n_blocked"), weights.get("n_successful")
-    row = spark.createDataFrame([(
+    row = small_table(spark, [(
         model_version, metrics.get("auc"), weights.get("macro_f1"), metrics.get("p_value"),
         (built or 0) + (stops or 0) if weights else None, (built, stops) if weights else None,
         weights.get("strategy"), match_rate, weights.get("weights"))],

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "sitegauge", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,5 +49,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few rows, already in hand, as a DataFrame; they are written into the plan."""
+    names = [f.name for f in spark.range(0).select(
+        F.from_json(F.lit("[]"), f"array<struct<{schema}>>").alias("r")).schema["r"].dataType.elementType]
+    records = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(records), f"array<struct<{schema}>>")))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sitegauge.functions.scalars import pad_code
+from sitegauge.session import small_table
 from sitegauge.sources import schemas
 from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
 
@@ -66,7 +67,9 @@ def parse_list(column: str) -> F.Column:
 
 def write_weights(spark: SparkSession, document: Mapping, path: str) -> None:
     """One JSON document with the weights and how they came about."""
-    spark.createDataFrame([dict(document)], schemas.WEIGHTS).coalesce(1).write.mode(
+    fields = [f.split(" ")[0] for f in schemas.WEIGHTS.split(", ")]
+    row = [document.get(f) for f in fields]
+    small_table(spark, [row], schemas.WEIGHTS).coalesce(1).write.mode(
         "overwrite").json(path)
 
 
@@ -117,7 +120,7 @@ def availability(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Row count per named table, zero where it is missing."""
     rows = [(name, spark.read.parquet(p).count() if exists(spark, p) else 0)
             for name, p in paths.items()]
-    return spark.createDataFrame(rows, "dataset string, n long")
+    return small_table(spark, rows, "dataset string, n long")
 
 
 def write_site_lists(spark: SparkSession, folder: str) -> None:

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sitegauge.functions.scalars import finite_columns, pad_code, point
+from sitegauge.session import small_table
 from sitegauge.sources import schemas
 from sitegauge.sources.files import exists
 
@@ -47,7 +48,7 @@ def read_registry(spark, folder: str) -> DataFrame:
     """All published versions; only the newest is active."""
     path = f"{folder}/model_versions"
     if not exists(spark, path):
-        return spark.createDataFrame([], schemas.MODEL_VERSIONS)
+        return small_table(spark, [], schemas.MODEL_VERSIONS)
     entries = spark.read.schema(schemas.MODEL_VERSIONS).parquet(path)
     newest = entries.agg(F.max("seeded_at"))
     return entries.withColumn("is_active", F.col("seeded_at") == newest.scalar())
