@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sitegauge.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts, spread over the cores."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def r(c: str | Column, places: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 

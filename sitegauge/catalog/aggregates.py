@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import query, r, rounded, table
+from sitegauge.catalog import documents, query, r, rounded, table
 from sitegauge.functions.scalars import (
     class_ratio, clip, first_max_index, pad_code, row_known_share, row_mean, row_sum, share_pct, tier,
 )
@@ -11,6 +11,7 @@ from sitegauge.operators.corpus import corpus_stats
 from sitegauge.operators.joins import ordered_lists
 from sitegauge.operators.ranking import quantiles
 from sitegauge.plans import features
+from sitegauge.session import spread
 from sitegauge.sources.fixed_values import PRIORITY_FEATURES
 from sitegauge.sources.publish import content_hash
 
@@ -70,7 +71,8 @@ SELECT '{c}' AS "column", round(quantile_cont({c}, 0.25), 6) AS p25,
 FROM lineitem
 """ for c in _PROFILED))
 def lineitem_quartiles(spark, folder):
-    return rounded(profile.describe(table(spark, folder, "lineitem"), _PROFILED).select(
+    items = table(spark, folder, "lineitem").select("l_orderkey", *_PROFILED)
+    return rounded(profile.describe(spread(items, "l_orderkey"), _PROFILED).select(
         "column", "p25", "p50", "p75"))
 
 
@@ -168,7 +170,7 @@ WHERE regexp_full_match(item, '[a-z][a-z]+') GROUP BY item
 def word_frequency(spark, folder):
     from sitegauge.functions.text import topic_tokens
 
-    docs = table(spark, folder, "documents").select(topic_tokens("text").alias("tokens"))
+    docs = documents(spark, folder).select(topic_tokens("text").alias("tokens"))
     return profile.list_frequency(docs, "tokens")
 
 

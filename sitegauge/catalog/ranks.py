@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.catalog import query, r, rounded, table
 from sitegauge.operators import joins, normalize as norm, ranking
+from sitegauge.session import stage
 
 _RANK_DESC = """(count(*) OVER (PARTITION BY {v}) - 1) / 2.0 + rank() OVER (ORDER BY {v} DESC)"""
 _RANK_ASC = """(count(*) OVER (PARTITION BY {v}) - 1) / 2.0 + rank() OVER (ORDER BY {v})"""
@@ -53,8 +54,9 @@ m AS (SELECT *, raw_rank - corrected_rank AS rank_change FROM k)
 def _balance_and_total(spark, folder):
     orders = table(spark, folder, "orders").groupBy("o_custkey").agg(
         F.sum("o_totalprice").alias("total"))
-    return table(spark, folder, "customer").select("c_custkey", "c_acctbal").join(
+    joined = table(spark, folder, "customer").select("c_custkey", "c_acctbal").join(
         orders, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey")
+    return stage(joined, "totals")
 
 
 @query(_MOVERS + "SELECT c_custkey, raw_rank, corrected_rank, rank_change FROM m")

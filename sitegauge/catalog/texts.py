@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import query, r, rounded, table
+from sitegauge.catalog import documents, query, r, rounded, table
+from sitegauge.functions.scalars import with_costly
 from sitegauge.functions.text import clean_text
 from sitegauge.operators import places, profile, resistance, sentiment, topics
 from sitegauge.operators.phrases import phrase_hits
@@ -32,7 +33,7 @@ def cleaned_documents(spark, folder):
         F.col("text"), F.lit(" [see "), F.col("source"), F.lit("](https://example.org/"), F.col("doc_id"),
         F.lit(") ![pic](a.png) by /u/"), F.col("source"), F.lit(" in **r/"), F.col("lang"),
         F.lit("** > [plain](note)"))
-    docs = table(spark, folder, "documents").select("doc_id", clean_text(content).alias("clean_text"))
+    docs = with_costly(documents(spark, folder), "clean_text", clean_text(content))
     docs = docs.filter(F.length("clean_text") > places.MIN_CLEAN_CHARS)
     return docs.select("doc_id", F.md5("clean_text").alias("digest"),
                        F.length("clean_text").cast("long").alias("n"))
@@ -43,7 +44,7 @@ WITH c AS (SELECT conv_id, turn, {_clean_sql('text')} AS clean_text FROM convers
 SELECT conv_id, turn, md5(clean_text) AS digest FROM c WHERE length(clean_text) > 50
 """)
 def cleaned_conversations(spark, folder):
-    turns = table(spark, folder, "conversations").withColumn("clean_text", clean_text("text"))
+    turns = with_costly(table(spark, folder, "conversations"), "clean_text", clean_text("text"))
     return turns.filter(F.length("clean_text") > places.MIN_CLEAN_CHARS).select(
         "conv_id", "turn", F.md5("clean_text").alias("digest"))
 
@@ -131,7 +132,7 @@ def _states(spark):
 
 @query(f"WITH {_MENTIONS_SQL} SELECT doc_id, pos, place FROM mentions")
 def place_mentions(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return places.place_mentions(docs, "doc_id", "text", _names(spark))
 
 
@@ -150,7 +151,7 @@ matched AS (SELECT doc_id, string_agg(place, ',' ORDER BY pos) AS raw_locations,
 
 def _matched(spark, folder):
     hint = F.create_map(*[F.lit(x) for kv in _HINT_OF_LANG.items() for x in kv])[F.col("lang")]
-    posts = table(spark, folder, "documents").select("doc_id", "source", "text", hint.alias("state_hint"))
+    posts = documents(spark, folder).select("doc_id", "source", "text", hint.alias("state_hint"))
     states = _states(spark)
     mentions = places.place_mentions(posts, "doc_id", "text", _names(spark)).join(
         posts.select("doc_id", "state_hint"), "doc_id")
@@ -166,7 +167,7 @@ def resolved_mentions(spark, folder):
 matched_county_fips FROM documents d LEFT JOIN matched USING (doc_id)""")
 def documents_matched_to_counties(spark, folder):
     hint = F.create_map(*[F.lit(x) for kv in _HINT_OF_LANG.items() for x in kv])[F.col("lang")]
-    posts = table(spark, folder, "documents").select("doc_id", "text", hint.alias("state_hint"))
+    posts = documents(spark, folder).select("doc_id", "text", hint.alias("state_hint"))
     found = places.match_posts(posts, _names(spark), _candidates(spark), "doc_id", "text")
     return found.select("doc_id", F.array_join("raw_locations", ",").alias("raw_locations"),
                         "matched_county_fips")
@@ -240,7 +241,7 @@ def _lexicon(spark):
 
 
 def _scored_documents(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return sentiment.with_sentiment(docs, "doc_id", "text", _lexicon(spark), negations=_NEGATIONS)
 
 
@@ -262,7 +263,7 @@ def conversation_sentiment_by_join(spark, folder):
 @query("WITH " + _hits_sql(list(_LEXICON.items()), "term, valence") + """
 SELECT term, count(*) AS n FROM best GROUP BY term""")
 def lexicon_hits(spark, folder):
-    hits = phrase_hits(table(spark, folder, "documents"), "doc_id", "text", _lexicon(spark), "term")
+    hits = phrase_hits(documents(spark, folder), "doc_id", "text", _lexicon(spark), "term")
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -341,7 +342,7 @@ vocab AS (SELECT term, tf, df, ln((1 + (SELECT count(*) FROM documents)) / (df +
 
 
 def _docs_with_terms(spark, folder):
-    return topics.with_terms(table(spark, folder, "documents"), "text", stop_words=_STOPS)
+    return topics.with_terms(documents(spark, folder), "text", stop_words=_STOPS)
 
 
 @query(f"WITH {_TERMS_SQL} SELECT term, tf, df FROM counts")
@@ -376,7 +377,7 @@ def tfidf_weights(spark, folder):
 @query()
 def document_topics(spark, folder):
     """Texts per dominant topic; a fitted model, so only its shape can be checked."""
-    docs = table(spark, folder, "documents").filter("lang = 'en'").select(
+    docs = documents(spark, folder).filter("lang = 'en'").select(
         "doc_id", F.col("text").alias("clean_text"))
     weighted, summary, _, _ = topics.extract_topics(docs, passes=2)
     return topics.topic_distribution(weighted, summary)
@@ -403,7 +404,7 @@ def languages_labelled_by_keywords(spark, folder):
 
     from sitegauge.functions.text import topic_tokens
 
-    counts = table(spark, folder, "documents").select(
+    counts = documents(spark, folder).select(
         F.col("lang").alias("topic_id"), F.explode(topic_tokens("text")).alias("t")).groupBy(
         "topic_id", "t").agg(F.count(F.lit(1)).alias("n"))
     # Word counts are few per language; the words themselves were combined before.

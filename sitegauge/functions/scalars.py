@@ -134,6 +134,16 @@ def class_ratio(majority: str | Column, minority: str | Column) -> Column:
     return col(majority) / F.greatest(col(minority), F.lit(1))
 
 
+def with_costly(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is expensive to compute and will be filtered on.
+
+    A filter on a plain column is pushed below it, repeating its expression; a
+    one-element generator keeps the filter above, so each value is computed once.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     skip = set(exclude)
     return [f.name for f in df.schema

@@ -22,7 +22,8 @@ CLEANING = [
     (r"(?d)\[([^\]]+)\]\(.*?\)", "$1"),
     (r"[#*_~`>]", ""),
     (rf"/?(u|r)/[{_WORD}]+", ""),
-    (rf"[{_SPACE}]+", " "),
+    # Any white space but a single blank standing alone.
+    (rf"[{_SPACE}&&[^ ]][{_SPACE}]*| [{_SPACE}]+", " "),
 ]
 STRICT_MENTION = rf"(?<![{_WORD}])/?(u|r)/[{_WORD}]+"
 FORUM_IN_URL = rf"reddit\.com/r/([{_WORD}]+)"

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sitegauge.functions.scalars import with_costly
+
 # A list of opening words longer than this is not written into the plan.
 MAX_OPENING_WORDS = 5000
 
@@ -21,6 +23,13 @@ def phrase_tokens(c: str | Column) -> Column:
         F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_']+"), 0)
 
 
+def spaced_tokens(c: str | Column) -> Column:
+    """The same tokens as one text, a blank before and after each."""
+    c = F.col(c) if isinstance(c, str) else c
+    text = F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_']+", " ")
+
+
 def phrase_form(c: str | Column) -> Column:
     """A phrase as its tokens joined by single spaces."""
     return F.array_join(phrase_tokens(c), " ")
@@ -40,7 +49,8 @@ def phrase_hits(
     longest = listed.agg(F.max("_len")).head()[0] or 1
     opening = listed.select(F.split("_form", " ")[0].alias("w")).distinct().limit(
         MAX_OPENING_WORDS + 1).collect()
-    tokens = texts.select(key, phrase_tokens(text).alias("_tokens")).filter(F.size("_tokens") > 0)
+    tokens = with_costly(texts.select(key, text), "_tokens", phrase_tokens(text)).select(
+        key, "_tokens").filter(F.size("_tokens") > 0)
     places = F.sequence(F.lit(1), F.size("_tokens"))
     if len(opening) <= MAX_OPENING_WORDS:
         starts = [r["w"] for r in opening]

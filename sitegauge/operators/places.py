@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sitegauge.functions.scalars import pad_code
+from sitegauge.functions.scalars import pad_code, with_costly
 from sitegauge.functions.text import clean_text, county_label, forum_of, place_key
 from sitegauge.operators.joins import distinct_in_order, override, with_cached
 from sitegauge.operators.phrases import outermost, phrase_hits
@@ -126,7 +126,7 @@ def preprocess(
 ) -> DataFrame:
     """Clean, filter, hint and match a raw corpus; unmatched posts keep a null county."""
     spark = corpus.sparkSession
-    posts = corpus.withColumn("clean_text", clean_text("content")).filter(
+    posts = with_costly(corpus, "clean_text", clean_text("content")).filter(
         F.length("clean_text") > min_chars)
     posts = with_state_hint(posts)
     candidates = candidate_lists(dims.place_aliases(spark), crosswalk)

@@ -53,6 +53,8 @@ def value_ranges(df: DataFrame, columns: Sequence[str]) -> ValueRanges:
 
 def with_range(df: DataFrame, column: str, ranges: ValueRanges, out: str = "_range") -> DataFrame:
     """Add the number of the value range a row falls into; null values get the last one."""
+    if len(ranges.splits[column]) < 3:  # no known value, or none that is finite
+        return df.withColumn(out, F.lit(0))
     as_double = df.withColumn("_as_double", F.col(column).cast("double"))
     cut = Bucketizer(splits=ranges.splits[column], inputCol="_as_double", outputCol=out,
                      handleInvalid="keep")
@@ -69,6 +71,9 @@ def with_preceding(
     rows without a group drop out, as in any equi-join.  The only window without a range key runs over one row per range.
     """
     cell = [*by, range_col]
+    # The join below would add these filters to one branch only; stated here, both
+    # branches plan the same exchange and the counts are formed once.
+    counts = counts.dropna(subset=[*cell, value])
     per_range = counts.groupBy(*cell).agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     lower = Window.partitionBy(*by).orderBy(range_col).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -140,7 +145,8 @@ def with_average_rank(
 ) -> DataFrame:
     """Rank rows by a column, equal values sharing their mean rank; null has no rank.
 
-    ``percent`` gives 100 * rank / number of known values.
+    ``percent`` gives 100 * rank / number of known values.  The table is read
+    for its ranges, its counts and the result: stage it first if it is costly.
     """
     ranges = ranges or value_ranges(df, [value])
     rank = average_rank(descending)

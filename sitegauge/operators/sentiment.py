@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.operators.joins import override
-from sitegauge.operators.phrases import phrase_form, phrase_hits, phrase_tokens
+from sitegauge.operators.phrases import phrase_form, phrase_hits, spaced_tokens
 from sitegauge.sources import dimensions as dims
 
 # Fixed values of the published compound score.
@@ -46,9 +46,9 @@ def inline_score(text: str | Column, terms: dict[str, float], negations: Sequenc
     One pattern, longest terms first, walks over the spaced-out tokens; its
     matches never overlap.  A second pass with a look-behind finds the negated ones.
     """
-    spaced = F.concat(F.lit(" "), F.array_join(phrase_tokens(text), " "), F.lit(" "))
+    spaced = spaced_tokens(text)
     # Words longer than any term shrink to a length the look-behind can span.
-    spaced = F.regexp_replace(spaced, rf"([^ ]{{{LONGEST - 3}}})[^ ]+([^ ]{{3}})", "$1$2")
+    spaced = F.regexp_replace(spaced, rf"(?<= )([^ ]{{{LONGEST - 3}}})[^ ]+([^ ]{{3}})", "$1$2")
     ordered = sorted(terms, key=lambda t: (-len(t.split()), t))
     either = "(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in ordered) + ")"
     pattern = rf"(?<= ){either}(?= )"

@@ -39,12 +39,14 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
         for a, p in cells])))
 
 
-def classification_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
+def classification_report(
+    df: DataFrame, label: str, predicted: str, by: Sequence[str] = (),
+) -> DataFrame:
     """Precision, recall, F1 and support per class, with macro and weighted means and accuracy.
 
-    Undefined ratios are zero.  One aggregate row feeds the whole report.
+    Undefined ratios are zero.  One aggregate row (per group) feeds the whole report.
     """
-    wide = df.agg(*[
+    wide = df.groupBy(*by).agg(*[
         F.count_if((F.col(label) == a) & (F.col(predicted) == p)).cast("double").alias(f"c{a}{p}")
         for a in (0, 1) for p in (0, 1)])
 
@@ -68,7 +70,7 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
             ratio(per_class["0"][i] * per_class["0"][3] + per_class["1"][i] * per_class["1"][3],
                   total) for i in range(3)) + (total,),
     }
-    return wide.select(F.inline(F.array(*[
+    return wide.select(*by, F.inline(F.array(*[
         F.struct(F.lit(name).alias("class"), r[0].alias("precision"), r[1].alias("recall"),
                  r[2].alias("f1"), r[3].cast("long").alias("support"))
         for name, r in rows.items()])))

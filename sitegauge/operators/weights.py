@@ -145,21 +145,22 @@ def oversample(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, seed:
     return stage(base.unionByName(made), "oversampled")
 
 
-def macro_f1(predictions: DataFrame) -> float:
-    report = classification_report(predictions, "label", "predicted")
-    return report.filter(F.col("class") == "macro avg").head()["f1"]
+def macro_f1(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    report = classification_report(predictions, "label", "predicted", by)
+    return report.filter(F.col("class") == "macro avg").select(*by, "f1")
 
 
 def cross_validate(
     folded: DataFrame, columns: Sequence[str], k: int, synthetic: bool = False, seed: int = SEED,
 ) -> tuple[float, float]:
     """Mean and spread of macro F1 over the folds; synthetic rows only enter training."""
-    scores = []
+    held_out = None
     for fold in range(k):
         train = folded.filter(F.col("fold") != fold)
         rows = oversample(train, columns, seed=seed + fold) if synthetic else train
-        model = fit_balanced(rows, columns)
-        scores.append(macro_f1(predict(model, folded.filter(F.col("fold") == fold), columns)))
+        told = predict(fit_balanced(rows, columns), folded.filter(F.col("fold") == fold), columns)
+        held_out = told if held_out is None else held_out.unionByName(told)
+    scores = [r["f1"] for r in macro_f1(held_out, ["fold"]).collect()]  # one row per fold
     mean = sum(scores) / len(scores)
     return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
 

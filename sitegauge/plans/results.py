@@ -111,7 +111,7 @@ def validation_summary(
     stops, built = weights.get("n_blocked"), weights.get("n_successful")
     row = small_table(spark, [(
         model_version, metrics.get("auc"), weights.get("macro_f1"), metrics.get("p_value"),
-        (built or 0) + (stops or 0) if weights else None, (built, stops) if weights else None,
+        (built or 0) + (stops or 0) if weights else None, {"successful": built, "blocked": stops} if weights else None,
         weights.get("strategy"), match_rate, weights.get("weights"))],
         "model_version string, auc double, macro_f1 double, social_test_p_value double, "
         "n_validation_sites long, class_balance struct<successful: long, blocked: long>, "

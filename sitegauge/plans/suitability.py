@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegauge.functions.scalars import finite_columns
 from sitegauge.operators import places, profile, topics
 from sitegauge.operators.composite import score_locations
 from sitegauge.operators.joins import left_renamed
@@ -17,7 +18,9 @@ from sitegauge.operators.sentiment import with_sentiment
 from sitegauge.operators.validation import sensitivity, validate_scores
 from sitegauge.operators.weights import derive_weights
 from sitegauge.sources import dimensions as dims, files
-from sitegauge.sources.fixed_values import DIMENSIONS, FALLBACK_WEIGHTS, MODEL_VERSION
+from sitegauge.sources.fixed_values import (
+    DIMENSIONS, FALLBACK_WEIGHTS, MODEL_VERSION, PRIORITY_FEATURES,
+)
 from sitegauge.sources.publish import publish
 
 
@@ -65,11 +68,12 @@ class Suitability:
 
     def correlation(self, features: DataFrame) -> DataFrame:
         """Collinear feature pairs with what to do about them."""
-        from sitegauge.sources.fixed_values import PRIORITY_FEATURES
+        def compute() -> DataFrame:
+            numeric = profile.drop_all_null(features.select(*profile.numeric_columns(features)))
+            pairs = profile.collinear_pairs(profile.correlation_pairs(numeric))
+            return profile.recommend(pairs, PRIORITY_FEATURES)
 
-        numeric = profile.drop_all_null(features.select(*profile.numeric_columns(features)))
-        pairs = profile.collinear_pairs(profile.correlation_pairs(numeric))
-        return self._table("collinear_pairs", lambda: profile.recommend(pairs, PRIORITY_FEATURES))
+        return self._table("collinear_pairs", compute)
 
     def normalized(self, features: DataFrame) -> DataFrame:
         return self._table("features_normalized", lambda: normalize_table(features))
@@ -111,7 +115,8 @@ class Suitability:
         spark = self.spark
         populations = populations if populations is not None else dims.populations(spark)
         labels = labels if labels is not None else dims.labelled_sites(spark)
-        features = self._table("features", lambda: features)
+        given = finite_columns(features)
+        features = self._table("features", lambda: given)
         posts = self.posts(corpus, crosswalk, cache)
         matched = self.matched(posts)
         with_topics = self.with_topics(matched, **topic_options)

@@ -49,6 +49,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table scan over all cores when its files are too few to do so.
+
+    For work that is heavy per row, such as long texts.  A scan that already has
+    a task per core, as any large table, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """A few rows, already in hand, as a DataFrame; they are written into the plan."""
     names = [f.name for f in spark.range(0).select(

@@ -86,7 +86,7 @@ def load_weights(spark: SparkSession, path: str) -> dict[str, float]:
     return dict(document["weights"]) if document else dict(FALLBACK_WEIGHTS)
 
 
-def land_payloads(df: DataFrame, key: str, path: str) -> None:
+def land_payloads(df: DataFrame, path: str) -> None:
     """Keep answers as they came: a key column and the nested record, as JSON lines."""
     df.write.mode("overwrite").json(path)
 

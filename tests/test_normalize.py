@@ -57,7 +57,7 @@ def reference_form(values):
     return ((((s - known.mean()) / spread).clip(-3, 3) + 3) / 6 * 100) if spread else s * np.nan
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float), st.just(4000.0)), min_size=1, max_size=30))
 def test_against_pandas(spark, values):
     got = pd.Series(run(spark, values), dtype=float)

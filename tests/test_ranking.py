@@ -105,7 +105,7 @@ def test_ranks_do_not_gather_rows_in_one_task(table):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.integers(-3, 3), st.sampled_from([1e12, -1e-9, 0.5])), min_size=1, max_size=40))
 def test_percentile_ranks_average_to_the_middle(spark, values):
     df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i long, v double")
