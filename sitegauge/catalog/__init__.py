@@ -49,7 +49,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from sitegauge.catalog import (  # noqa: F401
-        aggregates, evidence, joining, outcomes, ranks, scores, texts,
+        aggregates, evidence, joining, outcomes, ranks, scores, storage, texts,
     )
 
     return QUERIES, SQL

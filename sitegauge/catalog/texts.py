@@ -163,6 +163,13 @@ def resolved_mentions(spark, folder):
     return _matched(spark, folder)[1].select("doc_id", "pos", "place", "fips")
 
 
+@query(f"""WITH {_MATCH_SQL}, m AS (SELECT count(*) AS total, count(fips) AS matched FROM resolved)
+SELECT total, matched, total - matched AS unmatched, round(matched * 100.0 / total, 6) AS rate,
+       matched * 100.0 / total < 60 AS below_alarm FROM m""")
+def mention_resolution_rate(spark, folder):
+    return rounded(profile.match_rate(_matched(spark, folder)[1], "fips"))
+
+
 @query(f"""WITH {_MATCH_SQL} SELECT d.doc_id, coalesce(raw_locations, '') AS raw_locations,
 matched_county_fips FROM documents d LEFT JOIN matched USING (doc_id)""")
 def documents_matched_to_counties(spark, folder):
