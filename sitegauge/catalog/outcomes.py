@@ -7,6 +7,7 @@ from sitegauge.functions.scalars import viable
 from sitegauge.operators import validation, weights
 from sitegauge.plans import results
 from sitegauge.session import small_table, stage
+from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
 
 
 def _labelled(spark, folder):
@@ -147,13 +148,15 @@ def learned_weights(spark, folder):
 
 @query()
 def validation_summary(spark, folder):
-    """Everything known about the model in one row; holds a p-value and fitted weights."""
-    labelled = _text_features(spark, folder)
-    document = weights.derive_weights(labelled, "label", _DIMENSIONS)
+    """Everything known about the model in one row; it holds a p-value, which SQL cannot state."""
+    balance = weights.class_balance(table(spark, folder, "labels"), "quality").head()
+    document = {"weights": FALLBACK_WEIGHTS, "strategy": "fallback", "n_successful": balance["n_successful"],
+                "n_blocked": balance["n_blocked"]}
     docs = stage(table(spark, folder, "documents").select(
         "doc_id", (F.col("n_chars") / 100).alias("psi"), (F.col("doc_id") % 97).alias("social_score")), "docs")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     metrics = validation.validate_scores(docs, labels, "doc_id")
+    document["macro_f1"] = metrics["macro_f1"]
     return results.validation_summary(spark, document, metrics, 73.0, None, "1.0.0")
 
 

@@ -241,4 +241,5 @@ def rank_movers(
     ranked = with_average_rank(df, before, "raw_rank", descending=True, ranges=ranges)
     ranked = with_average_rank(ranked, after, "corrected_rank", descending=True, ranges=ranges)
     moved = ranked.withColumn("rank_change", F.col("raw_rank") - F.col("corrected_rank"))
-    return moved if k is None else top_k_with_ties(moved, "rank_change", k)
+    # Finding the k-th value and picking the rows are two passes over the ranks.
+    return moved if k is None else top_k_with_ties(stage(moved, "movers"), "rank_change", k)

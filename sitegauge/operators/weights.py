@@ -166,7 +166,7 @@ def cross_validate(
         return predict(fit_balanced(rows, columns), folded.filter(F.col("fold") == fold), columns)
 
     with ThreadPoolExecutor(k) as pool:
-        told = list(pool.map(inheritable_thread_target(held_out), range(k)))
+        told = list(pool.map(inheritable_thread_target(folded.sparkSession)(held_out), range(k)))
     scores = [r["f1"] for r in macro_f1(reduce(DataFrame.unionByName, told), ["fold"]).collect()]  # one row per fold
     mean = sum(scores) / len(scores)
     return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))

@@ -110,6 +110,7 @@ def test_publish_once_per_content(spark, tmp_path):
 
 def test_whole_job(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(weights, "FOLDS", 2)
+    monkeypatch.setattr(weights, "MIN_MINORITY", 99)
     names = ["Ashburn", "Manassas", "Chandler", "DFW", "Quincy", "Atlanta", "Seattle", "Chicago", "Las Vegas", "Nashville"]
     themes = ["water shortage drought aquifer gallons", "noise pollution loud sound quiet", "tax revenue jobs economy hire"]
     rows = [(f"https://reddit.com/r/{'nova' if i % 4 else 'texas'}/{i}", f"[t](http://x.y) {names[i % 10]}: {themes[i % 3]} "
