@@ -78,6 +78,27 @@ def water_from_answers(spark, folder):
     return features.water(answers.select(F.col("key").alias("county_fips")), rows, rows)
 
 
+@query("""
+WITH x AS (SELECT event_id, value / 20 AS sun, CASE WHEN event_type <> 'view' THEN value / 100 END AS wind FROM events),
+y AS (SELECT *, least(greatest((sun - 3) / 3.5, 0), 1) * 100 AS a,
+             CASE WHEN wind IS NOT NULL THEN least(greatest((wind - 0.15) / 0.3, 0), 1) * 100 END AS b FROM x)
+SELECT event_id AS county_fips, 39.5::DOUBLE AS lat, round(sun, 6) AS solar_ghi_kwh_m2_day,
+       round(wind, 6) AS wind_capacity_factor,
+       nullif(round_even(CASE WHEN wind IS NULL THEN a ELSE (a + b) / 2 END * 100, 0) / 100, 0) AS score FROM y
+""")
+def sun_and_wind_from_answers(spark, folder):
+    v = F.col("value")
+    sun = _answers(spark, folder, ('{"outputs": {"solrad_annual": %s}}', (v / 20).cast("string")), schemas.SOLAR)
+    wind = _answers(spark, folder, ("%s", F.when(
+        F.col("event_type") == "view", F.lit("{}")).otherwise(F.format_string(
+            '{"outputs": {"capacity_factor": %s}}', (v / 100).cast("string")))), schemas.WIND)
+    sun, wind = (a.withColumnRenamed("key", "county_fips") for a in (sun, wind))
+    places = sun.select("county_fips", F.lit(39.5).alias("lat"))
+    out = features.sun_and_wind(places, sun, wind)
+    return rounded(out.select("county_fips", "lat", "solar_ghi_kwh_m2_day", "wind_capacity_factor",
+                              F.col("renewable_potential_score").alias("score")))
+
+
 _SUN = "s_acctbal / 2000 + 3"
 _WIND = "CASE WHEN s_nationkey < 20 THEN s_acctbal / 20000 END"
 

@@ -100,6 +100,14 @@ def score_list(spark, folder):
     return rounded(page.data.select(*_COLUMNS))
 
 
+@query(f"""WITH {_SCORES_SQL} SELECT least(count(*), 20) AS count, count(*) AS total FROM scored WHERE psi >= 50""")
+def score_list_counts(spark, folder):
+    page = results.list_scores(scored_suppliers(spark, folder), min_psi=50, limit=20, key="s_suppkey")
+    counted = page.data.agg(F.count(F.lit(1)).alias("count"))
+    total = page.matching.agg(F.count(F.lit(1)).alias("total"))
+    return counted.withColumn("total", total.scalar())
+
+
 @query(f"""WITH {_SCORES_SQL} SELECT {_SHOWN} FROM scored
 WHERE state = (SELECT min(state) FROM scored) ORDER BY psi, s_suppkey LIMIT 500""")
 def score_list_of_one_state(spark, folder):

@@ -56,9 +56,9 @@ def number(c: str | Column) -> Column:
     return finite(col(c).try_cast("double"))
 
 
-def scale_between(c: str | Column, low: float, high: float) -> Column:
-    """Map [low, high] to 0-100, clipping what lies outside."""
-    return clip((col(c) - low) / (high - low), 0.0, 1.0) * 100
+def scale_from(c: str | Column, low: float, width: float) -> Column:
+    """Map [low, low + width] to 0-100, clipping what lies outside."""
+    return clip((col(c) - low) / width, 0.0, 1.0) * 100
 
 
 def half_even(c: str | Column, places: int) -> Column:
@@ -106,6 +106,7 @@ def point(lon: str | Column, lat: str | Column) -> Column:
     )
 
 
+# The bounds and labels of the four classes below.
 def tier(score: str | Column) -> Column:
     """high from 70, moderate from 50, else low."""
     score = col(score)

@@ -106,6 +106,12 @@ def collinear_pairs(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
         .orderBy(F.desc(F.abs("r")), "feature_1", "feature_2"))
 
 
+# Wording of the recommendations.
+DROP_ONE = "DROP '%s' (near-duplicate of '%s', r=%+.3f)"
+COMBINE = "COMBINE '%s' and '%s' into composite feature, or monitor"
+KEEP_BOTH = "KEEP both"
+
+
 def recommend(pairs: DataFrame, priority: Sequence[str]) -> DataFrame:
     """What to do about each pair: drop one, combine, or keep both."""
     strength = F.abs("r")
@@ -113,12 +119,9 @@ def recommend(pairs: DataFrame, priority: Sequence[str]) -> DataFrame:
         F.col("feature_2"))
     drop = F.when(keep == F.col("feature_1"), F.col("feature_2")).otherwise(F.col("feature_1"))
     text = (
-        F.when(strength > 0.9, F.format_string(
-            "DROP '%s' (near-duplicate of '%s', r=%+.3f)", drop, keep, F.col("r")))
-        .when(strength > 0.7, F.format_string(
-            "COMBINE '%s' and '%s' into composite feature, or monitor",
-            F.col("feature_1"), F.col("feature_2")))
-        .otherwise("KEEP both"))
+        F.when(strength > 0.9, F.format_string(DROP_ONE, drop, keep, F.col("r")))
+        .when(strength > 0.7, F.format_string(COMBINE, F.col("feature_1"), F.col("feature_2")))
+        .otherwise(KEEP_BOTH))
     return pairs.select("feature_1", "feature_2", "r", text.alias("recommendation"))
 
 

@@ -197,9 +197,9 @@ def quantiles(
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"),
                  F.col(f"_range_{c}").alias("_range")) for c in columns])
     long = narrow.select(*by, F.inline(cells)).filter(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "column", "_range", "value").agg(F.count(F.lit(1)).alias("n"))
     keys = [*by, "column"]
-    placed = with_preceding(counts, "value", ["n"], keys)
+    placed = _around(long, probs, rule) if not by else with_preceding(
+        long.groupBy(*keys, "_range", "value").agg(F.count(F.lit(1)).alias("n")), "value", ["n"], keys)
 
     def at(position: Column) -> Column:
         hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
@@ -207,12 +207,11 @@ def quantiles(
 
     picks, outs = [], []
     for i, p in enumerate(probs):
+        place = _position(p, rule)
         if rule == "upper":
-            place = F.least(F.floor(F.col("n_total") * F.lit(p)), F.col("n_total") - 1)
             picks.append(at(place).alias(f"q{i}"))
             outs.append(F.col(f"q{i}"))
         else:
-            place = (F.col("n_total") - 1) * F.lit(float(p))
             picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"),
                       F.max(place - F.floor(place)).alias(f"_part{i}")]
             outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
@@ -220,6 +219,36 @@ def quantiles(
     return placed.groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
+def _position(p: float, rule: str) -> Column:
+    """0-based place of a quantile among n_total sorted values."""
+    if rule == "upper":
+        return F.least(F.floor(F.col("n_total") * F.lit(p)), F.col("n_total") - 1)
+    return (F.col("n_total") - 1) * F.lit(float(p))
+
+
+def _around(long: DataFrame, probs: Sequence[float], rule: str) -> DataFrame:
+    """Value counts of only those ranges that hold a wanted quantile.
+
+    A first pass counts rows per range; all others never reach a shuffle.
+    """
+    by_column = Window.partitionBy("column")
+    lower = by_column.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = long.groupBy("column", "_range").agg(F.count(F.lit(1)).alias("_size")).select(
+        "*", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_offset"),
+        F.sum("_size").over(by_column).alias("n_total"))
+    inside = F.lit(False)
+    for p in probs:
+        for place in (F.floor(_position(p, rule)), F.ceil(_position(p, rule))):
+            inside = inside | ((F.col("_offset") <= place) & (place < F.col("_offset") + F.col("_size")))
+    needed = F.broadcast(sizes.filter(inside).drop("_size"))  # at most two ranges per quantile
+    counts = long.join(needed, ["column", "_range"]).groupBy(
+        "column", "_range", "_offset", "n_total", "value").agg(F.count(F.lit(1)).alias("n"))
+    smaller = (Window.partitionBy("column", "_range").orderBy("value")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn(
+        "n_before", F.col("_offset") + F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+
+
 def top_k(df: DataFrame, order: str, k: int, key: str, smallest: bool = False) -> DataFrame:
     """The k rows with the largest (or smallest) value, ties broken by key."""
     first = F.asc_nulls_last(order) if smallest else F.desc_nulls_last(order)

@@ -17,6 +17,7 @@ from sitegauge.functions.text import topic_tokens, uni_and_bigrams, without_word
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import DOMAIN_STOP_WORDS, RESISTANCE_LABELS, words
 
+# Limits of the vocabulary and settings of the model.
 MIN_DOCS = 5
 MAX_DOC_SHARE = 0.8
 MAX_TERMS = 2000

@@ -26,11 +26,14 @@ from sitegauge.operators.validation import classification_report
 from sitegauge.session import small_table, stage
 from sitegauge.sources.fixed_values import DIMENSIONS, FALLBACK_WEIGHTS
 
+# Limits, seed and strategy names of the fit.
 MIN_ROWS = 10
 MIN_MINORITY = 6
 NEIGHBOURS = 5
 FOLDS = 5
 SEED = 42
+PLAIN = "balanced class weights"
+MIXED = "SMOTE + balanced"
 # Neighbours are searched against a copy of the smaller class in every task.
 MAX_NEIGHBOUR_ROWS = 20_000
 
@@ -212,7 +215,7 @@ def derive_weights(
     coefficients = dict(zip(columns, (float(v) for v in model.coefficients)))
     document.update(
         weights=shares_of(coefficients), macro_f1=round(best, 3),
-        strategy="SMOTE + balanced" if synthetic else "balanced class weights",
+        strategy=MIXED if synthetic else PLAIN,
         raw_coefficients={d: round(v, 4) for d, v in coefficients.items()})
     return document
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitegauge.functions.scalars import half_even, nonzero, number, scale_between, state_prefix
+from sitegauge.functions.scalars import half_even, nonzero, number, scale_from, state_prefix
 from sitegauge.operators.joins import left_chain
 from sitegauge.sources.fixed_values import RENEWABLE_FUELS, TOTAL_FUEL
 
@@ -57,8 +57,9 @@ def electricity(price: DataFrame, mix: DataFrame, states: DataFrame) -> DataFram
 
 def potential(solar: str | Column, wind: str | Column) -> Column:
     """Mean of the scaled solar and wind readings, or solar alone; unknown without solar."""
-    sun = scale_between(solar, 3.0, 6.5)
-    air = scale_between(wind, 0.15, 0.45)
+    # Lowest reading and width of the usual range, cloudy to desert and poor to excellent.
+    sun = scale_from(solar, 3.0, 3.5)
+    air = scale_from(wind, 0.15, 0.30)
     return nonzero(half_even(F.coalesce((sun + air) / 2, sun), 2))
 
 

@@ -155,3 +155,21 @@ def test_validation_summary(spark):
 
 def test_availability(scores):
     assert results.availability(scores=scores, features=None) == {"scores": 4, "features": 0}
+
+
+def test_sun_and_wind(spark):
+    sun = answers(spark, schemas.SOLAR, "county_fips", **{"51107": {"outputs": {"solrad_annual": 4.75}}, "04013": {"outputs": {}}})
+    wind = answers(spark, schemas.WIND, "county_fips", **{"51107": {"outputs": {"capacity_factor": 0.45}}})
+    got = {r.county_fips: r for r in features.sun_and_wind(dims.centroids(spark), sun, wind).collect()}
+    assert len(got) == 20 and got["51107"].renewable_potential_score == 75.0
+    assert got["04013"].solar_ghi_kwh_m2_day is None and got["04013"].renewable_potential_score is None
+
+
+def test_fixed_tables(spark):
+    sizes = {
+        dims.states: 50, dims.target_counties: 26, dims.centroids: 20, dims.county_names: 41, dims.forum_states: 28,
+        dims.domain_lexicon: 45, dims.stop_words: 26, dims.populations: 26, dims.state_climate: 15,
+        dims.blocked_sites: 15, dims.built_sites: 25, dims.target_states: 15, dims.topic_keywords: 8}
+    for table, n in sizes.items():
+        assert table(spark).count() == n, table.__name__
+    assert dims.place_aliases(spark).select("place").distinct().count() == 65

@@ -84,7 +84,7 @@ def test_numbers(spark):
     assert value(spark, sc.number("x"), x=("string", " 4.5 ")) == 4.5
     assert value(spark, sc.half_even("x", 3), x=("double", 0.0005)) == 0.0
     assert value(spark, sc.half_even("x", 1), x=("double", 2.25)) == 2.2
-    assert value(spark, sc.scale_between("x", 3.0, 6.5), x=("double", 10.0)) == 100.0
+    assert value(spark, sc.scale_from("x", 3.0, 3.5), x=("double", 10.0)) == 100.0
     assert [value(spark, sc.tier("x"), x=("double", v)) for v in (70.0, 69.9, 50.0, 49.9, None)] == [
         "high", "moderate", "moderate", "low", None]
     assert value(spark, sc.viable("x"), x=("double", None)) == 0
