@@ -87,6 +87,18 @@ def order_price_quantiles_by_priority(spark, folder):
                         r("q1", 4).alias("p90_price"))
 
 
+@query("""
+SELECT 'o_totalprice' AS "column", count(o_totalprice) AS count FROM orders
+UNION ALL SELECT 'late_price', count(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) FROM orders
+""")
+def columns_with_values(spark, folder):
+    orders = table(spark, folder, "orders").select(
+        "o_totalprice", F.lit(None).cast("double").alias("never"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).alias("late_price"),
+        F.when(F.col("o_orderstatus") == "?", F.col("o_totalprice")).alias("odd_price"))
+    return profile.column_profile(profile.drop_all_null(orders)).select("column", "count")
+
+
 def _priced(spark, folder):
     return table(spark, folder, "lineitem").select(
         "l_quantity", "l_extendedprice",
