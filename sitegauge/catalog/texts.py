@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import documents, query, r, rounded, table
+from sitegauge.catalog import documents, query, rounded, table
 from sitegauge.functions.scalars import with_costly
 from sitegauge.functions.text import clean_text
 from sitegauge.operators import places, profile, resistance, sentiment, topics
