@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -33,8 +32,6 @@ WORD_END = "</w>"
 #: Symbols by which labels are looked up before they are compared in full.
 OPENING = 4
 SHORT = tuple(range(OPENING - 1, 0, -1))
-#: A token as a little-endian unsigned 32-bit integer.
-PACK = struct.Struct("<I").pack
 #: Longest word whose path is found end by end; longer ones are walked without recursion.
 SHARED_ENDS = 64
 #: Words whose encoding a task remembers; when full, the memory is emptied, which changes no result.
@@ -48,6 +45,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def packed(token: int) -> bytes:
+    """A token as a little-endian unsigned 32-bit integer."""
+    return token.to_bytes(4, "little")
+
+
 @dataclass
 class Automaton:
     """Tables of the compiled automaton; small enough to travel with a task (its size is the vocabulary's)."""
@@ -100,7 +102,7 @@ class Automaton:
         """
         whole = self.final.get(word)
         if whole is not None:
-            return PACK(whole)
+            return packed(whole)
         if len(word) <= SHARED_ENDS:
             path = self._path(-1, word)
             return self._without_unknown(word) if path is None else path
@@ -139,7 +141,7 @@ class Automaton:
                 at = begins[-1]
             else:
                 return self._without_unknown(word)
-        return b"".join(map(PACK, path))
+        return b"".join(map(packed, path))
 
     def _path(self, s: int, rest: str) -> bytes | None:
         """The path from state ``s`` that spells ``rest``; the ends that words share are looked up once."""
@@ -150,7 +152,7 @@ class Automaton:
         n = len(rest)
         token = self.final.get(rest)
         if token is not None and (s < 0 or self.arc(s, token)):
-            found = PACK(token)
+            found = packed(token)
         else:
             for length in (*self.openings.get(rest[:OPENING], ()), *SHORT):
                 if length < n:
@@ -158,7 +160,7 @@ class Automaton:
                     if token is not None and (s < 0 or self.arc(s, token)):
                         end = self._path(token, rest[length:])
                         if end is not None:
-                            found = PACK(token) + end
+                            found = packed(token) + end
                             break
         if s >= 0:
             self.n_ends += 1
@@ -235,7 +237,7 @@ class Encoder:
         if self.special is None or not self.special.search(text):
             return self._plain(text)
         return b"".join(
-            self.automaton.special[part].to_bytes(4, "little") if i % 2 else self._plain(part)
+            packed(self.automaton.special[part]) if i % 2 else self._plain(part)
             for i, part in enumerate(self.special.split(text)))
 
     def _plain(self, text: str) -> bytes:
