@@ -38,3 +38,11 @@ def op1_bpe_tokens(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import bpe
 
     return bpe.encode(table(spark, folder, "documents"), tokenizer_path(), keep_ids=False)
+
+
+@query()
+def op6_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and group of near copies of every text."""
+    from sitegauge.llm import simhash
+
+    return simhash.near_copies(table(spark, folder, "documents"))
