@@ -46,3 +46,33 @@ def op6_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import simhash
 
     return simhash.near_copies(table(spark, folder, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM s),
+w AS (SELECT *, (place % 3 + 1)::DOUBLE AS weight, 3 * source_size AS cap FROM p),
+r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, place
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, place
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rate FROM w),
+f AS (SELECT *, cap < rate * weight AS stopped FROM r),
+g AS (SELECT *, CASE WHEN stopped THEN cap::DOUBLE ELSE
+        (sum(source_size) OVER () - sum(CASE WHEN stopped THEN cap ELSE 0 END) OVER ())::DOUBLE * weight
+        / sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () END AS target FROM f),
+q AS (SELECT source, source_size, target, least(round(target), cap) AS quota FROM g),
+b AS (SELECT d.doc_id, d.size, q.*, sum(d.size) OVER (PARTITION BY d.source
+        ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size) - d.size AS b0
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+  (greatest(0, least(b0 + size, quota) - b0)
+   + greatest(0, least(b0 + source_size + size, quota) - (b0 + source_size))
+   + greatest(0, least(b0 + 2 * source_size + size, quota) - (b0 + 2 * source_size)))::BIGINT AS taken
+FROM b
+""")
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    from sitegauge.llm import mixing
+
+    return mixing.mix(table(spark, folder, "documents"))
