@@ -76,3 +76,39 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import mixing
 
     return mixing.mix(table(spark, folder, "documents"))
+
+
+def _secrets_sql() -> str:
+    """The same spans by plain scans: each match is taken with the gap before it, and lengths are added up."""
+    from sitegauge.llm.secrets import BASE_RULES, RULES
+
+    parts = []
+    for number, rule in enumerate(RULES):
+        pattern = rule.pattern
+        for word in ("password", "passwd", "secret", "token", "api", "key"):
+            if rule.kind == "assign":
+                pattern = pattern.replace(word, "".join(f"[{c}{c.upper()}]" for c in word))
+        pattern = pattern.replace("(?i:", "(?:").replace("'", "''")
+        whole = f"'(?s)(.*?)({pattern})'"
+        counted = f"regexp_extract_all(t, {whole}, {2 + rule.counted})" if rule.counted else f"regexp_extract_all(t, {whole}, 2)"
+        parts.append(f"""SELECT rid, {number} AS number, '{rule.kind}' AS kind, {rule.least} AS least,
+          unnest(regexp_extract_all(t, {whole}, 1)) AS gap, unnest(regexp_extract_all(t, {whole}, 2)) AS hit,
+          unnest({counted}) AS counted, unnest(range(len(regexp_extract_all(t, {whole}, 1)))) AS i FROM d""")
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({" UNION ALL ".join(parts)}),
+    p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, number ORDER BY i) AS e FROM m),
+    s AS (SELECT rid, number, kind, (e - length(hit))::BIGINT AS b, e::BIGINT AS e FROM p WHERE length(counted) >= least),
+    g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+      count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, number) FILTER (number < {len(BASE_RULES)}) AS base,
+      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, number) AS spans FROM s GROUP BY rid)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+
+
+@query(_secrets_sql())
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text."""
+    from sitegauge.llm import secrets
+
+    return secrets.scan(table(spark, folder, "documents"))
