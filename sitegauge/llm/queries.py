@@ -112,3 +112,24 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import secrets
 
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query(r"""
+WITH rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'),
+  ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+parts AS (SELECT *, split_part(rule, '/', 1) AS rule_host, substring(rule, instr(rule, '/')) AS rule_path FROM rules),
+p AS (SELECT row_number() OVER () AS rid, page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+b AS (SELECT rid, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM p JOIN parts
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host,
+  '(^|\.)(casino-win|free-bets|ads-track|spam-farm)\.example\.com$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (rid)
+""")
+def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page."""
+    from sitegauge.llm import urls
+
+    return urls.judge(table(spark, folder, "pages"))
