@@ -133,3 +133,11 @@ def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import urls
 
     return urls.judge(table(spark, folder, "pages"))
+
+
+@query()
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every text."""
+    from sitegauge.llm import quality
+
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
