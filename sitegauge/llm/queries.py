@@ -141,3 +141,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import quality
 
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and passages of every text."""
+    from sitegauge.llm import licenses
+
+    return licenses.scan(table(spark, folder, "documents"))
