@@ -149,3 +149,11 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import licenses
 
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op3_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    from sitegauge.llm import vectors
+
+    return vectors.nearest(table(spark, folder, "embeddings"))
