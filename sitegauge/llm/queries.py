@@ -157,3 +157,11 @@ def op3_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import vectors
 
     return vectors.nearest(table(spark, folder, "embeddings"))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Chance that a text is toxic."""
+    from sitegauge.llm import toxicity
+
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
