@@ -165,3 +165,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import toxicity
 
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every text."""
+    from sitegauge.llm import language_model
+
+    return language_model.score(table(spark, folder, "documents"))
