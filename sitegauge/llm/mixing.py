@@ -147,3 +147,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
     return some.select(columns).unionByName(none.select(columns)).withColumnRenamed("id", id_col)
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             weight=default_weight) -> DataFrame:
+    """The mixed corpus: every row as often as the mix takes its words, rounded to whole rows; all columns stay.
+
+    Rows that the mix leaves out, among them rows without words, go.  Rows that share an id, or have none, share what is
+    taken of them.
+    """
+    taken = mix(docs, id_col, text_col, source_col, weight).groupBy(F.col(id_col).alias("_taken")).agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_times")).where("_times > 0")
+    rows = docs.join(taken.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_taken")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")

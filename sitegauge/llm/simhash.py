@@ -271,9 +271,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows that stay when one row of each group of near copies stays: the one with the smallest id.
 
-    Of repeated rows with that id one stays; a group whose ids are all null keeps one row.  All columns stay.
+    Of rows repeated with one id a single one stays.  Rows with a null id can't be told apart and all stay.  All columns
+    stay.
     """
-    groups = near_copies(docs, id_col, text_col, max_bits).select(id_col, "component_id").distinct()
-    stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    kept = docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    stays = near_copies(docs, id_col, text_col, max_bits).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    # The join leaves the rows partitioned by id, so repeated ones are dropped without another shuffle of the texts.
+    named = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
