@@ -124,8 +124,8 @@ def calibrate(table: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequenc
         "stratum", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in cutoffs]), F.array(*[shares()[n] for n in cutoffs]))).alias("name", "value"))
     counted = chosen.join(F.broadcast(asked), "name").groupBy("stratum", "name", "cutoff").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("cutoff")).alias("k"))
-    n_tests = F.lit(float(len(tests))) * F.lit(table.select("stratum").distinct().count())
-    passed = counted.where(at_most(F.col("k"), F.col("n"), allowed / len(cutoffs)) <= F.lit(error) / n_tests)
+    n_tests = len(tests) * max(1, table.select("stratum").distinct().count())
+    passed = counted.where(at_most(F.col("k"), F.col("n"), allowed / len(cutoffs)) <= error / n_tests)
     return passed.groupBy("stratum", "name").agg(F.min("cutoff").alias("cutoff"))
 
 
