@@ -263,7 +263,7 @@ SELECT conv_id, turn, {_SCORE} AS sentiment FROM sums""")
 def conversation_sentiment_by_join(spark, folder):
     """The join form that serves lexicons too large to write into an expression."""
     turns = table(spark, folder, "conversations").withColumn("id", F.struct("conv_id", "turn"))
-    scored = sentiment.joined_score(turns, "id", "text", _lexicon(spark), negations=_NEGATIONS)
+    scored = sentiment.with_sentiment(turns, "id", "text", _lexicon(spark), negations=_NEGATIONS)
     return scored.select("conv_id", "turn", "sentiment")
 
 

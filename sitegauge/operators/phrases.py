@@ -1,7 +1,7 @@
 """Find listed phrases in texts.
 
-Positions that can start a phrase are picked inside each row, so only those are
-exploded; the phrase table is then joined on the words that follow.
+Every word of a text is joined to the words that open a phrase; only the few that do get their following words put
+together, which are then joined to the phrases.  Both joins are left to Spark's own size rule.
 """
 
 from __future__ import annotations
@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitegauge.functions.scalars import with_costly
 
-# A list of opening words longer than this is not written into the plan.
-MAX_OPENING_WORDS = 5000
-
 
 def phrase_tokens(c: str | Column) -> Column:
     """Lower-case runs of letters, digits and apostrophes; punctuation separates."""
@@ -23,13 +20,6 @@ def phrase_tokens(c: str | Column) -> Column:
         F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_']+"), 0)
 
 
-def spaced_tokens(c: str | Column) -> Column:
-    """The same tokens as one text, a blank before and after each."""
-    c = F.col(c) if isinstance(c, str) else c
-    text = F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))
-    return F.regexp_replace(text, r"[^\p{L}\p{N}_']+", " ")
-
-
 def phrase_form(c: str | Column) -> Column:
     """A phrase as its tokens joined by single spaces."""
     return F.array_join(phrase_tokens(c), " ")
@@ -47,27 +37,19 @@ def phrase_hits(
     listed = phrases.withColumn("_form", phrase_form(phrase)).filter("_form <> ''")
     listed = listed.withColumn("_len", F.size(F.split("_form", " ")))
     longest = listed.agg(F.max("_len")).head()[0] or 1
-    opening = listed.select(F.split("_form", " ")[0].alias("w")).distinct().limit(
-        MAX_OPENING_WORDS + 1).collect()
+    opening = listed.select(F.split("_form", " ")[0].alias("_word")).distinct()
     tokens = with_costly(texts.select(key, text), "_tokens", phrase_tokens(text)).select(
         key, "_tokens").filter(F.size("_tokens") > 0)
-    places = F.sequence(F.lit(1), F.size("_tokens"))
-    if len(opening) <= MAX_OPENING_WORDS:
-        starts = [r["w"] for r in opening]
-        places = F.filter(places, lambda i: F.element_at("_tokens", i).isin(starts))
-    begun = F.transform(places, lambda i: F.struct(
-        i.alias("pos"),
-        F.slice("_tokens", i, F.lit(longest)).alias("words"),
-        (F.exists(
-            F.slice("_tokens", F.greatest(i - window, F.lit(1)),
-                    i - F.greatest(i - window, F.lit(1))),
-            lambda t: t.isin(list(negations)) | t.endswith("n't"))
-         if negations else F.lit(False)).alias("negated")))
-    starts_long = tokens.select(key, F.inline(begun))
-    grams = starts_long.select(key, "pos", "negated", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("words")),
-        lambda n: F.struct(n.alias("len"), F.array_join(F.slice("words", F.lit(1), n), " ")
-                           .alias("gram")))).alias("g"))
+    # A word travels with its few neighbours, so what follows needs no look back at the text.
+    lead = lambda i: F.least(i - 1, F.lit(window if negations else 0))
+    begun = F.transform(F.sequence(F.lit(1), F.size("_tokens")), lambda i: F.struct(
+        i.alias("pos"), F.element_at("_tokens", i).alias("_word"), lead(i).alias("_lead"),
+        F.slice("_tokens", i - lead(i), F.lit(longest) + lead(i)).alias("_near")))
+    starts = tokens.select(key, F.inline(begun)).join(opening, "_word")
+    turned = F.exists(F.slice("_near", F.lit(1), F.col("_lead")), lambda t: t.isin(list(negations)) | t.endswith("n't"))
+    grams = starts.select(key, "pos", (turned if negations else F.lit(False)).alias("negated"), F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("_near") - F.col("_lead")),
+        lambda n: F.struct(n.alias("len"), F.array_join(F.slice("_near", F.col("_lead") + 1, n), " ").alias("gram")))).alias("g"))
     found = grams.select(key, "pos", "negated", "g.len", F.col("g.gram").alias("_form")).join(
         listed.drop("_len"), "_form")
     # One text is one group here, so all steps below share this one shuffle.

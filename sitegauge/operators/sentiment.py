@@ -1,19 +1,19 @@
 """Lexicon sentiment of texts.
 
 Valences of the terms found are summed and squashed to (-1, 1) as
-s / sqrt(s^2 + 15); a term after a negation counts -0.74 times.  Terms of
-several words are matched as a whole, and then not again by their parts.
+s / sqrt(s^2 + 15); a term after a negation counts -0.74 times.  A text is read
+from left to right: at each place the longest term counts, and nothing that
+begins inside it counts again.  The rule is the same for a lexicon of any size.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.operators.joins import override
-from sitegauge.operators.phrases import phrase_form, phrase_hits, spaced_tokens
+from sitegauge.operators.phrases import phrase_form, phrase_hits
 from sitegauge.sources import dimensions as dims
 
 # Fixed values of the published compound score.
@@ -25,9 +25,6 @@ NEGATIONS = [
     "without", "cannot", "hardly", "barely", "scarcely", "rarely", "seldom", "despite",
 ]
 REACH = 3
-# A lexicon up to this size is written into the expression; a larger one is joined.
-MAX_INLINE_TERMS = 500
-LONGEST = 50
 
 
 def full_lexicon(spark, base: DataFrame | None = None) -> DataFrame:
@@ -40,43 +37,18 @@ def compound(total: Column) -> Column:
     return F.round(total / F.sqrt(total * total + ALPHA), 4)
 
 
-def inline_score(text: str | Column, terms: dict[str, float], negations: Sequence[str] = NEGATIONS) -> Column:
-    """Sentiment as one expression over the row, without any join or shuffle.
-
-    One pattern, longest terms first, walks over the spaced-out tokens; its
-    matches never overlap.  A second pass with a look-behind finds the negated ones.
-    """
-    spaced = spaced_tokens(text)
-    # Words longer than any term shrink to a length the look-behind can span.
-    spaced = F.regexp_replace(spaced, rf"(?<= )([^ ]{{{LONGEST - 3}}})[^ ]+([^ ]{{3}})", "$1$2")
-    ordered = sorted(terms, key=lambda t: (-len(t.split()), t))
-    either = "(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in ordered) + ")"
-    pattern = rf"(?<= ){either}(?= )"
-    table = F.create_map(*[F.lit(x) for t, v in sorted(terms.items()) for x in (t, float(v))])
-
-    def total(matches: Column) -> Column:
-        return F.aggregate(matches, F.lit(0.0), lambda acc, t: acc + F.element_at(table, t))
-
-    found = total(F.regexp_extract_all(spaced, F.lit(pattern), 0))
-    if not negations:
-        return compound(found)
-    turn = "(?:" + "|".join(map(re.escape, negations)) + rf"|[^ ]{{0,{LONGEST}}}n't)"
-    between = rf"[^ ]{{1,{LONGEST}}} "
-    before = "(?<= " + "| ".join(f"{turn} {between * i}" for i in range(REACH)) + ")"
-    behind = rf"(?<= )(?={either} ){before}{either}(?= )"
-    negated = total(F.regexp_extract_all(spaced, F.lit(behind), 0))
-    return compound(found - negated * (1.0 - NEGATED))
-
-
-def joined_score(
-    posts: DataFrame, key: str, text: str, lexicon: DataFrame, out: str = "sentiment",
+def with_sentiment(
+    posts: DataFrame, key: str = "url", text: str = "clean_text",
+    lexicon: DataFrame | None = None, out: str = "sentiment",
     negations: Sequence[str] = NEGATIONS,
 ) -> DataFrame:
-    """The same score for a lexicon of any size; ``key`` must be unique.
+    """Add the sentiment of each text; ``key`` must be unique.
 
     A text's hits are added up from left to right, skipping those that begin
     inside the last one counted.
     """
+    lexicon = lexicon if lexicon is not None else full_lexicon(posts.sparkSession)
+    lexicon = lexicon.select(phrase_form("term").alias("term"), "valence").filter("term <> ''")
     hits = phrase_hits(posts, key, text, lexicon, "term", negations, REACH)
     value = F.when(F.col("negated"), F.col("valence") * NEGATED).otherwise(F.col("valence"))
     listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(
@@ -92,19 +64,3 @@ def joined_score(
     totals = listed.select(key, F.aggregate("_hits", start, add)["total"].alias("_total"))
     return posts.join(totals, key, "left").withColumn(
         out, compound(F.coalesce("_total", F.lit(0.0)))).drop("_total")
-
-
-def with_sentiment(
-    posts: DataFrame, key: str = "url", text: str = "clean_text",
-    lexicon: DataFrame | None = None, out: str = "sentiment",
-    negations: Sequence[str] = NEGATIONS,
-) -> DataFrame:
-    """Add the sentiment of each text; the lexicon's size decides how."""
-    lexicon = lexicon if lexicon is not None else full_lexicon(posts.sparkSession)
-    lexicon = lexicon.select(phrase_form("term").alias("term"), "valence").filter("term <> ''")
-    rows = lexicon.limit(MAX_INLINE_TERMS + 1).collect()
-    short = all(len(w) < LONGEST for r in rows for w in r["term"].split(" "))
-    if len(rows) <= MAX_INLINE_TERMS and short:
-        terms = {r["term"]: r["valence"] for r in rows}
-        return posts.withColumn(out, inline_score(text, terms, negations))
-    return joined_score(posts, key, text, lexicon, out, negations)

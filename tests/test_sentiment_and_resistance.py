@@ -1,4 +1,5 @@
 import math
+import re
 
 import pandas as pd
 import pytest
@@ -15,11 +16,23 @@ def lexicon(spark):
     return small_table(spark, list(LEXICON.items()), "term string, valence double")
 
 
-def both(spark, texts):
+def scored(spark, texts, terms=None):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    inline = sentiment.with_sentiment(df, "id", "t", lexicon(spark)).orderBy("id").collect()
-    joined = sentiment.joined_score(df, "id", "t", lexicon(spark)).orderBy("id").collect()
-    return [r.sentiment for r in inline], [r.sentiment for r in joined]
+    table = small_table(spark, list((terms or LEXICON).items()), "term string, valence double")
+    return [r.sentiment for r in sentiment.with_sentiment(df, "id", "t", table).orderBy("id").collect()]
+
+
+def read(text, terms):
+    """The rule in plain Python: from left to right, the longest term at each place."""
+    words = re.findall(r"[\w']+", (text or "").lower())
+    total, at = 0.0, 0
+    while at < len(words):
+        n = next((n for n in range(len(words) - at, 0, -1) if " ".join(words[at : at + n]) in terms), 0)
+        if n:
+            turned = any(w in sentiment.NEGATIONS or w.endswith("n't") for w in words[max(0, at - 3) : at])
+            total += terms[" ".join(words[at : at + n])] * (-0.74 if turned else 1)
+        at += max(n, 1)
+    return squash(total)
 
 
 def squash(s):
@@ -27,36 +40,35 @@ def squash(s):
 
 
 def test_scores(spark):
-    inline, joined = both(spark, [
+    got = scored(spark, [
         "We OPPOSE it.", "tax revenue", "Tax; revenue!", "not good", "it is not really very good",
         "not one two three good", "don't oppose", "", None, "oppose oppose water-shortage"])
     want = [squash(-2), squash(1), squash(1), squash(1.9 * -0.74), squash(1.9 * -0.74), squash(1.9),
             squash(2 * 0.74), 0.0, 0.0, squash(-7)]
-    assert inline == pytest.approx(want) and joined == pytest.approx(want)
+    assert got == pytest.approx(want)
 
 
 WORDS = ["tax", "revenue", "break", "oppose", "good", "not", "don't", "water", "shortage", "x" * 70, "y" * 49 + "n't", "the", ",", "été"]
 
 
+OVERLAPPING = {**LEXICON, "not good": -1.0, "good deal": 2.0, "good": 1.9, "no tax": 0.7, "tax": -0.4, "good good good": 5.0}
+
+
 @settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(st.sampled_from(WORDS), max_size=14).map(" ".join), min_size=200, max_size=250))
-def test_expression_and_join_agree(spark, texts):
-    inline, joined = both(spark, texts)
-    assert inline == pytest.approx(joined)
+@given(st.lists(st.lists(st.sampled_from(WORDS + ["deal", "no"]), max_size=14).map(" ".join), min_size=200, max_size=250))
+def test_overlapping_and_negating_terms(spark, texts):
+    assert scored(spark, texts, OVERLAPPING) == pytest.approx([read(t, OVERLAPPING) for t in texts])
+
 
+def test_a_negation_inside_a_term_is_used_up(spark):
+    assert scored(spark, ["not good deal"], {"not good": -1.0, "good deal": 2.0}) == [-0.25]
 
-def test_expression_needs_no_shuffle(spark):
-    df = spark.createDataFrame([(1, "good")], "id long, t string")
-    scored = sentiment.with_sentiment(df, "id", "t", lexicon(spark))
-    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
 
+def test_a_lexicon_of_any_size_reads_alike(spark):
+    large = OVERLAPPING | {f"filler{i} word": 1.0 for i in range(6000)}
+    texts = ["not good deal", "good tax break", "filler7 word not filler8 word", ""]
+    assert scored(spark, texts, large) == pytest.approx([read(t, large) for t in texts])
 
-def test_large_lexicons_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(sentiment, "MAX_INLINE_TERMS", 2)
-    df = spark.createDataFrame([(1, "good tax break"), (2, "")], "id long, t string")
-    scored = sentiment.with_sentiment(df, "id", "t", lexicon(spark))
-    assert "Join" in scored._jdf.queryExecution().executedPlan().toString()
-    assert {r.id: r.sentiment for r in scored.collect()} == {1: squash(1.4), 2: 0.0}
 
 
 def test_domain_terms_override_a_general_lexicon(spark):
