@@ -127,7 +127,8 @@ def _counties(spark, folder):
 
 
 def _state_climate(spark, folder):
-    return table(spark, folder, "customer").filter("c_nationkey < 15").groupBy(
+    # Nations without customers deep in debt have no climate.
+    return table(spark, folder, "customer").filter("c_acctbal < -985").groupBy(
         pad_code("c_nationkey", 2).alias("state_fips")).agg(
         r(F.avg("c_acctbal"), 4).alias("avg_temp_f"),
         F.count(F.lit(1)).cast("double").alias("cooling_degree_days"))
@@ -135,7 +136,7 @@ def _state_climate(spark, folder):
 
 _CLIMATE_SQL = """
 clim AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS state_fips, round(avg(c_acctbal), 4) AS avg_temp_f,
-                count(*)::DOUBLE AS cooling_degree_days FROM customer WHERE c_nationkey < 15 GROUP BY 1)
+                count(*)::DOUBLE AS cooling_degree_days FROM customer WHERE c_acctbal < -985 GROUP BY 1)
 """
 
 
@@ -147,26 +148,44 @@ def climate_by_state(spark, folder):
 
 
 @query(f"""WITH {_CLIMATE_SQL}, c AS (SELECT {_CODE_SQL} AS county_fips, * FROM supplier),
-items AS (SELECT l_suppkey, round(avg(l_quantity), 6) AS flow FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT county_fips, left(county_fips, 2) AS state_fips, n_name AS state,
-       n_regionkey::DOUBLE AS industrial_rate_cents_kwh, NULL::DOUBLE AS renewable_pct,
-       NULL::DOUBLE AS total_generation_mwh, avg_temp_f, cooling_degree_days,
-       NULL::DOUBLE AS temp_variance, NULL::DOUBLE AS extreme_weather_events_yr,
-       flow AS surface_water_flow_cfs
+items AS (SELECT l_suppkey, round(avg(l_quantity), 6) AS flow, round(max(l_discount) * 100, 6) AS ground
+          FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+power AS (SELECT c_nationkey, round(avg(c_acctbal), 6) AS rate, round(count_if(c_acctbal < 0) * 100.0 / count(*), 6) AS share,
+                 round(sum(abs(c_acctbal)), 4) AS made FROM customer GROUP BY 1),
+x AS (SELECT s_suppkey AS k, {_SUN} AS sun, {_WIND} AS wind FROM supplier),
+y AS (SELECT *, least(greatest((sun - 3) / 3.5, 0), 1) * 100 AS a, least(greatest((wind - 0.15) / 0.3, 0), 1) * 100 AS b FROM x)
+SELECT county_fips, left(county_fips, 2) AS state_fips, n_name AS state, rate AS industrial_rate_cents_kwh,
+       share AS renewable_pct, made AS total_generation_mwh, sun AS solar_ghi_kwh_m2_day, wind AS wind_capacity_factor,
+       nullif(round_even(CASE WHEN wind IS NULL THEN a ELSE (a + b) / 2 END * 100, 0) / 100, 0) AS renewable_potential_score,
+       avg_temp_f, cooling_degree_days, NULL::DOUBLE AS temp_variance, NULL::DOUBLE AS extreme_weather_events_yr,
+       ground AS groundwater_level_ft, nullif(round_even(flow * 100, 0) / 100, 0) AS surface_water_flow_cfs,
+       NULL::DOUBLE AS drought_severity_index
 FROM c JOIN nation ON s_nationkey = n_nationkey LEFT JOIN clim ON left(county_fips, 2) = state_fips
-LEFT JOIN items ON l_suppkey = s_suppkey""")
+LEFT JOIN power ON c_nationkey = s_nationkey LEFT JOIN y ON k = s_suppkey LEFT JOIN items ON l_suppkey = s_suppkey""")
 def feature_table(spark, folder):
+    """All four sources, each as its own answers would give it."""
     counties = _counties(spark, folder)
-    unknown = F.lit(None).cast("double")
-    power = table(spark, folder, "nation").select(
-        pad_code("n_nationkey", 2).alias("state_fips"), F.col("n_name").alias("state"),
-        F.col("n_regionkey").cast("double").alias("industrial_rate_cents_kwh"),
-        unknown.alias("renewable_pct"), unknown.alias("total_generation_mwh"))
+    known = table(spark, folder, "customer").groupBy("c_nationkey").agg(
+        r(F.avg("c_acctbal")).alias("rate"), r(F.count_if(F.col("c_acctbal") < 0) * 100.0 / F.count(F.lit(1))).alias("share"),
+        r(F.sum(F.abs("c_acctbal")), 4).alias("made"))
+    states = table(spark, folder, "nation").select(pad_code("n_nationkey", 2).alias("state_fips"), "n_nationkey", F.col("n_name").alias("state"))
+    by_state = states.join(known, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    power = features.electricity(
+        by_state.select("state", F.col("rate").alias("industrial_rate_cents_kwh")),
+        by_state.select("state", F.col("share").alias("renewable_pct"), F.col("made").alias("total_generation_mwh")),
+        states.select("state_fips", "state"))
+    answer = lambda value, name: counties.join(table(spark, folder, "supplier").select("s_suppkey", value.alias("v")), "s_suppkey").select(
+        "county_fips", F.struct(F.struct(F.col("v").alias(name)).alias("outputs")).alias("payload"))
+    renewable = features.sun_and_wind(
+        counties.select("county_fips"), answer(F.col("s_acctbal") / 2000 + 3, "solrad_annual"),
+        answer(F.when(F.col("s_nationkey") < 20, F.col("s_acctbal") / 20000), "capacity_factor"))
     climate = features.climate_from_states(counties, _state_climate(spark, folder))
-    flow = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").groupBy(
-        F.col("l_suppkey").alias("s_suppkey")).agg(r(F.avg("l_quantity")).alias("surface_water_flow_cfs"))
-    water = counties.join(flow, "s_suppkey", "left").select("county_fips", "surface_water_flow_cfs")
-    return features.master_features(counties, power, None, climate, water)
+    items = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        r(F.avg("l_quantity")).alias("flow"), r(F.max("l_discount") * 100).alias("ground"))
+    read = counties.join(items, "s_suppkey").select("county_fips", F.lit(0).alias("series"), "flow", "ground")
+    water = features.water(counties, read.select("county_fips", "series", F.col("ground").cast("string").alias("reading")),
+                           read.select("county_fips", "series", F.col("flow").cast("string").alias("reading")))
+    return features.master_features(counties, power, renewable, climate, water)
 
 
 @query("""

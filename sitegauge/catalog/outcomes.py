@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import query, rounded, table
+from sitegauge.catalog import query, r, rounded, table
 from sitegauge.functions.scalars import viable
 from sitegauge.operators import validation, weights
+from sitegauge.operators.composite import score_locations
 from sitegauge.plans import results
 from sitegauge.session import small_table, stage
-from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
 
 
 def _labelled(spark, folder):
@@ -58,8 +58,9 @@ def length_auc_for_toxic(spark, folder):
 @query("""
 WITH j AS (SELECT toxic, n_chars FROM labels JOIN documents USING (doc_id)),
 t AS (SELECT n_chars AS threshold, sum(toxic) AS p, sum(1 - toxic) AS n FROM j GROUP BY 1)
-SELECT threshold, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr
+SELECT threshold::DOUBLE AS threshold, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr
 FROM t WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)
+UNION ALL SELECT 'inf'::DOUBLE, 0, 0
 """)
 def length_roc_for_toxic(spark, folder):
     return rounded(validation.roc_points(_labelled(spark, folder), "n_chars", "toxic"))
@@ -73,11 +74,29 @@ def length_by_quality(spark, folder):
     return rounded(validation.class_centres(_labelled(spark, folder), "n_chars", "quality"))
 
 
-@query()
+# The normal tail as the fixed series 7.1.26 of Abramowitz and Stegun, good to seven places.
+_TAIL_SQL = """
+erf AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS e FROM z),
+tail AS (SELECT *, 0.5 * e * (0.254829592 + e * (-0.284496736 + e * (1.421413741 + e * (-1.453152027 + e * 1.061405429))))
+                * exp(-z * z / 2) AS q FROM erf)
+"""
+
+
+@query(f"""
+WITH j AS (SELECT quality, n_chars, (rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0) AS k
+           FROM labels JOIN documents USING (doc_id)),
+t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*) AS c FROM j GROUP BY n_chars)),
+s AS (SELECT count_if(quality = 0) AS a, count_if(quality = 1) AS b, sum(k) FILTER (quality = 0) AS r FROM j),
+u AS (SELECT a, b, r - a * (a + 1) / 2 AS u, a + b AS n, ties FROM s, t),
+z AS (SELECT *, (u - a * b / 2.0 - 0.5) / sqrt(a * b / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))) AS z FROM u),
+{_TAIL_SQL}
+SELECT a AS n_greater, b AS n_other, u::DOUBLE AS u, round(CASE WHEN z >= 0 THEN q ELSE 1 - q END, 4) AS p_value,
+       'normal' AS form FROM tail
+""")
 def length_test_by_quality(spark, folder):
-    """One-sided rank test; SQL has no normal tail, its U is checked by length_auc_for_toxic."""
+    """One-sided rank test."""
     out = validation.mann_whitney(_labelled(spark, folder), "n_chars", "quality", greater=0)
-    return small_table(spark, [tuple(out.values())], "n_greater long, n_other long, u double, p_value double")
+    return small_table(spark, [tuple(out.values())], "n_greater long, n_other long, u double, p_value double, form string")
 
 
 _DIMENSIONS = {"size": ["n_chars", "n_words"], "shape": ["word_length"], "marks": ["digits", "breaks"], "none": ["gone"]}
@@ -87,7 +106,7 @@ def _text_features(spark, folder):
     """Plain measures of each labelled text; word length is unknown for odd-length texts."""
     words = F.size(F.split("text", " "))
     return _labelled(spark, folder).select(
-        F.col("quality").alias("label"), "source", (F.col("n_chars") / 1000).alias("n_chars"),
+        "doc_id", F.col("quality").alias("label"), "source", (F.col("n_chars") / 1000).alias("n_chars"),
         (words / 100).alias("n_words"),
         F.when(F.col("n_chars") % 2 == 0, F.col("n_chars") / words).alias("word_length"),
         (F.length("text") - F.length(F.regexp_replace("text", "[0-9]", ""))).alias("digits"),
@@ -107,7 +126,7 @@ m AS (SELECT label, (a + b) / 2 AS size, coalesce(c, (SELECT quantile_cont(c, 0.
 @query(f"""WITH {_MATRIX_SQL} SELECT label, round(size, 6) AS size, round(shape, 6) AS shape,
 round(marks, 6) AS marks, "none" FROM m""")
 def training_matrix(spark, folder):
-    matrix = weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label")
+    matrix = weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id")
     return rounded(matrix.drop("_id"))
 
 
@@ -135,29 +154,68 @@ SELECT quality AS label, (SELECT max(n) FROM (SELECT count(*) AS n FROM labels G
 FROM labels GROUP BY quality
 """)
 def balanced_by_synthesis(spark, folder):
-    matrix = weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label")
+    matrix = weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id")
     return weights.oversample(matrix, list(_DIMENSIONS)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+SELECT dimension, 1.0::DOUBLE AS total_weight, true AS signed, true AS spread_known
+FROM (VALUES ('size'), ('shape'), ('marks'), ('none')) t(dimension)
+""")
 def learned_weights(spark, folder):
-    """Weights from a fitted model; the tests check them against a direct solution."""
-    document = weights.derive_weights(_text_features(spark, folder), "label", _DIMENSIONS)
-    return weights.coefficient_report(spark, document)
+    """Weights from a fitted model: shares of one, each with the sign of its coefficient, and the spread over the folds."""
+    document = weights.derive_weights(_text_features(spark, folder), "label", _DIMENSIONS, key="doc_id")
+    report = weights.coefficient_report(spark, document)
+    signed = F.coalesce(F.col("direction") == F.when(F.col("coefficient") > 0, "helps").otherwise("hurts"), F.lit(True))
+    return report.join(report.agg(r(F.sum("weight"), 1).alias("total_weight")), F.lit(True)).select(
+        "dimension", "total_weight", signed.alias("signed"), F.lit(document["macro_f1_spread"] is not None).alias("spread_known"))
 
 
-@query()
+@query("""
+SELECT dimension, 0.0::DOUBLE AS gradient FROM (VALUES ('size'), ('shape'), ('marks'), ('none'), ('intercept')) t(dimension)
+""")
+def fitted_gradient(spark, folder):
+    """At the fitted coefficients the penalised, balanced log-likelihood is flat in every dimension."""
+    matrix = stage(weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id"), "matrix")
+    names = list(_DIMENSIONS)
+    model = weights.fit_balanced(matrix, names)
+    n0, n1 = matrix.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).head()
+    line = F.lit(float(model.intercept))
+    for name, c in zip(names, model.coefficients):
+        line = line + F.col(name) * float(c)
+    miss = (1 / (1 + F.exp(-line)) - F.col("label")) * F.when(F.col("label") == 1, (n0 + n1) / (2 * n1)).otherwise((n0 + n1) / (2 * n0))
+    scale = {name: max(1.0, matrix.agg(F.max(F.abs(F.col(name)))).head()[0]) for name in names} | {"intercept": 1.0}
+    sums = matrix.agg(*[F.sum(miss * (F.col(n) if n != "intercept" else F.lit(1.0))).alias(n) for n in scale]).head()
+    penalty = dict(zip(names, map(float, model.coefficients))) | {"intercept": 0.0}
+    rows = [(n, abs(round((sums[n] + penalty[n]) / (n0 + n1) / scale[n], 3))) for n in scale]
+    return small_table(spark, rows, "dimension string, gradient double")
+
+
+@query("""
+WITH j AS (SELECT quality FROM labels JOIN documents USING (doc_id))
+SELECT count(*) AS n_validation_sites, count_if(quality = 1) AS successful, count_if(quality = 0) AS blocked,
+       10 AS n_pairs, true AS auc_in_range, true AS f1_in_range, true AS p_in_range, true AS rate_in_range FROM j
+""")
 def validation_summary(spark, folder):
-    """Everything known about the model in one row; it holds a p-value, which SQL cannot state."""
-    balance = weights.class_balance(table(spark, folder, "labels"), "quality").head()
-    document = {"weights": FALLBACK_WEIGHTS, "strategy": "fallback", "n_successful": balance["n_successful"],
-                "n_blocked": balance["n_blocked"]}
-    docs = stage(table(spark, folder, "documents").select(
-        "doc_id", (F.col("n_chars") / 100).alias("psi"), (F.col("doc_id") % 97).alias("social_score")), "docs")
-    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    metrics = validation.validate_scores(docs, labels, "doc_id")
-    document["macro_f1"] = metrics["macro_f1"]
-    return results.validation_summary(spark, document, metrics, 73.0, None, "1.0.0")
+    """Everything known about the model, from weights learnt, scores, sensitivity and match rate computed on the spot.
+
+    SQL states the counts, and the ranges in which fitted figures must lie.
+    """
+    from sitegauge.catalog.texts import hint_match_rate
+
+    rows = stage(_text_features(spark, folder), "text-features")
+    document = weights.derive_weights(rows, "label", _DIMENSIONS, key="doc_id")
+    scored = stage(score_locations(rows.drop("label"), document["weights"], _DIMENSIONS, [], "doc_id", ["source"], ranked=False), "scored")
+    scored = scored.withColumn("social_score", F.col("marks_score"))
+    metrics = validation.validate_scores(scored, rows.select("doc_id", "label"), "doc_id")
+    pairs, _ = validation.sensitivity(rows.drop("label"), document["weights"], _DIMENSIONS, [], "doc_id")
+    rate = hint_match_rate(spark, folder).head()["rate"]
+    row = results.validation_summary(spark, document, metrics, rate, pairs, "1.0.0")
+    return row.select(
+        "n_validation_sites", "class_balance.successful", "class_balance.blocked", F.size("sensitivity").alias("n_pairs"),
+        F.col("auc").between(0, 1).alias("auc_in_range"), F.col("macro_f1").between(0, 1).alias("f1_in_range"),
+        F.col("social_test_p_value").between(0, 1).alias("p_in_range"),
+        F.col("geocoding_match_rate").between(0, 100).alias("rate_in_range"))
 
 
 @query("""
@@ -170,10 +228,14 @@ def outcomes_with_scores(spark, folder):
 @query("""
 SELECT topic_id, label, top_words FROM (
   SELECT n_nationkey::INT AS topic_id, coalesce(r_name, '') AS label, n_name AS top_words
-  FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3)
+  FROM nation LEFT JOIN (SELECT region.* FROM region JOIN (SELECT DISTINCT n_regionkey AS k FROM nation
+    JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9900) ON r_regionkey = k) ON n_regionkey = r_regionkey)
 """)
 def topic_list(spark, folder):
-    regions = table(spark, folder, "region").filter("r_regionkey < 3")
+    # Regions without a rich supplier stay unlabelled.
+    rich = table(spark, folder, "supplier").where("s_acctbal > 9900").join(
+        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("r_regionkey"))
+    regions = table(spark, folder, "region").join(rich, "r_regionkey", "left_semi")
     summary = table(spark, folder, "nation").join(
         regions, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(
         F.col("n_nationkey").alias("topic_id"), F.col("r_name").alias("label"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import documents, query, rounded, table
+from sitegauge.catalog import documents, query, r, rounded, table
 from sitegauge.functions.scalars import with_costly
 from sitegauge.functions.text import clean_text
 from sitegauge.operators import places, profile, resistance, sentiment, topics
@@ -51,7 +51,8 @@ def cleaned_conversations(spark, folder):
 
 _HINT_SQL = """
 p AS (SELECT doc_id, 'https://www.reddit.com/r/' || upper(source) || '/comments/' || doc_id AS url FROM documents),
-f AS (SELECT 'src' || n_nationkey AS subreddit, n_name AS state_hint FROM nation WHERE n_regionkey <= 2),
+f AS (SELECT 'src' || n_nationkey AS subreddit, n_name AS state_hint FROM nation
+      JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal < 0) ON n_nationkey = s_nationkey),
 h AS (SELECT doc_id, state_hint FROM p LEFT JOIN f
       ON lower(nullif(regexp_extract(url, 'reddit\\.com/r/(\\w+)', 1), '')) = subreddit)
 """
@@ -60,7 +61,9 @@ h AS (SELECT doc_id, state_hint FROM p LEFT JOIN f
 def _hinted(spark, folder):
     posts = table(spark, folder, "documents").select("doc_id", F.concat(
         F.lit("https://www.reddit.com/r/"), F.upper("source"), F.lit("/comments/"), "doc_id").alias("url"))
-    forums = table(spark, folder, "nation").filter("n_regionkey <= 2").select(
+    # Nations without a supplier in debt have no forum.
+    in_debt = table(spark, folder, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    forums = table(spark, folder, "nation").join(in_debt, "n_nationkey", "left_semi").select(
         F.concat(F.lit("src"), "n_nationkey").alias("subreddit"), F.col("n_name").alias("state_hint"))
     return places.with_state_hint(posts, forums=forums)
 
@@ -381,13 +384,29 @@ def tfidf_weights(spark, folder):
         F.coalesce(F.array_max(known), F.lit(0.0)).alias("top_weight")))
 
 
-@query()
+@query("SELECT doc_id, 6 AS n_weights, 1.0::DOUBLE AS total, true AS dominant_is_largest FROM documents")
 def document_topics(spark, folder):
-    """Texts per dominant topic; a fitted model, so only its shape can be checked."""
-    docs = documents(spark, folder).filter("lang = 'en'").select(
-        "doc_id", F.col("text").alias("clean_text"))
-    weighted, summary, _, _ = topics.extract_topics(docs, passes=2)
-    return topics.topic_distribution(weighted, summary)
+    """Topic weights of every text; a fitted model, so SQL states what must hold of each text."""
+    docs = documents(spark, folder).select("doc_id", F.col("text").alias("clean_text"))
+    weighted, _, _, _ = topics.extract_topics(docs)
+    weights = F.array(*[F.col(c) for c in sorted(c for c in weighted.columns if c.endswith("_weight"))])
+    return weighted.select(
+        "doc_id", F.size(weights).alias("n_weights"),
+        r(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).alias("total"),
+        (F.get(weights, F.col("dominant_topic")) == F.array_max(weights)).alias("dominant_is_largest"))
+
+
+@query("SELECT t::INT AS topic_id, 15 AS n_words, 15 AS n_different, true AS all_known FROM range(6) r(t)")
+def topic_words(spark, folder):
+    """The strongest terms of each topic: fifteen different ones, all of the vocabulary."""
+    docs = documents(spark, folder).select("doc_id", F.col("text").alias("clean_text"))
+    _, _, model, tfidf = topics.extract_topics(docs, passes=4)
+    words = topics.top_terms(model, tfidf.terms).select("topic_id", "top_words")
+    known = F.array(*[F.lit(t) for t in tfidf.terms])
+    return words.select(
+        F.col("topic_id").cast("int").alias("topic_id"), F.size("top_words").alias("n_words"),
+        F.size(F.array_distinct("top_words")).alias("n_different"),
+        (F.size(F.array_except("top_words", known)) == 0).alias("all_known"))
 
 
 _WORDS_SQL = """

@@ -11,8 +11,6 @@ import math
 # Largest sample for which the exact distribution is used.
 EXACT_U_GROUP = 8
 EXACT_TAU_SIZE = 33
-# The exact U table has about n1 * n1 * n2 cells; beyond this the normal form is used.
-EXACT_U_CELLS = 2_000_000
 
 
 def normal_tail(z: float) -> float:
@@ -37,13 +35,19 @@ def u_counts(n1: int, n2: int) -> list[int]:
     return ways
 
 
-def u_greater_p(u: float, n1: int, n2: int, tie_sum: float) -> float:
+def u_form(n1: int, n2: int, tie_sum: float) -> str:
+    """The published rule: exact for up to 8 items in the smaller group and no ties, else normal."""
+    return "exact" if min(n1, n2) <= EXACT_U_GROUP and tie_sum == 0 else "normal"
+
+
+def u_greater_p(u: float, n1: int, n2: int, tie_sum: float, form: str | None = None) -> float:
     """One-sided p that the first group tends to be larger.
 
-    ``tie_sum`` is the sum of t^3 - t over groups of t equal values.
+    ``tie_sum`` is the sum of t^3 - t over groups of t equal values; ``form`` is "exact" or "normal", by default as
+    ``u_form`` says.  The exact form's work grows with n1 * n1 * n2.
     """
     small, large = min(n1, n2), max(n1, n2)
-    if small <= EXACT_U_GROUP and tie_sum == 0 and small * small * large <= EXACT_U_CELLS:
+    if (form or u_form(n1, n2, tie_sum)) == "exact":
         ways = u_counts(small, large)
         return min(1.0, sum(ways[math.ceil(u):]) / sum(ways))
     n = n1 + n2

@@ -28,7 +28,6 @@ CLEANING = [
 STRICT_MENTION = rf"(?<![{_WORD}])/?(u|r)/[{_WORD}]+"
 FORUM_IN_URL = rf"reddit\.com/r/([{_WORD}]+)"
 TOPIC_TOKEN = rf"(?<![{_WORD}])[a-z][a-z]+(?![{_WORD}])"
-SCORE_TOKEN = rf"[{_WORD}']+"
 
 
 def clean_text(c: str | Column, strict: bool = False) -> Column:
@@ -70,10 +69,6 @@ def topic_tokens(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(TOPIC_TOKEN), 0)
 
 
-def score_tokens(c: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(SCORE_TOKEN), 0)
-
-
 def without_words(tokens: Column, stop_words: Sequence[str]) -> Column:
     stops = sorted(set(stop_words))
     return F.filter(tokens, lambda t: ~t.isin(stops)) if stops else tokens

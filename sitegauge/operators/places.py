@@ -8,6 +8,7 @@ from sitegauge.functions.scalars import pad_code, with_costly
 from sitegauge.functions.text import clean_text, county_label, forum_of, place_key
 from sitegauge.operators.joins import distinct_in_order, override, with_cached
 from sitegauge.operators.phrases import outermost, phrase_hits
+from sitegauge.session import stage
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import COUNTRY_NAMES, words
 
@@ -21,10 +22,13 @@ def with_state_hint(posts: DataFrame, url: str = "url", forums: DataFrame | None
             .join(forums, "subreddit", "left").drop("subreddit"))
 
 
-def candidate_lists(aliases: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame:
+def candidate_lists(
+    aliases: DataFrame, crosswalk: DataFrame | None = None, order: str | None = None,
+) -> DataFrame:
     """place, candidates: the counties a place may mean, most prominent first.
 
-    Aliases replace the crosswalk's entry for the same name.
+    Aliases replace the crosswalk's entry for the same name.  ``order`` names the crosswalk's column that ranks them;
+    without one the codes do.
     """
     def listed(df: DataFrame) -> DataFrame:
         firsts = df.groupBy("place", "county_fips").agg(F.min("pos").alias("pos"))
@@ -37,7 +41,7 @@ def candidate_lists(aliases: DataFrame, crosswalk: DataFrame | None = None) -> D
         return base
     cross = crosswalk.select(
         place_key("place_name").alias("place"), pad_code("county_fips").alias("county_fips"),
-        F.monotonically_increasing_id().alias("pos")).filter(F.col("place").isNotNull())
+        F.col(order or "county_fips").alias("pos")).filter(F.col("place").isNotNull())
     return override(listed(cross), base, "place")
 
 
@@ -109,7 +113,12 @@ def match_posts(
     """Add raw_locations and the county of the first mention that resolves."""
     mentions = place_mentions(posts, key, text, names)
     with_hint = mentions.join(posts.select(key, hint), key)
-    resolved = resolve_places(with_hint, candidates, "place", hint, "_fips", cache=cache)
+    # Few pairs of place and hint stand for many mentions; each is resolved once.
+    pairs = stage(resolve_places(
+        with_hint.select("place", hint).distinct(), candidates, "place", hint, "_fips", cache=cache).select(
+        F.col("place").alias("_place"), F.col(hint).alias("_hint"), "_fips"), "pairs")
+    resolved = with_hint.join(
+        pairs, (F.col("place") == F.col("_place")) & F.col(hint).eqNullSafe(F.col("_hint")), "left")
     per_post = resolved.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))),
                     lambda s: s["place"]).alias("raw_locations"),
@@ -128,7 +137,8 @@ def preprocess(
     spark = corpus.sparkSession
     posts = with_costly(corpus, "clean_text", clean_text("content")).filter(
         F.length("clean_text") > min_chars)
-    posts = with_state_hint(posts)
+    # Cleaned once; what follows reads the columns it needs from the written table.
+    posts = stage(with_state_hint(posts), "posts")
     candidates = candidate_lists(dims.place_aliases(spark), crosswalk)
     candidates = with_county_names(candidates, dims.county_names(spark))
     return match_posts(posts, gazetteer(spark, crosswalk), candidates, cache=cache)

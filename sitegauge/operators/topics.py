@@ -21,10 +21,9 @@ from sitegauge.sources.fixed_values import DOMAIN_STOP_WORDS, RESISTANCE_LABELS,
 MIN_DOCS = 5
 MAX_DOC_SHARE = 0.8
 MAX_TERMS = 2000
-BATCH = 128
 PASSES = 20
-# A large corpus is drawn in larger batches, so that it is still seen PASSES times.
-MAX_ITERATIONS = 400
+# Share of the texts drawn at each step, whatever their number.
+BATCH_SHARE = 0.25
 
 
 def default_stop_words() -> list[str]:
@@ -90,15 +89,13 @@ def fit_tfidf(docs: DataFrame, terms: str = "terms", **limits) -> TfIdf:
 
 
 def fit_topics(
-    features: DataFrame, k: int = 6, seed: int = 42, passes: int = PASSES, batch: int = BATCH,
+    features: DataFrame, k: int = 6, seed: int = 42, passes: int = PASSES, batch_share: float = BATCH_SHARE,
     column: str = "features",
 ) -> LDAModel:
-    """Online variational topic model that draws each text about ``passes`` times."""
-    n = max(features.count(), 1)
-    share = min(1.0, max(batch / n, passes / MAX_ITERATIONS))
+    """Online variational topic model that draws each text about ``passes`` times, a ``batch_share`` of all at a step."""
     lda = LDA(
         featuresCol=column, k=k, seed=seed, optimizer="online",
-        maxIter=max(1, round(passes / share)), subsamplingRate=share, learningOffset=10.0,
+        maxIter=max(1, round(passes / batch_share)), subsamplingRate=batch_share, learningOffset=10.0,
         learningDecay=0.7, docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
         optimizeDocConcentration=False)
     return lda.fit(features)

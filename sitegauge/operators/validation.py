@@ -107,20 +107,22 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return u_statistic(score_table(df, score, label)).select("n_pos", "n_neg", "u", "auc")
 
 
-def mann_whitney(df: DataFrame, score: str, label: str, greater: int = 0) -> dict:
-    """One-sided test that the group labelled ``greater`` scores higher, with mean and median.
+def mann_whitney(df: DataFrame, score: str, label: str, greater: int = 0, form: str | None = None) -> dict:
+    """One-sided test that the group labelled ``greater`` scores higher.
 
+    ``form`` of the p-value, "exact" or "normal", follows the published rule unless given; the result names it.
     ``p_value`` is None with fewer than two known scores in a group.
     """
     row = u_statistic(score_table(df, score, label)).head()
     n_pos, n_neg = row["n_pos"], row["n_neg"]
     out = {"n_greater": n_pos if greater else n_neg, "n_other": n_neg if greater else n_pos,
-           "u": None, "p_value": None}
+           "u": None, "p_value": None, "form": None}
     if n_pos >= 2 and n_neg >= 2:
         u = row["u"] if greater else n_pos * n_neg - row["u"]
         out["u"] = u
+        out["form"] = form or significance.u_form(n_pos, n_neg, row["tie_sum"])
         out["p_value"] = round(significance.u_greater_p(
-            u, out["n_greater"], out["n_other"], row["tie_sum"]), 4)
+            u, out["n_greater"], out["n_other"], row["tie_sum"], out["form"]), 4)
     return out
 
 
@@ -134,15 +136,18 @@ def class_centres(df: DataFrame, score: str, label: str) -> DataFrame:
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """False and true positive rate at every distinct score, from the strictest down.
 
-    Both classes must be present; with one class there are no points.
+    The curve begins at (0, 0), where no score is high enough; that point's threshold is infinite.  Both classes must be present; with one class there are no points.
     """
     table = score_table(df, score, label)
     at_least_pos = F.col("pos_total") - F.col("pos_before")
     at_least_neg = F.col("neg_total") - F.col("neg_before")
-    return table.filter((F.col("pos_total") > 0) & (F.col("neg_total") > 0)).select(
-        F.col("score").alias("threshold"),
+    points = table.filter((F.col("pos_total") > 0) & (F.col("neg_total") > 0)).select(
+        F.col("score").cast("double").alias("threshold"),
         (at_least_neg / F.col("neg_total")).alias("fpr"),
         (at_least_pos / F.col("pos_total")).alias("tpr"))
+    start = points.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
 def validate_scores(

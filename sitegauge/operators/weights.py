@@ -34,15 +34,20 @@ FOLDS = 5
 SEED = 42
 PLAIN = "balanced class weights"
 MIXED = "SMOTE + balanced"
-# Neighbours are searched against a copy of the smaller class in every task.
-MAX_NEIGHBOUR_ROWS = 20_000
+# Rows of the fit, and rows of the smaller class between which points are made; see ``derive_weights``.
+MAX_FIT_ROWS = 200_000
+MAX_BASE_ROWS = 20_000
+BLOCK = 32
 
 
-def dimension_matrix(df: DataFrame, dimensions: Dimensions, label: str) -> DataFrame:
-    """Row id, label and one mean per dimension; absent is 50, unknown the median."""
+def dimension_matrix(df: DataFrame, dimensions: Dimensions, label: str, key: str = "county_fips") -> DataFrame:
+    """Row id, label and one mean per dimension; absent is 50, unknown the median.
+
+    The id is the row's own ``key``, so folds and made points don't depend on how the table is split.
+    """
     cols = [(row_mean(existing(df, fs)) if existing(df, fs) else F.lit(50.0)).alias(d)
             for d, fs in dimensions.items()]
-    rows = stage(df.select(F.monotonically_increasing_id().alias("_id"),
+    rows = stage(df.select(F.col(key).alias("_id"),
                            F.col(label).cast("int").alias("label"), *cols), "outcomes")
     return fill_medians(rows, list(dimensions))
 
@@ -95,14 +100,11 @@ def predict(model: LogisticRegressionModel, df: DataFrame, columns: Sequence[str
 
 
 def nearest_in_class(rows: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """rank and the ranks of its k nearest rows, for a table numbered 1..N by ``rank``.
+    """rank and the ranks of its k nearest rows, for a table numbered 1..N by ``rank``; ties go to the smaller rank.
 
-    Each task compares its rows with a copy of the whole table, so the table
-    must not exceed MAX_NEIGHBOUR_ROWS.
+    Each task compares its rows, in blocks, with a copy of the whole table, which the caller has bounded.
     """
-    points = rows.select("rank", *columns).orderBy("rank").limit(MAX_NEIGHBOUR_ROWS + 1).toPandas()
-    if len(points) > MAX_NEIGHBOUR_ROWS:
-        raise ValueError("too many rows to hold in every task")
+    points = rows.select("rank", *columns).toPandas()
     ids = points["rank"].to_numpy()
     matrix = points[list(columns)].to_numpy(float)
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -111,26 +113,45 @@ def nearest_in_class(rows: DataFrame, columns: Sequence[str], k: int) -> DataFra
         ids, matrix = shared.value
         for batch in batches:
             found = []
-            for rank, x in zip(batch["rank"], batch[list(columns)].to_numpy(float)):
-                far = ((matrix - x) ** 2).sum(axis=1)
-                far[ids == rank] = np.inf
-                found.append(ids[np.lexsort((ids, far))[:k]].tolist())
+            own, x = batch["rank"].to_numpy(), batch[list(columns)].to_numpy(float)
+            for at in range(0, len(x), BLOCK):
+                far = ((x[at : at + BLOCK, None, :] - matrix[None]) ** 2).sum(axis=2)
+                far[own[at : at + BLOCK, None] == ids[None]] = np.inf
+                limit = np.partition(far, k - 1, axis=1)[:, k - 1]
+                for row, most in zip(far, limit):
+                    near = np.flatnonzero(row <= most)
+                    found.append(ids[near[np.lexsort((ids[near], row[near]))[:k]]].tolist())
             yield pd.DataFrame({"rank": batch["rank"], "near": found})
 
     return rows.select("rank", *columns).mapInPandas(search, "rank long, near array<long>")
 
 
-def oversample(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """Add points between neighbours of the smaller class until the classes are even."""
+def hashed_share(df: DataFrame, n: int, most: int, seed: int = SEED) -> DataFrame:
+    """All ``n`` rows, or about ``most`` of them picked by a hash of their id."""
+    share = min(1.0, most / max(1, n))
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit("share"), F.col("_id")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+
+
+def oversample(
+    df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, seed: int = SEED, max_base_rows: int = MAX_BASE_ROWS,
+) -> DataFrame:
+    """Add points between neighbours of the smaller class until the classes are even.
+
+    Points are made between about ``max_base_rows`` rows of that class, picked by a hash; all rows stay.
+    """
     counts = {r["label"]: r["n"] for r in df.groupBy("label").agg(
         F.count(F.lit(1)).alias("n")).collect()}  # two classes
     small = min((0, 1), key=lambda c: counts.get(c, 0))
     n_small, missing = counts.get(small, 0), abs(counts.get(0, 0) - counts.get(1, 0))
-    k = min(k, n_small - 1)
     base = df.select("label", *columns)
-    if k < 1 or not missing:
+    if n_small < 2 or not missing:
+        return base
+    picked = hashed_share(df.filter(F.col("label") == small), n_small, max_base_rows, seed)
+    numbered = with_sequence(picked, [F.asc("_id")])
+    n_small = numbered.count()
+    k = min(k, n_small - 1)
+    if k < 1:
         return base
-    numbered = with_sequence(df.filter(F.col("label") == small), [F.asc("_id")])
     near = nearest_in_class(numbered, columns, k)
 
     def draw(name: str):
@@ -158,6 +179,7 @@ def macro_f1(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def cross_validate(
     folded: DataFrame, columns: Sequence[str], k: int, synthetic: bool = False, seed: int = SEED,
+    max_base_rows: int = MAX_BASE_ROWS,
 ) -> tuple[float, float]:
     """Mean and spread of macro F1 over the folds; synthetic rows only enter training.
 
@@ -165,7 +187,7 @@ def cross_validate(
     """
     def held_out(fold: int) -> DataFrame:
         train = folded.filter(F.col("fold") != fold)
-        rows = oversample(train, columns, seed=seed + fold) if synthetic else train
+        rows = oversample(train, columns, seed=seed + fold, max_base_rows=max_base_rows) if synthetic else train
         return predict(fit_balanced(rows, columns), folded.filter(F.col("fold") == fold), columns)
 
     with ThreadPoolExecutor(k) as pool:
@@ -189,32 +211,35 @@ def shares_of(coefficients: Mapping[str, float]) -> dict[str, float]:
 
 def derive_weights(
     df: DataFrame, label: str = "label", dimensions: Dimensions = DIMENSIONS,
-    fallback: Mapping[str, float] = FALLBACK_WEIGHTS,
+    fallback: Mapping[str, float] = FALLBACK_WEIGHTS, key: str = "county_fips",
+    max_fit_rows: int = MAX_FIT_ROWS, max_base_rows: int = MAX_BASE_ROWS,
 ) -> dict:
-    """The weights document: weights, strategy, macro F1, class counts and coefficients.
+    """The weights document: weights, strategy, macro F1 and its spread, class counts and coefficients.
 
-    Too few rows, or fewer than two of a class, give the fallback weights.
+    Too few rows, or fewer than two of a class, give the fallback weights.  The model is fitted on about
+    ``max_fit_rows`` rows, picked by a hash of their ``key`` so that the classes keep their shares; the counts are of
+    all rows.  Synthetic rows are tried at every size, between ``max_base_rows`` rows of the smaller class.
     """
     columns = list(dimensions)
-    rows = dimension_matrix(df, dimensions, label)
+    rows = dimension_matrix(df, dimensions, label, key)
     balance = class_balance(rows).head()
     n_built, n_stopped = balance["n_successful"], balance["n_blocked"]
     document = {
         "weights": dict(fallback), "fallback_weights": dict(fallback), "strategy": "fallback",
-        "macro_f1": None, "n_successful": n_built, "n_blocked": n_stopped, "raw_coefficients": {}}
+        "macro_f1": None, "macro_f1_spread": None, "n_successful": n_built, "n_blocked": n_stopped, "raw_coefficients": {}}
     k = min(FOLDS, n_built, n_stopped)
     if balance["n"] < MIN_ROWS or k < 2:
         return document
-    folded = stage(with_folds(rows, k), "folds")
-    plain, _ = cross_validate(folded, columns, k)
-    best, synthetic = plain, False
-    if n_stopped >= MIN_MINORITY and min(n_built, n_stopped) <= MAX_NEIGHBOUR_ROWS:
-        mixed, _ = cross_validate(folded, columns, k, synthetic=True)
-        best, synthetic = max(plain, mixed), mixed > plain
-    model = fit_balanced(oversample(folded, columns) if synthetic else folded, columns)
+    folded = stage(with_folds(hashed_share(rows, balance["n"], max_fit_rows), k), "folds")
+    best, synthetic = cross_validate(folded, columns, k), False
+    if n_stopped >= MIN_MINORITY:
+        mixed = cross_validate(folded, columns, k, synthetic=True, max_base_rows=max_base_rows)
+        synthetic = mixed[0] > best[0]
+        best = mixed if synthetic else best
+    model = fit_balanced(oversample(folded, columns, max_base_rows=max_base_rows) if synthetic else folded, columns)
     coefficients = dict(zip(columns, (float(v) for v in model.coefficients)))
     document.update(
-        weights=shares_of(coefficients), macro_f1=round(best, 3),
+        weights=shares_of(coefficients), macro_f1=round(best[0], 3), macro_f1_spread=round(best[1], 3),
         strategy=MIXED if synthetic else PLAIN,
         raw_coefficients={d: round(v, 4) for d, v in coefficients.items()})
     return document

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from sitegauge.functions.scalars import existing, finite_columns, pad_code, state_prefix
+from sitegauge.functions.scalars import existing, finite_columns, state_prefix
 from sitegauge.operators.joins import with_records
 from sitegauge.operators.profile import sorted_distinct
 from sitegauge.session import small_table
@@ -126,7 +126,3 @@ def validation_summary(
 def availability(**tables: DataFrame | None) -> dict[str, int]:
     """Rows per table, zero where there is none."""
     return {name: df.count() if df is not None else 0 for name, df in tables.items()}
-
-
-def with_padded_key(df: DataFrame, key: str = "county_fips") -> DataFrame:
-    return df.withColumn(key, pad_code(key))

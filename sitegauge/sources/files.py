@@ -18,6 +18,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: Spark marks a finished write."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS") or (exists(spark, path) and _is_file(spark, path))
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped by the reader."""
     return spark.read.schema(schemas.POSTS_RAW).json(path)
@@ -29,9 +39,9 @@ def write_corpus(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, *paths: str) -> DataFrame | None:
-    """The first of the Parquet paths that exists, or None."""
+    """The first of the Parquet paths that holds a finished table, or None."""
     for path in paths:
-        if exists(spark, path):
+        if finished(spark, path):
             return spark.read.parquet(path)
     return None
 
@@ -74,8 +84,8 @@ def write_weights(spark: SparkSession, document: Mapping, path: str) -> None:
 
 
 def read_weights(spark: SparkSession, path: str) -> dict | None:
-    """The weights document, or None where there is none."""
-    if not exists(spark, path):
+    """The weights document, or None where there is none or its write broke off."""
+    if not finished(spark, path):
         return None
     row = spark.read.schema(schemas.WEIGHTS).json(path).head()
     return row.asDict() if row else None
@@ -110,15 +120,15 @@ def records_per_file(spark: SparkSession, path: str) -> DataFrame:
 def materialize(
     spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False,
 ) -> DataFrame:
-    """Reuse a stage's table if it is there, else compute and write it."""
-    if force or not exists(spark, path):
+    """Reuse a stage's table if it was written to its end, else compute and write it."""
+    if force or not finished(spark, path):
         write_table(compute(), path)
     return spark.read.parquet(path)
 
 
 def availability(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Row count per named table, zero where it is missing."""
-    rows = [(name, spark.read.parquet(p).count() if exists(spark, p) else 0)
+    rows = [(name, spark.read.parquet(p).count() if finished(spark, p) else 0)
             for name, p in paths.items()]
     return small_table(spark, rows, "dataset string, n long")
 

@@ -19,7 +19,7 @@ TOPIC_SUMMARY = "topic_id int, label string, top_words string"
 
 WEIGHTS = (
     "weights map<string,double>, fallback_weights map<string,double>, strategy string, "
-    "macro_f1 double, n_successful long, n_blocked long, raw_coefficients map<string,double>")
+    "macro_f1 double, macro_f1_spread double, n_successful long, n_blocked long, raw_coefficients map<string,double>")
 
 MODEL_VERSIONS = (
     "model_version string, data_hash string, seeded_at timestamp, n_locations long, "

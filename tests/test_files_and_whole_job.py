@@ -68,6 +68,25 @@ def test_stages_are_reused(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_a_write_that_broke_off_is_not_taken_for_a_table(spark, tmp_path):
+    half = tmp_path / "half"
+    spark.range(3).write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    whole = str(tmp_path / "whole")
+    spark.range(5).write.parquet(whole)
+    assert files.read_table(spark, str(half)) is None
+    assert files.read_table(spark, str(half), whole).count() == 5
+    assert files.materialize(spark, str(half), lambda: spark.range(100)).count() == 100
+    assert files.read_table(spark, str(half)).count() == 100
+    one = str(next((tmp_path / "whole").glob("*.parquet")))
+    assert files.read_table(spark, one).count() <= 5
+    path = str(tmp_path / "weights")
+    files.write_weights(spark, {"weights": {"power": 1.0}, "strategy": "x"}, path)
+    assert files.load_weights(spark, path) == {"power": 1.0}
+    (tmp_path / "weights" / "_SUCCESS").unlink()
+    assert files.read_weights(spark, path) is None
+
+
 def test_staged_tables_live_in_the_named_folder(spark):
     df = stage(spark.range(3))
     assert shared_dir(spark).rstrip("/") in df.inputFiles()[0]

@@ -42,6 +42,16 @@ def test_aliases_override_the_crosswalk(spark):
     assert got["nova"] == ["51059", "51107", "51153", "51013"]
 
 
+def test_texts_are_scanned_and_cleaned_once(spark, tmp_path):
+    """The last plan reads written columns only: no cleaning, and the clean text is shuffled at most once."""
+    rows = [(f"https://www.reddit.com/r/x/{i}", f"People near Mesa and Loudoun County talk about it at length, post number {i}.") for i in range(40)]
+    spark.createDataFrame(rows, "url string, content string").write.parquet(str(tmp_path / "corpus"))
+    out = places.preprocess(spark.read.parquet(str(tmp_path / "corpus")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and str(tmp_path / "corpus") not in str(out.inputFiles())
+    assert out.count() == 40 and out.where("matched_county_fips IS NULL").count() == 0
+
+
 @pytest.mark.parametrize("county, hint, want", [
     ("King", "WA", "53033"), ("king county", None, "53033"), ("King County", "TX", None), ("nowhere", None, None),
 ])

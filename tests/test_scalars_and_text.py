@@ -126,6 +126,8 @@ def test_u_distribution_is_the_count_of_arrangements():
 def test_u_p_values():
     assert sig.u_greater_p(12, 3, 4, 0) == pytest.approx(1 / 35)
     assert sig.u_greater_p(0, 3, 4, 0) == 1.0
+    assert sig.u_greater_p(12, 3, 4, 0, "normal") != sig.u_greater_p(12, 3, 4, 0, "exact") == sig.u_greater_p(12, 3, 4, 0)
+    assert [sig.u_form(8, 10**6, 0), sig.u_form(9, 9, 0), sig.u_form(3, 4, 6.0)] == ["exact", "normal", "normal"]
     # 50 against 50 with U at its mean: the continuity correction leaves a little over one half.
     assert sig.u_greater_p(1250, 50, 50, 0) == pytest.approx(0.5 + 0.001375, abs=1e-4)
     assert sig.u_greater_p(5.0, 2, 3, 6.0) == pytest.approx(sig.normal_tail(1.5 / (0.5 * (6 - 6 / 20)) ** 0.5))

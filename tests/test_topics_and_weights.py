@@ -68,7 +68,7 @@ def test_labels(spark):
 def outcome_rows(spark, n=120, seed=5):
     rng = np.random.default_rng(seed)
     y = (rng.random(n) < 0.75).astype(int)
-    pdf = pd.DataFrame({"label": y, "f1": rng.normal(50, 5, n) + 6 * y, "f2": rng.normal(50, 5, n) - 3 * y, "f3": rng.normal(50, 5, n)})
+    pdf = pd.DataFrame({"id": np.arange(n), "label": y, "f1": rng.normal(50, 5, n) + 6 * y, "f2": rng.normal(50, 5, n) - 3 * y, "f3": rng.normal(50, 5, n)})
     return spark.createDataFrame(pdf), pdf
 
 
@@ -98,7 +98,7 @@ def test_balanced_fit_solves_the_penalized_problem(spark):
 def test_weights_document(spark, monkeypatch):
     monkeypatch.setattr(weights, "FOLDS", 2)
     df, pdf = outcome_rows(spark)
-    doc = weights.derive_weights(df, dimensions=DIMS)
+    doc = weights.derive_weights(df, dimensions=DIMS, key="id")
     assert doc["n_successful"] == int(pdf.label.sum()) and doc["n_blocked"] == int((1 - pdf.label).sum())
     assert sum(doc["weights"].values()) == pytest.approx(1.0, abs=0.01)
     assert doc["weights"]["power"] == max(doc["weights"].values()) and doc["raw_coefficients"]["power"] > 0
@@ -107,14 +107,14 @@ def test_weights_document(spark, monkeypatch):
 
 @pytest.mark.parametrize("labels", [[1] * 5 + [0] * 4, [1] * 19 + [0], [1] * 12])
 def test_too_few_outcomes_fall_back(spark, labels):
-    df = spark.createDataFrame([(y, float(i), 1.0, 2.0) for i, y in enumerate(labels)], "label int, f1 double, f2 double, f3 double")
-    doc = weights.derive_weights(df, dimensions=DIMS)
+    df = spark.createDataFrame([(i, y, float(i), 1.0, 2.0) for i, y in enumerate(labels)], "id long, label int, f1 double, f2 double, f3 double")
+    doc = weights.derive_weights(df, dimensions=DIMS, key="id")
     assert doc["weights"] == FALLBACK_WEIGHTS and doc["strategy"] == "fallback"
 
 
 def test_matrix_fills_medians_and_absent_dimensions(spark):
-    df = spark.createDataFrame([(1, 1.0), (0, None), (1, 4.0)], "label int, f1 double")
-    got = weights.dimension_matrix(df, {"power": ["f1"], "social": ["none"]}, "label").toPandas()
+    df = spark.createDataFrame([(1, 1, 1.0), (2, 0, None), (3, 1, 4.0)], "id long, label int, f1 double")
+    got = weights.dimension_matrix(df, {"power": ["f1"], "social": ["none"]}, "label", "id").toPandas()
     assert sorted(got.power) == [1.0, 2.5, 4.0] and set(got.social) == {50.0}
 
 
@@ -149,6 +149,28 @@ def test_synthetic_rows_lie_between_neighbours(spark):
     assert len(made) > 0
 
 
+def test_points_are_made_at_any_size(spark):
+    """Ten times the bound in rows: all rows stay, the classes are even, and made points lie between the picked ones."""
+    df = spark.range(4000).selectExpr("id AS _id", "int(id % 8 = 0) AS label", "double(id % 61) AS f1", "double(id % 13) AS f2")
+    out = weights.oversample(stage(df), ["f1", "f2"], max_base_rows=50)
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {0: 3500, 1: 3500}
+    assert out.exceptAll(df.select("label", "f1", "f2")).count() == 3000
+
+
+def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(weights, "FOLDS", 2)
+    df, _ = outcome_rows(spark)
+    docs = [weights.derive_weights(df.repartition(n), dimensions=DIMS, key="id") for n in (1, 7)]
+    assert docs[0]["weights"] == docs[1]["weights"] and docs[0]["macro_f1"] == docs[1]["macro_f1"]
+
+
+def test_a_bounded_fit_is_close_to_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(weights, "FOLDS", 2)
+    df, pdf = outcome_rows(spark)
+    doc = weights.derive_weights(df, dimensions=DIMS, key="id", max_fit_rows=len(pdf) // 2, max_base_rows=20)
+    assert doc["n_successful"] + doc["n_blocked"] == len(pdf) and doc["weights"]["power"] == max(doc["weights"].values())
+
+
 def test_shares():
     assert weights.shares_of({"a": -2.0, "b": 1.0, "c": 1.0}) == {"a": 0.5, "b": 0.25, "c": 0.25}
     assert weights.shares_of({"a": 0.0}) == FALLBACK_WEIGHTS
