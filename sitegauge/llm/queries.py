@@ -135,7 +135,41 @@ def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
-@query()
+def _quality_sql() -> str:
+    """The same counts by exploded words, and the same bounds by the logarithm of the gamma function."""
+    from sitegauge.llm.quality import ALLOWED, CUTOFFS, ERROR, MIN_WORDS
+
+    tests = ", ".join(f"('{name}', {c}::DOUBLE)" for name, cuts in CUTOFFS.items() for c in cuts)
+    n_tests, p = sum(map(len, CUTOFFS.values())), ALLOWED / len(CUTOFFS)
+    above = " OR ".join(f"coalesce({name} > (SELECT cutoff FROM cut WHERE cut.lang IS NOT DISTINCT FROM f.lang AND name = '{name}'), false)"
+                        for name in CUTOFFS)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+s AS MATERIALIZED (SELECT rid, doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+u AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM s),
+g AS (SELECT rid, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+m AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM g WHERE c IS NOT NULL),
+v AS (SELECT rid, count(DISTINCT i + k0) AS n FROM m, range(3) z(k0) WHERE k > 1 GROUP BY rid),
+x AS (SELECT s.rid, doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM s LEFT JOIN v USING (rid)),
+f AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_symbols / nullif(word_chars, 0) AS symbol_share, n_dup_lines / nullif(n_lines, 0) AS dup_line_share,
+  n_repeat_words / nullif(n_words, 0) AS repeat_share, word_chars / nullif(n_words, 0) AS word_length FROM x),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min((quality = 1)::INT) = 1),
+j AS (SELECT * FROM f JOIN good USING (doc_id) WHERE NOT base_failed),
+l AS ({" UNION ALL ".join(f"SELECT lang, '{name}' AS name, {name} AS value FROM j" for name in CUTOFFS)}),
+c AS (SELECT lang, t.name, cutoff, count(*) AS n, count_if(value > cutoff)::BIGINT AS k
+      FROM l JOIN (VALUES {tests}) t(name, cutoff) ON l.name = t.name GROUP BY ALL),
+b AS (SELECT lang, name, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln({1 - p!r}))) AS chance
+      FROM (SELECT *, unnest(range(k + 1)) AS i FROM c WHERE k <= n * {p!r}) GROUP BY ALL),
+cut AS MATERIALIZED (SELECT lang, name, min(cutoff) AS cutoff FROM b
+  WHERE chance <= {ERROR!r} / ({n_tests} * (SELECT count(*) FROM (SELECT DISTINCT lang FROM d))) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({above}) AS kept FROM f"""
+
+
+@query(_quality_sql())
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every text."""
     from sitegauge.llm import quality
@@ -143,7 +177,32 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query()
+def _licences_sql() -> str:
+    """The same votes with words compared as they are."""
+    from sitegauge.llm.licenses import DRIFT, LEAST_SHARE, PASSAGES, PHRASES
+
+    known = ", ".join(f"({i}, '{label}', {i < len(PHRASES)}, '{text}')".lower() for i, (text, label) in enumerate([*PHRASES, *PASSAGES]))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT id, label, phrase, string_split(text, ' ') AS w FROM (VALUES {known}) k(id, label, phrase, text)),
+tg AS (SELECT id, label, phrase, len(w) - 1 AS n, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, unnest(range(len(w) - 1)) AS q FROM t),
+dg AS (SELECT rid, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, unnest(range(len(w) - 1)) AS p FROM d WHERE len(w) > 1),
+h AS (SELECT rid, id, label, phrase, n, p, q, p - q AS g FROM dg JOIN tg USING (a, b)),
+c AS (SELECT rid, id, label, phrase, n, g, list(DISTINCT q) AS found, min(p) AS start FROM h GROUP BY ALL),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, id ORDER BY g) AS run FROM (
+  SELECT *, (g - coalesce(lag(g) OVER (PARTITION BY rid, id ORDER BY g), -1000000000) > {DRIFT})::INT AS fresh FROM c WHERE NOT phrase)),
+s AS (SELECT rid, label, true AS phrase, g AS start, 1.0::DOUBLE AS share FROM c WHERE phrase AND len(found) = n
+  UNION ALL SELECT rid, label, false, 0, share FROM (SELECT rid, label, len(list_distinct(flatten(list(found)))) / n AS share
+    FROM r GROUP BY rid, id, label, n, run) WHERE share >= {LEAST_SHARE}),
+o AS (SELECT rid, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(share) AS score FROM s GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN o USING (rid)"""
+
+
+@query(_licences_sql())
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and passages of every text."""
     from sitegauge.llm import licenses
