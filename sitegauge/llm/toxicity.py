@@ -81,24 +81,48 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(``y``, ``h``, ``w``, ``n``): texts of a class that hold a word (null ``h``) or a pair; ``h`` empty at the beginning."""
+    """(``h``, ``w``, ``n0``, ``n1``): texts per class that hold a word (null ``h``) or a pair; ``h`` empty at the beginning."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            seen: Counter = Counter()
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text.as_py())
-                seen.update((y, None, w) for w in set(words))
-                seen.update((y, h, w) for h, w in set(zip([b"", *words], words)))
-            if seen:
-                y, h, w = zip(*seen)
+                seen[y].update((None, w) for w in set(words))
+                seen[y].update(set(zip([b"", *words], words)))
+            keys = list(seen[0].keys() | seen[1].keys())
+            if keys:
+                h, w = zip(*keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(y, pa.int32()), pa.array(h, pa.binary()), pa.array(w, pa.binary()),
-                     pa.array(list(seen.values()), pa.int64())], names=["y", "h", "w", "n"])
+                    [pa.array(h, pa.binary()), pa.array(w, pa.binary()), *[pa.array([c[k] for k in keys], pa.int64()) for c in seen]],
+                    names=["h", "w", "n0", "n1"])
 
-    partial = rows.select("text", "y").mapInArrow(run, "y int, h binary, w binary, n bigint")
-    return partial.groupBy("y", "h", "w").agg(F.sum("n").alias("n"))
+    partial = rows.select("text", "y").mapInArrow(run, "h binary, w binary, n0 bigint, n1 bigint")
+    return partial.groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+@dataclass
+class Evidence:
+    """The counts, and what every fit needs of them: sizes of counts, and how many different words stand before a word."""
+
+    counted: DataFrame
+    before: DataFrame
+    all_pairs: int
+    sizes: dict[bool, dict[int, Counter]]
+
+
+def gather(rows: DataFrame) -> Evidence:
+    counted = stage(counts(rows), "expressions")
+    pairs = counted.where(F.col("h").isNotNull())
+    before = stage(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("before")), "before")
+    sizes: dict[bool, dict[int, Counter]] = {p: {0: Counter(), 1: Counter()} for p in (False, True)}
+    by_class = counted.select(F.col("h").isNotNull().alias("pair"), F.explode(F.array(*[
+        F.struct(F.lit(y).alias("y"), F.col(f"n{y}").alias("n")) for y in (0, 1)])).alias("c")).select("pair", "c.*")
+    # One row per different count.
+    for r in by_class.where("n > 0").groupBy("pair", "y", "n").agg(F.count(F.lit(1)).alias("k")).collect():
+        sizes[r.pair][r.y][r.n] = r.k
+    return Evidence(counted, before, pairs.count(), sizes)
 
 
 def balanced(sizes: dict[int, Counter], discount: float) -> tuple[list[int], float, list[float]]:
@@ -113,41 +137,31 @@ def balanced(sizes: dict[int, Counter], discount: float) -> tuple[list[int], flo
     return totals, share, [high, discount]
 
 
-def fit(counted: DataFrame, n_toxic: int, share: float, order: int) -> Model | None:
+def fit(seen: Evidence, n_toxic: int, share: float, order: int) -> Model | None:
     """The model for one discount; only what lies above a discount is gathered, at most mean text size / share of it."""
     discount = max(1.0, share * n_toxic)
-    sizes = {False: {0: Counter(), 1: Counter()}, True: {0: Counter(), 1: Counter()}}
-    for r in counted.groupBy("y", F.col("h").isNotNull().alias("pair"), "n").agg(F.count(F.lit(1)).alias("k")).collect():
-        sizes[r.pair][r.y][r.n] = r.k
-    if not all(sizes[p][y] for p in sizes for y in (0, 1)):
+    if not all(seen.sizes[p][y] for p in seen.sizes for y in (0, 1)):
         return None
-    n, backoff, less = balanced(sizes[False], discount)
-    above = F.when(F.col("y") == 1, less[1]).otherwise(less[0])
-    kept = counted.where(F.col("h").isNull()).where(F.col("n") > above).groupBy("w").agg(
-        *[F.coalesce(F.max(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)])
-    # The shared backoff: different words before a word, of all different pairs.
-    before = counted.where(F.col("h").isNotNull()).groupBy("w").agg(F.count_distinct("h").alias("before"))
-    all_pairs = counted.where(F.col("h").isNotNull()).select("h", "w").distinct().count()
+    n, backoff, less = balanced(seen.sizes[False], discount)
+    above = lambda: (F.col("n0") > less[0]) | (F.col("n1") > less[1])
+    words_seen, pairs = (seen.counted.where(F.col("h").isNull()), seen.counted.where(F.col("h").isNotNull()))
     p: list[dict[bytes, float]] = [{}, {}]
-    for r in kept.join(before, "w").collect():
-        shared = backoff * r.before / all_pairs
+    for r in words_seen.where(above()).select("w", "n0", "n1").join(seen.before, "w").collect():
+        shared = backoff * r.before / seen.all_pairs
         for y, c in ((0, r.n0), (1, r.n1)):
             p[y][bytes(r.w)] = max(c - less[y], 0.0) / n[y] + shared
     words = {w: math.log(p[1][w] / p[0][w]) for w in p[0]}
     if order == 1:
         return Model(words, {}, {})
-    _, _, less = balanced(sizes[True], discount)
-    above = F.when(F.col("y") == 1, less[1]).otherwise(less[0])
-    pairs = counted.where(F.col("h").isNotNull())
-    strong = pairs.where(F.col("n") > above)
+    _, _, less = balanced(seen.sizes[True], discount)
+    strong = pairs.where(above())
     heads = strong.select("h").distinct()
-    totals = pairs.join(heads, "h").groupBy("h").agg(*[
-        F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)])
+    totals = pairs.join(heads, "h").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     held: dict[bytes, list[int]] = {bytes(r.h): [r.n0, r.n1] for r in totals.collect()}
     over: dict[tuple[bytes, bytes], list[float]] = {}
-    for r in strong.join(before, "w").collect():
-        pair = bytes(r.h), bytes(r.w)
-        over.setdefault(pair, [0.0, 0.0, backoff * r.before / all_pairs])[r.y] = r.n - less[r.y]
+    for r in strong.join(seen.before, "w").collect():
+        over[bytes(r.h), bytes(r.w)] = [
+            max(r.n0 - less[0], 0.0), max(r.n1 - less[1], 0.0), backoff * r.before / seen.all_pairs]
     lower = {h: [0.0, 0.0] for h in held}
     for (h, _), x in over.items():
         lower[h][0] += x[0]
@@ -181,10 +195,10 @@ def train(rows: DataFrame) -> tuple[Model, list[float]]:
     """The best model and its probability per bin."""
     import pyarrow as pa
 
-    rows = stage(rows, "labelled")
-    counted = stage(counts(rows.where("fold = 0")), "expressions")
-    n = rows.where("fold = 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    models = [m for order in (1, 2) for s in SHARES if n[1] and (m := fit(counted, n[1], s, order))] or [Model({}, {}, {})]
+    counted, measured = rows.where("fold = 0"), rows.where("fold <> 0")
+    n_toxic = counted.agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]
+    seen = gather(counted) if n_toxic else None
+    models = [m for order in (1, 2) for s in SHARES if seen and (m := fit(seen, n_toxic, s, order))] or [Model({}, {}, {})]
 
     def bins(batches: Iterator) -> Iterator:
         seen: Counter = Counter()
@@ -198,8 +212,8 @@ def train(rows: DataFrame) -> tuple[Model, list[float]]:
                                               "y": pa.array(y, pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
 
     found: dict[int, list[list[float]]] = {i: [[0.0] * BINS, [0.0] * BINS] for i in range(len(models))}
-    measured = rows.where("fold <> 0").select("text", "y").mapInArrow(bins, "i int, b int, y int, n bigint")
-    for r in measured.groupBy("i", "b", "y").agg(F.sum("n").alias("n")).collect():
+    binned = measured.select("text", "y").mapInArrow(bins, "i int, b int, y int, n bigint")
+    for r in binned.groupBy("i", "b", "y").agg(F.sum("n").alias("n")).collect():
         found[r.i][0][r.b] += r.n * r.y
         found[r.i][1][r.b] += r.n
     fits = [(monotone(*found[i]), *found[i]) for i in range(len(models))]
