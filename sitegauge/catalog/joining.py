@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.catalog import query, r, table
 from sitegauge.operators import joins
+from sitegauge.session import stage
 
 
 @query("""
@@ -116,7 +117,7 @@ def rankings_on_shared_suppliers(spark, folder):
     items = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "k")
 
     def ranked(rows, out):
-        sums = rows.groupBy("k").agg(F.sum("l_quantity").alias("q"))
+        sums = stage(rows.groupBy("k").agg(F.sum("l_quantity").alias("q")), "sums")
         places = value_counts_ranked(sums, "q").select("q", (F.col("n_before") + 1).alias(out))
         return sums.join(places, "q").select("k", out)
 

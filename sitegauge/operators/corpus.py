@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitegauge.operators.joins import first_per_key
 from sitegauge.operators.profile import length_spread, value_shares
+from sitegauge.session import stage
 
 # Fixed value: part of every address that belongs to the forum.
 FORUM_HOST = "reddit.com"
@@ -22,10 +23,11 @@ def collect_results(results: DataFrame, host: str = FORUM_HOST) -> DataFrame:
 
 def corpus_stats(posts: DataFrame) -> dict[str, DataFrame]:
     """Posts per source and per query, and the spread of content lengths."""
-    known = posts.select(
+    # The texts are read once, for their lengths; the rest reads the narrow table.
+    known = stage(posts.select(
         F.coalesce("source", F.lit("unknown")).alias("source"),
         F.coalesce("query", F.lit("unknown")).alias("query"),
-        F.length(F.coalesce("content", F.lit(""))).alias("length"))
+        F.length(F.coalesce("content", F.lit(""))).alias("length")), "lengths")
     return {
         "by_source": value_shares(known, "source").orderBy("source"),
         "by_query": value_shares(known, "query").orderBy(F.desc("n"), "query"),

@@ -83,7 +83,8 @@ def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Columns: score, pos, neg, pos_before, neg_before, pos_total, neg_total.
     """
-    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    # Ranges and counts both read it; written once, whatever joins stand behind it.
+    known = stage(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(score, label), "scored")
     ranges = value_ranges(known, [score])
     counts = known.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
@@ -128,6 +129,7 @@ def mann_whitney(df: DataFrame, score: str, label: str, greater: int = 0, form:
 
 def class_centres(df: DataFrame, score: str, label: str) -> DataFrame:
     """Mean and exact median of the score per label."""
+    df = stage(df.select(label, score), "outcomes")
     means = df.groupBy(label).agg(F.count(score).alias("n"), F.avg(score).alias("mean"))
     medians = quantiles(df, [score], [0.5], [label]).select(label, F.col("q0").alias("median"))
     return means.join(medians, label, "left")
