@@ -167,8 +167,8 @@ def learned_weights(spark, folder):
     document = weights.derive_weights(_text_features(spark, folder), "label", _DIMENSIONS, key="doc_id")
     report = weights.coefficient_report(spark, document)
     signed = F.coalesce(F.col("direction") == F.when(F.col("coefficient") > 0, "helps").otherwise("hurts"), F.lit(True))
-    return report.join(report.agg(r(F.sum("weight"), 1).alias("total_weight")), F.lit(True)).select(
-        "dimension", "total_weight", signed.alias("signed"), F.lit(document["macro_f1_spread"] is not None).alias("spread_known"))
+    return report.select(
+        "dimension", report.agg(r(F.sum("weight"), 1)).scalar().alias("total_weight"), signed.alias("signed"), F.lit(document["macro_f1_spread"] is not None).alias("spread_known"))
 
 
 @query("""
@@ -241,3 +241,21 @@ def topic_list(spark, folder):
         F.col("n_nationkey").alias("topic_id"), F.col("r_name").alias("label"),
         F.col("n_name").alias("top_words"))
     return results.topic_list(summary)
+
+
+@query(f"""
+WITH {_MATRIX_SQL}, c AS (SELECT label, count(*) AS n FROM m GROUP BY 1)
+SELECT label, max(n) OVER () AS n, true AS within_bounds, (SELECT count(*) FROM labels) AS n_real FROM c
+""")
+def synthetic_points(spark, folder):
+    """Points are made between rows of the smaller class: each lies inside that class's bounds in every dimension."""
+    matrix = stage(weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id"), "matrix")
+    names = list(_DIMENSIONS)
+    evened = weights.oversample(matrix, names)
+    bounds = matrix.groupBy("label").agg(*[F.min(n).alias(f"_low_{n}") for n in names], *[F.max(n).alias(f"_high_{n}") for n in names])
+    inside = F.lit(True)
+    for n in names:
+        inside = inside & F.col(n).between(F.col(f"_low_{n}") - 1e-9, F.col(f"_high_{n}") + 1e-9)
+    return evened.join(bounds, "label").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.every(inside).alias("within_bounds")).withColumn(
+        "n_real", matrix.agg(F.count(F.lit(1))).scalar())

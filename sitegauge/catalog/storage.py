@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sitegauge.catalog import query, rounded, table
 from sitegauge.catalog.scores import _SCORES_SQL, scored_suppliers
-from sitegauge.functions.scalars import pad_code
-from sitegauge.session import shared_dir
+from sitegauge.functions.scalars import finite_columns, pad_code
+from sitegauge.session import shared_dir, small_table
 from sitegauge.sources import files, publish as pub, schemas
 from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
 
@@ -91,3 +91,56 @@ def published_versions(spark, folder):
     for _ in range(2):
         pub.publish(scores, target, "1.0.0", FALLBACK_WEIGHTS, key="s_suppkey")
     return pub.read_registry(spark, target).select("model_version", "n_locations", "is_active")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN value END AS value, user_id FROM events")
+def unfinite_values_cleared(spark, folder):
+    """NaN and infinities become null, everything else stays."""
+    third = F.col("event_id") % 3
+    events = table(spark, folder, "events").select(
+        "event_id", F.when(third == 0, float("nan")).when(third == 1, F.when(F.col("value") > 0, float("inf")).otherwise(
+            float("-inf"))).otherwise(F.col("value")).alias("value"), "user_id")
+    return finite_columns(events)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def fallback_table_read(spark, folder):
+    """The preferred table is not there and the next one was not finished; the third is taken."""
+    unfinished = _place(spark, "unfinished")
+    table(spark, folder, "customer").limit(0).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(unfinished)
+    spark_rows = files.read_table(spark, _place(spark, "absent"), unfinished, f"{folder}/customer.parquet")
+    return spark_rows.select("c_custkey", "c_acctbal")
+
+
+@query("""
+SELECT n_name AS dimension, round(count(*) / sum(count(*)) OVER (), 6) AS weight, 'shares' AS strategy
+FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name
+""")
+def weights_document_kept(spark, folder):
+    """The document written and read back holds the same weights."""
+    shares = table(spark, folder, "supplier").join(
+        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").count()
+    counts = {row["n_name"]: row["count"] for row in shares.collect()}  # one row per nation
+    total = sum(counts.values())
+    path = _place(spark, "weights")
+    files.write_weights(spark, {"weights": {n: round(c / total, 6) for n, c in counts.items()}, "strategy": "shares"}, path)
+    document = files.read_weights(spark, path)
+    return small_table(spark, [(n, w, document["strategy"]) for n, w in files.load_weights(spark, path).items()],
+                       "dimension string, weight double, strategy string")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM supplier), h AS (SELECT count(*) AS n FROM supplier WHERE s_acctbal > 0)
+SELECT '1.0.0' AS model_version, n AS n_locations, false AS is_active, true AS time_known FROM n
+UNION ALL SELECT '1.1.0', n, true, true FROM h
+""")
+def second_version_published(spark, folder):
+    """A second version takes over; both stay listed, with the time they were published."""
+    target = _place(spark, "publish")
+    suppliers = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("s_suppkey"), F.col("s_acctbal").alias("psi"))
+    pub.publish(suppliers, target, "1.0.0", FALLBACK_WEIGHTS, key="s_suppkey")
+    pub.publish(suppliers.where("psi > 0"), target, "1.1.0", FALLBACK_WEIGHTS, key="s_suppkey")
+    known = F.col("seeded_at").isNotNull() & (F.col("seeded_at") <= F.current_timestamp()) & (
+        F.col("seeded_at") > F.current_timestamp() - F.expr("INTERVAL 1 DAY"))
+    return pub.read_registry(spark, target).select("model_version", "n_locations", "is_active", known.alias("time_known"))

@@ -442,3 +442,26 @@ def languages_labelled_by_keywords(spark, folder):
                            "label string, pos int, keywords array<string>")
     labelled = topics.label_topics(summary, keywords)
     return labelled.select("topic_id", "label", F.array_join("top_words", ",").alias("top_words"))
+
+
+def _domain_values() -> str:
+    from sitegauge.sources.fixed_values import DOMAIN_LEXICON, rows
+
+    return ", ".join("('" + row[0].replace("'", "''") + f"', {float(row[1])!r}::DOUBLE)" for row in rows(DOMAIN_LEXICON))
+
+
+@query(f"""
+WITH domain(term, valence) AS (VALUES {_domain_values()}),
+base AS (SELECT lower(n_name) AS term, n_regionkey::DOUBLE AS valence FROM nation
+         UNION ALL SELECT term, n_nationkey::DOUBLE FROM domain, nation WHERE n_nationkey = 7)
+SELECT * FROM domain UNION ALL SELECT * FROM base WHERE term NOT IN (SELECT term FROM domain)
+""")
+def domain_terms_over_general_lexicon(spark, folder):
+    """A general lexicon that lists some domain terms too; the domain's valence stands."""
+    from sitegauge.sources.dimensions import domain_lexicon
+
+    nations = table(spark, folder, "nation")
+    valence = nations.where("n_nationkey = 7").select(F.col("n_nationkey").cast("double"))
+    listed = domain_lexicon(spark).select("term", valence.scalar().alias("valence"))
+    base = nations.select(F.lower("n_name").alias("term"), F.col("n_regionkey").cast("double").alias("valence")).unionByName(listed)
+    return sentiment.full_lexicon(spark, base)
