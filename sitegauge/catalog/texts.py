@@ -445,9 +445,9 @@ def languages_labelled_by_keywords(spark, folder):
 
 
 def _domain_values() -> str:
-    from sitegauge.sources.fixed_values import DOMAIN_LEXICON, rows
+    from sitegauge.sources.fixed_values import DOMAIN_LEXICON
 
-    return ", ".join("('" + row[0].replace("'", "''") + f"', {float(row[1])!r}::DOUBLE)" for row in rows(DOMAIN_LEXICON))
+    return ", ".join("('" + term.replace("'", "''") + f"', {valence!r}::DOUBLE)" for term, valence in DOMAIN_LEXICON)
 
 
 @query(f"""

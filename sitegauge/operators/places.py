@@ -10,7 +10,7 @@ from sitegauge.operators.joins import distinct_in_order, override, with_cached
 from sitegauge.operators.phrases import outermost, phrase_hits
 from sitegauge.session import stage
 from sitegauge.sources import dimensions as dims
-from sitegauge.sources.fixed_values import COUNTRY_NAMES, words
+from sitegauge.sources.fixed_values import COUNTRY_NAMES
 
 MIN_CLEAN_CHARS = 50
 
@@ -102,7 +102,7 @@ def gazetteer(spark, crosswalk: DataFrame | None = None) -> DataFrame:
 def place_mentions(posts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """key, pos, place: each listed place once per text, in order of first mention."""
     hits = outermost(phrase_hits(posts, key, text, names.select("place"), "place"), key)
-    hits = hits.filter((F.length("place") >= 2) & ~F.col("place").isin(words(COUNTRY_NAMES)))
+    hits = hits.filter((F.length("place") >= 2) & ~F.col("place").isin(COUNTRY_NAMES))
     return distinct_in_order(hits, key, "place", "pos")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitegauge.functions.scalars import first_max_index
 from sitegauge.functions.text import topic_tokens, uni_and_bigrams, without_words
 from sitegauge.sources import dimensions as dims
-from sitegauge.sources.fixed_values import DOMAIN_STOP_WORDS, RESISTANCE_LABELS, words
+from sitegauge.sources.fixed_values import DOMAIN_STOP_WORDS, RESISTANCE_LABELS
 
 # Limits of the vocabulary and settings of the model.
 MIN_DOCS = 5
@@ -28,7 +28,7 @@ BATCH_SHARE = 0.25
 
 def default_stop_words() -> list[str]:
     """Spark's English list plus the words that every post in this domain uses."""
-    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *words(DOMAIN_STOP_WORDS)})
+    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *DOMAIN_STOP_WORDS})
 
 
 def with_terms(
@@ -147,7 +147,7 @@ def label_topics(topics: DataFrame, keywords: DataFrame | None = None, least: in
 
 def resistance_topics(summary: DataFrame) -> list[int]:
     """Ids of the topics whose label speaks of resistance."""
-    found = summary.filter(F.col("label").isin(words(RESISTANCE_LABELS))).select("topic_id")
+    found = summary.filter(F.col("label").isin(RESISTANCE_LABELS)).select("topic_id")
     return sorted(r[0] for r in found.collect())  # one row per topic
 
 

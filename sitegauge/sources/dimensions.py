@@ -22,7 +22,7 @@ def _strings(values):
 
 
 def states(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.STATES)
+    data = fixed.STATES
     return local_table(spark, {
         "state": _strings(r[0] for r in data),
         "state_fips": _strings(r[1] for r in data),
@@ -30,7 +30,7 @@ def states(spark: SparkSession) -> DataFrame:
 
 
 def target_counties(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.COUNTY_POPULATIONS)
+    data = fixed.COUNTY_POPULATIONS
     return local_table(spark, {
         "county_fips": _strings(r[0] for r in data),
         "pos": (pa.int32(), list(range(len(data)))),
@@ -45,19 +45,19 @@ def target_states(spark: SparkSession) -> DataFrame:
 
 
 def populations(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.COUNTY_POPULATIONS)
+    data = fixed.COUNTY_POPULATIONS
     return local_table(spark, {
         "county_fips": _strings(r[0] for r in data),
-        "population": (pa.int64(), [int(r[1]) for r in data]),
+        "population": (pa.int64(), [r[1] for r in data]),
     })
 
 
 def centroids(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.CENTROIDS)
+    data = fixed.CENTROIDS
     return local_table(spark, {
         "county_fips": _strings(r[0] for r in data),
-        "lat": (pa.float64(), [float(r[1]) for r in data]),
-        "lon": (pa.float64(), [float(r[2]) for r in data]),
+        "lat": (pa.float64(), [r[1] for r in data]),
+        "lon": (pa.float64(), [r[2] for r in data]),
     })
 
 
@@ -65,8 +65,8 @@ def place_aliases(spark: SparkSession) -> DataFrame:
     """One row per alias and candidate county; pos is the candidate's place in the list."""
     data = [
         (place, pos, code)
-        for place, codes in fixed.rows(fixed.PLACE_ALIASES)
-        for pos, code in enumerate(codes.split())
+        for place, codes in fixed.PLACE_ALIASES
+        for pos, code in enumerate(codes)
     ]
     return local_table(spark, {
         "place": _strings(r[0] for r in data),
@@ -76,7 +76,7 @@ def place_aliases(spark: SparkSession) -> DataFrame:
 
 
 def county_names(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.COUNTY_NAMES)
+    data = fixed.COUNTY_NAMES
     return local_table(spark, {
         "county_name": _strings(r[0] for r in data),
         "state": _strings(r[1] for r in data),
@@ -86,7 +86,7 @@ def county_names(spark: SparkSession) -> DataFrame:
 
 
 def forum_states(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.FORUM_STATES)
+    data = fixed.FORUM_STATES
     return local_table(spark, {
         "subreddit": _strings(r[0] for r in data),
         "state_hint": _strings(r[1] for r in data),
@@ -94,54 +94,54 @@ def forum_states(spark: SparkSession) -> DataFrame:
 
 
 def domain_lexicon(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.DOMAIN_LEXICON)
+    data = fixed.DOMAIN_LEXICON
     return local_table(spark, {
         "term": _strings(r[0] for r in data),
-        "valence": (pa.float64(), [float(r[1]) for r in data]),
+        "valence": (pa.float64(), [r[1] for r in data]),
     })
 
 
 def stop_words(spark: SparkSession) -> DataFrame:
-    return local_table(spark, {"word": _strings(fixed.words(fixed.DOMAIN_STOP_WORDS))})
+    return local_table(spark, {"word": _strings(fixed.DOMAIN_STOP_WORDS)})
 
 
 def state_climate(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.STATE_CLIMATE)
+    data = fixed.STATE_CLIMATE
     return local_table(spark, {
         "state_fips": _strings(r[0] for r in data),
-        "avg_temp_f": (pa.float64(), [float(r[1]) for r in data]),
-        "cooling_degree_days": (pa.float64(), [float(r[2]) for r in data]),
+        "avg_temp_f": (pa.float64(), [r[1] for r in data]),
+        "cooling_degree_days": (pa.float64(), [r[2] for r in data]),
     })
 
 
 def topic_keywords(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.TOPIC_KEYWORDS)
+    data = fixed.TOPIC_KEYWORDS
     return local_table(spark, {
         "label": _strings(r[0] for r in data),
         "pos": (pa.int32(), list(range(len(data)))),
-        "keywords": (pa.list_(pa.string()), [r[1].split(", ") for r in data]),
+        "keywords": (pa.list_(pa.string()), [list(r[1]) for r in data]),
     })
 
 
 def blocked_sites(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.BLOCKED_SITES)
+    data = fixed.BLOCKED_SITES
     return local_table(spark, {
         "name": _strings(r[0] for r in data),
         "county_fips": _strings(r[1] for r in data),
         "state": _strings(r[2] for r in data),
-        "year_proposed": (pa.int32(), [int(r[3]) for r in data]),
+        "year_proposed": (pa.int32(), [r[3] for r in data]),
         "outcome": _strings(r[4] for r in data),
         "reason": _strings(r[5] for r in data),
     })
 
 
 def built_sites(spark: SparkSession) -> DataFrame:
-    data = fixed.rows(fixed.BUILT_SITES)
+    data = fixed.BUILT_SITES
     return local_table(spark, {
         "name": _strings(r[0] for r in data),
         "county_fips": _strings(r[1] for r in data),
         "state": _strings(r[2] for r in data),
-        "year_built": (pa.int32(), [int(r[3]) for r in data]),
+        "year_built": (pa.int32(), [r[3] for r in data]),
         "outcome": _strings(r[4] for r in data),
     })
 
