@@ -12,7 +12,7 @@ from sitegauge.operators.joins import with_records
 from sitegauge.operators.profile import sorted_distinct
 from sitegauge.session import small_table
 from sitegauge.sources import dimensions as dims
-from sitegauge.sources.fixed_values import SORTABLE_SCORES, STATES, rows
+from sitegauge.sources.fixed_values import SORTABLE_SCORES, STATES
 
 
 class Page(NamedTuple):
@@ -32,7 +32,7 @@ def in_state(scores: DataFrame, state: str | None, key: str = "county_fips") ->
     state = state.upper()
     if "state" in scores.columns:
         return scores.filter(F.col("state") == state)
-    prefix = dict(rows(STATES)).get(state)
+    prefix = dict(STATES).get(state)
     if prefix and "state_fips" in scores.columns:
         return scores.filter(F.col(key).startswith(prefix))
     return scores
