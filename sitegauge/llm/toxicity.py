@@ -25,7 +25,7 @@ from sitegauge.session import stage
 #: About so many labelled rows are used at most, picked by a hash; they are few enough to be sent to every task.
 FIT_ROWS = 200_000
 #: Discounts as shares of the toxic class's texts.
-SHARES = (0.05, 0.1, 0.2)
+SHARES = (0.02, 0.05, 0.1, 0.2)
 THRESHOLD = 0.7
 BINS, WIDTH = 1600, 0.00125
 
