@@ -23,7 +23,10 @@ from sitegauge.session import stage
 
 END = b""  # words are never empty
 STATE, CLASS_WORDS, CLASSES = 16, 32, 32
-WINDOW, LANES = 20, 256
+#: Steps of truncated backpropagation, steps read at once in scoring (which changes no score), documents side by side.
+WINDOW, SCORE_WINDOW, LANES = 20, 80, 512
+#: Parameters stay within this range; as states lie in (-1, 1), no exponential can overflow.
+RANGE = 4.0
 #: Words whose counts travel with every task; the counts of others are joined.
 COMMON_WORDS = 1 << 18
 START_TEXTS, START_ROUNDS = 400, 4
@@ -92,18 +95,20 @@ class Network:
         n = len(hidden)
         cls, place = self.parts(targets)
         logits = hidden @ self.cw + self.cb
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        log_p = logits[np.arange(n), cls] - np.log(total)
+        log_p = logits[np.arange(n), cls]
+        e = np.exp(logits, out=logits)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        log_p -= np.log(total)
         back = None
         if grads is not None:
-            p = e / total[:, None]
+            p = e
+            p /= total[:, None]
             p[np.arange(n), cls] -= 1
             grads["cw"] += hidden.T @ p
             grads["cb"] += p.sum(axis=0)
             back = p @ self.cw.T
-        order = np.argsort(cls, kind="stable")
+        ones = np.ones(CLASS_WORDS, hidden.dtype)
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(2, CLASSES + 3))
         for c in range(CLASSES):
             rows = order[bounds[c] : bounds[c + 1]]
@@ -111,13 +116,13 @@ class Network:
                 continue
             h = hidden[rows]
             inner = h @ self.ww[c] + self.wb[c]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1)
             at = np.arange(len(rows)), place[rows]
-            log_p[rows] += inner[at] - np.log(total)
+            picked = inner[at]
+            p = np.exp(inner, out=inner)
+            total = p @ ones
+            log_p[rows] += picked - np.log(total)
             if grads is not None:
-                p = e / total[:, None]
+                p /= total[:, None]
                 p[at] -= 1
                 grads["ww"][c] += h.T @ p
                 grads["wb"][c] += p.sum(axis=0)
@@ -158,7 +163,7 @@ class Network:
         return flat / max(1, int(valid.sum())), float(-log_p.mean()) if len(log_p) else 0.0, last
 
 
-def lanes(texts: list):
+def lanes(texts: list, window: int = WINDOW):
     """Windows over documents laid into lanes: (inputs, targets, keep, valid, document of each place) arrays.
 
     The longest documents go first, each to the lane with the fewest tokens so far; lanes are then ordered by length, so
@@ -185,9 +190,9 @@ def lanes(texts: list):
     first = np.zeros(len(tokens), bool)
     first[np.cumsum(sizes) - sizes] = True
     offsets = np.cumsum(lengths) - lengths
-    for at in range(0, int(lengths[0]), WINDOW):
+    for at in range(0, int(lengths[0]), window):
         wide = int((lengths > at).sum())
-        step = np.arange(at, min(at + WINDOW, int(lengths[0])))[:, None]
+        step = np.arange(at, min(at + window, int(lengths[0])))[:, None]
         valid = step < lengths[None, :wide]
         place = offsets[None, :wide] + np.minimum(step, lengths[None, :wide] - 1)
         begins = first[place]
@@ -209,6 +214,7 @@ def learn(network: Network, texts: list, rate: float, memory=None):
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         network.flat -= rate * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.99**n)) + 1e-6)
+        np.clip(network.flat, -RANGE, RANGE, out=network.flat)
     return first, second, n
 
 
@@ -218,7 +224,7 @@ def log10_scores(network: Network, texts: list):
 
     out = np.zeros(len(texts))
     h = None
-    for inputs, targets, keep, valid, document in lanes(texts):
+    for inputs, targets, keep, valid, document in lanes(texts, SCORE_WINDOW):
         h = np.zeros((inputs.shape[1], STATE), np.float32) if h is None else h[: inputs.shape[1]]
         _, steps, h = network.states(inputs, keep, h)
         hidden = np.stack([s[5] for s in steps])
@@ -290,14 +296,16 @@ def token_ids(words: list[bytes], index: dict[bytes, int], own: int):
     return at, tokens
 
 
-def train(rows: DataFrame, vocab: Vocabulary, rate: float = 0.01) -> Network:
-    """The averaged network over all texts of ``rows`` (columns ``key``, ``text``)."""
+def train(rows: DataFrame, vocab: Vocabulary, n_texts: int, rate: float = 0.01) -> Network:
+    """The averaged network over all ``n_texts`` texts of ``rows`` (columns ``key``, ``text``)."""
     import numpy as np
     import pyarrow as pa
 
-    # A start that all partitions share: the texts of the smallest hashes.
+    # A start that all partitions share, from about as many texts at any size, picked by a hash of the key.
     start = Network()
-    sample = [r.text for r in rows.orderBy(F.xxhash64("key", F.length("text")), "key").limit(START_TEXTS).select("text").collect()]
+    share = min(1.0, START_TEXTS / max(1, n_texts))
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("start"), "key"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+    sample = [r.text for r in picked.orderBy("key", "text").select("text").collect()]
     index = {w: i for i, w in enumerate(vocab.words[: vocab.own])}
     texts = [token_ids(words_of(t), index, vocab.own)[1] for t in sample]
     memory = None
@@ -363,12 +371,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     training = rows.where(~F.col("held_out")).select(F.col("id").alias("key"), "text")
     counts = stage(word_counts(training.select("text")), "word-counts")
     vocab = vocabulary(counts)
-    network = train(training, vocab)
+    ends = counts.where(F.col("word") == F.lit(END)).first()
+    n_ends = ends.n if ends else 0
+    network = train(training, vocab, n_ends)
     flat = network.flat
     n_all, v_all = vocab.total, vocab.distinct
     base_floor = 0.5 * (v_all + 1)
-    ends = counts.where(F.col("word") == F.lit(END)).first()
-    n_ends = ends.n if ends else 0
     # The class of rarer words: what is neither the end nor the network's own.
     n_rare = n_all - n_ends - sum(vocab.counts[: vocab.own])
     rare_floor = 0.5 * (v_all - vocab.own - bool(n_ends) + 1)
