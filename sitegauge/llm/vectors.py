@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every row is then routed to its leaf.  A
 priority queue holds the seen but unvisited nodes by the inner product with their centre, the best is taken, its
 children are pushed, and leaves come out in the order in which they promise most.  How many leaves are visited is
 calibrated: some rows are compared with every row, and visits are widened until the wanted share of their true
-neighbours lies in the visited leaves.  Visited leaves are joined to queries in blocks of bounded size.
+neighbours lies in the visited leaves.  The walk goes on past that while the visited leaves hold fewer candidates than
+are asked for.  Visited leaves are joined to queries in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -122,12 +123,16 @@ def matrix(column):
 
 def calibrated_visits(routed: DataFrame, tree: Tree, n_rows: int, k: int, recall: float = RECALL,
                       sample: int = CALIBRATION_ROWS) -> int:
-    """How many leaves a query must visit, by comparing ``sample`` rows with every row, in blocks."""
+    """How many leaves a query must visit, by comparing ``sample`` different vectors with every row, in blocks."""
     import numpy as np
     import pyarrow as pa
 
-    # Rows of the smallest hashes: as many whatever the size.
-    asked = [(r.id, list(r.v)) for r in routed.orderBy(F.xxhash64(F.lit("calibrate"), "id"), "id").select("id", "v").limit(sample).collect()]
+    # Different vectors of the smallest hashes: as many whatever the size, and copies of one vector count once.
+    h = F.xxhash64(F.lit("calibrate"), "v")
+    different = routed.agg(F.approx_count_distinct(h)).first()[0]
+    share = min(1.0, 16 * sample / max(1, different))
+    few = routed.where(F.pmod(h, F.lit(1_000_000_000)) < int(share * 1_000_000_000)).groupBy("v").agg(F.min("id").alias("id"))
+    asked = [(r.id, list(r.v)) for r in few.orderBy(h, "v").select("id", "v").limit(sample).collect()]
     queries = np.array([v for _, v in asked])
     ids = np.array([i for i, _ in asked])
 
@@ -184,20 +189,33 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     routed = stage(rows.mapInArrow(route, "id bigint, v array<double>, leaf bigint"), "leaves")
     visits = calibrated_visits(routed, tree, n, k, recall)
 
+    # A leaf with many rows, such as copies of one vector, is dealt over blocks.
+    blocks = stage(routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("held")).withColumn(
+        "blocks", F.ceil(F.col("held") / BLOCK_ROWS).cast("int")), "leaf-blocks")
+    # One figure per leaf of the tree, which fit_rows bounds.
+    held = np.zeros(max(1, tree.n_leaves), np.int64)
+    for r in blocks.select("leaf", "held").collect():
+        held[r.leaf] = r.held
+
     def walk(batches: Iterator) -> Iterator:
         for batch in batches:
             leaves = []
-            for q in matrix(batch.column(1)):
-                order = tree.best_first(q)
-                leaves.append([leaf for _, leaf in zip(range(visits), order)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["id", "v", "leaves"])
-
-    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+            for q, own in zip(matrix(batch.column(1)), batch.column(2).to_pylist()):
+                mine = {o["leaf"]: o["n"] for o in own}
+                opened, others = [], 0
+                for leaf in tree.best_first(q):
+                    if len(opened) >= visits and others >= k:
+                        break
+                    opened.append(leaf)
+                    others += int(held[leaf]) - mine.get(leaf, 0)
+                leaves.append(opened)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(leaves, pa.list_(pa.int64()))], names=["id", "v", "leaves"])
+
+    # Rows of a query's own id, by leaf: they are no candidates.
+    queries = routed.where(F.col("id") % every == 0).groupBy("id", "leaf").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"), F.collect_list(F.struct("leaf", "n")).alias("own"))
     n_queries = stage(queries, "queries")
     slices = max(1, -(-n_queries.count() // BLOCK_QUERIES))
-    # A leaf with many rows, such as copies of one vector, is dealt over blocks.
-    blocks = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = stage(blocks, "leaf-blocks")
     base = routed.join(blocks, "leaf").select(
         "id", "v", "leaf", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
@@ -208,7 +226,7 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            return pd.DataFrame({"id": [], "found": []})
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "found": pd.Series([], dtype=object)})
         b = b.sort_values("id", kind="stable")
         own, x, y = b["id"].to_numpy(), np.stack(b["v"].to_numpy()), np.stack(q["v"].to_numpy())
         found = []

@@ -65,3 +65,42 @@ def test_walk_visits_every_leaf_once(n):
     order = list(tree.best_first(x[0]))
     assert sorted(order) == list(range(tree.n_leaves))
     assert set(tree.route(x)) <= set(order)
+
+
+def test_small_leaves_give_as_many_rows_as_asked_for(spark, monkeypatch):
+    """Tight clusters, many smaller than 20 rows, and copies of one vector, which settle for one leaf."""
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 16)
+    draw = np.random.default_rng(4)
+    rows = [[9.0, 0.0, 0.0]] * 400
+    for size in (1, 1, 1, 2, 3, 5, 8, 60, 60, 60, 100, 100):
+        centre = draw.normal(size=3)
+        rows += (20 * centre / np.linalg.norm(centre) + draw.normal(scale=0.01, size=(size, 3))).tolist()
+    ids = draw.permutation(len(rows)).tolist()
+    rows = [(i if j < 400 else 20 * i, v) for j, (i, v) in enumerate(zip(ids, rows))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for share in (0.05, vectors.RECALL):
+        got, want = found(vectors.nearest(table, recall=share)), exact(rows)
+        assert got.keys() == want.keys() and all(len(got[q]) == len(want[q]) == 20 for q in want)
+
+
+def test_a_query_with_fewer_candidates_gets_all(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 4)
+    rows = [(0, [5.0, float(i % 7)]) for i in range(60)] + [(i, [-float(i), 1.0]) for i in range(1, 13)]
+    got = found(vectors.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), recall=0.05))
+    assert {i for i, _ in got[0]} == set(range(1, 13)) and len(got[0]) == 12
+
+
+def test_copies_count_once_in_the_calibration(spark):
+    draw = np.random.default_rng(5)
+    single = draw.normal(size=(100, 3)).tolist()
+    tree = vectors.fit_tree(np.array(single), 20)
+    leaves = lambda x: tree.route(np.array(x)).tolist()
+    visits = []
+    for rows in (single, single + [[9.0, 0.0, 0.0]] * 3000):
+        table = [(i, v, leaf) for i, (v, leaf) in enumerate(zip(rows, leaves(rows)))]
+        routed = spark.createDataFrame(table, "id bigint, v array<double>, leaf bigint")
+        # Of the copies, only those that a different vector finds may change the figure.
+        visits.append(vectors.calibrated_visits(routed.where("id < 100") if rows is single else routed, tree, len(rows), 20))
+    asked_once = vectors.calibrated_visits(spark.createDataFrame(
+        [(i, v, leaf) for i, (v, leaf) in enumerate(zip(single, leaves(single)))], "id bigint, v array<double>, leaf bigint"), tree, 100, 20)
+    assert visits[0] == asked_once and visits[1] > 1
