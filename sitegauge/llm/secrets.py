@@ -30,6 +30,17 @@ class Rule:
     counted: int = 0
 
 
+# A PEM key runs to its end line, over whatever holds no five dashes, such as quotes, escaped line ends and headers.
+# Where that line is missing, it runs over the base64 lines that follow.  Repeats of groups are bounded, as Java's matcher
+# calls itself for each, and those inside one another multiply to less than 1000, the most that SQL's matcher takes.
+BASE64, BETWEEN = "[A-Za-z0-9+/=]", r"""[\x09-\x0D\x20"'>#*|,+]*(?:\\[nrt][\x09-\x0D\x20"'>#*|,+]*){0,3}"""
+MORE_LINES = rf"(?:{BETWEEN}{BASE64}{{16,}}){{0,60}}"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,240}-{5,}END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{BETWEEN}(?:Proc-Type|DEK-Info):[^\x0A\x0D\\]*){{0,2}}"
+    rf"{BETWEEN}{BASE64}{{40,}}{MORE_LINES * 4}(?:(?:\\[nr]|[\x0A\x0D\x20]){{1,4}}{BASE64}{{1,15}})?)?")
+
 # The three given rules, then token formats that their issuers publish.
 BASE_RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
@@ -41,7 +52,7 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
