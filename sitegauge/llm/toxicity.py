@@ -4,7 +4,10 @@ For each class (toxic, ordinary) the labelled texts in which a word, or a word a
 class gives a word its count less an absolute discount, and the discounted share goes to what both classes share: the
 number of different words that the word was seen after, in either class.  The discounts are set so that both classes
 hand the same share to that common backoff, however many texts each has.  A rare expression, one that both counts leave
-to the backoff, is then equally likely under both and tells nothing.
+to the backoff, is then equally likely under both and tells nothing, unless its counts alone say that it is commoner in
+toxic texts: then it keeps them less the usual discount (below 1, from counts of counts).  How many texts that takes does
+not rise with their number, so insults that are each rare count too.  What this adds to a class's sum is one constant for
+all words, which the fit below takes up.
 
 A text's score is the mean over its words of the difference of the two log-likelihoods, turned into a probability by a
 monotone fit on labelled texts that were not counted.  Of a few discounts and of word and word-pair models the one that
@@ -26,6 +29,8 @@ from sitegauge.session import stage
 FIT_ROWS = 200_000
 #: Discounts as shares of the toxic class's texts.
 SHARES = (0.02, 0.05, 0.1, 0.2)
+#: Log-likelihood ratio from which counts alone tell: a chance of about one in a million per expression.
+EVIDENCE = 12.0
 THRESHOLD = 0.7
 BINS, WIDTH = 1600, 0.00125
 
@@ -137,31 +142,58 @@ def balanced(sizes: dict[int, Counter], discount: float) -> tuple[list[int], flo
     return totals, share, [high, discount]
 
 
+def usual_discount(sizes: Counter) -> float:
+    """The absolute discount from counts of counts; below 1 whatever the number of texts."""
+    return sizes[1] / (sizes[1] + 2 * sizes[2]) if sizes[1] and sizes[2] else 0.5
+
+
+def telling(totals: list[int]) -> Column:
+    """Whether an expression is commoner in toxic texts beyond chance, by its own counts."""
+    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
+    part = lambda n, total: F.when(n > 0, n * F.log(n * float(sum(totals)) / ((n0 + n1) * float(total)))).otherwise(0.0)
+    return (n1 * float(totals[0]) > n0 * float(totals[1])) & (part(n0, totals[0]) + part(n1, totals[1]) >= EVIDENCE)
+
+
+def kept(c: list[int], tells: bool, less: list[float], usual: list[float], totals: list[int], shared: float) -> list[float]:
+    """Both counts less the discounts; an expression that tells gets the usual ones where they say more."""
+    large = [max(c[y] - less[y], 0.0) for y in (0, 1)]
+    if not tells:
+        return large
+    return max(large, [max(c[y] - usual[y], 0.0) for y in (0, 1)],
+               key=lambda x: (x[1] / totals[1] + shared) / (x[0] / totals[0] + shared))
+
+
 def fit(seen: Evidence, n_toxic: int, share: float, order: int) -> Model | None:
-    """The model for one discount; only what lies above a discount is gathered, at most mean text size / share of it."""
+    """The model for one discount.
+
+    Gathered are the expressions above a discount, at most mean text size / share of them, and those that tell.  Each of
+    these is in at least EVIDENCE / ln(all / toxic) of the counted toxic texts, which ``labelled`` bounds at any size.
+    """
     discount = max(1.0, share * n_toxic)
     if not all(seen.sizes[p][y] for p in seen.sizes for y in (0, 1)):
         return None
     n, backoff, less = balanced(seen.sizes[False], discount)
-    above = lambda: (F.col("n0") > less[0]) | (F.col("n1") > less[1])
+    usual = [usual_discount(seen.sizes[False][y]) for y in (0, 1)]
+    taken = lambda totals: (F.col("n0") > less[0]) | (F.col("n1") > less[1]) | telling(totals)
     words_seen, pairs = (seen.counted.where(F.col("h").isNull()), seen.counted.where(F.col("h").isNotNull()))
     p: list[dict[bytes, float]] = [{}, {}]
-    for r in words_seen.where(above()).select("w", "n0", "n1").join(seen.before, "w").collect():
+    for r in words_seen.where(taken(n)).select("w", "n0", "n1", telling(n).alias("tells")).join(seen.before, "w").collect():
         shared = backoff * r.before / seen.all_pairs
-        for y, c in ((0, r.n0), (1, r.n1)):
-            p[y][bytes(r.w)] = max(c - less[y], 0.0) / n[y] + shared
+        for y, x in enumerate(kept([r.n0, r.n1], r.tells, less, usual, n, shared)):
+            p[y][bytes(r.w)] = x / n[y] + shared
     words = {w: math.log(p[1][w] / p[0][w]) for w in p[0]}
     if order == 1:
         return Model(words, {}, {})
-    _, _, less = balanced(seen.sizes[True], discount)
-    strong = pairs.where(above())
+    n, _, less = balanced(seen.sizes[True], discount)
+    usual = [usual_discount(seen.sizes[True][y]) for y in (0, 1)]
+    strong = pairs.where(taken(n)).withColumn("tells", telling(n))
     heads = strong.select("h").distinct()
     totals = pairs.join(heads, "h").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     held: dict[bytes, list[int]] = {bytes(r.h): [r.n0, r.n1] for r in totals.collect()}
     over: dict[tuple[bytes, bytes], list[float]] = {}
     for r in strong.join(seen.before, "w").collect():
-        over[bytes(r.h), bytes(r.w)] = [
-            max(r.n0 - less[0], 0.0), max(r.n1 - less[1], 0.0), backoff * r.before / seen.all_pairs]
+        shared = backoff * r.before / seen.all_pairs
+        over[bytes(r.h), bytes(r.w)] = [*kept([r.n0, r.n1], r.tells, less, usual, n, shared), shared]
     lower = {h: [0.0, 0.0] for h in held}
     for (h, _), x in over.items():
         lower[h][0] += x[0]

@@ -74,3 +74,32 @@ def test_common_backoff_says_nothing():
 def test_monotone_fit():
     p = toxicity.monotone([0, 3, 1, 0, 9], [10, 10, 10, 0, 9])
     assert p == sorted(p) and p[1] == p[2] == pytest.approx(4.5 / 21)
+
+
+def test_insults_that_are_each_rare_count(spark):
+    """300 different insults, each in about 1 % of the toxic texts and in no other."""
+    draw = random.Random(11)
+    common = [f"w{i}" for i in range(200)]
+    texts, truth = [], {}
+    for i in range(12_000):
+        words = [draw.choice(common) for _ in range(30)]
+        truth[i] = i % 4 == 0
+        if truth[i]:
+            for place in draw.sample(range(30), 4):
+                words[place] = f"bad{draw.randrange(300)}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(y)) for i, y in truth.items()], "doc_id bigint, toxic int")
+    held = [r for r in toxicity.score(docs, labels).collect() if r.held_out]
+    caught = [r.predicted for r in held if truth[r.doc_id]]
+    wrong = [r.predicted for r in held if not truth[r.doc_id]]
+    assert sum(caught) >= 0.95 * len(caught) and sum(wrong) <= 0.005 * len(wrong)
+
+
+def test_the_evidence_asked_for_does_not_rise_with_the_corpus(spark):
+    from collections import Counter
+
+    rows = spark.createDataFrame([(0, 20), (20, 20), (2000, 160), (0, 3), (100, 0)], "n0 bigint, n1 bigint")
+    for size in (10**5, 10**9):
+        assert [r[0] for r in rows.select(toxicity.telling([13 * size, size])).collect()] == [True, True, False, False, False]
+    assert toxicity.usual_discount(Counter({1: 10**9, 2: 10**8})) < 1 and toxicity.usual_discount(Counter({3: 4})) == 0.5
