@@ -232,3 +232,71 @@ def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     from sitegauge.llm import language_model
 
     return language_model.score(table(spark, folder, "documents"))
+
+
+@query(r"""
+WITH RECURSIVE crc(b, c, i) AS (SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM crc WHERE i < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM crc WHERE i = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+x AS MATERIALIZED (SELECT side, rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '') AS w
+  FROM (SELECT 's' AS side, rid, text FROM d UNION ALL SELECT 't', -row_number() OVER (), text FROM benchmark)),
+u AS (SELECT side, rid, unnest(w) AS a, unnest(w[2:] || [NULL]) AS b, unnest(w[3:] || [NULL, NULL]) AS c FROM x WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT side, rid, unnest([a, a || ' ' || b, a || ' ' || b || ' ' || c]) AS gram FROM u),
+g AS (SELECT DISTINCT gram FROM f WHERE gram IS NOT NULL),
+h AS MATERIALIZED (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(gram)), '..'),
+    lambda z: ('0x' || z)::BIGINT)), lambda acc, z: xor(acc >> 8, t[(xor(acc, z) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM g, tab),
+k AS MATERIALIZED (SELECT side, rid, bucket, count(*) AS n FROM f JOIN h USING (gram) GROUP BY ALL),
+c AS (SELECT range AS bucket, coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t
+  FROM range(10000) LEFT JOIN k ON range = bucket GROUP BY range),
+e AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM c),
+w AS (SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM k JOIN e USING (bucket) WHERE side = 's' GROUP BY rid),
+p AS (SELECT d.rid, doc_id, coalesce(len(x.w), 0) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d JOIN x ON d.rid = x.rid LEFT JOIN w ON d.rid = w.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS most FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM r
+""")
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark."""
+    from sitegauge.llm import importance
+
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '') AS w FROM documents),
+i AS MATERIALIZED (SELECT row_number() OVER () AS qid, item_id, list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda y: y <> '')) AS w FROM benchmark),
+q AS (SELECT qid, item_id, unnest(w) AS term FROM i),
+a AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+t AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+p AS (SELECT t.*, count(*) OVER (PARTITION BY term) AS df FROM t WHERE term IN (SELECT term FROM q)),
+v AS (SELECT rid, doc_id, term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))) AS impact FROM p, a),
+s AS (SELECT qid, item_id, rid, doc_id, sum(impact)::BIGINT AS score FROM q JOIN v USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+""")
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    from sitegauge.llm import lexical
+
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    from sitegauge.llm import packing
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return packing.pack(table(spark, folder, "documents"), tokenizer)
