@@ -25,25 +25,33 @@ NEARLY_FULL = 1 / 128
 #: Words whose ids a task keeps.
 KNOWN_WORDS = 500_000
 
-# How the byte-level tokenizer parts a text into words, and its form for texts in ASCII alone.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Letters, digits and marks that every version of the character tables has, of the commonest scripts.
-PLAIN = "\t\n\r\x20-\x7e¡-ȟΑ-ΡΣ-ώА-я‐-‧一-龥ぁ-ゔァ-ヺ가-힣"
+#: Letters and digits that every version of the character tables has, of the commonest scripts, and all that PLAIN adds.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ȟΑ-ΡΣ-ώА-я一-龥ぁ-ゔァ-ヺ가-힣"
+DIGITS = "0-9²³¹¼-¾"
+SPACES = "\t\n\r "
+PLAIN = SPACES + "\x21-\x7e¡-ȟ‐-‧" + LETTERS
+# How the byte-level tokenizer parts a text into words, for texts of PLAIN characters.
+WORDS = (rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+"
+         rf"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself where it can be printed, else the next one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printed)}
 
 
 def encoder(tokenizer: str):
     """A function from text to its ids, as little-endian unsigned 32-bit integers, by the ``tokenizers`` library.
 
-    ``tokenizer`` is the content of its file.  A text is parted as the library does it and each different word is encoded
-    by the library once.  Texts that hold a special token, or letters that the installed tables may class otherwise, and
-    all texts of tokenizers that part them in another way, are encoded by the library as a whole.
+    ``tokenizer`` is the content of its file.  A text is parted as the library does it and each different word is given to
+    the library's model once.  Texts that hold a special token, or characters that the installed tables may class otherwise,
+    and all texts of tokenizers that part them in another way, are encoded by the library as a whole.
     """
     import json
     import re
     from array import array
 
-    import regex
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(tokenizer)
@@ -53,17 +61,14 @@ def encoder(tokenizer: str):
     parts = told.get("pre_tokenizer") or {}
     by_words = (parts.get("type") == "ByteLevel" and not parts.get("add_prefix_space") and parts.get("use_regex", True)
                 and told.get("normalizer") is None)
-    words, ascii_words = regex.compile(WORDS), re.compile(ASCII_WORDS, re.ASCII)
+    words_of, letters, model = re.compile(WORDS).findall, byte_letters(), library.model
     special = [t["content"] for t in told.get("added_tokens") or ()]
-    whole = re.compile("|".join([f"[^{PLAIN}]", *map(re.escape, special)]))
-
-    def encode(text: str) -> bytes:
-        ids = array("I", library.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes()
+    whole = re.compile("|".join([f"[^{PLAIN}]", *map(re.escape, special)])).search
 
     class Known(dict):
         def __missing__(self, word: str) -> bytes:
-            ids = encode(word)
+            found = model.tokenize(word.encode().decode("latin-1").translate(letters))
+            ids = array("I", [token.id for token in found]).tobytes()
             if len(self) < KNOWN_WORDS:
                 self[word] = ids
             return ids
@@ -71,9 +76,9 @@ def encoder(tokenizer: str):
     known = Known()
 
     def ids_of(text: str) -> bytes:
-        if not by_words or whole.search(text):
-            return encode(text)
-        return b"".join(map(known.__getitem__, (ascii_words if text.isascii() else words).findall(text)))
+        if not by_words or whole(text):
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(known.__getitem__, words_of(text)))
 
     return ids_of
 
