@@ -13,12 +13,13 @@ CONTRACT = {
     6: "doc_id fingerprint component_id", 7: "doc_id n_words n_base first_word last_word base_labels labels score",
     8: "doc_id held_out n_tokens n_known train_tokens base_score score",
     9: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-    10: "doc_id size source_size target taken",
+    10: "doc_id size source_size target taken", 11: "doc_id n_features weight score rank", 12: "item_id rank doc_id score",
+    13: "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
