@@ -33,6 +33,8 @@ SHARES = (0.02, 0.05, 0.1, 0.2)
 EVIDENCE = 12.0
 THRESHOLD = 0.7
 BINS, WIDTH = 1600, 0.00125
+#: Expressions that a task counts at a time.
+HELD = 200_000
 
 # Bytes that part words: ASCII other than letters and digits.
 PARTING = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -86,22 +88,37 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(``h``, ``w``, ``n0``, ``n1``): texts per class that hold a word (null ``h``) or a pair; ``h`` empty at the beginning."""
+    """(``h``, ``w``, ``n0``, ``n1``): texts per class that hold a word (null ``h``) or a pair; ``h`` empty at the beginning.
+
+    A task holds ``HELD`` expressions at a time, whatever the size of its texts.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
+        # Words hold no spaces, so a pair is one key; both classes' counts are one number.
+        seen: dict[bytes, int] = {}
+        get, high = seen.get, 1 << 32
+
+        def flush() -> pa.RecordBatch:
+            keys, both = list(seen), list(seen.values())
+            parts = [k.split(b" ") for k in keys]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([
+                pa.array([p[0] if len(p) == 2 else None for p in parts], pa.binary()), pa.array([p[-1] for p in parts], pa.binary()),
+                pa.array([n % high for n in both], pa.int64()), pa.array([n // high for n in both], pa.int64())],
+                names=["h", "w", "n0", "n1"])
+
         for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text.as_py())
-                seen[y].update((None, w) for w in set(words))
-                seen[y].update(set(zip([b"", *words], words)))
-            keys = list(seen[0].keys() | seen[1].keys())
-            if keys:
-                h, w = zip(*keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.binary()), pa.array(w, pa.binary()), *[pa.array([c[k] for k in keys], pa.int64()) for c in seen]],
-                    names=["h", "w", "n0", "n1"])
+                more = high if y else 1
+                for found in (words, map(b" ".join, zip([b"", *words], words))):
+                    for key in set(found):
+                        seen[key] = get(key, 0) + more
+                    if len(seen) >= HELD:
+                        yield flush()
+        if seen:
+            yield flush()
 
     partial = rows.select("text", "y").mapInArrow(run, "h binary, w binary, n0 bigint, n1 bigint")
     return partial.groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -109,25 +126,53 @@ def counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Evidence:
-    """The counts, and what every fit needs of them: sizes of counts, and how many different words stand before a word."""
+    """What every fit needs: sizes of counts, and the counts of the expressions that the smallest discount leaves or that tell.
+
+    ``words`` and ``pairs`` have an expression's counts, whether it tells, and how many different words stand before the
+    (second) word; ``heads`` has the counts of all pairs that begin with a word.
+    """
 
-    counted: DataFrame
-    before: DataFrame
-    all_pairs: int
     sizes: dict[bool, dict[int, Counter]]
+    all_pairs: int
+    words: dict[bytes, tuple[int, int, bool, int]]
+    pairs: dict[tuple[bytes, bytes], tuple[int, int, bool, int]]
+    heads: dict[bytes, tuple[int, int]]
 
 
-def gather(rows: DataFrame) -> Evidence:
+def gather(rows: DataFrame, discount: float) -> Evidence | None:
+    """Counts of ``rows`` for discounts of ``discount`` and above, which leave fewer expressions; None without both classes.
+
+    Gathered are the expressions above the discount, at most mean text size * texts / discount of them, and those that tell.
+    Each of these is in at least EVIDENCE / ln(all / toxic) of the counted toxic texts, which ``labelled`` bounds at any size.
+    """
     counted = stage(counts(rows), "expressions")
-    pairs = counted.where(F.col("h").isNotNull())
-    before = stage(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("before")), "before")
     sizes: dict[bool, dict[int, Counter]] = {p: {0: Counter(), 1: Counter()} for p in (False, True)}
     by_class = counted.select(F.col("h").isNotNull().alias("pair"), F.explode(F.array(*[
         F.struct(F.lit(y).alias("y"), F.col(f"n{y}").alias("n")) for y in (0, 1)])).alias("c")).select("pair", "c.*")
     # One row per different count.
     for r in by_class.where("n > 0").groupBy("pair", "y", "n").agg(F.count(F.lit(1)).alias("k")).collect():
         sizes[r.pair][r.y][r.n] = r.k
-    return Evidence(counted, before, pairs.count(), sizes)
+    if not all(sizes[p][y] for p in sizes for y in (0, 1)):
+        return None
+
+    def left(pair: bool) -> DataFrame:
+        totals, _, less = balanced(sizes[pair], discount)
+        known = counted.where(F.col("h").isNotNull() if pair else F.col("h").isNull())
+        return known.withColumn("tells", telling(totals)).where((F.col("n0") > less[0]) | (F.col("n1") > less[1]) | F.col("tells"))
+
+    strong = stage(left(False).unionByName(left(True)), "strong")
+    pairs = counted.where(F.col("h").isNotNull())
+    before = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("before"))
+    heads = pairs.groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).join(
+        strong.select("h").distinct(), "h", "left_semi")
+    seen = Evidence(sizes, pairs.count(), {}, {}, {bytes(r.h): (r.n0, r.n1) for r in heads.collect()})
+    for r in strong.join(before, "w").collect():
+        counts_of = r.n0, r.n1, r.tells, r.before
+        if r.h is None:
+            seen.words[bytes(r.w)] = counts_of
+        else:
+            seen.pairs[bytes(r.h), bytes(r.w)] = counts_of
+    return seen
 
 
 def balanced(sizes: dict[int, Counter], discount: float) -> tuple[list[int], float, list[float]]:
@@ -163,46 +208,39 @@ def kept(c: list[int], tells: bool, less: list[float], usual: list[float], total
                key=lambda x: (x[1] / totals[1] + shared) / (x[0] / totals[0] + shared))
 
 
-def fit(seen: Evidence, n_toxic: int, share: float, order: int) -> Model | None:
-    """The model for one discount.
+def fit(seen: Evidence, discount: float, order: int) -> Model:
+    """The model for one discount, at least the one of ``gather``."""
+    def taken(found: dict, less: list[float]):
+        return ((key, n0, n1, tells, before) for key, (n0, n1, tells, before) in found.items()
+                if tells or n0 > less[0] or n1 > less[1])
 
-    Gathered are the expressions above a discount, at most mean text size / share of them, and those that tell.  Each of
-    these is in at least EVIDENCE / ln(all / toxic) of the counted toxic texts, which ``labelled`` bounds at any size.
-    """
-    discount = max(1.0, share * n_toxic)
-    if not all(seen.sizes[p][y] for p in seen.sizes for y in (0, 1)):
-        return None
     n, backoff, less = balanced(seen.sizes[False], discount)
     usual = [usual_discount(seen.sizes[False][y]) for y in (0, 1)]
-    taken = lambda totals: (F.col("n0") > less[0]) | (F.col("n1") > less[1]) | telling(totals)
-    words_seen, pairs = (seen.counted.where(F.col("h").isNull()), seen.counted.where(F.col("h").isNotNull()))
     p: list[dict[bytes, float]] = [{}, {}]
-    for r in words_seen.where(taken(n)).select("w", "n0", "n1", telling(n).alias("tells")).join(seen.before, "w").collect():
-        shared = backoff * r.before / seen.all_pairs
-        for y, x in enumerate(kept([r.n0, r.n1], r.tells, less, usual, n, shared)):
-            p[y][bytes(r.w)] = x / n[y] + shared
+    for w, n0, n1, tells, before in taken(seen.words, less):
+        shared = backoff * before / seen.all_pairs
+        for y, x in enumerate(kept([n0, n1], tells, less, usual, n, shared)):
+            p[y][w] = x / n[y] + shared
     words = {w: math.log(p[1][w] / p[0][w]) for w in p[0]}
     if order == 1:
         return Model(words, {}, {})
     n, _, less = balanced(seen.sizes[True], discount)
     usual = [usual_discount(seen.sizes[True][y]) for y in (0, 1)]
-    strong = pairs.where(taken(n)).withColumn("tells", telling(n))
-    heads = strong.select("h").distinct()
-    totals = pairs.join(heads, "h").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    held: dict[bytes, list[int]] = {bytes(r.h): [r.n0, r.n1] for r in totals.collect()}
     over: dict[tuple[bytes, bytes], list[float]] = {}
-    for r in strong.join(seen.before, "w").collect():
-        shared = backoff * r.before / seen.all_pairs
-        over[bytes(r.h), bytes(r.w)] = [*kept([r.n0, r.n1], r.tells, less, usual, n, shared), shared]
-    lower = {h: [0.0, 0.0] for h in held}
+    for key, n0, n1, tells, before in taken(seen.pairs, less):
+        shared = backoff * before / seen.all_pairs
+        over[key] = [*kept([n0, n1], tells, less, usual, n, shared), shared]
+    lower: dict[bytes, list[float]] = {}
     for (h, _), x in over.items():
-        lower[h][0] += x[0]
-        lower[h][1] += x[1]
-    rest = {h: [1 - lower[h][y] / held[h][y] if held[h][y] else 1.0 for y in (0, 1)] for h in held}
-    contexts = {h: math.log(max(rest[h][1], 1e-9) / max(rest[h][0], 1e-9)) for h in held}
+        sums = lower.setdefault(h, [0.0, 0.0])
+        sums[0] += x[0]
+        sums[1] += x[1]
+    rest = {h: [1 - x[y] / seen.heads[h][y] if seen.heads[h][y] else 1.0 for y in (0, 1)] for h, x in lower.items()}
+    contexts = {h: math.log(max(r[1], 1e-9) / max(r[0], 1e-9)) for h, r in rest.items()}
     table = {}
     for (h, w), x in over.items():
-        q = [(x[y] / held[h][y] if held[h][y] else 0.0) + rest[h][y] * p[y].get(w, x[2]) for y in (0, 1)]
+        held = seen.heads[h]
+        q = [(x[y] / held[y] if held[y] else 0.0) + rest[h][y] * p[y].get(w, x[2]) for y in (0, 1)]
         table[h, w] = math.log(max(q[1], 1e-12) / max(q[0], 1e-12))
     return Model(words, table, contexts)
 
@@ -228,9 +266,10 @@ def train(rows: DataFrame) -> tuple[Model, list[float]]:
     import pyarrow as pa
 
     counted, measured = rows.where("fold = 0"), rows.where("fold <> 0")
-    n_toxic = counted.agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]
-    seen = gather(counted) if n_toxic else None
-    models = [m for order in (1, 2) for s in SHARES if seen and (m := fit(seen, n_toxic, s, order))] or [Model({}, {}, {})]
+    n_toxic = counted.where("y = 1").count()
+    discounts = [max(1.0, share * n_toxic) for share in SHARES]
+    seen = gather(counted, min(discounts)) if n_toxic else None
+    models = [fit(seen, d, order) for order in (1, 2) for d in discounts] if seen else [Model({}, {}, {})]
 
     def bins(batches: Iterator) -> Iterator:
         seen: Counter = Counter()
@@ -254,40 +293,55 @@ def train(rows: DataFrame) -> tuple[Model, list[float]]:
     return models[best], fits[best][0]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """(id, ``held_out``, ``score``, ``predicted``) of every row, after the columns of ``keep``.
+def judged(docs: DataFrame, text_col: str, model: Model, chance: list[float], threshold: float) -> DataFrame:
+    """The rows of ``docs`` with the score and the verdict as two last columns, whose names no column of ``docs`` has.
 
-    Only labelled rows whose crc32 of the id, mod 3, is not 1 are learnt from.  A null or empty text has no words and
-    gets the score of a difference of 0.  Rows with null ids are scored, never learnt from; null labels are left out;
-    without labels of both kinds every row scores 0.5 at most.  Repeated rows stay; an empty table gives an empty result.
+    The text travels once and comes back as it is.
     """
     import pyarrow as pa
 
-    model, chance = train(labelled(docs, labels, id_col, text_col, label_col, fit_rows))
-    keep = keep or []
+    at = docs.columns.index(text_col)
+    more = [new_name(docs, "score"), new_name(docs, "predicted")]
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             scores = []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(at):
                 mean = model.score(words_of(text.as_py()))
                 # The last term orders texts of one bin without leaving the range.
                 scores.append(0.999 * chance[bin_of(mean)] + 0.0005 * (1 + math.tanh(mean)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                names=[*batch.schema.names[:-1], "_score", "_predicted"])
-
-    rows = docs.select(*keep, F.col(id_col).alias("_id"), held_out(id_col).alias("_held_out"),
-                       F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    scored = rows.mapInArrow(run, schema + ", _score double, _predicted int")
-    if keep:
-        return scored
-    return scored.select(F.col("_id").alias(id_col), F.col("_held_out").alias("held_out"), F.col("_score").alias("score"),
-                         F.col("_predicted").alias("predicted"))
-
-
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns."""
-    return score(docs, labels, id_col, text_col, keep=docs.columns).where("_predicted = 0").select(*docs.columns)
+                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
+                names=[*batch.schema.names, *more])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, {more[0]} double, {more[1]} int")
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """``name`` with so many underscores before it that no column has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+          threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(id, ``held_out``, ``score``, ``predicted``) of every row.
+
+    Only labelled rows whose crc32 of the id, mod 3, is not 1 are learnt from.  A null or empty text has no words and
+    gets the score of a difference of 0.  Rows with null ids are scored, never learnt from; null labels are left out;
+    without labels of both kinds every row scores 0.5 at most.  Repeated rows stay; an empty table gives an empty result.
+    """
+    model, chance = train(labelled(docs, labels, id_col, text_col, label_col, fit_rows))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return judged(rows, "text", model, chance, threshold).select(F.col("id").alias(id_col), "held_out", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                  threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns, whatever their names; see ``score``."""
+    model, chance = train(labelled(docs, labels, id_col, text_col, label_col, fit_rows))
+    rows = judged(docs, text_col, model, chance, threshold)
+    return rows.where(F.col(rows.columns[-1]) == 0).select(*docs.columns)
