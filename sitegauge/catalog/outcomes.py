@@ -6,6 +6,7 @@ from sitegauge.catalog import query, r, rounded, table
 from sitegauge.functions.scalars import viable
 from sitegauge.operators import validation, weights
 from sitegauge.operators.composite import score_locations
+from sitegauge.operators.neighbours import nearest
 from sitegauge.plans import results
 from sitegauge.session import small_table, stage
 
@@ -114,15 +115,65 @@ def _text_features(spark, folder):
 
 
 _MATRIX_SQL = """
-t AS (SELECT quality AS label, n_chars / 1000 AS a, len(string_split(text, ' ')) / 100 AS b,
+t AS (SELECT doc_id, quality AS label, n_chars / 1000 AS a, len(string_split(text, ' ')) / 100 AS b,
              CASE WHEN n_chars % 2 = 0 THEN n_chars / len(string_split(text, ' ')) END AS c,
              length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS d,
              len(string_split(text, chr(10))) - 1 AS e FROM labels JOIN documents USING (doc_id)),
-m AS (SELECT label, (a + b) / 2 AS size, coalesce(c, (SELECT quantile_cont(c, 0.5) FROM t)) AS shape,
+m AS (SELECT doc_id, label, (a + b) / 2 AS size, coalesce(c, (SELECT quantile_cont(c, 0.5) FROM t)) AS shape,
              (d + e) / 2 AS marks, 50.0::DOUBLE AS "none" FROM t)
 """
 
 
+def _solved(n, inner):
+    """SQL giving the solution d0.. of the symmetric system h{i}_{j} (i >= j), g{i} of each row of ``inner``."""
+    for t in range(n):
+        left = range(t + 1, n)
+        if left:
+            inner = f"SELECT *, {', '.join(f'h{i}_{t} / h{t}_{t} AS f{i}_{t}' for i in left)} FROM ({inner})"
+            new = [f"h{i}_{j} - f{i}_{t} * h{j}_{t} AS h{i}_{j}" for i in left for j in range(t + 1, i + 1)]
+            new += [f"g{i} - f{i}_{t} * g{t} AS g{i}" for i in left]
+            inner = f"SELECT * REPLACE ({', '.join(new)}) FROM ({inner})"
+    for i in reversed(range(n)):
+        known = "".join(f" - h{j}_{i} * d{j}" for j in range(i + 1, n))
+        inner = f"SELECT *, (g{i}{known}) / h{i}_{i} AS d{i} FROM ({inner})"
+    return inner
+
+
+def _newton_sql(columns, steps=15):
+    """CTEs ending in ``fit`` (g, b0..): Newton steps for the fits without fold 0 to 4 and, as the fifth, the one of all rows."""
+    x = ["1", *[f'"{c}"' for c in columns]]
+    n, b = len(x), ", ".join(f"b{j}" for j in range(len(x)))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    p = f"1 / (1 + exp(-({' + '.join(f'b{j} * {c}' for j, c in enumerate(x))})))"
+    sums = [f"sum(w * (p - label) * {c}) + {f'b{j}' if j else 0} AS g{j}" for j, c in enumerate(x)]
+    sums += [f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {int(i == j > 0)} AS h{i}_{j}" for i, j in pairs]
+    system = f"""SELECT i, g, {b}, {', '.join(sums)} FROM (SELECT *, {p} AS p FROM (
+      SELECT it.*, dealt.*, CASE WHEN label = 1 THEN w1 ELSE w0 END AS w FROM it JOIN dealt ON fold <> g JOIN cw USING (g)
+      WHERE i < {steps})) GROUP BY i, g, {b}"""
+    return f"""
+dealt AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5 AS fold FROM m),
+cw AS MATERIALIZED (SELECT g, count(*) / (2 * count_if(label = 0)) AS w0, count(*) / (2 * count_if(label = 1)) AS w1
+  FROM dealt JOIN range(6) r(g) ON fold <> g GROUP BY g),
+it AS (SELECT 0 AS i, g, {', '.join(f'0::DOUBLE AS b{j}' for j in range(n))} FROM cw
+  UNION ALL SELECT i + 1, g, {', '.join(f'b{j} - d{j}' for j in range(n))} FROM ({_solved(n, system)})),
+fit AS (SELECT g, {b} FROM it WHERE i = {steps}),
+told AS (SELECT fold, label, ({' + '.join(f'b{j} * {c}' for j, c in enumerate(x))} > 0)::INT AS predicted FROM dealt JOIN fit ON fold = g),
+cell AS (SELECT fold, count_if(label = 0 AND predicted = 0) AS c00, count_if(label = 0 AND predicted = 1) AS c01,
+  count_if(label = 1 AND predicted = 0) AS c10, count_if(label = 1 AND predicted = 1) AS c11 FROM told GROUP BY fold),
+f1 AS (SELECT fold, (coalesce(2 * c00 / nullif(2 * c00 + c01 + c10, 0), 0) + coalesce(2 * c11 / nullif(2 * c11 + c01 + c10, 0), 0)) / 2
+  AS f1 FROM cell)
+"""
+
+
+_FIT_SQL = f"{_MATRIX_SQL}, {_newton_sql(_DIMENSIONS)}"
+_LONG_FIT_SQL = f"""{_FIT_SQL},
+shares AS (SELECT name, b, abs(b) / sum(abs(b)) OVER () AS share FROM (
+  {' UNION ALL '.join(f"SELECT '{c}' AS name, b{j} AS b FROM fit WHERE g = 5" for j, c in enumerate(_DIMENSIONS, 1))})),
+weighed AS (SELECT name, b, round(CASE WHEN abs(sum(w) OVER () - 1) > 0.01 THEN w / sum(w) OVER () ELSE w END, 3) AS weight
+  FROM (SELECT *, round(share, 3) AS w FROM shares))
+"""
+
+
 @query(f"""WITH {_MATRIX_SQL} SELECT label, round(size, 6) AS size, round(shape, 6) AS shape,
 round(marks, 6) AS marks, "none" FROM m""")
 def training_matrix(spark, folder):
@@ -158,17 +209,46 @@ def balanced_by_synthesis(spark, folder):
     return weights.oversample(matrix, list(_DIMENSIONS)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-SELECT dimension, 1.0::DOUBLE AS total_weight, true AS signed, true AS spread_known
-FROM (VALUES ('size'), ('shape'), ('marks'), ('none')) t(dimension)
+@query(f"""
+WITH RECURSIVE {_LONG_FIT_SQL}
+SELECT name AS dimension, weight, round(b, 4) + 0 AS coefficient, CASE WHEN round(b, 4) > 0 THEN 'helps' ELSE 'hurts' END AS direction,
+  (SELECT round(avg(f1), 3) FROM f1) AS macro_f1, (SELECT round(stddev_pop(f1), 3) FROM f1) AS macro_f1_spread,
+  'balanced class weights' AS strategy FROM weighed
 """)
 def learned_weights(spark, folder):
-    """Weights from a fitted model: shares of one, each with the sign of its coefficient, and the spread over the folds."""
-    document = weights.derive_weights(_text_features(spark, folder), "label", _DIMENSIONS, key="doc_id")
-    report = weights.coefficient_report(spark, document)
-    signed = F.coalesce(F.col("direction") == F.when(F.col("coefficient") > 0, "helps").otherwise("hurts"), F.lit(True))
-    return report.select(
-        "dimension", report.agg(r(F.sum("weight"), 1)).scalar().alias("total_weight"), signed.alias("signed"), F.lit(document["macro_f1_spread"] is not None).alias("spread_known"))
+    """Weights and coefficients of the balanced fit, and how well it predicts folds it has not seen."""
+    document = weights.derive_weights(_text_features(spark, folder), "label", _DIMENSIONS, key="doc_id", synthesis=False)
+    return weights.coefficient_report(spark, document).select(
+        "dimension", "weight", (F.col("coefficient") + 0.0).alias("coefficient"), "direction", F.lit(document["macro_f1"]).alias("macro_f1"),
+        F.lit(document["macro_f1_spread"]).alias("macro_f1_spread"), F.lit(document["strategy"]).alias("strategy"))
+
+
+@query(f"""
+WITH RECURSIVE {_FIT_SQL}
+SELECT fold::INT AS fold, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) AS mean_f1, round(stddev_pop(f1) OVER (), 6) AS spread FROM f1
+""")
+def macro_f1_per_fold(spark, folder):
+    """Macro F1 of each fold under the fit of the other folds."""
+    matrix = weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id")
+    folded = stage(weights.with_folds(matrix, weights.FOLDS), "folds")
+    fits = weights.fold_fits(folded, list(_DIMENSIONS), weights.FOLDS, synthetic=False)
+    scores = stage(weights.fold_scores(folded, list(_DIMENSIONS), fits), "f1").select("fold", "f1")
+    both = scores.agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("spread"))
+    return rounded(scores.select("fold", "f1", both.select("mean_f1").scalar().alias("mean_f1"),
+                                 both.select("spread").scalar().alias("spread")))
+
+
+@query(f"""
+WITH RECURSIVE {_FIT_SQL}
+SELECT g::INT AS without_fold, {", ".join(f'round(b{j}, 5) + 0 AS "{c}"' for j, c in enumerate(["intercept", *_DIMENSIONS]))} FROM fit
+""")
+def coefficients_side_by_side(spark, folder):
+    """The fits without each fold, and, as number 5, the one of all rows."""
+    matrix = weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id")
+    folded = stage(weights.with_folds(matrix, weights.FOLDS), "folds")
+    fits = weights.fold_fits(folded, list(_DIMENSIONS), weights.FOLDS, synthetic=False)[weights.PLAIN]
+    rows = [(m, *[round(v, 5) + 0.0 for v in (f.intercept, *f.coefficients)]) for m, f in enumerate(fits)]
+    return small_table(spark, rows, "without_fold int, intercept double, " + ", ".join(f"`{c}` double" for c in _DIMENSIONS))
 
 
 @query("""
@@ -245,17 +325,59 @@ def topic_list(spark, folder):
 
 @query(f"""
 WITH {_MATRIX_SQL}, c AS (SELECT label, count(*) AS n FROM m GROUP BY 1)
-SELECT label, max(n) OVER () AS n, true AS within_bounds, (SELECT count(*) FROM labels) AS n_real FROM c
+SELECT label, max(n) OVER () AS n, max(n) OVER () - n AS n_made, n AS n_real, true AS on_the_way, true AS same_class FROM c
 """)
 def synthetic_points(spark, folder):
-    """Points are made between rows of the smaller class: each lies inside that class's bounds in every dimension."""
+    """Every made point lies on the way between the two rows of its class that it names."""
+    names = list(_DIMENSIONS)
     matrix = stage(weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id"), "matrix")
+    made = weights.synthetic_rows(weights.in_models(matrix, F.array(F.lit(0))), names, 1)
+
+    def end(name):
+        return matrix.select(F.col("_id").alias(name), F.col("label").alias(f"{name}_label"),
+                             *[F.col(c).alias(f"{name}_{c}") for c in names])
+
+    both = made.join(end("_from"), "_from").join(end("_to"), "_to")
+    # How far along: the same share of the way in every dimension.
+    way = F.lit(0.0)
+    for c in names:
+        way = way + (F.col(f"_to_{c}") - F.col(f"_from_{c}")) * (F.col(f"_to_{c}") - F.col(f"_from_{c}"))
+    done = F.lit(0.0)
+    for c in names:
+        done = done + (F.col(c) - F.col(f"_from_{c}")) * (F.col(f"_to_{c}") - F.col(f"_from_{c}"))
+    both = both.withColumn("share", F.when(way > 0, done / F.greatest(way, F.lit(1e-300))).otherwise(0.0))
+    straight = F.col("share").between(-1e-9, 1 + 1e-9)
+    for c in names:
+        at = F.col(f"_from_{c}") + F.col("share") * (F.col(f"_to_{c}") - F.col(f"_from_{c}"))
+        straight = straight & (F.abs(F.col(c) - at) <= 1e-6)
+    same = (F.col("_from_label") == F.col("label")) & (F.col("_to_label") == F.col("label")) & (F.col("_from") != F.col("_to"))
+    checked = both.groupBy("label").agg(F.count(F.lit(1)).alias("n_made"), F.every(straight).alias("on_the_way"),
+                                        F.every(same).alias("same_class"))
+    real = matrix.groupBy("label").agg(F.count(F.lit(1)).alias("n_real"))
+    joined = real.join(checked, "label", "left").withColumn("n_made", F.coalesce("n_made", F.lit(0)))
+    return joined.select("label", (F.col("n_real") + F.col("n_made")).alias("n"), "n_made", "n_real",
+                         F.coalesce("on_the_way", F.lit(True)).alias("on_the_way"), F.coalesce("same_class", F.lit(True)).alias("same_class"))
+
+
+@query(f"""
+WITH {_MATRIX_SQL}, s AS (SELECT label AS small FROM m GROUP BY label ORDER BY count(*), label LIMIT 1),
+p AS (SELECT doc_id, size, shape, marks FROM m, s WHERE label = small),
+d AS (SELECT a.doc_id, (a.size - b.size) ** 2 + (a.shape - b.shape) ** 2 + (a.marks - b.marks) ** 2 AS d FROM p a JOIN p b ON a.doc_id <> b.doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY d)::INT AS place, round(sqrt(d), 6) AS distance FROM d
+QUALIFY place <= 5
+""")
+def nearest_in_the_smaller_class(spark, folder):
+    """Distances to the five nearest rows of the smaller class.
+
+    A class of up to ``window`` rows is compared as a whole, so its distances are exact; of larger ones some may be missed.
+    """
     names = list(_DIMENSIONS)
-    evened = weights.oversample(matrix, names)
-    bounds = matrix.groupBy("label").agg(*[F.min(n).alias(f"_low_{n}") for n in names], *[F.max(n).alias(f"_high_{n}") for n in names])
-    inside = F.lit(True)
-    for n in names:
-        inside = inside & F.col(n).between(F.col(f"_low_{n}") - 1e-9, F.col(f"_high_{n}") + 1e-9)
-    return evened.join(bounds, "label").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.every(inside).alias("within_bounds")).withColumn(
-        "n_real", matrix.agg(F.count(F.lit(1))).scalar())
+    matrix = stage(weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id"), "matrix")
+    sizes = {row["label"]: row["n"] for row in matrix.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = min(sizes, key=lambda c: (sizes[c], c))
+    rows = stage(matrix.where(F.col("label") == small).select("_id", *names, F.lit(0).alias("one")), "smaller-class")
+    near = nearest(rows, names, 5, "_id", "one", window=512).select("_id", F.posexplode("near").alias("place", "other"))
+    a, b = rows.alias("a"), rows.alias("b")
+    apart = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in names), F.lit(0.0))
+    joined = near.join(a, near["_id"] == F.col("a._id")).join(b, near["other"] == F.col("b._id"))
+    return joined.select(F.col("a._id").alias("doc_id"), (F.col("place") + 1).alias("place"), r(F.sqrt(apart)).alias("distance"))

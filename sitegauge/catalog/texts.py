@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sitegauge.catalog import documents, query, r, rounded, table
 from sitegauge.functions.scalars import with_costly
 from sitegauge.functions.text import clean_text
-from sitegauge.operators import places, profile, resistance, sentiment, topics
+from sitegauge.operators import lda, places, profile, resistance, sentiment, topics
 from sitegauge.operators.phrases import phrase_hits
 from sitegauge.session import small_table, stage
 
@@ -384,28 +384,51 @@ def tfidf_weights(spark, folder):
         F.coalesce(F.array_max(known), F.lit(0.0)).alias("top_weight")))
 
 
-@query("SELECT doc_id, 6 AS n_weights, 1.0::DOUBLE AS total, true AS dominant_is_largest FROM documents")
+@query("""SELECT doc_id, 6 AS n_weights, 1.0::DOUBLE AS total, true AS dominant_is_largest, true AS settled FROM documents""")
 def document_topics(spark, folder):
-    """Topic weights of every text; a fitted model, so SQL states what must hold of each text."""
+    """Topic weights of every text; a fitted model, so SQL states what must hold of each text.
+
+    Settled: the weights that follow from a text's weights, term by term, are those weights again, to a hundredth.
+    """
+    import numpy as np
+    import pandas as pd
+
     docs = documents(spark, folder).select("doc_id", F.col("text").alias("clean_text"))
-    weighted, _, _, _ = topics.extract_topics(docs)
-    weights = F.array(*[F.col(c) for c in sorted(c for c in weighted.columns if c.endswith("_weight"))])
-    return weighted.select(
-        "doc_id", F.size(weights).alias("n_weights"),
-        r(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).alias("total"),
-        (F.get(weights, F.col("dominant_topic")) == F.array_max(weights)).alias("dominant_is_largest"))
+    weighted, _, model, tfidf = topics.extract_topics(docs)
+    topic_of_term, alpha, k, digamma = np.exp(lda.expectation(model.parameters)), model.alpha, model.k, lda.digamma
+
+    @F.pandas_udf("boolean")
+    def follows(weights: pd.Series, terms: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for w, ts, ns in zip(weights, terms, counts):
+            theta = np.exp(digamma(np.array(w) * (sum(ns) + alpha * k)))
+            gamma = np.full(k, alpha)
+            for t, n in zip(ts, ns):
+                share = theta * topic_of_term[:, t]
+                gamma += n * share / share.sum()
+            out.append(len(ts) == 0 or bool(np.abs(gamma / gamma.sum() - np.array(w)).max() < 0.01))
+        return pd.Series(out)
+
+    weights = F.array(*[F.col(f"topic_{t}_weight") for t in range(k)])
+    features = tfidf.transform(topics.with_terms(docs, "clean_text", "_terms"), "_terms", "_features")
+    terms, counts = lda.sparse(F.col("_features"))
+    joined = weighted.select("doc_id", "dominant_topic", weights.alias("w")).join(
+        features.select("doc_id", terms.alias("terms"), counts.alias("counts")), "doc_id")
+    return joined.select(
+        "doc_id", F.size("w").alias("n_weights"), r(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+        (F.get("w", F.col("dominant_topic")) == F.array_max("w")).alias("dominant_is_largest"),
+        follows("w", "terms", "counts").alias("settled"))
 
 
 @query("SELECT t::INT AS topic_id, 15 AS n_words, 15 AS n_different, true AS all_known FROM range(6) r(t)")
 def topic_words(spark, folder):
     """The strongest terms of each topic: fifteen different ones, all of the vocabulary."""
     docs = documents(spark, folder).select("doc_id", F.col("text").alias("clean_text"))
-    _, _, model, tfidf = topics.extract_topics(docs, passes=4)
-    words = topics.top_terms(model, tfidf.terms).select("topic_id", "top_words")
+    _, _, model, tfidf = topics.extract_topics(docs)
+    words = topics.top_terms(spark, model, tfidf.terms)
     known = F.array(*[F.lit(t) for t in tfidf.terms])
     return words.select(
-        F.col("topic_id").cast("int").alias("topic_id"), F.size("top_words").alias("n_words"),
-        F.size(F.array_distinct("top_words")).alias("n_different"),
+        "topic_id", F.size("top_words").alias("n_words"), F.size(F.array_distinct("top_words")).alias("n_different"),
         (F.size(F.array_except("top_words", known)) == 0).alias("all_known"))
 
 

@@ -92,12 +92,12 @@ def ordered_lists(df: DataFrame, key: str, value: str, pos: str, out: str) -> Da
     return firsts.groupBy(key).agg(F.transform(packed, lambda s: s[value]).alias(out))
 
 
-def distinct_in_order(df: DataFrame, key: str, name: str, pos: str) -> DataFrame:
-    """First occurrence of each name per key, letter case ignored."""
-    firsts = df.groupBy(key, F.lower(name).alias("_folded")).agg(
+def distinct_in_order(df: DataFrame, key: str, name: str, pos: str, keep: Sequence[str] = ()) -> DataFrame:
+    """First occurrence of each name per key, letter case ignored; ``keep`` columns are those of the key."""
+    firsts = df.groupBy(key, *keep, F.lower(name).alias("_folded")).agg(
         F.min(F.struct(pos, name)).alias("_first"))
     return firsts.select(
-        key, F.col(f"_first.{pos}").alias(pos), F.col(f"_first.{name}").alias(name))
+        key, *keep, F.col(f"_first.{pos}").alias(pos), F.col(f"_first.{name}").alias(name))
 
 
 def first_known(df: DataFrame, key: str, value: str, pos: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from sitegauge.functions.scalars import pad_code, with_costly
@@ -99,11 +101,11 @@ def gazetteer(spark, crosswalk: DataFrame | None = None) -> DataFrame:
     return names.filter(F.col("place").isNotNull()).distinct()
 
 
-def place_mentions(posts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """key, pos, place: each listed place once per text, in order of first mention."""
-    hits = outermost(phrase_hits(posts, key, text, names.select("place"), "place"), key)
+def place_mentions(posts: DataFrame, key: str, text: str, names: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """key, pos, place and the post's ``keep`` columns: each listed place once per text, in order of first mention."""
+    hits = outermost(phrase_hits(posts, key, text, names.select("place"), "place", keep=keep), key)
     hits = hits.filter((F.length("place") >= 2) & ~F.col("place").isin(COUNTRY_NAMES))
-    return distinct_in_order(hits, key, "place", "pos")
+    return distinct_in_order(hits, key, "place", "pos", keep)
 
 
 def match_posts(
@@ -111,13 +113,13 @@ def match_posts(
     text: str = "clean_text", hint: str = "state_hint", cache: DataFrame | None = None,
 ) -> DataFrame:
     """Add raw_locations and the county of the first mention that resolves."""
-    mentions = place_mentions(posts, key, text, names)
-    with_hint = mentions.join(posts.select(key, hint), key)
+    # Texts are searched once; the mentions, with their hints, serve both steps below.
+    mentions = stage(place_mentions(posts, key, text, names, [hint]), "mentions")
     # Few pairs of place and hint stand for many mentions; each is resolved once.
-    pairs = stage(resolve_places(
-        with_hint.select("place", hint).distinct(), candidates, "place", hint, "_fips", cache=cache).select(
-        F.col("place").alias("_place"), F.col(hint).alias("_hint"), "_fips"), "pairs")
-    resolved = with_hint.join(
+    pairs = resolve_places(
+        mentions.select("place", hint).distinct(), candidates, "place", hint, "_fips", cache=cache).select(
+        F.col("place").alias("_place"), F.col(hint).alias("_hint"), "_fips")
+    resolved = mentions.join(
         pairs, (F.col("place") == F.col("_place")) & F.col(hint).eqNullSafe(F.col("_hint")), "left")
     per_post = resolved.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))),

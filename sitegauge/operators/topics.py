@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from sitegauge.functions.scalars import first_max_index
 from sitegauge.functions.text import topic_tokens, uni_and_bigrams, without_words
+from sitegauge.operators import lda
+from sitegauge.session import small_table
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import DOMAIN_STOP_WORDS, RESISTANCE_LABELS
 
@@ -22,8 +22,6 @@ MIN_DOCS = 5
 MAX_DOC_SHARE = 0.8
 MAX_TERMS = 2000
 PASSES = 20
-# Share of the texts drawn at each step, whatever their number.
-BATCH_SHARE = 0.25
 
 
 def default_stop_words() -> list[str]:
@@ -88,42 +86,24 @@ def fit_tfidf(docs: DataFrame, terms: str = "terms", **limits) -> TfIdf:
     return TfIdf([r["term"] for r in kept], [r["idf"] for r in kept])
 
 
-def fit_topics(
-    features: DataFrame, k: int = 6, seed: int = 42, passes: int = PASSES, batch_share: float = BATCH_SHARE,
-    column: str = "features",
-) -> LDAModel:
-    """Online variational topic model that draws each text about ``passes`` times, a ``batch_share`` of all at a step."""
-    lda = LDA(
-        featuresCol=column, k=k, seed=seed, optimizer="online",
-        maxIter=max(1, round(passes / batch_share)), subsamplingRate=batch_share, learningOffset=10.0,
-        learningDecay=0.7, docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
-        optimizeDocConcentration=False)
-    return lda.fit(features)
-
-
 def with_topic_weights(
-    features: DataFrame, model: LDAModel, column: str = "features",
+    features: DataFrame, model: lda.TopicModel, column: str = "features",
 ) -> DataFrame:
-    """topic_i_weight columns that sum to one, and the strongest topic of each text."""
-    k = model.getK()
-    weights = vector_to_array(F.col("topicDistribution"))
-    out = model.transform(features).withColumn("_w", weights)
-    total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)
-    # A text without any known term says nothing about topics.
-    share = [F.when(total > 0, F.col("_w")[i] / total).otherwise(F.lit(1.0 / k))
-             .alias(f"topic_{i}_weight") for i in range(k)]
+    """topic_i_weight columns that sum to one, and the strongest topic of each text.
+
+    A text without any known term says nothing about topics.
+    """
     keep = [c for c in features.columns if c != column]
-    weighted = out.select(*keep, *share)
+    weighted = features.select(*keep, model.shares(F.col(column)).alias("_w")).select(
+        *keep, *[F.get("_w", F.lit(i)).alias(f"topic_{i}_weight") for i in range(model.k)])
     return weighted.withColumn(
-        "dominant_topic", first_max_index([f"topic_{i}_weight" for i in range(k)]))
+        "dominant_topic", first_max_index([f"topic_{i}_weight" for i in range(model.k)]))
 
 
-def top_terms(model: LDAModel, terms: Sequence[str], n: int = 15) -> DataFrame:
+def top_terms(spark, model: lda.TopicModel, terms: Sequence[str], n: int = 15) -> DataFrame:
     """topic_id and its n strongest terms, strongest first."""
-    listed = F.array(*[F.lit(t) for t in terms])
-    return model.describeTopics(n).select(
-        F.col("topic").alias("topic_id"),
-        F.transform("termIndices", lambda i: F.get(listed, i)).alias("top_words"))
+    rows = [(t, [terms[i] for i in best]) for t, best in enumerate(model.top_terms(n))]
+    return small_table(spark, rows, "topic_id int, top_words array<string>")
 
 
 def label_topics(topics: DataFrame, keywords: DataFrame | None = None, least: int = 2) -> DataFrame:
@@ -163,17 +143,13 @@ def topic_distribution(posts: DataFrame, summary: DataFrame | None = None) -> Da
 def extract_topics(
     posts: DataFrame, text: str = "clean_text", k: int = 6, seed: int = 42,
     stop_words: Sequence[str] | None = None, passes: int = PASSES, **limits,
-) -> tuple[DataFrame, DataFrame, LDAModel, TfIdf]:
+) -> tuple[DataFrame, DataFrame, lda.TopicModel, TfIdf]:
     """Posts with topic weights, the labelled topics, and the fitted models."""
     if text not in posts.columns:
         raise ValueError(f"posts must have a {text!r} column")
     docs = with_terms(posts, text, "_terms", stop_words)
     tfidf = fit_tfidf(docs, "_terms", **limits)
     features = tfidf.transform(docs, "_terms", "_features").drop("_terms")
-    cached = features.select("_features").persist()
-    try:
-        model = fit_topics(cached, k, seed, passes, column="_features")
-    finally:
-        cached.unpersist()
+    model = lda.fit(features, len(tfidf.terms), k, seed, passes, "_features")
     weighted = with_topic_weights(features, model, "_features")
-    return weighted, label_topics(top_terms(model, tfidf.terms)), model, tfidf
+    return weighted, label_topics(top_terms(posts.sparkSession, model, tfidf.terms)), model, tfidf

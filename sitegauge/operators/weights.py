@@ -7,19 +7,14 @@ macro F1 decides whether synthetic rows of the smaller class help.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitegauge.functions.scalars import existing, row_mean
 from sitegauge.operators.composite import Dimensions
+from sitegauge.operators.logistic import Fit, fit_models
+from sitegauge.operators.neighbours import nearest
 from sitegauge.operators.profile import fill_medians
 from sitegauge.operators.ranking import with_sequence
 from sitegauge.operators.validation import classification_report
@@ -34,10 +29,6 @@ FOLDS = 5
 SEED = 42
 PLAIN = "balanced class weights"
 MIXED = "SMOTE + balanced"
-# Rows of the fit, and rows of the smaller class between which points are made; see ``derive_weights``.
-MAX_FIT_ROWS = 200_000
-MAX_BASE_ROWS = 20_000
-BLOCK = 32
 
 
 def dimension_matrix(df: DataFrame, dimensions: Dimensions, label: str, key: str = "county_fips") -> DataFrame:
@@ -66,110 +57,89 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 def with_folds(df: DataFrame, k: int, label: str = "label", key: str = "_id", seed: int = SEED) -> DataFrame:
     """Deal the rows of each class over k folds in hashed order.
 
-    Rows are numbered within 1024 hash ranges per class and shifted by the
+    Rows are numbered within 4096 hash ranges per class and shifted by the
     ranges' offsets, so no class is sorted as a whole.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    hashed = hashed.withColumn("_b", F.shiftright("_h", 54))
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, 3))
     earlier = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
         label, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
     numbered = hashed.withColumn("_i", inside).join(
-        F.broadcast(offsets), [label, "_b"])  # 1024 rows per class
+        F.broadcast(offsets), [label, "_b"])  # 4096 rows per class
     return numbered.withColumn("fold", ((F.col("_offset") + F.col("_i") - 1) % k).cast("int")).select(
         *df.columns, "fold")
 
 
-def fit_balanced(df: DataFrame, columns: Sequence[str]) -> LogisticRegressionModel:
-    """Logistic regression with L2 penalty 1 and classes weighted to equal sums."""
-    n0, n1 = df.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).head()
-    n = n0 + n1
-    weight = F.when(F.col("label") == 1, n / (2.0 * max(n1, 1))).otherwise(n / (2.0 * max(n0, 1)))
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(
-        df.withColumn("_w", weight))
-    return LogisticRegression(
-        featuresCol="_x", labelCol="label", weightCol="_w", regParam=1.0 / n,
-        elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6).fit(rows)
+def in_models(df: DataFrame, models: Column) -> DataFrame:
+    """Name the models that a row trains."""
+    return df.withColumn("_models", models)
+
 
+def fit_balanced(df: DataFrame, columns: Sequence[str]) -> Fit:
+    """Logistic regression with L2 penalty 1 and classes weighted to equal sums."""
+    return fit_models(in_models(df, F.array(F.lit(0))), columns, 1)[0]
 
-def predict(model: LogisticRegressionModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df)
-    return model.transform(rows).withColumn("predicted", F.col("prediction").cast("int")).drop(
-        "_x", "rawPrediction", "probability", "prediction")
 
+def predict(fit: Fit, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumn("predicted", (fit.line(columns) > 0).cast("int"))
 
-def nearest_in_class(rows: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """rank and the ranks of its k nearest rows, for a table numbered 1..N by ``rank``; ties go to the smaller rank.
 
-    Each task compares its rows, in blocks, with a copy of the whole table, which the caller has bounded.
-    """
-    points = rows.select("rank", *columns).toPandas()
-    ids = points["rank"].to_numpy()
-    matrix = points[list(columns)].to_numpy(float)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        for batch in batches:
-            found = []
-            own, x = batch["rank"].to_numpy(), batch[list(columns)].to_numpy(float)
-            for at in range(0, len(x), BLOCK):
-                far = ((x[at : at + BLOCK, None, :] - matrix[None]) ** 2).sum(axis=2)
-                far[own[at : at + BLOCK, None] == ids[None]] = np.inf
-                limit = np.partition(far, k - 1, axis=1)[:, k - 1]
-                for row, most in zip(far, limit):
-                    near = np.flatnonzero(row <= most)
-                    found.append(ids[near[np.lexsort((ids[near], row[near]))[:k]]].tolist())
-            yield pd.DataFrame({"rank": batch["rank"], "near": found})
-
-    return rows.select("rank", *columns).mapInPandas(search, "rank long, near array<long>")
-
-
-def hashed_share(df: DataFrame, n: int, most: int, seed: int = SEED) -> DataFrame:
-    """All ``n`` rows, or about ``most`` of them picked by a hash of their id."""
-    share = min(1.0, most / max(1, n))
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit("share"), F.col("_id")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-
-
-def oversample(
-    df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, seed: int = SEED, max_base_rows: int = MAX_BASE_ROWS,
+def synthetic_rows(
+    rows: DataFrame, columns: Sequence[str], n_models: int, k: int = NEIGHBOURS, seed: int = SEED,
 ) -> DataFrame:
-    """Add points between neighbours of the smaller class until the classes are even.
+    """Points between neighbours of each model's smaller class, as many as even its classes.
 
-    Points are made between about ``max_base_rows`` rows of that class, picked by a hash; all rows stay.
+    ``rows``: ``_id``, ``label``, ``columns`` and ``_models``.  Each point starts at a row drawn by a hash and goes a drawn
+    part of the way to one of that row's ``k`` nearest of the same class and model.  Result: ``_model``, ``label``,
+    ``columns``, and the ids of both ends, ``_from`` and ``_to``.
     """
-    counts = {r["label"]: r["n"] for r in df.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n")).collect()}  # two classes
-    small = min((0, 1), key=lambda c: counts.get(c, 0))
-    n_small, missing = counts.get(small, 0), abs(counts.get(0, 0) - counts.get(1, 0))
-    base = df.select("label", *columns)
-    if n_small < 2 or not missing:
-        return base
-    picked = hashed_share(df.filter(F.col("label") == small), n_small, max_base_rows, seed)
-    numbered = with_sequence(picked, [F.asc("_id")])
-    n_small = numbered.count()
-    k = min(k, n_small - 1)
-    if k < 1:
-        return base
-    near = nearest_in_class(numbered, columns, k)
-
-    def draw(name: str):
-        return F.xxhash64(F.lit(seed), F.lit(name), F.col("id"))
-
-    picks = df.sparkSession.range(missing).select(
-        (F.pmod(draw("base"), F.lit(n_small)) + 1).alias("rank"),
-        F.pmod(draw("near"), F.lit(k)).cast("int").alias("_nth"),
+    each = rows.withColumn("_model", F.explode("_models")).drop("_models")
+    counts = [[0, 0] for _ in range(n_models)]
+    for r in each.groupBy("_model", "label").agg(F.count(F.lit(1)).alias("n")).collect():  # two rows per model
+        counts[r["_model"]][r["label"]] = r["n"]
+    small = [int(n1 < n0) for n0, n1 in counts]
+    n_small = [counts[m][small[m]] for m in range(n_models)]
+    missing = [abs(n0 - n1) if min(n0, n1) >= 2 else 0 for n0, n1 in counts]
+
+    def of_model(values: Sequence[int]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("_model"))
+
+    wanted = each.filter((F.col("label") == of_model(small)) & (of_model(missing) > 0))
+    # Numbered from 1 in all models together; a model's rows follow each other.
+    numbered = with_sequence(wanted, [F.asc("_model"), F.asc("_id")], "_n")
+    before, starts, ends = 0, [], []
+    for m in range(n_models):
+        starts.append(before)
+        before += n_small[m] if missing[m] else 0
+        ends.append(sum(missing[: m + 1]))
+    near = stage(nearest(numbered, columns, k, "_n", "_model"), "neighbours")
+
+    def draw(name: str) -> Column:
+        return F.xxhash64(F.lit(seed), F.lit(name), F.col("_model"), F.col("_nth"))
+
+    bounds = F.array(*[F.lit(e).cast("long") for e in ends])
+    points = rows.sparkSession.range(ends[-1] if ends else 0).withColumn(
+        "_model", F.size(F.filter(bounds, lambda e: e <= F.col("id")))).select(
+        "_model", (F.col("id") - of_model([e - missing[m] for m, e in enumerate(ends)])).alias("_nth"))
+    picks = points.select(
+        "_model", (F.pmod(draw("base"), of_model(n_small)) + of_model(starts) + 1).alias("_n"), draw("near").alias("_near"),
         (F.shiftrightunsigned(draw("gap"), 11) / float(1 << 53)).alias("_gap"))
-    ends = picks.join(near, "rank").select(
-        "rank", "_gap", F.get("near", F.col("_nth")).alias("_other"))
-    start = numbered.select("rank", *columns)
-    other = numbered.select(F.col("rank").alias("_other"), *[F.col(c).alias(f"_to_{c}") for c in columns])
-    made = ends.join(start, "rank").join(other, "_other").select(
-        F.lit(small).alias("label"),
-        *[(F.col(c) + F.col("_gap") * (F.col(f"_to_{c}") - F.col(c))).alias(c) for c in columns])
+    chosen = picks.join(near, "_n").select(
+        "_model", "_n", "_gap", F.get("near", F.pmod("_near", F.size("near")).cast("int")).alias("_other"))
+    start = numbered.select("_n", "label", F.col("_id").alias("_from"), *columns)
+    other = numbered.select(F.col("_n").alias("_other"), F.col("_id").alias("_to"), *[F.col(c).alias(f"_to_{c}") for c in columns])
+    made = chosen.join(start, "_n").join(other, "_other").select(
+        "_model", "label", *[(F.col(c) + F.col("_gap") * (F.col(f"_to_{c}") - F.col(c))).alias(c) for c in columns], "_from", "_to")
     # Fitting passes over the rows many times; the search behind them runs once.
-    return stage(base.unionByName(made), "oversampled")
+    return stage(made, "synthetic")
+
+
+def oversample(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
+    """All rows, and points between neighbours of the smaller class until the classes are even."""
+    made = synthetic_rows(in_models(df.select("_id", "label", *columns), F.array(F.lit(0))), columns, 1, k, seed)
+    return df.select("label", *columns).unionByName(made.select("label", *columns))
 
 
 def macro_f1(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -177,24 +147,30 @@ def macro_f1(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return report.filter(F.col("class") == "macro avg").select(*by, "f1")
 
 
-def cross_validate(
-    folded: DataFrame, columns: Sequence[str], k: int, synthetic: bool = False, seed: int = SEED,
-    max_base_rows: int = MAX_BASE_ROWS,
-) -> tuple[float, float]:
-    """Mean and spread of macro F1 over the folds; synthetic rows only enter training.
+def fold_fits(folded: DataFrame, columns: Sequence[str], k: int, synthetic: bool, seed: int = SEED) -> dict[str, list[Fit]]:
+    """Per strategy the fits without fold 0 .. ``k`` - 1 and, last, the one of all rows; all are formed side by side."""
+    ids = F.array(*[F.lit(m) for m in range(k + 1)])
+    rows = in_models(folded, F.filter(ids, lambda m: m != F.col("fold"))).select("_id", "label", *columns, "_models")
+    train = rows.select("label", *columns, "_models")
+    if synthetic:
+        made = synthetic_rows(rows, columns, k + 1, seed=seed)
+        train = train.withColumn("_models", F.concat("_models", F.transform("_models", lambda m: m + (k + 1)))).unionByName(
+            made.select("label", *columns, F.array(F.col("_model") + (k + 1)).alias("_models")))
+        train = stage(train, "train")
+    fits = fit_models(train, columns, (k + 1) * (2 if synthetic else 1))
+    return {PLAIN: fits[: k + 1]} | ({MIXED: fits[k + 1 :]} if synthetic else {})
 
-    The folds are fitted side by side, as their jobs do not depend on each other.
-    """
-    def held_out(fold: int) -> DataFrame:
-        train = folded.filter(F.col("fold") != fold)
-        rows = oversample(train, columns, seed=seed + fold, max_base_rows=max_base_rows) if synthetic else train
-        return predict(fit_balanced(rows, columns), folded.filter(F.col("fold") == fold), columns)
 
-    with ThreadPoolExecutor(k) as pool:
-        told = list(pool.map(inheritable_thread_target(folded.sparkSession)(held_out), range(k)))
-    scores = [r["f1"] for r in macro_f1(reduce(DataFrame.unionByName, told), ["fold"]).collect()]  # one row per fold
-    mean = sum(scores) / len(scores)
-    return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+def fold_scores(folded: DataFrame, columns: Sequence[str], fits: Mapping[str, Sequence[Fit]]) -> DataFrame:
+    """``strategy``, ``fold``, ``f1``: macro F1 of each fold under the fit without it; synthetic rows are only in training."""
+    def told(strategy: str) -> Column:
+        line = fits[strategy][0].line(columns)
+        for m, fit in enumerate(fits[strategy][1:-1], 1):
+            line = F.when(F.col("fold") == m, fit.line(columns)).otherwise(line)
+        return F.struct(F.lit(strategy).alias("strategy"), (line > 0).cast("int").alias("predicted"))
+
+    each = folded.select("fold", "label", F.explode(F.array(*[told(s) for s in fits])).alias("t")).select("fold", "label", "t.*")
+    return macro_f1(each, ["strategy", "fold"])
 
 
 def shares_of(coefficients: Mapping[str, float]) -> dict[str, float]:
@@ -211,14 +187,12 @@ def shares_of(coefficients: Mapping[str, float]) -> dict[str, float]:
 
 def derive_weights(
     df: DataFrame, label: str = "label", dimensions: Dimensions = DIMENSIONS,
-    fallback: Mapping[str, float] = FALLBACK_WEIGHTS, key: str = "county_fips",
-    max_fit_rows: int = MAX_FIT_ROWS, max_base_rows: int = MAX_BASE_ROWS,
+    fallback: Mapping[str, float] = FALLBACK_WEIGHTS, key: str = "county_fips", synthesis: bool = True,
 ) -> dict:
     """The weights document: weights, strategy, macro F1 and its spread, class counts and coefficients.
 
-    Too few rows, or fewer than two of a class, give the fallback weights.  The model is fitted on about
-    ``max_fit_rows`` rows, picked by a hash of their ``key`` so that the classes keep their shares; the counts are of
-    all rows.  Synthetic rows are tried at every size, between ``max_base_rows`` rows of the smaller class.
+    Too few rows, or fewer than two of a class, give the fallback weights.  Without ``synthesis`` no synthetic rows of the
+    smaller class are tried.
     """
     columns = list(dimensions)
     rows = dimension_matrix(df, dimensions, label, key)
@@ -230,18 +204,18 @@ def derive_weights(
     k = min(FOLDS, n_built, n_stopped)
     if balance["n"] < MIN_ROWS or k < 2:
         return document
-    folded = stage(with_folds(hashed_share(rows, balance["n"], max_fit_rows), k), "folds")
-    best, synthetic = cross_validate(folded, columns, k), False
-    if n_stopped >= MIN_MINORITY:
-        mixed = cross_validate(folded, columns, k, synthetic=True, max_base_rows=max_base_rows)
-        synthetic = mixed[0] > best[0]
-        best = mixed if synthetic else best
-    model = fit_balanced(oversample(folded, columns, max_base_rows=max_base_rows) if synthetic else folded, columns)
-    coefficients = dict(zip(columns, (float(v) for v in model.coefficients)))
+    folded = stage(with_folds(rows, k), "folds")
+    fits = fold_fits(folded, columns, k, synthesis and n_stopped >= MIN_MINORITY)
+    scores: dict[str, list[float]] = {s: [] for s in fits}
+    for r in fold_scores(folded, columns, fits).collect():  # one row per strategy and fold
+        scores[r["strategy"]].append(r["f1"])
+    means = {s: sum(v) / len(v) for s, v in scores.items()}
+    best = MIXED if MIXED in means and means[MIXED] > means[PLAIN] else PLAIN
+    spread = math.sqrt(sum((v - means[best]) ** 2 for v in scores[best]) / len(scores[best]))
+    coefficients = dict(zip(columns, fits[best][-1].coefficients))
     document.update(
-        weights=shares_of(coefficients), macro_f1=round(best[0], 3), macro_f1_spread=round(best[1], 3),
-        strategy=MIXED if synthetic else PLAIN,
-        raw_coefficients={d: round(v, 4) for d, v in coefficients.items()})
+        weights=shares_of(coefficients), macro_f1=round(means[best], 3), macro_f1_spread=round(spread, 3),
+        strategy=best, raw_coefficients={d: round(v, 4) for d, v in coefficients.items()})
     return document
 
 

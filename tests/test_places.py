@@ -96,6 +96,16 @@ def test_posts_match_their_first_resolvable_place(spark):
     assert got["5"].matched_county_fips == "51059"
 
 
+def test_texts_are_searched_once(spark, tmp_path):
+    """Mentions are staged with their hints; the last plan reads no text but the post's own columns."""
+    path = str(tmp_path / "posts")
+    places.with_state_hint(corpus(spark)).withColumnRenamed("content", "clean_text").write.parquet(path)
+    out = places.match_posts(spark.read.parquet(path), places.gazetteer(spark), places.candidate_lists(dims.place_aliases(spark)))
+    plan = out.drop("clean_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "clean_text" not in plan.split("Relation")[-1]
+    assert out.count() == 5
+
+
 def test_split_keeps_every_post(spark):
     posts = places.preprocess(corpus(spark))
     matched, unmatched = places.split_matched(posts)

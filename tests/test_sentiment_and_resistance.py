@@ -6,8 +6,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from sitegauge.operators import resistance, sentiment
-from sitegauge.session import small_table
+from sitegauge.operators import phrases, resistance, sentiment
+from sitegauge.session import small_table, stage
 
 LEXICON = {"tax revenue": 1.0, "revenue": 1.0, "tax break": -0.5, "oppose": -2.0, "good": 1.9, "water shortage": -3.0}
 
@@ -107,3 +107,25 @@ def test_no_topic_weights_means_full_relevance(spark):
     pops = spark.createDataFrame([("a", 100), ("b", 100)], "county_fips string, population long")
     got = {r.matched_county_fips: r.raw_resistance_mean for r in resistance.resistance_scores(posts, pops).collect()}
     assert got == {"a": 0.5, "b": -0.5}
+
+
+def test_texts_are_searched_inside_their_rows(spark):
+    """The bit tables are constants of the plan, and of 3000 words only the two that form a phrase leave the row."""
+    text = " ".join(f"w{i}" for i in range(1500)) + " good tax revenue " + " ".join(f"v{i}" for i in range(1500))
+    df = spark.createDataFrame([(1, text)], "id long, t string")
+    hits = phrases.phrase_hits(df, "id", "t", stage(lexicon(spark)), "term")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and plan.count("Generate inline") == 1
+    assert {(r.pos, r.len, r.term) for r in hits.collect()} == {(1501, 1, "good"), (1502, 2, "tax revenue"), (1503, 1, "revenue")}
+    known = phrases.PhraseFilter(lexicon(spark).withColumnRenamed("term", "f"), "f")
+    words = spark.range(20_000).select(F.concat(F.lit("word"), "id").alias("w"))
+    passed = words.agg(F.count_if(known.may_open(F.col("w"))), F.count_if(known.may_be(F.col("w")))).head()
+    assert max(passed) < 2500 and known.longest == 2
+
+
+def test_lists_larger_than_the_bit_tables(spark, monkeypatch):
+    """Tables that hold every bit let everything through to the join, which decides as before."""
+    monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    terms = {f"a{i} b{i % 7}": 1.0 for i in range(400)} | LEXICON
+    texts = ["a3 b3 good", "tax break a9 b2 a9 b9", "a1 b0 b1", "not good water shortage"]
+    assert scored(spark, texts, terms) == pytest.approx([read(t, terms) for t in texts])

@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from sitegauge.operators import topics, weights
+from sitegauge.operators import lda, logistic, topics, weights
+from sitegauge.operators.neighbours import nearest
 from sitegauge.session import stage
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
@@ -47,6 +49,86 @@ def test_topic_shape(spark, posts):
     assert shares[0] == 92 and shares[1] == pytest.approx(100.0)
 
 
+def plain_lda(texts, n_terms, k, seed, passes, n_batches):
+    """The same steps text by text and term by term: topics, and the bound per text at the last pass."""
+    from math import lgamma, log
+
+    alpha = eta = 1.0 / k
+    psi = lambda x: (lgamma(x + 1e-5) - lgamma(x - 1e-5)) / 2e-5
+    logs = lambda p: np.array([psi(v) for v in p]) - psi(sum(p))
+    topics, step = lda.first_topics(k, n_terms, seed), 0
+    for _ in range(passes):
+        bound = 0.0
+        for b in range(n_batches):
+            log_topics = np.array([logs(t) for t in topics])
+            uses, batch = np.zeros((k, n_terms)), texts[b::n_batches]
+            for terms, counts in batch:
+                gamma = np.full(k, alpha + sum(counts) / k)
+                for _ in range(100):
+                    theta = np.exp(logs(gamma))
+                    part = [n * (s := theta * np.exp(log_topics[:, t])) / s.sum() for t, n in zip(terms, counts)]
+                    new = alpha + sum(part, np.zeros(k))
+                    done, gamma = np.abs(new - gamma).mean() < 1e-3, new
+                    if done:
+                        break
+                for t, p in zip(terms, part):
+                    uses[:, t] += p
+                theta = logs(gamma)
+                bound += sum(n * log(np.exp(theta + log_topics[:, t]).sum()) for t, n in zip(terms, counts))
+                bound += sum((alpha - g) * x + lgamma(g) - lgamma(alpha) for g, x in zip(gamma, theta))
+                bound += lgamma(alpha * k) - lgamma(sum(gamma))
+            bound_topics = topics
+            step += 1
+            rate = (10.0 + step) ** -0.7
+            topics = (1 - rate) * topics + rate * (eta + len(texts) / len(batch) * uses)
+        final = sum(sum((eta - v) * x + lgamma(v) - lgamma(eta) for v, x in zip(t, logs(t))) + lgamma(eta * n_terms) - lgamma(sum(t))
+                    for t in topics)
+    return topics, (bound + final) / len(texts)
+
+
+@pytest.mark.parametrize("n_texts, passes", [(100, 12), (300, 6)])
+def test_topics_and_bound_by_a_plain_form(spark, n_texts, passes):
+    """One mini-batch gives the plain form's topics; of several, which hold other texts, the bound is close."""
+    rng = np.random.default_rng(3)
+    vectors = []
+    for i in range(n_texts):
+        terms = sorted(rng.choice(30, 8, replace=False) // 3 * 3 + i % 3)
+        vectors.append((sorted(set(map(int, terms))), None))
+        vectors[-1] = (vectors[-1][0], [float(v) for v in rng.uniform(0.2, 2.0, len(vectors[-1][0]))])
+    rows = [(i, Vectors.sparse(30, t, c)) for i, (t, c) in enumerate(vectors)]
+    df = spark.createDataFrame(rows, ["id", "features"]).repartition(3)
+    model = lda.fit(df, 30, 3, 42, passes)
+    n_batches = max(1, min(lda.MOST_BATCHES, -(-n_texts // lda.BATCH_TEXTS)))
+    parameters, bound = plain_lda(vectors, 30, 3, 42, passes, n_batches)
+    if n_batches == 1:
+        assert np.allclose(model.parameters, parameters, rtol=2e-2, atol=2e-2)
+    assert model.bound == pytest.approx(bound, rel=0.03)
+
+
+def test_digamma_and_log_gamma():
+    from math import lgamma
+
+    x = np.array([1e-3, 0.1, 0.5, 1.0, 2.5, 30.0, 1e4])
+    assert np.allclose(lda.log_gamma(x), [lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
+    assert np.allclose(lda.digamma(x), [(lgamma(v * (1 + 1e-6)) - lgamma(v * (1 - 1e-6))) / (2e-6 * v) for v in x], rtol=1e-5)
+
+
+def test_a_pass_reads_every_text_once(spark, posts, monkeypatch):
+    """Buckets are folders of their own: each step's scan has one of them as its only partition."""
+    monkeypatch.setattr(lda, "BATCH_TEXTS", 30)
+    docs = topics.with_terms(posts, "clean_text", "_terms")
+    tfidf = topics.fit_tfidf(docs, "_terms", max_share=1.0)
+    path, buckets = lda.lay_out(tfidf.transform(docs, "_terms", "f"), "f", docs.count())
+    assert buckets == 4
+    table = spark.read.parquet(path)
+    for b in range(buckets):
+        files = {r[0] for r in table.where(F.col("bucket") == b).select(F.input_file_name()).distinct().collect()}
+        assert files and all(f"bucket={b}/" in f for f in files)
+    assert table.count() == docs.count()
+    plan = table.where("bucket = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
 def test_missing_text_column_is_an_error(posts):
     with pytest.raises(ValueError):
         topics.extract_topics(posts.drop("clean_text"))
@@ -92,7 +174,32 @@ def test_balanced_fit_solves_the_penalized_problem(spark):
     y = pdf.label.to_numpy()
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     want = newton(pdf[["f1", "f2", "f3"]].to_numpy(), y, w)
-    assert np.allclose(np.array(model.coefficients), want, atol=5e-3)
+    assert np.allclose(np.array(model.coefficients), want, atol=1e-7)
+
+
+def test_fits_side_by_side_are_those_of_their_rows(spark):
+    """One aggregate per step serves all models; each is the one of its own rows, also where the first steps go too far."""
+    df, pdf = outcome_rows(spark)
+    wide = df.withColumn("f1", F.col("f1") * 400 - 20000)
+    parts = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda m: m != F.col("id") % 3)
+    fits = logistic.fit_models(weights.in_models(wide, parts), ["f1", "f2"], 4)
+    for m in range(3):
+        rows = pdf[pdf.id % 3 != m]
+        y = rows.label.to_numpy()
+        w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+        one = weights.fit_balanced(wide.where(F.col("id") % 3 != m), ["f1", "f2"])
+        assert np.allclose([one.intercept, *one.coefficients], [fits[m].intercept, *fits[m].coefficients], atol=1e-8)
+        x = np.column_stack([rows.f1 * 400 - 20000, rows.f2])
+        p = 1 / (1 + np.exp(-(x @ np.array(fits[m].coefficients) + fits[m].intercept)))
+        gradient = x.T @ (w * (p - y)) + np.array(fits[m].coefficients)
+        assert np.abs(gradient / np.abs(x).max(axis=0)).max() < 1e-5 and abs((w * (p - y)).sum()) < 1e-5
+    assert fits[3] == logistic.Fit(0.0, (0.0, 0.0))
+
+
+def test_separable_classes_stay_finite(spark):
+    df = spark.range(100).select(F.when(F.col("id") < 30, 0).otherwise(1).alias("label"), (F.col("id") * 1000.0).alias("f1"))
+    fit = weights.fit_balanced(df, ["f1"])
+    assert all(np.isfinite([fit.intercept, *fit.coefficients])) and weights.predict(fit, df, ["f1"]).where("predicted <> label").count() == 0
 
 
 def test_weights_document(spark, monkeypatch):
@@ -127,34 +234,74 @@ def test_folds_keep_class_shares(spark):
         assert len(group) == 5 and group["count"].max() - group["count"].min() <= 1
 
 
-def test_neighbours_are_the_nearest(spark):
+def test_neighbours_in_small_groups_are_the_nearest(spark):
     rng = np.random.default_rng(8)
-    x = rng.integers(0, 6, size=(40, 2)).astype(float)
-    df = spark.createDataFrame([(i + 1, *map(float, p)) for i, p in enumerate(x)], "rank long, a double, b double").repartition(3)
-    for r in weights.nearest_in_class(df, ["a", "b"], 4).collect():
-        far = ((x - x[r["rank"] - 1]) ** 2).sum(axis=1)
-        far[r["rank"] - 1] = np.inf
-        assert sorted(far[np.array(r.near) - 1]) == sorted(far)[:4]
+    x = rng.integers(0, 6, size=(80, 2)).astype(float)
+    df = spark.createDataFrame([(i + 1, i % 2, *map(float, p)) for i, p in enumerate(x)], "n long, g int, a double, b double").repartition(3)
+    rows = nearest(df, ["a", "b"], 4, "n", "g", bucket=16).collect()
+    assert len(rows) == 80
+    for r in rows:
+        i = r["n"] - 1
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = far[1 - i % 2 :: 2] = np.inf
+        assert sorted(far[np.array(r.near) - 1]) == sorted(far)[:4] and len(set(r.near)) == 4
+
+
+@pytest.mark.parametrize("shape", ["even", "lumps", "one place"])
+def test_neighbours_of_many_rows(spark, shape):
+    """Nine in ten of the nearest at least, also where rows crowd or a third of them stand at one place."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 3))
+    if shape == "lumps":
+        x = x * 0.01 + rng.integers(0, 3, size=(6000, 1)) * [5.0, 90.0, 1.0]
+    if shape == "one place":
+        x[::3] = [0.5, 0.5, 0.5]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).assign(n=np.arange(6000), g=0))
+    found = nearest(df, ["a", "b", "c"], 5, "n", "g", bucket=700).toPandas()
+    assert len(found) == 6000
+    hits = 0
+    for n, near in zip(found.n, found.near):
+        far = ((x - x[n]) ** 2).sum(axis=1)
+        far[n] = np.inf
+        assert n not in near and len(set(near)) == 5
+        hits += (far[list(near)] <= np.partition(far, 4)[4] + 1e-15).sum()
+    assert hits >= 0.9 * 5 * 6000
 
 
 def test_synthetic_rows_lie_between_neighbours(spark):
-    df, _ = outcome_rows(spark)
-    rows = stage(df.select(F.monotonically_increasing_id().alias("_id"), "label", "f1", "f2"))
-    out = weights.oversample(rows, ["f1", "f2"]).toPandas()
+    """Every one of them, between a row and one of its true five nearest of the same class and model."""
+    df, pdf = outcome_rows(spark)
+    parts = F.filter(F.array(F.lit(0), F.lit(1)), lambda m: (m == 0) | (F.col("id") % 3 != 0))
+    rows = stage(weights.in_models(df.select(F.col("id").alias("_id"), "id", "label", "f1", "f2"), parts).drop("id"))
+    made = weights.synthetic_rows(rows, ["f1", "f2"], 2).toPandas()
+    for m, real in ((0, pdf), (1, pdf[pdf.id % 3 != 0])):
+        counts = real.label.value_counts()
+        mine = made[made._model == m]
+        assert len(mine) == counts.max() - counts.min() and set(mine.label) == {counts.idxmin()}
+        small = real[real.label == counts.idxmin()].set_index("id")[["f1", "f2"]]
+        for r in mine.itertuples(index=False):
+            start, end, at = small.loc[r[4]].to_numpy(), small.loc[r[5]].to_numpy(), np.array([r.f1, r.f2])
+            far = ((small - start) ** 2).sum(axis=1).drop(r[4])
+            assert r[5] in far.nsmallest(5, keep="all").index
+            share = (at - start) @ (end - start) / ((end - start) @ (end - start))
+            assert 0 <= share <= 1 and np.allclose(at, start + share * (end - start))
+    out = weights.oversample(rows.select("_id", "label", "f1", "f2"), ["f1", "f2"]).toPandas()
     assert out.label.value_counts().nunique() == 1
-    real = rows.filter("label = 0").toPandas()
-    made = out[out.label == 0].merge(real[["f1", "f2"]], how="left", indicator=True).query("_merge == 'left_only'")
-    for c in ("f1", "f2"):
-        assert made[c].between(real[c].min(), real[c].max()).all()
-    assert len(made) > 0
 
 
 def test_points_are_made_at_any_size(spark):
-    """Ten times the bound in rows: all rows stay, the classes are even, and made points lie between the picked ones."""
+    """All rows stay, the classes are even, and points start at rows all over the smaller class."""
     df = spark.range(4000).selectExpr("id AS _id", "int(id % 8 = 0) AS label", "double(id % 61) AS f1", "double(id % 13) AS f2")
-    out = weights.oversample(stage(df), ["f1", "f2"], max_base_rows=50)
+    out = weights.oversample(stage(df), ["f1", "f2"])
     assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {0: 3500, 1: 3500}
-    assert out.exceptAll(df.select("label", "f1", "f2")).count() == 3000
+    made = weights.synthetic_rows(weights.in_models(df, F.array(F.lit(0))), ["f1", "f2"], 1)
+    assert made.select("_from").distinct().count() > 495 and made.where("_from = _to OR _from % 8 <> 0").count() == 0
+
+
+@pytest.mark.parametrize("labels", [[1] * 9 + [0], [1] * 5, [0, 1] * 5])
+def test_no_points_without_two_rows_or_a_gap(spark, labels):
+    df = spark.createDataFrame([(i, y, float(i)) for i, y in enumerate(labels)], "_id long, label int, f1 double")
+    assert weights.oversample(df, ["f1"]).count() == len(labels)
 
 
 def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
@@ -164,11 +311,20 @@ def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
     assert docs[0]["weights"] == docs[1]["weights"] and docs[0]["macro_f1"] == docs[1]["macro_f1"]
 
 
-def test_a_bounded_fit_is_close_to_the_whole(spark, monkeypatch):
-    monkeypatch.setattr(weights, "FOLDS", 2)
+def test_folds_are_fitted_without_a_thread_or_a_job_each(spark):
+    """As many passes for five folds and both strategies as the slowest single fit takes."""
     df, pdf = outcome_rows(spark)
-    doc = weights.derive_weights(df, dimensions=DIMS, key="id", max_fit_rows=len(pdf) // 2, max_base_rows=20)
-    assert doc["n_successful"] + doc["n_blocked"] == len(pdf) and doc["weights"]["power"] == max(doc["weights"].values())
+    folded = stage(weights.with_folds(df.withColumnRenamed("id", "_id"), 5))
+    fits = weights.fold_fits(folded, ["f1", "f2", "f3"], 5, synthetic=True)
+    assert {s: len(f) for s, f in fits.items()} == {weights.PLAIN: 6, weights.MIXED: 6}
+    scores = weights.fold_scores(folded, ["f1", "f2", "f3"], fits).toPandas()
+    assert sorted(map(tuple, scores[["strategy", "fold"]].to_numpy())) == sorted((s, f) for s in fits for f in range(5))
+    for fold in range(5):
+        one = weights.fit_balanced(folded.where(F.col("fold") != fold), ["f1", "f2", "f3"])
+        told = weights.predict(one, folded.where(F.col("fold") == fold), ["f1", "f2", "f3"])
+        want = weights.macro_f1(told).head()["f1"]
+        got = scores[(scores.strategy == weights.PLAIN) & (scores.fold == fold)].f1.item()
+        assert got == pytest.approx(want)
 
 
 def test_shares():
