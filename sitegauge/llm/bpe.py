@@ -24,6 +24,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from sitegauge.llm.words import bound_batches
+
 # The split pattern of the published vocabulary, and Unicode's white space.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
@@ -34,8 +36,10 @@ OPENING = 4
 SHORT = tuple(range(OPENING - 1, 0, -1))
 #: Longest word whose path is found end by end; longer ones are walked without recursion.
 SHARED_ENDS = 64
-#: Words whose encoding a task remembers; when full, the memory is emptied, which changes no result.
-MEMORY_WORDS = 400_000
+#: Words whose encoding a task remembers, and ends of words; beyond that they are found anew, which changes no result.
+MEMORY_WORDS = 200_000
+#: Texts whose ids a task gives back together.
+TOGETHER = 256
 
 
 def byte_symbols() -> list[str]:
@@ -243,17 +247,15 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         words = self.words(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
         memory = self.memory
-        if len(memory) > MEMORY_WORDS:
-            memory.clear()
-        long_words = []
+        for_now = []
         for w in set(words):
             if w not in memory:
                 spelled = w.encode("utf-8", "replace").decode("latin-1").translate(self.symbols)
                 memory[w] = self.automaton.encode_word(spelled)
-                if len(w) > 64:
-                    long_words.append(w)
+                if len(w) > 64 or len(memory) > MEMORY_WORDS:
+                    for_now.append(w)
         ids = b"".join(map(memory.__getitem__, words))
-        for w in long_words:
+        for w in for_now:
             del memory[w]
         return ids
 
@@ -271,29 +273,27 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     automaton = compile_automaton(path)
 
+    bound_batches(docs.sparkSession)
+    names = [id_col, "n_tokens", *["ids"] * keep_ids, *["ids_sha256", "decoded_sha256"] * digests]
+
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
         encoder = Encoder(automaton)
-        for batch in batches:
-            out: dict[str, list] = {"id": batch.column(0), "n": [], "ids": [], "a": [], "b": []}
-            for text in batch.column(1):
-                raw = encoder.ids(text.as_py())
-                out["n"].append(len(raw) // 4)
-                if keep_ids or digests:
-                    ids = array("I", raw)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                raws = [encoder.ids(text.as_py()) for text in batch.column(1)]
+                sizes = np.array([len(raw) // 4 for raw in raws], np.int64)
+                columns = [batch.column(0), pa.array(sizes, pa.int64())]
                 if keep_ids:
-                    out["ids"].append(ids)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), np.int32))))
                 if digests:
-                    out["a"].append(hashlib.sha256(raw).hexdigest())
-                    out["b"].append(hashlib.sha256(automaton.decode(ids).encode("utf-8")).hexdigest())
-            columns = [out["id"], pa.array(out["n"], pa.int64())]
-            names = [id_col, "n_tokens"]
-            if keep_ids:
-                names.append("ids")
-                columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
-            if digests:
-                names += ["ids_sha256", "decoded_sha256"]
-                columns += [pa.array(out["a"], pa.string()), pa.array(out["b"], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns.append(pa.array([hashlib.sha256(raw).hexdigest() for raw in raws], pa.string()))
+                    columns.append(pa.array([hashlib.sha256(automaton.decode(array("I", raw)).encode("utf-8")).hexdigest()
+                                             for raw in raws], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint"

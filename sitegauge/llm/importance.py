@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitegauge.llm.words import each_text, type_of, words_in
+from sitegauge.llm.words import bound_batches, each_text, type_of, words_in
 from sitegauge.operators.ranking import with_sequence
 from sitegauge.session import stage
 
@@ -90,6 +90,7 @@ def scored(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, targe
     """Staged (``row``, ``id``, ``n_words``, ``n_features``, ``weight``, ``score``) and, if asked for, ``kept``: all columns."""
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     gain = gains(bucket_counts(docs, text_col, buckets), bucket_counts(target, target_col, buckets))
 
     def run(batches: Iterator) -> Iterator:

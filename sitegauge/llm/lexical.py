@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sitegauge.llm.words import each_text, type_of, words_in
+from sitegauge.llm.words import bound_batches, each_text, type_of, words_in
 from sitegauge.operators.ranking import with_sequence
 from sitegauge.session import stage
 
@@ -220,6 +220,7 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
     query, also where ids are repeated or null.  Null and empty texts have no terms: such a document is never found, such a
     query finds nothing.  An empty table on either side gives an empty result.  Other columns are left out.
     """
+    bound_batches(docs.sparkSession)
     asked = with_sequence(queries.select(F.col(query_id_col).alias("item"), F.col(query_text_col).cast("string").alias("text")),
                           [F.asc("item"), F.asc("text")], "number")
     parts = []

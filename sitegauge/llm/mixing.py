@@ -12,6 +12,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sitegauge.llm.words import new_name
 from sitegauge.session import stage
 
 #: Fractional part of the golden ratio, as a decimal, so that far points of the sequence are as exact as near ones.
@@ -117,19 +118,22 @@ def streams(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weight=default_weight, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """What the mix takes of every row: id, ``size``, ``source_size``, ``target`` (of its source) and ``taken``.
+        weight=default_weight, block_words: int = BLOCK_WORDS, mark: Column | None = None) -> DataFrame:
+    """What the mix takes of every row: id, ``size``, ``source_size``, ``target`` (of its source) and ``taken``, and
+    ``mark``, if one is given, by which a caller knows the row again.
 
     A null text has size 0; a null source is a source of its own, the last; null ids and repeated rows are rows like
     any other; an empty table gives an empty result.  Each source's taken words are its target, rounded; a row gives
     its words at most ``MAX_REPEATS`` times.  Other columns are left out.
     """
+    more = [] if mark is None else [mark.alias("mark")]
     narrow = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                               word_count(F.col(text_col)).alias("size")), "sizes")
+                               word_count(F.col(text_col)).alias("size"),
+                               *more), "sizes")
     sources = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = stage(targets(sources, weight), "shares")
     placed = narrow.join(shares.select("source", "place"), narrow["source"].eqNullSafe(shares["source"])).select(
-        "id", "size", "place")
+        "id", "size", "place", *["mark"] * len(more))
     laid = stage(streams(placed).join(shares.select("place", "source_size", "quota", "target"), "place"), "streams")
     slots = schedule(shares, block_words)
     # Where the document lies in each round of the stream, as far as the quota goes, and which blocks it meets there.
@@ -145,18 +149,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = parts.groupBy("place", "begin").agg(F.sum("words").alias("taken"))
     some = laid.where("size > 0").join(taken, ["place", "begin"], "left")
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
+    columns = ["id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *["mark"] * len(more)]
     return some.select(columns).unionByName(none.select(columns)).withColumnRenamed("id", id_col)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weight=default_weight) -> DataFrame:
-    """The mixed corpus: every row as often as the mix takes its words, rounded to whole rows; all columns stay.
+    """The mixed corpus: every row as often as the mix takes its words, rounded to whole rows; all columns stay, whatever
+    their names.
 
-    Rows that the mix leaves out, among them rows without words, go.  Rows that share an id, or have none, share what is
-    taken of them.
+    Rows that the mix leaves out, among them rows without words, go.  Only rows of one id, source and text, which are
+    copies of each other, share what is taken of them.
     """
-    taken = mix(docs, id_col, text_col, source_col, weight).groupBy(F.col(id_col).alias("_taken")).agg(
-        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.join(taken.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_taken")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    mark = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text"))
+    of, times = new_name(docs, "mark"), new_name(docs, "times")
+    taken = mix(docs, id_col, text_col, source_col, weight, mark=mark).groupBy(F.col("mark").alias(of)).agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(taken.hint("shuffle_hash"), mark == F.col(of))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(new_name(docs, "time"))).select(*docs.columns)

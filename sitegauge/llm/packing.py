@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from sitegauge.llm.words import type_of
+from sitegauge.llm.words import bound_batches, type_of
 from sitegauge.session import stage
 
 LENGTH = 1024
@@ -126,6 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 arrays.append(pa.array(held, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     schema = f"number bigint, id {type_of(rows, 'id')}, piece int, start bigint, length bigint, ids_crc32 bigint"
     return stage(rows.mapInArrow(run, schema + (", ids array<int>" if keep_ids else "")), "pieces")

@@ -14,6 +14,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sitegauge.llm.words import new_name
 from sitegauge.session import small_table, stage
 
 MAX_STRINGS = 64
@@ -177,20 +178,20 @@ def with_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "do
     A null or empty text has no spans.  Rows with equal or null ids are searched each on its own text; the index only
     decides which rules are tried.  An empty table stays empty.
     """
-    kinds = stage(candidates(docs, rules, id_col, text_col), "candidates").select(
-        F.col("id").alias("_candidate"), F.col("kinds").alias("_kinds"))
+    of, listed = new_name(docs, "candidate"), new_name(docs, "kinds")
+    kinds = stage(candidates(docs, rules, id_col, text_col), "candidates").select(F.col("id").alias(of), F.col("kinds").alias(listed))
     # Built from the few candidates, so that the texts are shuffled once and not sorted.
-    tried = docs.join(kinds.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_candidate")), "left")
+    tried = docs.join(kinds.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(of)), "left")
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
     found = []
     for number, rule in enumerate(rules):
         if trigram_query(rule.pattern) is None:
             try_it = F.col(text_col).rlike(rule.pattern)
         else:
-            try_it = F.array_contains("_kinds", rule.kind)
+            try_it = F.array_contains(listed, rule.kind)
         found.append(F.when(try_it, matches(F.col(text_col), rule, number)).otherwise(none))
     spans = F.array_sort(F.concat(*found))
-    return tried.withColumn(out, F.when(F.col(text_col).isNull(), none).otherwise(spans)).drop("_candidate", "_kinds")
+    return tried.withColumn(out, F.when(F.col(text_col).isNull(), none).otherwise(spans)).drop(of, listed)
 
 
 def joined(spans: Column) -> Column:
@@ -207,8 +208,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with every span, overlapping ones together, replaced by its kind in brackets; other columns stay."""
-    found = with_spans(docs, rules, id_col, text_col, "_spans")
+    """All rows with every span, overlapping ones together, replaced by its kind in brackets; other columns stay, whatever
+    their names."""
+    spans = new_name(docs, "spans")
+    found = with_spans(docs, rules, id_col, text_col, spans)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -218,5 +221,5 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
                         F.when(span["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)

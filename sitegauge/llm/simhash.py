@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.llm.components import connected
+from sitegauge.llm.words import bound_batches, new_name
 from sitegauge.session import stage
 
 MAX_BITS = 3
@@ -54,19 +55,24 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``fp`` as a signed 64-bit integer) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """(id, ``fp`` as a signed 64-bit integer) of every row and, if asked for, ``mark``: a hash of its text."""
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
+    names = [id_col, *(["mark"] if marked else [])]
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
         for batch in batches:
-            values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=[id_col, "fp"])
+            values = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.int64())], names=[*names, "fp"])
 
-    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return narrow.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    narrow = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col),
+                         *([F.xxhash64(text_col).alias("_mark")] if marked else []))
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {'mark bigint, ' if marked else ''}fp bigint"
+    return narrow.mapInArrow(run, schema)
 
 
 def rotated(fp: Column, bits: int) -> Column:
@@ -258,23 +264,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null.  Repeated rows stay.  An empty table gives an empty result.  Other columns are left out.
     """
     marked = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = stage(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "fingerprint-groups")
-    labels = connected(links(groups.select("fp"), max_bits))
-    joined = groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "label", F.coalesce("label", "fp"))
+    joined = labelled(marked, id_col, max_bits)
     lows = joined.groupBy("label").agg(F.min("low").alias("component_id"))
     owner = joined.select("fp", "label").join(lows, "label").select("fp", "component_id")
     return marked.join(owner, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def labelled(marked: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """(``fp``, ``low``, ``label``): each fingerprint with its smallest id and its component."""
+    groups = stage(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "fingerprint-groups")
+    labels = connected(links(groups.select("fp"), max_bits))
+    return groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows that stay when one row of each group of near copies stays: the one with the smallest id.
 
-    Of rows repeated with one id a single one stays.  Rows with a null id can't be told apart and all stay.  All columns
-    stay.
+    Of several texts with that id the one with the smallest hash stays, so a rerun keeps the same; rows with a null id come
+    last.  Texts that are no near copies all stay, also under one id.  All columns stay, whatever their names.
     """
-    stays = near_copies(docs, id_col, text_col, max_bits).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    # The join leaves the rows partitioned by id, so repeated ones are dropped without another shuffle of the texts.
-    named = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    marked = stage(fingerprints(docs, id_col, text_col, marked=True), "fingerprints")
+    owner = labelled(marked, id_col, max_bits).select("fp", "label")
+    first = marked.join(owner, "fp").groupBy("label").agg(F.min(F.struct(
+        F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), "mark")).alias("first"))
+    of, mark = new_name(docs, "first_id"), new_name(docs, "first_mark")
+    stays = first.select(F.col("first.id").alias(of), F.col("first.mark").alias(mark)).distinct()
+    own = new_name(docs, "own_mark")
+    kept = docs.withColumn(own, F.xxhash64(text_col)).join(
+        stays, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(mark)), "left_semi")
+    # Rows of one id and text are copies of each other; the join leaves them side by side.
+    return kept.dropDuplicates([id_col, own]).select(*docs.columns)

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sitegauge.llm.words import bound_batches
 from sitegauge.session import stage
 
 #: About so many labelled rows are used at most, picked by a hash; they are few enough to be sent to every task.
@@ -78,6 +79,7 @@ def fold(id_col: str) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
     """(``text``, ``y``, ``fold``) of about ``rows`` labelled rows at most; an id with several labels is toxic if one says so."""
+    bound_batches(docs.sparkSession)
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(~held_out(id_col)).groupBy(
         id_col).agg((F.max(label_col) == 1).cast("int").alias("y"))
     marks = stage(marks, "labels")
@@ -293,37 +295,20 @@ def train(rows: DataFrame) -> tuple[Model, list[float]]:
     return models[best], fits[best][0]
 
 
-def judged(docs: DataFrame, text_col: str, model: Model, chance: list[float], threshold: float) -> DataFrame:
-    """The rows of ``docs`` with the score and the verdict as two last columns, whose names no column of ``docs`` has.
-
-    The text travels once and comes back as it is.
-    """
+def scorer(model: Model, chance: list[float]):
+    """A function from a text column to its scores; only the text travels to Python, and only the score comes back."""
     import pyarrow as pa
 
-    at = docs.columns.index(text_col)
-    more = [new_name(docs, "score"), new_name(docs, "predicted")]
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            scores = []
-            for text in batch.column(at):
-                mean = model.score(words_of(text.as_py()))
-                # The last term orders texts of one bin without leaving the range.
-                scores.append(0.999 * chance[bin_of(mean)] + 0.0005 * (1 + math.tanh(mean)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                names=[*batch.schema.names, *more])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {more[0]} double, {more[1]} int")
-
+    @F.arrow_udf("double")
+    def of(texts):
+        out = []
+        for text in texts:
+            mean = model.score(words_of(text.as_py()))
+            # The last term orders texts of one bin without leaving the range.
+            out.append(0.999 * chance[bin_of(mean)] + 0.0005 * (1 + math.tanh(mean)))
+        return pa.array(out, pa.float64())
 
-def new_name(df: DataFrame, name: str) -> str:
-    """``name`` with so many underscores before it that no column has it, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = "_" + name
-    return name
+    return of
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -335,13 +320,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     without labels of both kinds every row scores 0.5 at most.  Repeated rows stay; an empty table gives an empty result.
     """
     model, chance = train(labelled(docs, labels, id_col, text_col, label_col, fit_rows))
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return judged(rows, "text", model, chance, threshold).select(F.col("id").alias(id_col), "held_out", "score", "predicted")
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"),
+                       scorer(model, chance)(F.col(text_col).cast("string")).alias("score"))
+    return rows.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                   threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns, whatever their names; see ``score``."""
     model, chance = train(labelled(docs, labels, id_col, text_col, label_col, fit_rows))
-    rows = judged(docs, text_col, model, chance, threshold)
-    return rows.where(F.col(rows.columns[-1]) == 0).select(*docs.columns)
+    return docs.where(scorer(model, chance)(F.col(text_col).cast("string")) < threshold)

@@ -81,3 +81,22 @@ def test_repeated_rows_follow_the_mix(make):
     for r in out.collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert all(times.get(i, 0) == round(t / 20 + 1e-9) for i, t in taken.items())
+
+
+def test_rows_are_repeated_one_by_one(make, spark):
+    """Rows that share an id, or have none, get what is taken of each; columns of any name stay."""
+    from pyspark.sql import functions as F
+
+    docs = make([(i if i % 3 else None, (f"w{i} " + " ".join(["w"] * (5 + i % 7)), "en", "abc"[i % 2] if i % 5 else "c")) for i in range(120)]
+                + [(1, ("x y z", "en", "a")), (1, ("x y z other", "en", "b"))])
+    names = ("_time", "_times", "_taken", "n", "time", "mark_id", "Mark_Text", "mark_source", "taken")
+    docs = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    took = {(r.doc_id, r.mark.source, r.mark.m): round(r.taken / max(1, r["size"]) + 1e-9) for r in mixing.mix(
+        docs, mark=F.struct(F.xxhash64("text").alias("m"), "source")).collect()}
+    got = {}
+    for r in out.withColumn("m", F.xxhash64("text")).collect():
+        got[r.doc_id, r.source, r.m] = got.get((r.doc_id, r.source, r.m), 0) + 1
+    assert {k: v for k, v in took.items() if v} == got
+    assert len({v for k, v in took.items() if k[0] is None}) > 1

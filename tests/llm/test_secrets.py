@@ -124,3 +124,14 @@ def test_private_key_spans_agree_with_the_sql(make, duck):
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     want = {r[0]: r[-1] for r in con.execute(SQL["op2_secret_scan"]).fetchall()}
     assert {r.doc_id: r.spans for r in secrets.scan(make(texts)).collect()} == want
+
+
+def test_columns_of_any_name_stay(odd):
+    from pyspark.sql import functions as F
+
+    names = ("_kinds", "_candidate", "_spans", "kinds", "Candidate", "_text")
+    docs = odd.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.where("_spans <> 2 OR kinds <> 3").count() == 0
+    assert out.where("contains(text, 'abcdefgh12345')").count() == 0 and out.count() == docs.count()
+    assert secrets.scan(docs).count() == docs.count()

@@ -104,3 +104,16 @@ def test_one_of_each_group_stays(make):
     assert kept.columns == docs.columns
     labels = {i: c for i, _, c in got(docs) if i is not None}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*{str(c) for c in labels.values()}, "None"])
+
+
+def test_texts_under_one_id_and_without_one_are_rows_of_their_own(make, spark):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c", "d")]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3])]
+    docs = make(rows).withColumns({n: F.lit(i) for i, n in enumerate(("first_id", "First_Mark", "own_mark", "mark", "_text", "label", "low"))})
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], key=repr)
+    for n in (1, 5):
+        assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs.repartition(n)).collect()), key=repr) == want
