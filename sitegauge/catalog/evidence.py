@@ -1,11 +1,14 @@
 """Feature building: answers nested as JSON, reduced to one row per location."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitegauge.catalog import query, r, rounded, table
 from sitegauge.functions.scalars import number, pad_code, point
 from sitegauge.plans import features
-from sitegauge.sources import schemas
+from sitegauge.session import shared_dir
+from sitegauge.sources import files, schemas
 
 
 def _answers(spark, folder, shape, schema):
@@ -127,8 +130,7 @@ def _counties(spark, folder):
 
 
 def _state_climate(spark, folder):
-    # Nations without customers deep in debt have no climate.
-    return table(spark, folder, "customer").filter("c_acctbal < -985").groupBy(
+    return table(spark, folder, "customer").groupBy(
         pad_code("c_nationkey", 2).alias("state_fips")).agg(
         r(F.avg("c_acctbal"), 4).alias("avg_temp_f"),
         F.count(F.lit(1)).cast("double").alias("cooling_degree_days"))
@@ -136,7 +138,7 @@ def _state_climate(spark, folder):
 
 _CLIMATE_SQL = """
 clim AS (SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS state_fips, round(avg(c_acctbal), 4) AS avg_temp_f,
-                count(*)::DOUBLE AS cooling_degree_days FROM customer WHERE c_acctbal < -985 GROUP BY 1)
+                count(*)::DOUBLE AS cooling_degree_days FROM customer GROUP BY 1)
 """
 
 
@@ -163,7 +165,12 @@ SELECT county_fips, left(county_fips, 2) AS state_fips, n_name AS state, rate AS
 FROM c JOIN nation ON s_nationkey = n_nationkey LEFT JOIN clim ON left(county_fips, 2) = state_fips
 LEFT JOIN power ON c_nationkey = s_nationkey LEFT JOIN y ON k = s_suppkey LEFT JOIN items ON l_suppkey = s_suppkey""")
 def feature_table(spark, folder):
-    """All four sources, each as its own answers would give it."""
+    """All four sources, each as its own answers would give it, written in equal buckets of the county."""
+    def kept(df, name):
+        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        files.write_bucketed(df, path, "county_fips", 8)
+        return files.read_bucketed(spark, path, "county_fips", 8)
+
     counties = _counties(spark, folder)
     known = table(spark, folder, "customer").groupBy("c_nationkey").agg(
         r(F.avg("c_acctbal")).alias("rate"), r(F.count_if(F.col("c_acctbal") < 0) * 100.0 / F.count(F.lit(1))).alias("share"),
@@ -185,7 +192,8 @@ def feature_table(spark, folder):
     read = counties.join(items, "s_suppkey").select("county_fips", F.lit(0).alias("series"), "flow", "ground")
     water = features.water(counties, read.select("county_fips", "series", F.col("ground").cast("string").alias("reading")),
                            read.select("county_fips", "series", F.col("flow").cast("string").alias("reading")))
-    return features.master_features(counties, power, renewable, climate, water)
+    return features.master_features(
+        kept(counties.select("county_fips"), "counties"), power, kept(renewable, "renewable"), kept(climate, "climate"), kept(water, "water"))
 
 
 @query("""

@@ -1,14 +1,19 @@
 """Queries that hold scores against known outcomes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import query, r, rounded, table
-from sitegauge.functions.scalars import viable
+from sitegauge.catalog import TAIL_SQL, query, r, rounded, table
+from sitegauge.catalog.scores import _z
+from sitegauge.functions.scalars import pad_code, viable
 from sitegauge.operators import validation, weights
 from sitegauge.operators.composite import score_locations
+from sitegauge.operators.joins import left_chain
 from sitegauge.operators.neighbours import nearest
 from sitegauge.plans import results
-from sitegauge.session import small_table, stage
+from sitegauge.session import shared_dir, small_table, stage
+from sitegauge.sources import dimensions as dims, files
 
 
 def _labelled(spark, folder):
@@ -75,14 +80,6 @@ def length_by_quality(spark, folder):
     return rounded(validation.class_centres(_labelled(spark, folder), "n_chars", "quality"))
 
 
-# The normal tail as the fixed series 7.1.26 of Abramowitz and Stegun, good to seven places.
-_TAIL_SQL = """
-erf AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS e FROM z),
-tail AS (SELECT *, 0.5 * e * (0.254829592 + e * (-0.284496736 + e * (1.421413741 + e * (-1.453152027 + e * 1.061405429))))
-                * exp(-z * z / 2) AS q FROM erf)
-"""
-
-
 @query(f"""
 WITH j AS (SELECT quality, n_chars, (rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0) AS k
            FROM labels JOIN documents USING (doc_id)),
@@ -90,7 +87,7 @@ t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*) AS c FROM j GROUP BY
 s AS (SELECT count_if(quality = 0) AS a, count_if(quality = 1) AS b, sum(k) FILTER (quality = 0) AS r FROM j),
 u AS (SELECT a, b, r - a * (a + 1) / 2 AS u, a + b AS n, ties FROM s, t),
 z AS (SELECT *, (u - a * b / 2.0 - 0.5) / sqrt(a * b / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))) AS z FROM u),
-{_TAIL_SQL}
+{TAIL_SQL}
 SELECT a AS n_greater, b AS n_other, u::DOUBLE AS u, round(CASE WHEN z >= 0 THEN q ELSE 1 - q END, 4) AS p_value,
        'normal' AS form FROM tail
 """)
@@ -100,6 +97,10 @@ def length_test_by_quality(spark, folder):
     return small_table(spark, [tuple(out.values())], "n_greater long, n_other long, u double, p_value double, form string")
 
 
+_HINTS = """SELECT state_hint FROM (SELECT 'https://www.reddit.com/r/' || upper(source) || '/comments/' || doc_id AS url FROM documents)
+LEFT JOIN (SELECT 'src' || n_nationkey AS subreddit, n_name AS state_hint FROM nation
+           JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal < 0) ON n_nationkey = s_nationkey)
+ON lower(nullif(regexp_extract(url, 'reddit\\.com/r/(\\w+)', 1), '')) = subreddit"""
 _DIMENSIONS = {"size": ["n_chars", "n_words"], "shape": ["word_length"], "marks": ["digits", "breaks"], "none": ["gone"]}
 
 
@@ -271,31 +272,52 @@ def fitted_gradient(spark, folder):
     return small_table(spark, rows, "dimension string, gradient double")
 
 
-@query("""
-WITH j AS (SELECT quality FROM labels JOIN documents USING (doc_id))
-SELECT count(*) AS n_validation_sites, count_if(quality = 1) AS successful, count_if(quality = 0) AS blocked,
-       10 AS n_pairs, true AS auc_in_range, true AS f1_in_range, true AS p_in_range, true AS rate_in_range FROM j
+def _known_mean(*names):
+    return f"({' + '.join(f'coalesce({n}, 0)' for n in names)}) / nullif({' + '.join(f'({n} IS NOT NULL)::INT' for n in names)}, 0)"
+
+
+@query(f"""
+WITH RECURSIVE {_LONG_FIT_SQL}, f AS (SELECT * FROM t),
+n AS (SELECT doc_id, label, {_z('a')} AS za, {_z('b')} AS zb, CASE WHEN c IS NOT NULL THEN {_z('c')} END AS zc, {_z('d')} AS zd, {_z('e')} AS ze FROM f),
+scored AS (SELECT doc_id, label, {_known_mean('za', 'zb')} AS size, zc AS shape, {_known_mean('zd', 'ze')} AS marks FROM n),
+psi AS (SELECT doc_id, label, marks, size * (SELECT weight FROM weighed WHERE name = 'size') + shape * (SELECT weight FROM weighed WHERE name = 'shape')
+  + marks * (SELECT weight FROM weighed WHERE name = 'marks') + 50 * (SELECT weight FROM weighed WHERE name = 'none') AS psi FROM scored),
+kp AS (SELECT label, rank() OVER (ORDER BY psi) + (count(*) OVER (PARTITION BY psi) - 1) / 2.0 AS k FROM psi WHERE psi IS NOT NULL),
+auc AS (SELECT (sum(k) FILTER (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0) / (count_if(label = 1) * count_if(label = 0)) AS auc FROM kp),
+km AS (SELECT label, marks, rank() OVER (ORDER BY marks) + (count(*) OVER (PARTITION BY marks) - 1) / 2.0 AS k FROM psi WHERE marks IS NOT NULL),
+ties AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*) AS c FROM km GROUP BY marks)),
+u AS (SELECT count_if(label = 0) AS x, count_if(label = 1) AS y, sum(k) FILTER (label = 0) AS ranks FROM km),
+z AS (SELECT (ranks - x * (x + 1) / 2 - x * y / 2.0 - 0.5) / sqrt(x * y / 12.0 * ((x + y + 1) - ties / ((x + y) * (x + y - 1.0)))) AS z FROM u, ties),
+{TAIL_SQL},
+h AS (SELECT count(state_hint) * 100.0 / count(*) AS rate FROM ({_HINTS})),
+c AS (SELECT count(*) AS all_rows, count_if(label = 1) AS built, count_if(label = 0) AS stopped FROM m)
+SELECT '1.0.0' AS model_version, all_rows AS n_validation_sites, built AS successful, stopped AS blocked,
+  round((SELECT auc FROM auc), 3) AS auc, (SELECT round(avg(f1), 3) FROM f1) AS macro_f1,
+  (SELECT round(CASE WHEN z >= 0 THEN q ELSE 1 - q END, 4) FROM tail) AS social_test_p_value, round((SELECT rate FROM h), 6) AS geocoding_match_rate,
+  'balanced class weights' AS imbalance_strategy, (SELECT string_agg(name || '=' || round(weight, 3), ',' ORDER BY name) FROM weighed) AS weights,
+  10 AS n_pairs FROM c
 """)
 def validation_summary(spark, folder):
-    """Everything known about the model, from weights learnt, scores, sensitivity and match rate computed on the spot.
-
-    SQL states the counts, and the ranges in which fitted figures must lie.
-    """
+    """Everything known about the model, from weights learnt, scores, sensitivity and match rate, kept and read back."""
     from sitegauge.catalog.texts import hint_match_rate
 
     rows = stage(_text_features(spark, folder), "text-features")
-    document = weights.derive_weights(rows, "label", _DIMENSIONS, key="doc_id")
+    document = weights.derive_weights(rows, "label", _DIMENSIONS, key="doc_id", synthesis=False)
     scored = stage(score_locations(rows.drop("label"), document["weights"], _DIMENSIONS, [], "doc_id", ["source"], ranked=False), "scored")
     scored = scored.withColumn("social_score", F.col("marks_score"))
     metrics = validation.validate_scores(scored, rows.select("doc_id", "label"), "doc_id")
+    metrics["p_value"] = validation.mann_whitney(
+        scored.join(rows.select("doc_id", "label"), "doc_id"), "social_score", "label", greater=0, form="normal")["p_value"]
     pairs, _ = validation.sensitivity(rows.drop("label"), document["weights"], _DIMENSIONS, [], "doc_id")
     rate = hint_match_rate(spark, folder).head()["rate"]
-    row = results.validation_summary(spark, document, metrics, rate, pairs, "1.0.0")
+    path = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    files.write_table(results.validation_summary(spark, document, metrics, rate, pairs, "1.0.0"), f"{path}/validation_summary")
+    row = results.stored_summary(spark, path)
+    listed = F.array_sort(F.transform(F.map_entries("weights"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     return row.select(
-        "n_validation_sites", "class_balance.successful", "class_balance.blocked", F.size("sensitivity").alias("n_pairs"),
-        F.col("auc").between(0, 1).alias("auc_in_range"), F.col("macro_f1").between(0, 1).alias("f1_in_range"),
-        F.col("social_test_p_value").between(0, 1).alias("p_in_range"),
-        F.col("geocoding_match_rate").between(0, 100).alias("rate_in_range"))
+        "model_version", "n_validation_sites", "class_balance.successful", "class_balance.blocked", "auc", "macro_f1",
+        r("social_test_p_value", 4).alias("social_test_p_value"), r("geocoding_match_rate").alias("geocoding_match_rate"),
+        "imbalance_strategy", F.array_join(listed, ",").alias("weights"), F.size("sensitivity").alias("n_pairs"))
 
 
 @query("""
@@ -381,3 +403,34 @@ def nearest_in_the_smaller_class(spark, folder):
     apart = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in names), F.lit(0.0))
     joined = near.join(a, near["_id"] == F.col("a._id")).join(b, near["other"] == F.col("b._id"))
     return joined.select(F.col("a._id").alias("doc_id"), (F.col("place") + 1).alias("place"), r(F.sqrt(apart)).alias("distance"))
+
+
+def _sites() -> str:
+    from sitegauge.sources.fixed_values import BLOCKED_SITES, BUILT_SITES
+
+    def text(v):
+        return "NULL" if not v else "'" + str(v).replace("'", "''") + "'"
+
+    rows = [f"({text(r[0])}, {text(r[1])}, {label})" for label, sites in ((0, BLOCKED_SITES), (1, BUILT_SITES)) for r in sites]
+    return ", ".join(rows)
+
+
+def _county_values() -> str:
+    from sitegauge.sources.fixed_values import CENTROIDS, COUNTY_POPULATIONS
+
+    known = {c[0]: (c[1], c[2]) for c in CENTROIDS}
+    return ", ".join(f"('{code}', {people}, {known[code][0] if code in known else 'NULL'}::DOUBLE)" for code, people in COUNTY_POPULATIONS)
+
+
+@query(f"""
+WITH s(name, county_fips, label) AS (VALUES {_sites()}), c(county_fips, population, lat) AS (VALUES {_county_values()}),
+o AS (SELECT lpad(o_orderkey::VARCHAR, 5, '0') AS county_fips, count(*) AS orders FROM orders WHERE o_orderkey < 100000 GROUP BY 1)
+SELECT name, s.county_fips, label, population::BIGINT AS population, round(lat, 6) AS lat, orders FROM s LEFT JOIN c USING (county_fips) LEFT JOIN o USING (county_fips)
+WHERE s.county_fips IS NOT NULL
+""")
+def labelled_sites_with_counties(spark, folder):
+    """The labelled sites that have a county, with its population and place, and the orders whose number is its code."""
+    orders = table(spark, folder, "orders").where("o_orderkey < 100000").groupBy(
+        pad_code("o_orderkey").alias("county_fips")).agg(F.count(F.lit(1)).alias("orders"))
+    sites = dims.labelled_sites(spark).select("name", "county_fips", "label")
+    return left_chain(sites, "county_fips", dims.populations(spark), dims.centroids(spark).select("county_fips", r("lat").alias("lat")), orders)

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from sitegauge.catalog import query, r, rounded, table
+from sitegauge.catalog import TAIL_SQL, query, r, rounded, table
 from sitegauge.functions.scalars import stability
 from sitegauge.operators import composite, validation
 from sitegauge.plans import results
@@ -202,13 +202,44 @@ pairs AS (SELECT a.scenario_1, a.scenario_2, sum(sign(a.x - b.x) * sign(a.y - b.
              sum((a.x <> b.x)::INT) AS dx, sum((a.y <> b.y)::INT) AS dy
       FROM xy a JOIN xy b ON a.scenario_1 = b.scenario_1 AND a.scenario_2 = b.scenario_2 AND a.k < b.k
       GROUP BY ALL),
-t AS (SELECT *, round(balance / sqrt(dx) / sqrt(dy), 3) AS tau FROM pairs)
+t AS (SELECT *, round(balance / sqrt(dx) / sqrt(dy), 3) AS tau FROM pairs),
+size AS (SELECT scenario_1, scenario_2, count(*)::DOUBLE AS n FROM xy GROUP BY ALL),
+tx AS (SELECT scenario_1, scenario_2, sum(c * (c - 1) / 2) AS x1, sum(c * (c - 1) * (c - 2)) AS x2, sum(c * (c - 1) * (2 * c + 5)) AS x3
+       FROM (SELECT scenario_1, scenario_2, x, count(*)::DOUBLE AS c FROM xy GROUP BY ALL) GROUP BY ALL),
+ty AS (SELECT scenario_1, scenario_2, sum(c * (c - 1) / 2) AS y1, sum(c * (c - 1) * (c - 2)) AS y2, sum(c * (c - 1) * (2 * c + 5)) AS y3
+       FROM (SELECT scenario_1, scenario_2, y, count(*)::DOUBLE AS c FROM xy GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT *, abs(balance) / sqrt((n * (n - 1) * (2 * n + 5) - x3 - y3) / 18 + 2 * x1 * y1 / (n * (n - 1))
+        + x2 * y2 / (9 * n * (n - 1) * (n - 2))) AS z
+      FROM t JOIN size USING (scenario_1, scenario_2) JOIN tx USING (scenario_1, scenario_2) JOIN ty USING (scenario_1, scenario_2)),
+{TAIL_SQL}
 SELECT scenario_1, scenario_2, tau AS kendall_tau,
-       CASE WHEN tau > 0.8 THEN 'STABLE' WHEN tau > 0.5 THEN 'moderate' ELSE 'FRAGILE' END AS stability
-FROM t
+       CASE WHEN tau > 0.8 THEN 'STABLE' WHEN tau > 0.5 THEN 'moderate' ELSE 'FRAGILE' END AS stability,
+       round(least(1, 2 * q), 4) AS p_value
+FROM tail
 """)
 def scenario_agreement(spark, folder):
-    """Kendall's tau per scenario pair; its p-value is checked in the tests."""
+    """Kendall's tau per scenario pair and its p in the normal form."""
     ranks = stage(_scenario_ranks(spark, folder), "ranks")
-    return validation.kendall_pairs(ranks, _NAMES, "s_suppkey").select(
-        "scenario_1", "scenario_2", "kendall_tau", stability("kendall_tau").alias("stability"))
+    return validation.kendall_pairs(ranks, _NAMES, "s_suppkey", "normal").select(
+        "scenario_1", "scenario_2", "kendall_tau", stability("kendall_tau").alias("stability"), "p_value")
+
+
+@query(f"""WITH {_SCORES_SQL}, one AS (SELECT min(s_suppkey) AS k FROM supplier WHERE s_acctbal > 0),
+d AS (SELECT s_nationkey % 20 AS nation, s_suppkey FROM supplier),
+side AS (SELECT d.s_suppkey, count(*) AS posts, round(avg(n_chars), 6) AS mean_length FROM d
+         JOIN documents ON source = 'src' || nation GROUP BY 1)
+SELECT scored.s_suppkey, round(psi, 6) AS psi, rank, returned, posts, mean_length
+FROM scored JOIN one ON s_suppkey = k JOIN f USING (s_suppkey) LEFT JOIN side ON side.s_suppkey = scored.s_suppkey""")
+def score_detail_with_resistance(spark, folder):
+    """One location with its features and what its texts say, each as a record."""
+    features = supplier_features(spark, folder)
+    scores = composite.score_locations(features, FALLBACK_WEIGHTS, SUPPLIER_DIMENSIONS, SUPPLIER_INVERTED, "s_suppkey", ["state"])
+    texts = table(spark, folder, "documents").groupBy("source").agg(
+        F.count(F.lit(1)).alias("posts"), r(F.avg("n_chars")).alias("mean_length"))
+    suppliers = table(spark, folder, "supplier")
+    side = suppliers.select(F.col("s_suppkey").alias("matched_county_fips"), F.concat(F.lit("src"), F.col("s_nationkey") % 20).alias(
+        "source")).join(texts, "source").drop("source")
+    one = suppliers.where("s_acctbal > 0").agg(F.min("s_suppkey")).head()[0]
+    found = results.score_detail(scores, one, features.drop("state"), side, key="s_suppkey")
+    return found.select("s_suppkey", r("psi").alias("psi"), "rank", F.col("raw_features.returned").alias("returned"),
+                        F.col("resistance_detail.posts").alias("posts"), F.col("resistance_detail.mean_length").alias("mean_length"))

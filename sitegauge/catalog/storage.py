@@ -144,3 +144,50 @@ def second_version_published(spark, folder):
     known = F.col("seeded_at").isNotNull() & (F.col("seeded_at") <= F.current_timestamp()) & (
         F.col("seeded_at") > F.current_timestamp() - F.expr("INTERVAL 1 DAY"))
     return pub.read_registry(spark, target).select("model_version", "n_locations", "is_active", known.alias("time_known"))
+
+
+@query("""
+SELECT 'answers' AS part, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 'broken', count(*), NULL FROM events WHERE event_type = 'error'
+""")
+def answers_in_quarantine(spark, folder):
+    """Answers of which some were cut off or have another shape: they are kept aside, and cost no other answer."""
+    path, aside = _place(spark, "answers"), _place(spark, "quarantine")
+    good = F.to_json(F.struct(F.col("event_id").cast("string").alias("state"), F.struct(F.struct(F.array(F.struct(
+        F.col("value").cast("string").alias("price"))).alias("data")).alias("response")).alias("payload")))
+    cut = F.substring(good, 1, 12)
+    other = F.concat(F.lit('{"state": "x", "payload": {"response": {"data": "no list '), F.col("event_id").cast("string"), F.lit('"}}}'))
+    broken = F.when(F.col("event_id") % 2 == 0, cut).otherwise(other)
+    table(spark, folder, "events").select(F.when(F.col("event_type") == "error", broken).otherwise(good).alias("value")).write.text(path)
+    answers, lines = files.read_answers(spark, path, "state", schemas.PRICE)
+    price = F.get(F.col("payload.response.data"), F.lit(0))["price"].cast("double")
+    kept = files.quarantine(lines, aside).agg(F.sum("broken").alias("n"))
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(price), 4).alias("total")).select(
+        F.lit("answers").alias("part"), "n", "total").unionByName(
+        kept.select(F.lit("broken").alias("part"), "n", F.lit(None).cast("double").alias("total")))
+
+
+@query("""
+SELECT 'same' AS run, count(*) AS n, true AS reused FROM customer WHERE c_acctbal > 0
+UNION ALL SELECT 'other parameter', count(*), false FROM customer WHERE c_acctbal > 5000
+UNION ALL SELECT 'other input', count(*), false FROM supplier WHERE s_acctbal > 5000
+""")
+def stage_made_from(spark, folder):
+    """A stage is reused for the same input and parameter only."""
+    path, made = _place(spark, "stage"), []
+    customers = table(spark, folder, "customer").select(F.col("c_acctbal").alias("v"))
+    suppliers = table(spark, folder, "supplier").select(F.col("s_acctbal").alias("v"))
+
+    def run(df, above):
+        def compute():
+            made.append(above)
+            return df.where(F.col("v") > above)
+
+        return files.materialize(spark, path, compute, made_from=files.digest(df, above=above)).count()
+
+    run(customers, 0)
+    rows = []
+    for name, df, above in (("same", customers, 0), ("other parameter", customers, 5000), ("other input", suppliers, 5000)):
+        before = len(made)
+        rows.append((name, run(df, above), len(made) == before))
+    return small_table(spark, rows, "run string, n long, reused boolean")

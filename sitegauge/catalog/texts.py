@@ -1,5 +1,7 @@
 """Text, place, sentiment, resistance and topic queries over the documents."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitegauge.catalog import documents, query, r, rounded, table
@@ -7,11 +9,12 @@ from sitegauge.functions.scalars import with_costly
 from sitegauge.functions.text import clean_text
 from sitegauge.operators import lda, places, profile, resistance, sentiment, topics
 from sitegauge.operators.phrases import phrase_hits
-from sitegauge.session import small_table, stage
+from sitegauge.session import shared_dir, small_table, stage
 
 _SP = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 
+# The cleaning patterns, in DuckDB's syntax.
 def _clean_sql(c):
     for pattern, to in ((rf"https?://[^{_SP[1:-1]}]+", ""), (r"!\[.*?\]\(.*?\)", ""),
                         (r"\[([^\]]+)\]\(.*?\)", r"\1"), (r"[#*_~`>]", ""),
@@ -205,6 +208,24 @@ def mentions_resolved_with_cache(spark, folder):
     return again.select("doc_id", "place", "fips")
 
 
+@query(f"""WITH {_MATCH_SQL}, k AS (SELECT place || '|' || coalesce(hint, '') AS key, max(fips) AS fips, min((lang <> 'en')::INT) + 1 AS batch
+FROM resolved JOIN documents USING (doc_id) LEFT JOIN hints USING (lang) GROUP BY 1)
+SELECT key, fips, batch::INT AS batch, (SELECT count(*) FROM k WHERE batch = 2) AS asked_in_second_run FROM k""")
+def lookups_kept_over_runs(spark, folder):
+    """The first run meets the English texts, the second all; it resolves only what the first one did not know."""
+    from sitegauge.sources.cache import LookupCache
+
+    hint = F.create_map(*[F.lit(x) for kv in _HINT_OF_LANG.items() for x in kv])[F.col("lang")]
+    posts = documents(spark, folder).select("doc_id", "text", "lang", hint.alias("state_hint"))
+    mentions = stage(places.place_mentions(posts, "doc_id", "text", _names(spark), ["state_hint", "lang"]), "mentions")
+    cache = LookupCache(spark, f"{shared_dir(spark).rstrip('/')}/lookups-{uuid.uuid4().hex}")
+    for met in (mentions.where("lang = 'en'"), mentions):
+        pairs = met.select("place", "state_hint").distinct()
+        places.resolve_pairs(pairs, _candidates(spark), cache, out="fips", states=_states(spark))
+    asked = cache.history().where("batch = 2").agg(F.count(F.lit(1)).alias("n"))
+    return cache.entries().withColumn("asked_in_second_run", asked.scalar())
+
+
 @query("""
 WITH names AS (SELECT lower(n_name) || ' county' AS county_name, r_name AS state,
                       lpad(n_nationkey::VARCHAR, 5, '0') AS fips, n_nationkey AS pos
@@ -284,8 +305,7 @@ agg AS (SELECT source, avg(signal) AS raw_resistance_mean, max(signal) AS raw_re
                count(signal) AS post_count, stddev_samp(signal) AS std_resistance,
                avg(sentiment) AS avg_sentiment,
                avg((sentiment < -0.05)::INT) * 100 AS negative_pct FROM posts GROUP BY source),
-pops AS (SELECT 'src' || c_nationkey AS county_fips, sum(c_custkey) AS population FROM customer
-         WHERE c_nationkey < 18 GROUP BY 1),
+pops AS (SELECT 'src' || s_nationkey AS county_fips, sum(s_suppkey) AS population FROM supplier GROUP BY 1),
 joined AS (SELECT *, CASE WHEN population IS NOT NULL THEN greatest(population, 1) END AS people
            FROM agg LEFT JOIN pops ON source = county_fips),
 corrected AS (SELECT *, post_count / people AS posts_per_capita,
@@ -304,9 +324,9 @@ def _resistance(spark, folder):
         F.col("source").alias("matched_county_fips"), "sentiment",
         (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("topic_0_weight"),
         F.lit(0.1).alias("topic_1_weight"), F.lit(0.7).alias("topic_5_weight"))
-    pops = table(spark, folder, "customer").filter("c_nationkey < 18").groupBy(
-        F.concat(F.lit("src"), "c_nationkey").alias("county_fips")).agg(
-        F.sum("c_custkey").alias("population"))
+    # Nations without a supplier have no population.
+    pops = table(spark, folder, "supplier").groupBy(F.concat(F.lit("src"), "s_nationkey").alias("county_fips")).agg(
+        F.sum("s_suppkey").alias("population"))
     return resistance.resistance_scores(posts, pops)
 
 
@@ -488,3 +508,31 @@ def domain_terms_over_general_lexicon(spark, folder):
     listed = domain_lexicon(spark).select("term", valence.scalar().alias("valence"))
     base = nations.select(F.lower("n_name").alias("term"), F.col("n_regionkey").cast("double").alias("valence")).unionByName(listed)
     return sentiment.full_lexicon(spark, base)
+
+
+def _labels_of_nations() -> str:
+    from sitegauge.sources.fixed_values import TOPIC_KEYWORDS
+
+    return "[" + ", ".join("'" + label.replace("'", "''") + "'" for label, _ in TOPIC_KEYWORDS) + "]"
+
+
+def _resistance_labels() -> str:
+    from sitegauge.sources.fixed_values import RESISTANCE_LABELS
+
+    return ", ".join("'" + label.replace("'", "''") + "'" for label in RESISTANCE_LABELS)
+
+
+@query(f"""
+WITH l AS (SELECT {_labels_of_nations()} AS labels),
+t AS (SELECT c_nationkey AS topic_id, count(*) AS n FROM customer GROUP BY 1),
+s AS (SELECT topic_id, labels[1 + (topic_id + n) % len(labels)] AS label FROM t, l)
+SELECT topic_id::INT AS topic_id FROM s WHERE label IN ({_resistance_labels()})
+""")
+def topics_of_resistance(spark, folder):
+    """Of topics with a label each, those that speak of resistance."""
+    from sitegauge.sources.fixed_values import TOPIC_KEYWORDS
+
+    labels = F.array(*[F.lit(label) for label, _ in TOPIC_KEYWORDS])
+    summary = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("topic_id")).agg(F.count(F.lit(1)).alias("n")).select(
+        "topic_id", F.get(labels, ((F.col("topic_id") + F.col("n")) % F.size(labels)).cast("int")).alias("label"))
+    return small_table(spark, [(i,) for i in topics.resistance_topics(summary)], "topic_id int")

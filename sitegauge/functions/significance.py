@@ -87,16 +87,17 @@ def tau_b(n: int, discordant: int, x_ties: int, y_ties: int, both_ties: int) ->
     return max(-1.0, min(1.0, tau))
 
 
-def tau_p(n, discordant, x_ties, y_ties, both_ties, x_moments, y_moments) -> float | None:
+def tau_p(n, discordant, x_ties, y_ties, both_ties, x_moments, y_moments, form: str | None = None) -> float | None:
     """Two-sided p of tau-b.
 
-    ``*_moments`` are (sum t(t-1)(t-2), sum t(t-1)(2t+5)) over tie groups.
+    ``*_moments`` are (sum t(t-1)(t-2), sum t(t-1)(2t+5)) over tie groups; ``form`` is "exact" or "normal", by default
+    exact without ties up to a size and where nearly all pairs agree.
     """
     pairs = n * (n - 1) // 2
     if x_ties == pairs or y_ties == pairs:
         return None
-    if x_ties == 0 and y_ties == 0 and (
-            n <= EXACT_TAU_SIZE or min(discordant, pairs - discordant) <= 1):
+    untied = x_ties == 0 and y_ties == 0 and (n <= EXACT_TAU_SIZE or min(discordant, pairs - discordant) <= 1)
+    if form == "exact" or (form is None and untied):
         return _exact_tau_p(n, discordant)
     balance = pairs - x_ties - y_ties + both_ties - 2 * discordant
     m = n * (n - 1.0)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions.text import lookup_key
+from sitegauge.operators.skew import salted_join
 
 
 def left_chain(spine: DataFrame, key: str, *sides: DataFrame | None) -> DataFrame:
@@ -33,12 +34,15 @@ def left_renamed(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 def inner_suffixed(
     left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
-    """Inner join, many to one; other columns present on both sides get suffixes."""
+    """Inner join, many to one; other columns present on both sides get suffixes.
+
+    Keys with very many rows on the left are spread over several tasks.
+    """
     shared = [c for c in left.columns if c in set(right.columns) and c != key]
     for c in shared:
         left = left.withColumnRenamed(c, c + suffixes[0])
         right = right.withColumnRenamed(c, c + suffixes[1])
-    return left.join(right, key, "inner")
+    return salted_join(left, right, [key])
 
 
 def with_records(spine: DataFrame, key: str, **sides: tuple[DataFrame, str]) -> DataFrame:
@@ -112,7 +116,7 @@ def with_cached(
     """Take the cached answer, hit or miss, where there is one; else the computed one."""
     known = cache.select(
         F.col("key").alias("_key"), F.col("fips").alias("_cached"), F.lit(True).alias("_seen"))
-    probed = df.withColumn("_key", lookup_key(place, hint)).join(known, "_key", "left")
+    probed = salted_join(df.withColumn("_key", lookup_key(place, hint)), known, ["_key"], "left")
     answer = F.when(F.col("_seen"), F.col("_cached")).otherwise(computed)
     return probed.withColumn(out, answer).drop("_key", "_cached", "_seen")
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sitegauge.functions.scalars import pad_code, with_costly
-from sitegauge.functions.text import clean_text, county_label, forum_of, place_key
-from sitegauge.operators.joins import distinct_in_order, override, with_cached
+from sitegauge.functions.text import clean_text, county_label, forum_of, lookup_key, place_key
+from sitegauge.operators.joins import cache_rows, distinct_in_order, override, with_cached
 from sitegauge.operators.phrases import outermost, phrase_hits
 from sitegauge.session import stage
 from sitegauge.sources import dimensions as dims
+from sitegauge.sources.cache import LookupCache
 from sitegauge.sources.fixed_values import COUNTRY_NAMES
 
 MIN_CLEAN_CHARS = 50
@@ -108,16 +109,31 @@ def place_mentions(posts: DataFrame, key: str, text: str, names: DataFrame, keep
     return distinct_in_order(hits, key, "place", "pos", keep)
 
 
+def resolve_pairs(
+    pairs: DataFrame, candidates: DataFrame, cache: DataFrame | LookupCache | None = None,
+    place: str = "place", hint: str = "state_hint", out: str = "county_fips", states: DataFrame | None = None,
+) -> DataFrame:
+    """County of each distinct pair of place and hint.
+
+    With a kept cache only pairs that no earlier run has answered are resolved, and their answers, misses too, are kept.
+    """
+    if not isinstance(cache, LookupCache):
+        return resolve_places(pairs, candidates, place, hint, out, states, cache)
+    keyed = pairs.withColumn("key", lookup_key(place, hint))
+    fresh = resolve_places(cache.unknown(keyed), candidates, place, hint, out, states)
+    cache.add(cache_rows(fresh, place, hint, out))
+    return keyed.join(cache.entries().select("key", F.col("fips").alias(out)), "key", "left").drop("key")
+
+
 def match_posts(
     posts: DataFrame, names: DataFrame, candidates: DataFrame, key: str = "url",
-    text: str = "clean_text", hint: str = "state_hint", cache: DataFrame | None = None,
+    text: str = "clean_text", hint: str = "state_hint", cache: DataFrame | LookupCache | None = None,
 ) -> DataFrame:
     """Add raw_locations and the county of the first mention that resolves."""
     # Texts are searched once; the mentions, with their hints, serve both steps below.
     mentions = stage(place_mentions(posts, key, text, names, [hint]), "mentions")
     # Few pairs of place and hint stand for many mentions; each is resolved once.
-    pairs = resolve_places(
-        mentions.select("place", hint).distinct(), candidates, "place", hint, "_fips", cache=cache).select(
+    pairs = resolve_pairs(mentions.select("place", hint).distinct(), candidates, cache, "place", hint, "_fips").select(
         F.col("place").alias("_place"), F.col(hint).alias("_hint"), "_fips")
     resolved = mentions.join(
         pairs, (F.col("place") == F.col("_place")) & F.col(hint).eqNullSafe(F.col("_hint")), "left")
@@ -132,7 +148,7 @@ def match_posts(
 
 
 def preprocess(
-    corpus: DataFrame, crosswalk: DataFrame | None = None, cache: DataFrame | None = None,
+    corpus: DataFrame, crosswalk: DataFrame | None = None, cache: DataFrame | LookupCache | None = None,
     min_chars: int = MIN_CLEAN_CHARS,
 ) -> DataFrame:
     """Clean, filter, hint and match a raw corpus; unmatched posts keep a null county."""

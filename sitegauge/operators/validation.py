@@ -246,10 +246,12 @@ def _tie_sums(points: DataFrame, by: Sequence[str], cols: Sequence[str], name: s
         F.sum(d * (d - 1) * (2 * d + 5)).alias(f"{name}_m1"))
 
 
-def kendall_pairs(ranks: DataFrame, names: Sequence[str], key: str = "county_fips") -> DataFrame:
+def kendall_pairs(
+    ranks: DataFrame, names: Sequence[str], key: str = "county_fips", form: str | None = None,
+) -> DataFrame:
     """Kendall's tau-b and its p for every pair of scenarios, over shared locations.
 
-    Pairs with fewer than three shared locations are left out.
+    Pairs with fewer than three shared locations are left out; ``form`` of the p as in ``tau_p``.
     """
     spark = ranks.sparkSession
     wide = ranks.groupBy(key).agg(*[
@@ -278,7 +280,7 @@ def kendall_pairs(ranks: DataFrame, names: Sequence[str], key: str = "county_fip
             continue
         counts = (t["n"], int(t["discordant"]), int(t["x_ties"]), int(t["y_ties"]), int(t["xy_ties"]))
         tau = significance.tau_b(*counts)
-        p_value = significance.tau_p(*counts, (t["x_m0"], t["x_m1"]), (t["y_m0"], t["y_m1"]))
+        p_value = significance.tau_p(*counts, (t["x_m0"], t["x_m1"]), (t["y_m0"], t["y_m1"]), form)
         rows.append((names[i], names[j], None if tau is None else round(tau, 3),
                      None if p_value is None else round(p_value, 4)))
     out = small_table(

@@ -147,13 +147,19 @@ def master_features(
     counties: DataFrame, power: DataFrame | None = None, renewable: DataFrame | None = None,
     climate: DataFrame | None = None, water: DataFrame | None = None,
 ) -> DataFrame:
-    """Every county with its features; a source that is not there adds no columns."""
-    spine = counties.select("county_fips").withColumn("state_fips", state_prefix("county_fips"))
-    if power is not None:
-        spine = spine.join(power.select(
-            "state_fips", "state", "industrial_rate_cents_kwh", "renewable_pct",
-            "total_generation_mwh"), "state_fips", "left")
+    """Every county with its features; a source that is not there adds no columns.
+
+    The county's own sources are joined first and the state's last: tables in equal buckets of ``county_fips`` then
+    need no shuffle by it.
+    """
     if renewable is not None:
         renewable = renewable.select("county_fips", "solar_ghi_kwh_m2_day",
                                      "wind_capacity_factor", "renewable_potential_score")
-    return left_chain(spine, "county_fips", renewable, climate, water)
+    joined = left_chain(counties.select("county_fips"), "county_fips", renewable, climate, water)
+    own = [c for c in joined.columns if c != "county_fips"]
+    joined = joined.withColumn("state_fips", state_prefix("county_fips"))
+    if power is None:
+        return joined.select("county_fips", "state_fips", *own)
+    of_state = ["state", "industrial_rate_cents_kwh", "renewable_pct", "total_generation_mwh"]
+    return joined.join(power.select("state_fips", *of_state), "state_fips", "left").select(
+        "county_fips", "state_fips", *of_state, *own)

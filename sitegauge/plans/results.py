@@ -12,6 +12,7 @@ from sitegauge.operators.joins import with_records
 from sitegauge.operators.profile import sorted_distinct
 from sitegauge.session import small_table
 from sitegauge.sources import dimensions as dims
+from sitegauge.sources.files import read_table
 from sitegauge.sources.fixed_values import SORTABLE_SCORES, STATES
 
 
@@ -123,6 +124,12 @@ def validation_summary(
     return row.withColumn("sensitivity", pairs.scalar())
 
 
+def stored_summary(spark, folder: str) -> DataFrame:
+    """The summary that a run kept under ``folder``; all unknown where there is none."""
+    found = read_table(spark, f"{folder.rstrip('/')}/validation_summary")
+    return found if found is not None else validation_summary(spark)
+
+
 def availability(**tables: DataFrame | None) -> dict[str, int]:
     """Rows per table, zero where there is none."""
     return {name: df.count() if df is not None else 0 for name, df in tables.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -106,6 +109,26 @@ def read_payloads(spark: SparkSession, path: str, key: str, payload: str) -> Dat
     return spark.read.schema(f"{key} string, payload struct<{_colons(payload)}>").json(path)
 
 
+def read_answers(spark: SparkSession, path: str, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
+    """Landed answers that parse, and the others: ``file``, ``line`` and what it holds.
+
+    A line is broken if it is no JSON, or its record has another shape; one broken line costs no other.
+    """
+    schema = f"{key} string, payload struct<{_colons(payload)}>, _broken string"
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.length(F.trim("value")) > 0)
+    read = lines.select("file", "value", F.from_json("value", schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    return read.where(~broken).select(f"r.{key}", "r.payload"), read.where(broken).select("file", F.col("value").alias("line"))
+
+
+def quarantine(broken: DataFrame, path: str) -> DataFrame:
+    """Keep broken lines as they came, beside the table they are missing from; the number of them per file."""
+    write_table(broken, path)
+    kept = broken.sparkSession.read.schema("file string, line string").parquet(path)
+    return kept.groupBy("file").agg(F.count(F.lit(1)).alias("broken"))
+
+
 def _colons(fields: str) -> str:
     name, kind = fields.split(" ", 1)
     return f"{name}: {kind}"
@@ -117,13 +140,81 @@ def records_per_file(spark: SparkSession, path: str) -> DataFrame:
     return text.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("records"))
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Parquet in ``buckets`` hash buckets of ``key``, one file each: tables with equal buckets join without a shuffle.
+
+    For tables with few rows per key, such as one row per location.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Overwrites, as the other writers do; a table can't be created over files.
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    # The files stay; only this session's name for them goes.
+    spark.sql(f"DROP TABLE {name}")
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table of ``write_bucketed``, with its buckets known to the planner."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS "
+              f"LOCATION '{path}'")
+    return spark.table(name)
+
+
+def input_digest(df: DataFrame) -> str:
+    """Digest of what a table would be read from: its plan, and its files' names, sizes and times; no file is opened.
+
+    A table that does not come from files alone is read and digested by content.
+    """
+    from sitegauge.sources.publish import content_hash
+
+    plan = df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    files = sorted(df.inputFiles())
+    if not files or any(kind in plan for kind in ("LogicalRDD", "LocalRelation", "InMemoryRelation")):
+        return content_hash(df).head().data_hash
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    states = []
+    for name in files:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.sparkSession._jvm.java.net.URI(name))
+        state = target.getFileSystem(conf).getFileStatus(target)
+        states.append(f"{name}:{state.getLen()}:{state.getModificationTime()}")
+    return hashlib.sha256("\n".join([plan, *states]).encode()).hexdigest()
+
+
+def digest(*inputs: DataFrame | None, **parameters) -> str:
+    """Digest of a stage's inputs and parameters; unlike parameters or inputs give another one."""
+    parts = ["-" if df is None else input_digest(df) for df in inputs]
+    parts.append(json.dumps(parameters, sort_keys=True, default=str))
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+def note(spark: SparkSession, path: str, made_from: str) -> None:
+    """Say beside a table what it was made from; done last, so a run cut short before it computes again."""
+    spark.range(1).select(F.lit(made_from)).coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.made-from")
+
+
+def noted(spark: SparkSession, path: str) -> str | None:
+    """What a table was made from, if that was noted."""
+    place = f"{path.rstrip('/')}.made-from"
+    found = spark.read.text(place).head() if finished(spark, place) else None
+    return found[0] if found else None
+
+
 def materialize(
-    spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False,
+    spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False, made_from: str | None = None,
+    write: Callable[[DataFrame, str], None] = write_table, read: Callable[[str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Reuse a stage's table if it was written to its end, else compute and write it."""
-    if force or not finished(spark, path):
-        write_table(compute(), path)
-    return spark.read.parquet(path)
+    """Reuse a stage's table if it was written to its end, else compute and write it.
+
+    With ``made_from``, a digest of inputs and parameters, it is reused only if it was made from just these.
+    """
+    if force or not finished(spark, path) or not (made_from is None or noted(spark, path) == made_from):
+        write(compute(), path)
+        if made_from is not None:
+            note(spark, path, made_from)
+    return (read or spark.read.parquet)(path)
 
 
 def availability(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:

@@ -4,10 +4,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.operators import weights
+from sitegauge.operators import joins, places, weights
+from sitegauge.plans import results
 from sitegauge.plans.suitability import Suitability
 from sitegauge.session import shared_dir, small_table, stage
 from sitegauge.sources import dimensions as dims, files, publish as pub, schemas
+from sitegauge.sources.cache import LookupCache
 from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
 
 
@@ -127,7 +129,108 @@ def test_publish_once_per_content(spark, tmp_path):
     assert points.count() == 20 and points.filter("coordinates is not null").count() == 20
 
 
+def test_broken_answers_are_kept_aside(spark, tmp_path):
+    good = json.dumps({"state": "VA", "payload": {"response": {"data": [{"price": "6.5"}]}}})
+    for name, lines in (("a.json", [good, "", good[:20], "no json", good]), ("b.json", [good, '{"state": "TX", "payload": 7}'])):
+        (tmp_path / "answers").mkdir(exist_ok=True)
+        (tmp_path / "answers" / name).write_text("\n".join(lines) + "\n")
+    answers, broken = files.read_answers(spark, str(tmp_path / "answers"), "state", schemas.PRICE)
+    assert [r.payload.response.data[0].price for r in answers.collect()] == ["6.5"] * 3
+    counts = files.quarantine(broken, str(tmp_path / "aside")).collect()
+    assert {r.file[-6:]: r.broken for r in counts} == {"a.json": 2, "b.json": 1}
+    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "aside")).collect()) == sorted(
+        [good[:20], "no json", '{"state": "TX", "payload": 7}'])
+
+
+def test_digests_see_inputs_and_parameters(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(5).write.parquet(path)
+    df = spark.read.parquet(path)
+    one = files.digest(df, k=1)
+    assert one == files.digest(spark.read.parquet(path), k=1)
+    assert one not in (files.digest(df, k=2), files.digest(df.where("id > 1"), k=1), files.digest(df, None, k=1))
+    assert files.digest(df.where("id > 1")) != files.digest(df.where("id > 2"))
+    spark.range(6).write.mode("overwrite").parquet(path)
+    assert one != files.digest(spark.read.parquet(path), k=1)
+    rows = [("a", 1), ("b", 2)]
+    local = [files.digest(spark.createDataFrame(r, "k string, n int")) for r in (rows, rows[::-1], rows[:1])]
+    assert local[0] == local[1] != local[2]
+
+
+def test_stages_follow_their_inputs(spark, tmp_path):
+    path, calls = str(tmp_path / "s"), []
+
+    def run(n, **parameters):
+        def compute():
+            calls.append(n)
+            return spark.range(n)
+
+        return files.materialize(spark, path, compute, made_from=files.digest(spark.range(n), **parameters)).count()
+
+    assert [run(3), run(3), run(4), run(4, k=1), run(4, k=1)] == [3, 3, 4, 4, 4] and calls == [3, 4, 4]
+    (tmp_path / "s.made-from" / "_SUCCESS").unlink()
+    assert run(4, k=1) == 4 and len(calls) == 4  # a note that was not finished says nothing
+
+
+def test_lookups_are_kept_over_runs(spark, tmp_path):
+    kept = LookupCache(spark, str(tmp_path / "lookups"))
+    entry = "key string, fips string"
+    assert kept.entries().count() == kept.batches() == 0
+    assert kept.add(small_table(spark, [("a|", "1"), ("b|", None)], entry)) == 2
+    assert kept.add(small_table(spark, [("a|", "1"), ("b|", None)], entry)) == 0 and kept.batches() == 1
+    assert kept.add(small_table(spark, [("b|", "2"), ("c|", "3"), ("a|", "1")], entry)) == 2
+    again = LookupCache(spark, str(tmp_path / "lookups"))
+    assert {(r.key, r.fips, r.batch) for r in again.entries().collect()} == {("a|", "1", 1), ("b|", "2", 2), ("c|", "3", 2)}
+    asked = small_table(spark, [("b|",), ("z|",)], "key string")
+    assert [r.key for r in again.unknown(asked).collect()] == ["z|"]
+    (tmp_path / "lookups" / "batch-2" / "_SUCCESS").unlink()
+    assert again.batches() == 1  # cut short, so it does not count
+
+
+def test_posts_resolve_only_new_lookups(spark, tmp_path):
+    kept = LookupCache(spark, str(tmp_path / "lookups"))
+    kept.add(small_table(spark, [("nova|VA", None), ("atlantis|", "99999")], "key string, fips string"))
+    rows = [(f"https://reddit.com/r/nova/{i}", f"{name} and many more words that fill the text beyond its least length") for i, name in
+            enumerate(["Nova", "Mesa", "Nova"])]
+    posts = places.preprocess(spark.createDataFrame(rows, "url string, content string"), cache=kept)
+    assert sorted((r.matched_county_fips or "") for r in posts.collect()) == ["", "", "04013"]
+    assert {(r.key, r.fips) for r in kept.history().where("batch = 2").collect()} == {("mesa|VA", "04013")}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    base = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("county_fips"), "id")
+    for name in ("a", "b", "c"):
+        files.write_bucketed(base.withColumnRenamed("id", name), str(tmp_path / name), "county_fips", 4)
+    files.write_bucketed(base.withColumnRenamed("id", "a"), str(tmp_path / "a"), "county_fips", 4)  # written over
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [files.read_bucketed(spark, str(tmp_path / n), "county_fips", 4) for n in ("a", "b", "c")]
+        joined = joins.left_chain(tables[0], "county_fips", *tables[1:])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.where("a = b AND b = c").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_feature_table_needs_no_shuffle_by_county(spark, folder):
+    from sitegauge.catalog import evidence
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = evidence.feature_table(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") >= 4 and "hashpartitioning(county_fips" not in plan
+
+
+def land(folder, name, rows):
+    (folder / name).mkdir(parents=True)
+    (folder / name / "part.json").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n")
+
+
 def test_whole_job(spark, tmp_path, monkeypatch):
+    """From landed answers and a corpus to a summary that is read back."""
     monkeypatch.setattr(weights, "FOLDS", 2)
     monkeypatch.setattr(weights, "MIN_MINORITY", 99)
     names = ["Ashburn", "Manassas", "Chandler", "DFW", "Quincy", "Atlanta", "Seattle", "Chicago", "Las Vegas", "Nashville"]
@@ -135,13 +238,25 @@ def test_whole_job(spark, tmp_path, monkeypatch):
     rows = [(f"https://reddit.com/r/{'nova' if i % 4 else 'texas'}/{i}", f"[t](http://x.y) {names[i % 10]}: {themes[i % 3]} "
              f"{themes[(i // 3) % 3]} people **oppose** the plan number {i}") for i in range(80)]
     corpus = spark.createDataFrame(rows, "url string, content string")
-    base = dims.target_counties(spark).select("county_fips", F.substring("county_fips", 1, 2).alias("state_fips"))
-    feats = (base.join(dims.states(spark), "state_fips").join(dims.state_climate(spark), "state_fips")
-             .withColumn("renewable_pct", (F.crc32(F.col("county_fips").cast("binary")) % 100).cast("double"))
-             .withColumn("industrial_rate_cents_kwh", F.lit(float("nan")))
-             .withColumn("drought_severity_index", F.lit(None).cast("double")))
+    answers = tmp_path / "answers"
+    counties = [r.county_fips for r in dims.target_counties(spark).collect()]
+    states = [r.state for r in dims.target_states(spark).orderBy("state").collect()]
+    land(answers, "prices", [{"state": s, "payload": {"response": {"data": [{"price": str(5 + i / 10)}]}}} for i, s in enumerate(states)] + ['{"state": "VA", "pay'])
+    land(answers, "generation", [{"state": s, "payload": {"response": {"data": [
+        {"period": "2023", "generation": "100", "fueltypeid": "ALL"}, {"period": "2023", "generation": str(7 * i % 90), "fueltypeid": "SUN"}]}}}
+        for i, s in enumerate(states)])
+    land(answers, "solar", [{"county_fips": c, "payload": {"outputs": {"solrad_annual": 3 + i / 8}}} for i, c in enumerate(counties)])
+    land(answers, "surface_water", [{"county_fips": c, "payload": {"value": {"timeSeries": [{"values": [{"value": [{"value": str(3 * i)}]}]}]}}}
+                                    for i, c in enumerate(counties)])
     job = Suitability(spark, str(tmp_path / "run"))
-    out = job.run(feats, corpus, learn=True, publish_to=str(tmp_path / "pub"), k=3, passes=1, max_share=1.0)
+    options = dict(corpus=corpus, answers=str(answers), learn=True, k=3, passes=1, max_share=1.0)
+    out = job.run(publish_to=str(tmp_path / "pub"), **options)
+    features = {r.county_fips: r for r in out["features"].collect()}
+    assert len(features) == 26 and features["51107"].state == "VA"
+    assert features["51107"].industrial_rate_cents_kwh == pytest.approx(5 + states.index("VA") / 10)
+    assert features["04013"].avg_temp_f == 60.3  # no county climates were landed, so the state's are taken
+    assert features[counties[2]].surface_water_flow_cfs == 6.0 and features[counties[0]].groundwater_level_ft is None
+    assert [r.line for r in spark.read.parquet(str(tmp_path / "run/quarantine/prices")).collect()] == ['{"state": "VA", "pay']
     assert out["scores"].count() == 26 and out["match_rate"]["total"] == 80
     # "DFW" in a Virginia forum has two candidates, none of them there.
     assert out["match_rate"]["matched"] == out["matched"].count() == 72
@@ -151,7 +266,23 @@ def test_whole_job(spark, tmp_path, monkeypatch):
     assert sum(out["weights"]["weights"].values()) == pytest.approx(1.0, abs=0.01)
     assert out["published"]["published"]
     assert out["scores"].filter("social_score is null").count() == 17  # no posts, no social score
-    assert os.path.exists(tmp_path / "run" / "topic_summary")
+    # What validation found is kept and read back.
+    summary = results.stored_summary(spark, str(tmp_path / "run")).head()
+    assert summary.auc == out["validation"]["auc"] and summary.imbalance_strategy == out["weights"]["strategy"]
+    assert summary.weights == out["weights"]["weights"] and len(summary.sensitivity) == 10
+    assert summary.geocoding_match_rate == pytest.approx(90.0) and summary.n_validation_sites == 39 - 6
+    assert results.stored_summary(spark, str(tmp_path / "none")).head().auc is None
+    for name, least in (("classification_report", 5), ("confusion", 4), ("roc_points", 2), ("class_centres", 2), ("column_profile", 5)):
+        assert spark.read.parquet(str(tmp_path / "run" / name)).count() >= least
+    for name, n in (("topic_summary_csv", 3), ("sensitivity_analysis_csv", 10)):
+        assert spark.read.option("header", True).csv(str(tmp_path / "run" / name)).count() == n
+    assert {r.fips for r in LookupCache(spark, str(tmp_path / "run/lookups")).entries().collect()} >= {"51107", "04013"}
+    # A second run reads every table back; other weights score anew.
+    written = {n: (tmp_path / "run" / n / "_SUCCESS").stat().st_mtime_ns for n in ("features", "posts", "posts_with_topics", "psi_scores")}
     again = Suitability(spark, str(tmp_path / "run"))
     assert again.weights()["strategy"] == out["weights"]["strategy"]
-    assert again.scores(feats, {}).count() == 26  # read back, not computed
+    scores = again.run(**options)["scores"]
+    assert scores.count() == 26
+    assert written == {n: (tmp_path / "run" / n / "_SUCCESS").stat().st_mtime_ns for n in written}
+    other = again.scores(out["features"], {"power": 1.0})
+    assert {r.weights_used for r in other.collect()} == {'{"power": 1.0}'}
