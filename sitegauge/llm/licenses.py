@@ -3,7 +3,8 @@
 Every rolling word k-gram of a text is joined to the places where it stands in the licence templates.  A hit at text
 place p and template place q votes for the diagonal p - q; a passage copied from a template puts its votes on one
 diagonal, and words added or left out move the rest to a neighbouring one.  Votes are counted per diagonal,
-neighbouring diagonals are merged, and a merged run is verified by the grams of its template that it covers.
+neighbouring diagonals are merged, and a merged run is verified gram by gram: only what follows the template in order,
+nearly step by step, counts.
 """
 
 from __future__ import annotations
@@ -75,27 +76,46 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.length(text), F.xxhash64(text))
 
 
+def steps(places: Column) -> Column:
+    """Grams of a run that stand in order: the first, and each that comes at most ``DRIFT`` words late after the one before.
+
+    ``places`` are structs (``q``, ``p``) by template place; of several text places of one gram the first is meant.
+    """
+    start = F.struct(F.lit(-1).alias("q"), F.lit(0).alias("p"), F.lit(0).alias("n"))
+
+    def add(state: Column, place: Column) -> Column:
+        ahead, gone = place["p"] - state["p"], place["q"] - state["q"]
+        counts = (state["q"] < 0) | ((ahead > 0) & (ahead <= gone + DRIFT))
+        return F.when(place["q"] == state["q"], state).otherwise(F.struct(
+            place["q"].alias("q"), place["p"].alias("p"), (state["n"] + counts.cast("int")).alias("n")))
+
+    return F.aggregate(F.array_sort(places), start, add)["n"]
+
+
 def spans(voted: DataFrame, known: DataFrame, size: int = GRAM) -> DataFrame:
-    """(``key``, ``label``, ``phrase``, ``start``, ``share``): verified runs of merged diagonals.
+    """(``key``, ``label``, ``phrase``, ``start``, ``end``, ``share``): verified runs of merged diagonals, in words.
 
     A phrase's runs are single diagonals that hold all its grams.  A passage's run joins diagonals at most ``DRIFT``
-    apart; its share is the part of the template's grams found, each counted once.
+    apart; its share is the part of the template's grams found in the template's order, each counted once.
     """
     n_grams = F.size("t_words") - (size - 1)
     # Equal rows vote once.
     diagonals = voted.distinct().withColumn("diagonal", F.col("p") - F.col("q")).join(
         F.broadcast(known.select("template", "label", "phrase", n_grams.alias("n_grams"))), "template")
     counted = diagonals.groupBy("key", "template", "label", "phrase", "n_grams", "diagonal").agg(
-        F.collect_set("q").alias("found"), F.min("p").alias("start"))
+        F.collect_set("q").alias("found"))
     whole = counted.where("phrase AND size(found) = n_grams").select(
-        "key", "label", "phrase", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
+        "key", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + (size - 1)).alias("end"),
+        F.lit(1.0).alias("share"))
     by_place = Window.partitionBy("key", "template").orderBy("diagonal")
     runs = counted.where("NOT phrase").withColumn(
         "fresh", (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(by_place), F.lit(-1 << 30)) > DRIFT).cast("int"))
+    places = F.transform("found", lambda q: F.struct(q.alias("q"), (q + F.col("diagonal")).alias("p")))
     runs = runs.withColumn("run", F.sum("fresh").over(by_place)).groupBy("key", "template", "label", "n_grams", "run").agg(
-        F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.min("start").alias("start"))
-    part = runs.withColumn("share", F.size("found") / F.col("n_grams")).where(F.col("share") >= LEAST_SHARE).select(
-        "key", "label", F.lit(False).alias("phrase"), "start", "share")
+        F.flatten(F.collect_list(places)).alias("places"))
+    part = runs.withColumn("share", steps(F.col("places")) / F.col("n_grams")).where(F.col("share") >= LEAST_SHARE).select(
+        "key", "label", F.lit(False).alias("phrase"), F.array_min("places.p").alias("start"),
+        (F.array_max("places.p") + size).alias("end"), "share")
     return whole.unionByName(part)
 
 

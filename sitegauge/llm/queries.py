@@ -192,9 +192,11 @@ h AS (SELECT rid, id, label, phrase, n, p, q, p - q AS g FROM dg JOIN tg USING (
 c AS (SELECT rid, id, label, phrase, n, g, list(DISTINCT q) AS found, min(p) AS start FROM h GROUP BY ALL),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, id ORDER BY g) AS run FROM (
   SELECT *, (g - coalesce(lag(g) OVER (PARTITION BY rid, id ORDER BY g), -1000000000) > {DRIFT})::INT AS fresh FROM c WHERE NOT phrase)),
+v AS (SELECT h.rid, h.id, h.label, h.n, r.run, h.q, min(h.p) AS p FROM h JOIN r ON h.rid = r.rid AND h.id = r.id AND h.g = r.g GROUP BY ALL),
+y AS (SELECT *, p - lag(p) OVER w AS ahead, q - lag(q) OVER w AS gone FROM v WINDOW w AS (PARTITION BY rid, id, run ORDER BY q)),
+z AS (SELECT rid, label, (1 + count(*) FILTER (ahead > 0 AND ahead <= gone + {DRIFT})) / n AS share FROM y GROUP BY rid, id, label, n, run),
 s AS (SELECT rid, label, true AS phrase, g AS start, 1.0::DOUBLE AS share FROM c WHERE phrase AND len(found) = n
-  UNION ALL SELECT rid, label, false, 0, share FROM (SELECT rid, label, len(list_distinct(flatten(list(found)))) / n AS share
-    FROM r GROUP BY rid, id, label, n, run) WHERE share >= {LEAST_SHARE}),
+  UNION ALL SELECT rid, label, false, 0, share FROM z WHERE share >= {LEAST_SHARE}),
 o AS (SELECT rid, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
   max(share) AS score FROM s GROUP BY rid)

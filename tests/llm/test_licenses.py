@@ -47,3 +47,29 @@ def test_verbatim_passages(make):
     docs = make([(i, f"{t}.") for i, (t, _) in enumerate(licenses.PASSAGES)])
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
     assert all(label in got[i][0].split(",") and got[i][1] == 1.0 for i, (_, label) in enumerate(licenses.PASSAGES))
+
+
+def test_scrambled_passages_get_no_label(make):
+    """The passage's word pairs in reverse order, or its words shuffled in threes, hold most of its grams and are no copy."""
+    texts = []
+    for t, _ in licenses.PASSAGES:
+        words = t.split()
+        texts.append(" ".join(w for i in reversed(range(len(words) - 1)) for w in words[i : i + 2]))
+        parts = [words[i : i + 3] for i in range(0, len(words), 3)]
+        random.Random(4).shuffle(parts)
+        texts.append(" ".join(w for p in parts for w in p))
+    base_labels = {i: base(t)[4] for i, t in enumerate(texts)}
+    got = {r.doc_id: r.labels for r in licenses.scan(make(list(enumerate(texts)))).collect()}
+    assert got == base_labels
+
+
+def test_changed_passages_are_found_at_their_place(make, spark):
+    known = licenses.templates(spark)
+    for n, (text, label) in enumerate(licenses.PASSAGES):
+        words = text.split()
+        changed = ["before"] * (n * 7) + words[:4] + ["really"] + words[4:9] + words[10:] + ["after"] * 30
+        docs = make([(1, " ".join(changed)), (2, " ".join(changed * 3))])
+        found = licenses.spans(licenses.hits(docs, known, "doc_id", "text"), known).where("NOT phrase").collect()
+        own = [r for r in found if r.label == label and r.key.startswith("1:")]
+        assert [(r.start, r.end) for r in own] == [(n * 7, n * 7 + len(words))] and own[0].share < 1
+        assert label in {r.label for r in found if r.key.startswith("2:")}
