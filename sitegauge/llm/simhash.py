@@ -288,10 +288,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = labelled(marked, id_col, max_bits).select("fp", "label")
     first = marked.join(owner, "fp").groupBy("label").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), "mark")).alias("first"))
-    of, mark = new_name(docs, "first_id"), new_name(docs, "first_mark")
-    stays = first.select(F.col("first.id").alias(of), F.col("first.mark").alias(mark)).distinct()
-    own = new_name(docs, "own_mark")
-    kept = docs.withColumn(own, F.xxhash64(text_col)).join(
-        stays, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(mark)), "left_semi")
-    # Rows of one id and text are copies of each other; the join leaves them side by side.
-    return kept.dropDuplicates([id_col, own]).select(*docs.columns)
+    keys = [new_name(docs, n) for n in ("key_unknown", "key_id", "key_mark")]
+
+    def keyed(df: DataFrame, id_: Column, mark: Column) -> DataFrame:
+        """Rows with keys that are never null, so that join and clearing below need one shuffle and one sort."""
+        parts = (id_.isNull(), F.coalesce(id_.cast("string"), F.lit("")), mark)
+        return df.withColumns(dict(zip(keys, parts)))
+
+    stays = keyed(first, F.col("first.id"), F.col("first.mark")).select(*keys)
+    kept = keyed(docs, F.col(id_col), F.xxhash64(text_col)).join(stays, keys, "left_semi")
+    # Rows of one id and text are copies of each other; they lie side by side here.
+    return kept.dropDuplicates(keys).select(*docs.columns)
