@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.llm.components import connected
 from sitegauge.llm.words import bound_batches, new_name
+from sitegauge.operators.skew import salted_join
 from sitegauge.session import stage
 
 MAX_BITS = 3
@@ -267,7 +268,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = labelled(marked, id_col, max_bits)
     lows = joined.groupBy("label").agg(F.min("low").alias("component_id"))
     owner = joined.select("fp", "label").join(lows, "label").select("fp", "component_id")
-    return marked.join(owner, "fp").select(
+    return salted_join(marked, owner, ["fp"]).select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -286,7 +287,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = stage(fingerprints(docs, id_col, text_col, marked=True), "fingerprints")
     owner = labelled(marked, id_col, max_bits).select("fp", "label")
-    first = marked.join(owner, "fp").groupBy("label").agg(F.min(F.struct(
+    first = salted_join(marked, owner, ["fp"]).groupBy("label").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), "mark")).alias("first"))
     keys = [new_name(docs, n) for n in ("key_unknown", "key_id", "key_mark")]
 
