@@ -23,6 +23,8 @@ FIT_ROWS, CALIBRATION_ROWS, RECALL = 20_000, 128, 0.95
 LEAF_ROWS, FAN, LEAST_FIT_ROWS = 256, 16, 4
 #: Rows and queries that meet in one block.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
+#: Parts in which a query's lists are cut before they meet.
+SPLITS = 16
 
 
 @dataclass
@@ -214,15 +216,17 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     # Rows of a query's own id, by leaf: they are no candidates.
     queries = routed.where(F.col("id") % every == 0).groupBy("id", "leaf").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
     queries = queries.groupBy("id").agg(F.min("v").alias("v"), F.collect_list(F.struct("leaf", "n")).alias("own"))
-    n_queries = stage(queries, "queries")
-    slices = max(1, -(-n_queries.count() // BLOCK_QUERIES))
-    base = routed.join(blocks, "leaf").select(
+    walked = stage(stage(queries, "queries").mapInArrow(walk, "id bigint, v array<double>, leaves array<bigint>"), "walks")
+    # A leaf's rows go out once per slice of the queries that visit it, and not at all where none does.
+    visited = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("slices"))
+    cells = stage(blocks.join(visited, "leaf").select("leaf", "blocks", "slices"), "cells")
+    base = routed.join(cells, "leaf").select(
         "id", "v", "leaf", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    asked = n_queries.mapInArrow(walk, "id bigint, v array<double>, leaves array<bigint>").select(
-        "id", "v", F.explode("leaves").alias("leaf"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-    asked = asked.join(blocks, "leaf").select(
-        "id", "v", "leaf", "slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    asked = walked.select("id", "v", F.explode("leaves").alias("leaf")).join(cells, "leaf").select(
+        "id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
@@ -242,7 +246,9 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     cell = ["leaf", "block", "slice"]
     parts = asked.groupBy(cell).cogroup(base.groupBy(cell)).applyInPandas(
         best, "id bigint, found array<struct<far:double,id:bigint>>")
-    merged = parts.groupBy(F.col("id").alias("query_id")).agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    # Cut to k within parts of a query's cells before all of them meet.
+    best_of = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found")
+    split = parts.withColumn("split", F.pmod(F.xxhash64("found"), F.lit(SPLITS)))
+    merged = split.groupBy("id", "split").agg(best_of).groupBy(F.col("id").alias("query_id")).agg(best_of)
     return merged.select("query_id", F.posexplode("found").alias("pos", "f")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("f.id").alias(id_col), (-F.col("f.far")).alias("score"))
