@@ -285,7 +285,7 @@ def document_sentiment(spark, folder):
 sums AS (SELECT c.conv_id, c.turn, {_TOTAL} FROM conversations c LEFT JOIN kept USING (conv_id, turn) GROUP BY 1, 2)
 SELECT conv_id, turn, {_SCORE} AS sentiment FROM sums""")
 def conversation_sentiment_by_join(spark, folder):
-    """The join form that serves lexicons too large to write into an expression."""
+    """Texts known by a key of two columns."""
     turns = table(spark, folder, "conversations").withColumn("id", F.struct("conv_id", "turn"))
     scored = sentiment.with_sentiment(turns, "id", "text", _lexicon(spark), negations=_NEGATIONS)
     return scored.select("conv_id", "turn", "sentiment")
