@@ -31,6 +31,20 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
 
 
+def landed(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there to be read, whoever wrote it: other tools leave no mark of a finished write.
+
+    A folder that holds no data, or that Spark was still writing to, does not count.
+    """
+    if finished(spark, path):
+        return True
+    if not exists(spark, path):
+        return False
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
+    return "_temporary" not in names and any(not n.startswith(("_", ".")) for n in names)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped by the reader."""
     return spark.read.schema(schemas.POSTS_RAW).json(path)
@@ -219,7 +233,7 @@ def materialize(
 
 def availability(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Row count per named table, zero where it is missing."""
-    rows = [(name, spark.read.parquet(p).count() if finished(spark, p) else 0)
+    rows = [(name, spark.read.parquet(p).count() if landed(spark, p) else 0)
             for name, p in paths.items()]
     return small_table(spark, rows, "dataset string, n long")
 

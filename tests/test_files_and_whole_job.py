@@ -31,6 +31,18 @@ def test_missing_tables(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "c"), schemas.TOPIC_SUMMARY) is None
 
 
+def test_availability_of_tables_written_by_others(spark, tmp_path):
+    for name in ("marked", "unmarked", "broken_off"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    for name in ("unmarked", "broken_off"):
+        (tmp_path / name / "_SUCCESS").unlink()
+    (tmp_path / "broken_off" / "_temporary").mkdir()
+    (tmp_path / "empty").mkdir()
+    names = ["marked", "unmarked", "broken_off", "empty", "absent"]
+    got = files.availability(spark, {n: str(tmp_path / n) for n in names})
+    assert [(r.dataset, r.n) for r in got.collect()] == [("marked", 3), ("unmarked", 3), ("broken_off", 0), ("empty", 0), ("absent", 0)]
+
+
 def test_csv_keeps_codes_and_lists(spark, tmp_path):
     (tmp_path / "cross.csv").write_text("place_name,county_fips\nMesa,4013\n")
     assert files.read_crosswalk(spark, str(tmp_path / "cross.csv")).head().county_fips == "04013"
