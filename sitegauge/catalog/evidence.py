@@ -31,7 +31,7 @@ SELECT event_id AS key, CASE WHEN event_type = 'view' THEN NULL ELSE value END A
 def prices_from_answers(spark, folder):
     price = F.when(F.col("event_type") == "view", F.lit("n/a")).otherwise(F.col("value").cast("string"))
     answers = _answers(spark, folder, ('{"response": {"data": [{"price": "%s"}, {"price": "1"}]}}', price),
-                       schemas.PRICE)
+                       schemas.PRICE_AS_SENT)
     return features.prices(answers, "key")
 
 

@@ -75,7 +75,7 @@ class Suitability:
         """
         spark = self.spark
         counties = counties if counties is not None else dims.target_counties(spark)
-        prices = self._landed(answers, "prices", "state", schemas.PRICE)
+        prices = self._landed(answers, "prices", "state", schemas.PRICE_AS_SENT)
         generation = self._landed(answers, "generation", "state", schemas.GENERATION)
         solar = self._landed(answers, "solar", "county_fips", schemas.SOLAR)
         wind = self._landed(answers, "wind", "county_fips", schemas.WIND)
@@ -89,7 +89,7 @@ class Suitability:
         power = renewable = water = None
         if prices is not None or generation is not None:
             power = self._table("electricity", lambda: sources.electricity(
-                sources.prices(or_none(prices, "state", schemas.PRICE)),
+                sources.prices(or_none(prices, "state", schemas.PRICE_AS_SENT)),
                 sources.latest_mix(sources.generation_rows(or_none(generation, "state", schemas.GENERATION))),
                 dims.target_states(spark)), prices, generation)
         if solar is not None or wind is not None:

@@ -27,6 +27,8 @@ MODEL_VERSIONS = (
 
 # Landed service answers, one record per requested key.
 PRICE = "response struct<data: array<struct<price: string>>>"
+# Keeps a price's JSON type: the text "0" is a price, the number 0 is none.
+PRICE_AS_SENT = "response struct<data: array<struct<price: variant>>>"
 GENERATION = (
     "response struct<data: array<struct<period: string, generation: string, fueltypeid: string>>>")
 SOLAR = "outputs struct<solrad_annual: double>"

@@ -32,3 +32,7 @@ def agrees(spark, folder, tmp_path):
 
 def test_codes_of_six_digits_through_csv(agrees):
     agrees("codes_and_lists_through_csv", customer="SELECT * REPLACE (c_custkey * 1000 AS c_custkey) FROM customer")
+
+
+def test_a_price_of_zero_sent_as_text(agrees):
+    agrees("prices_from_answers", events="SELECT * REPLACE (CASE WHEN event_id % 3 > 0 THEN value ELSE 0 END AS value) FROM events")

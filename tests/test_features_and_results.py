@@ -23,6 +23,13 @@ def test_prices(spark):
         "VA": 6.5, "TX": None, "OR": None, "IA": None, "GA": None}
 
 
+def test_a_zero_sent_as_text_is_a_price(spark):
+    got = features.prices(answers(spark, schemas.PRICE_AS_SENT, "state", **{
+        k: {"response": {"data": [{"price": p}]}} for k, p in {"VA": "0", "TX": 0, "OR": 6.5, "IA": "n/a", "GA": "", "WA": None, "CA": "7"}.items()}))
+    assert {r.state: r.industrial_rate_cents_kwh for r in got.collect()} == {
+        "VA": 0.0, "TX": None, "OR": 6.5, "IA": None, "GA": None, "WA": None, "CA": 7.0}
+
+
 def generation(*rows):
     return {"response": {"data": [{"period": p, "fueltypeid": f, "generation": g} for p, f, g in rows]}}
 
