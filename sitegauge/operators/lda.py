@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BATCH_TEXTS, MOST_BATCHES = 128, 4
 # How fast later steps lose weight.
 OFFSET, DECAY = 10.0, 0.7
-#: Rounds of the fit of one text's shares, and the mean change that ends them.
+#: Most rounds of the fit of one text's shares while topics are learned, and the mean change that ends them.
 ROUNDS, SETTLED = 100, 1e-3
 #: Texts fitted together in a task.
 TOGETHER = 256
@@ -61,36 +61,52 @@ def expectation(x: np.ndarray) -> np.ndarray:
     return digamma(x) - digamma(x.sum(axis=-1))[..., None]
 
 
-def text_shares(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, topics: np.ndarray, alpha: float):
+def text_shares(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, topics: np.ndarray, alpha: float,
+                rounds: int | None = ROUNDS):
     """Dirichlet parameters of each text's topic shares, and of each of its terms the expected topic weights.
 
     ``terms`` and ``counts`` hold the texts one after another, ``sizes`` how many belong to each; ``topics`` is
-    exp(E[log p(term | topic)]), a row per topic.
+    exp(E[log p(term | topic)]), a row per topic.  A text leaves the rounds when it has settled; with ``rounds`` None
+    they go on until every text has, as each round raises the bound.
     """
     k, n = len(topics), len(sizes)
-    row = np.repeat(np.arange(n), sizes)
-    weight = topics[:, terms].T
-    total = np.bincount(row, counts, n)
+    weight = topics[:, terms]
+    total = np.bincount(np.repeat(np.arange(n), sizes), counts, n)
     gamma = np.repeat(alpha + total[:, None] / k, k, axis=1)
-    for _ in range(ROUNDS):
-        theta = np.exp(expectation(gamma))
-        part = weight * theta[row]
-        part *= (counts / np.maximum(part.sum(axis=1), 1e-300))[:, None]
-        new = alpha + np.stack([np.bincount(row, part[:, t], n) for t in range(k)], axis=1)
-        change, gamma = np.abs(new - gamma).mean(axis=1).max(initial=0.0), new
-        if change < SETTLED:
+
+    def parts(gamma: np.ndarray, weight: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        part = np.repeat(np.exp(expectation(gamma)).T, sizes, axis=1)
+        part *= weight
+        part *= counts / np.maximum(part.sum(axis=0), 1e-300)
+        return part
+
+    open_texts = np.flatnonzero(sizes)
+    some_weight, some_counts, some_sizes = weight, counts, sizes[open_texts]
+    done = 0
+    while len(open_texts) and (rounds is None or done < rounds):
+        done += 1
+        part = parts(gamma[open_texts], some_weight, some_counts, some_sizes)
+        new = alpha + np.add.reduceat(part, np.cumsum(some_sizes) - some_sizes, axis=1).T
+        moving = np.abs(new - gamma[open_texts]).mean(axis=1) >= SETTLED
+        gamma[open_texts] = new
+        # Those that have settled are taken out a tenth at a time, as that costs about a round.
+        if not moving.any():
             break
-    return gamma, part
+        if moving.sum() <= 0.9 * len(moving):
+            kept = np.repeat(moving, some_sizes)
+            some_weight, some_counts = some_weight[:, kept], some_counts[kept]
+            open_texts, some_sizes = open_texts[moving], some_sizes[moving]
+    return gamma, parts(gamma, weight, counts, sizes).T
 
 
-def text_bounds(terms, counts, sizes, gamma, log_topics, alpha: float) -> np.ndarray:
+def text_bounds(terms, counts, sizes, gamma, topics, alpha: float) -> np.ndarray:
     """Each text's part of the variational bound of the log likelihood."""
     k, n = gamma.shape[1], len(sizes)
     row = np.repeat(np.arange(n), sizes)
     log_theta = expectation(gamma)
-    inner = log_topics[:, terms].T + log_theta[row]
-    top = inner.max(axis=1, initial=-np.inf)
-    words = np.bincount(row, counts * (top + np.log(np.exp(inner - top[:, None]).sum(axis=1))), n)
+    inner = np.repeat(np.exp(log_theta).T, sizes, axis=1)
+    inner *= topics[:, terms]
+    words = np.bincount(row, counts * np.log(np.maximum(inner.sum(axis=0), 1e-300)), n)
     prior = ((alpha - gamma) * log_theta + log_gamma(gamma)).sum(axis=1) - k * math.lgamma(alpha) \
         + math.lgamma(alpha * k) - log_gamma(gamma.sum(axis=1))
     return words + prior
@@ -130,7 +146,7 @@ class TopicModel:
             for at in range(0, len(terms), TOGETHER):
                 sizes = np.array([len(t) for t in terms[at : at + TOGETHER]], int)
                 some = np.concatenate([*terms[at : at + TOGETHER], np.zeros(0)]).astype(int)
-                gamma, _ = text_shares(some, np.concatenate([*counts[at : at + TOGETHER], np.zeros(0)]), sizes, topics, alpha)
+                gamma, _ = text_shares(some, np.concatenate([*counts[at : at + TOGETHER], np.zeros(0)]), sizes, topics, alpha, None)
                 gamma[sizes == 0] = 1.0
                 out += (gamma / gamma.sum(axis=1, keepdims=True)).tolist()
             return pd.Series(out)
@@ -164,8 +180,7 @@ def expected_uses(texts: DataFrame, parameters: np.ndarray, alpha: float) -> tup
     k, v = parameters.shape
 
     def run(batches: Iterator) -> Iterator:
-        log_topics = expectation(parameters)
-        topics = np.exp(log_topics)
+        topics = np.exp(expectation(parameters))
         uses, bound, n = np.zeros((k, v)), 0.0, 0
         for whole in batches:
             for at in range(0, whole.num_rows, TOGETHER):
@@ -175,7 +190,7 @@ def expected_uses(texts: DataFrame, parameters: np.ndarray, alpha: float) -> tup
                 gamma, part = text_shares(terms, counts, sizes, topics, alpha)
                 for t in range(k):
                     uses[t] += np.bincount(terms, part[:, t], v)
-                bound += float(text_bounds(terms, counts, sizes, gamma, log_topics, alpha).sum())
+                bound += float(text_bounds(terms, counts, sizes, gamma, topics, alpha).sum())
                 n += len(sizes)
         topic, term = np.nonzero(uses)
         # Topic -1 carries the bound, topic -2 the number of texts.

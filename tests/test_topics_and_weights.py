@@ -49,6 +49,17 @@ def test_topic_shape(spark, posts):
     assert shares[0] == 92 and shares[1] == pytest.approx(100.0)
 
 
+def test_shares_go_on_until_every_text_has_settled(spark):
+    """Between two topics that are almost alike a long text moves slowly for more rounds than learning allows."""
+    model = lda.TopicModel(np.array([[520.0, 480.0, 500.0], [500.0, 500.0, 500.0]]))
+    vectors = spark.createDataFrame([(0, Vectors.sparse(3, [0, 1, 2], [500.0, 300.0, 200.0])), (1, Vectors.sparse(3, [], []))], ["i", "f"])
+    got = {r.i: np.array(r.w) for r in vectors.select("i", model.shares(F.col("f")).alias("w")).collect()}
+    theta, topics = np.exp(lda.digamma(got[0] * 1001.0)), np.exp(lda.expectation(model.parameters))
+    again = 0.5 + sum(n * theta * topics[:, t] / (theta * topics[:, t]).sum() for t, n in enumerate([500.0, 300.0, 200.0]))
+    assert np.abs(again / again.sum() - got[0]).max() < 1e-5 and got[0].max() > 0.99
+    assert got[1].tolist() == [0.5, 0.5]
+
+
 def plain_lda(texts, n_terms, k, seed, passes, n_batches):
     """The same steps text by text and term by term: topics, and the bound per text at the last pass."""
     from math import lgamma, log
