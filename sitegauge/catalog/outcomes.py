@@ -10,7 +10,7 @@ from sitegauge.functions.scalars import pad_code, viable
 from sitegauge.operators import validation, weights
 from sitegauge.operators.composite import score_locations
 from sitegauge.operators.joins import left_chain
-from sitegauge.operators.neighbours import nearest
+from sitegauge.operators.neighbours import nearest_distances
 from sitegauge.plans import results
 from sitegauge.session import shared_dir, small_table, stage
 from sitegauge.sources import dimensions as dims, files
@@ -389,20 +389,15 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY d)::INT AS place,
 QUALIFY place <= 5
 """)
 def nearest_in_the_smaller_class(spark, folder):
-    """Distances to the five nearest rows of the smaller class.
-
-    A class of up to ``window`` rows is compared as a whole, so its distances are exact; of larger ones some may be missed.
-    """
+    """Distances to the five nearest rows of the smaller class."""
     names = list(_DIMENSIONS)
     matrix = stage(weights.dimension_matrix(_text_features(spark, folder), _DIMENSIONS, "label", "doc_id"), "matrix")
     sizes = {row["label"]: row["n"] for row in matrix.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = min(sizes, key=lambda c: (sizes[c], c))
-    rows = stage(matrix.where(F.col("label") == small).select("_id", *names, F.lit(0).alias("one")), "smaller-class")
-    near = nearest(rows, names, 5, "_id", "one", window=512).select("_id", F.posexplode("near").alias("place", "other"))
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in names), F.lit(0.0))
-    joined = near.join(a, near["_id"] == F.col("a._id")).join(b, near["other"] == F.col("b._id"))
-    return joined.select(F.col("a._id").alias("doc_id"), (F.col("place") + 1).alias("place"), r(F.sqrt(apart)).alias("distance"))
+    rows = stage(matrix.where(F.col("label") == small).select("_id", *names), "smaller-class")
+    near = nearest_distances(rows, names, 5)
+    return rows.join(near, names).select(F.col("_id").alias("doc_id"), F.posexplode("near").alias("at", "d")).select(
+        "doc_id", (F.col("at") + 1).alias("place"), r("d").alias("distance"))
 
 
 def _sites() -> str:

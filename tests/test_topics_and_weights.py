@@ -5,7 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sitegauge.operators import lda, logistic, topics, weights
-from sitegauge.operators.neighbours import nearest
+from sitegauge.operators.neighbours import nearest, nearest_distances
 from sitegauge.session import stage
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import FALLBACK_WEIGHTS
@@ -60,6 +60,21 @@ def test_shares_go_on_until_every_text_has_settled(spark):
     assert got[1].tolist() == [0.5, 0.5]
 
 
+def test_distances_to_the_nearest_are_exact(spark):
+    """More rows than a window, in clusters, with copies and outliers: the walk along Z-orders misses some."""
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(rng.uniform(-50, 50, 3), s, (400, 3)) for s in (0.1, 1, 5, 20, 20)]).round(2)
+    points = np.concatenate([points, points[:30], points[:30], np.repeat(points[:1], 9, axis=0), [[1e5, 0, 0], [0, -1e5, 3]]])
+    rows = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b", "c"])).repartition(5)
+    got = {(r.a, r.b, r.c): r.near for r in nearest_distances(rows, ["a", "b", "c"], 5, block=64).collect()}
+    assert len(got) == len({tuple(p) for p in points})
+    for p in points:
+        wanted = np.sort(np.sqrt(((points - p) ** 2).sum(axis=1)))[1:6]
+        assert np.allclose(got[tuple(p)], wanted, rtol=1e-12, atol=1e-12)
+    few = nearest_distances(spark.createDataFrame([(0.0,), (3.0,), (3.0,)], ["a"]), ["a"], 5)
+    assert {r.a: r.near for r in few.collect()} == {0.0: [3.0, 3.0], 3.0: [0.0, 3.0]}
+
+
 def plain_lda(texts, n_terms, k, seed, passes, n_batches):
     """The same steps text by text and term by term: topics, and the bound per text at the last pass."""
     from math import lgamma, log
