@@ -9,7 +9,7 @@ from sitegauge.functions.scalars import with_costly
 from sitegauge.functions.text import clean_text
 from sitegauge.operators import lda, places, profile, resistance, sentiment, topics
 from sitegauge.operators.phrases import phrase_hits
-from sitegauge.session import shared_dir, small_table, stage
+from sitegauge.session import dealt, shared_dir, small_table, stage
 
 _SP = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
@@ -372,7 +372,7 @@ vocab AS (SELECT term, tf, df, ln((1 + (SELECT count(*) FROM documents)) / (df +
 
 
 def _docs_with_terms(spark, folder):
-    return topics.with_terms(documents(spark, folder), "text", stop_words=_STOPS)
+    return topics.with_terms(dealt(table(spark, folder, "documents").select("doc_id", "text")), "text", stop_words=_STOPS)
 
 
 @query(f"WITH {_TERMS_SQL} SELECT term, tf, df FROM counts")

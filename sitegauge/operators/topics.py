@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitegauge.functions.scalars import first_max_index
 from sitegauge.functions.text import topic_tokens, uni_and_bigrams, without_words
 from sitegauge.operators import lda
-from sitegauge.session import small_table
+from sitegauge.session import dealt, small_table
 from sitegauge.sources import dimensions as dims
 from sitegauge.sources.fixed_values import DOMAIN_STOP_WORDS, RESISTANCE_LABELS
 
@@ -148,7 +148,7 @@ def extract_topics(
     if text not in posts.columns:
         raise ValueError(f"posts must have a {text!r} column")
     docs = with_terms(posts, text, "_terms", stop_words)
-    tfidf = fit_tfidf(docs, "_terms", **limits)
+    tfidf = fit_tfidf(with_terms(dealt(posts.select(text)), text, "_terms", stop_words), "_terms", **limits)
     features = tfidf.transform(docs, "_terms", "_features").drop("_terms")
     model = lda.fit(features, len(tfidf.terms), k, seed, passes, "_features")
     weighted = with_topic_weights(features, model, "_features")
