@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +20,9 @@ from sitegauge.sources.fixed_values import (
     DIMENSIONS, FALLBACK_WEIGHTS, INVERTED_FEATURES, WEIGHT_SCENARIOS,
 )
 
+#: Points that a task holds at a time when discordant pairs are counted.
+BLOCK_POINTS = 1 << 17
+
 
 def match_outcomes(labels: DataFrame, scores: DataFrame, key: str = "county_fips") -> DataFrame:
     """Every labelled row with its location's score; a location may carry several labels."""
@@ -209,31 +212,80 @@ def rank_table(ranks: DataFrame, names: Sequence[str], key: str = "county_fips")
         F.max(F.when(F.col("scenario") == n, F.col("rank"))).alias(n) for n in names])
 
 
-def discordant_pairs(points: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
+def _inversions(y, w) -> int:
+    """Sum of w[i] * w[j] over all i < j with y[i] > y[j].
+
+    Two values first differ at one bit; for each bit, values sharing the higher bits form a cell, and a pair counts there
+    if the earlier one has the bit set and the later one has not.  That needs only running totals, no pairs.
+    """
+    import numpy as np
+
+    y = np.unique(y, return_inverse=True)[1]
+    total = 0
+    for bit in range(int(y.max(initial=0)).bit_length()):
+        order = np.argsort(y >> (bit + 1), kind="stable")
+        cell, is_set = y[order] >> (bit + 1), y[order] >> bit & 1
+        ones, zeros = w[order] * is_set, w[order] * (1 - is_set)
+        before = np.cumsum(ones) - ones
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        outside = np.repeat(before[first], np.diff(np.append(first, len(y))))
+        total += int((zeros * (before - outside)).sum())
+    return total
+
+
+def _blocks(points: DataFrame, n: int, by: str, order: Sequence[str], out: str, within: str) -> DataFrame:
+    """Deal points over ``n`` tasks along ``order``; ``out`` numbers the tasks' blocks in that order.
+
+    ``found``, on the first row of each group and block, counts the block's pairs that go up by (``within``, y) and down by y.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    names = points.columns
+
+    def run(batches: Iterator) -> Iterator:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        cols = {c: np.concatenate([b.column(i).to_numpy() for b in batches]) for i, c in enumerate(names)}
+        place = np.lexsort((cols["y"], cols[within], cols[by]))
+        cols = {c: v[place] for c, v in cols.items()}
+        groups, first = np.unique(cols[by], return_index=True)
+        ends = np.append(first[1:], len(place))
+        found = np.zeros(len(place), np.int64)
+        found[first] = [_inversions(cols["y"][a:b], cols["w"][a:b]) for a, b in zip(first, ends)]
+        block = np.full(len(place), TaskContext.get().partitionId(), np.int64)
+        yield pa.RecordBatch.from_pydict(cols | {out: block, "found": found})
+
+    schema = ", ".join(f"`{c}` bigint" for c in [*names, out, "found"])
+    dealt = points.repartitionByRange(n, by, *order) if n > 1 else points.coalesce(1)
+    return stage(dealt.mapInArrow(run, schema), "blocks")
+
+
+def discordant_pairs(points: DataFrame, by: str, size: int = BLOCK_POINTS) -> DataFrame:
     """Pairs ordered one way by x and the other way by y, counted exactly per group.
 
-    x and y are integers in [0, n) and w counts equal points.  Two y values
-    first differ at one bit; for each bit, points sharing the higher bits form
-    a cell, and a pair is discordant there if the one with smaller x has the
-    bit set and the other has not.  That needs only running totals, no pairs.
+    x, y and the group ``by`` are integers, (by, x, y) is unique, and w counts equal points.  A pair is discordant if and
+    only if it stands one way by (x, y) and the other way by (y, x), and neither order has ties.  Points are dealt into
+    blocks along the one and into blocks along the other, of about ``size`` points however many are equal in x or y.
+    Pairs that share a block of either order are counted inside it; for all others the blocks' numbers tell, so they are
+    counted over the few points (block, block).
     """
-    bits = max(1, (max(n, 2) - 1).bit_length())
-    levels = F.explode(F.array(*[F.lit(b) for b in range(bits)])).alias("bit")
-    per_bit = points.select(*by, "x", "y", "w", levels)
-    cell = [*by, "bit", "prefix"]
-    y, bit = F.col("y"), F.col("bit")
-    higher = F.expr("shiftright(y, bit + 1)")
-    is_set = F.expr("shiftright(y, bit)").bitwiseAND(F.lit(1))
-    counts = (
-        per_bit.select(*by, "bit", higher.alias("prefix"), "x", "w", is_set.alias("is_set"))
-        .groupBy(*cell, "x").agg(
-            F.sum(F.col("w") * F.col("is_set")).alias("ones"),
-            F.sum(F.col("w") * (1 - F.col("is_set"))).alias("zeros")))
-    width = max(1, math.ceil(n / 4096))
-    counts = counts.withColumn("_range", F.floor(F.col("x") / width).cast("int"))
-    placed = with_preceding(counts, "x", ["ones"], cell)
-    crossed = F.col("zeros").cast("decimal(38,0)") * F.col("ones_before")
-    return placed.groupBy(*by).agg(F.sum(crossed).cast("decimal(38,0)").alias("discordant"))
+    points = points.select(*[F.col(c).cast("long").alias(c) for c in (by, "x", "y", "w")])
+    counted = []
+    while True:
+        n = -(-points.count() // size)
+        first = _blocks(points, n, by, ["x", "y"], "block", "x")
+        counted.append(first.select(by, "found"))
+        if n <= 1:
+            break
+        second = _blocks(first.drop("found"), n, by, ["y", "x"], "stripe", "block")
+        counted.append(second.select(by, "found"))
+        cells = second.groupBy(by, F.col("block").alias("x"), F.col("stripe").alias("y")).agg(F.sum("w").alias("w"))
+        points = stage(cells.select(by, "x", "y", "w"), "cells")
+    return reduce(DataFrame.unionByName, counted).groupBy(by).agg(
+        F.sum(F.col("found").cast("decimal(38,0)")).cast("decimal(38,0)").alias("discordant"))
 
 
 def _tie_sums(points: DataFrame, by: Sequence[str], cols: Sequence[str], name: str) -> DataFrame:
@@ -262,12 +314,10 @@ def kendall_pairs(
         F.struct(F.lit(p).alias("pair"), F.col(f"s{i}").alias("x"), F.col(f"s{j}").alias("y"))
         for p, (i, j) in enumerate(pairs)]))).filter("x is not null and y is not null")
     points = stage(points.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")), "points")
-    sizes = points.groupBy("pair").agg(F.sum("w").alias("n"), F.max("x").alias("mx"),
-                                       F.max("y").alias("my")).collect()
-    top = max([max(r["mx"], r["my"]) + 1 for r in sizes], default=1)
+    sizes = points.groupBy("pair").agg(F.sum("w").alias("n")).collect()
     totals = {r["pair"]: {"n": r["n"]} for r in sizes}  # one row per scenario pair
     merged = (
-        discordant_pairs(points, top, ["pair"])
+        discordant_pairs(points, "pair")
         .join(_tie_sums(points, ["pair"], ["x"], "x"), "pair")
         .join(_tie_sums(points, ["pair"], ["y"], "y"), "pair")
         .join(_tie_sums(points, ["pair"], ["x", "y"], "xy"), "pair"))

@@ -98,6 +98,25 @@ def test_tau_by_bits_equals_tau_by_pairs(spark, seed, n, spread):
     assert got["a", "c"].p_value < 0.05
 
 
+@pytest.mark.parametrize("seed, xs, ys", [(0, 500, 500), (1, 9, 40), (2, 1, 400), (3, 400, 1), (4, 3, 3)])
+def test_discordant_pairs_over_small_blocks_equal_all_pairs(spark, seed, xs, ys):
+    rng = np.random.default_rng(seed)
+    drawn = pd.DataFrame({"pair": rng.integers(0, 3, 400), "x": rng.integers(0, xs, 400), "y": rng.integers(0, ys, 400)})
+    points = drawn.groupby(["pair", "x", "y"]).size().reset_index(name="w")
+    met = points.merge(points, on="pair", suffixes=("", "2"))
+    met = met[(met.x < met.x2) & (met.y > met.y2)]
+    wanted = (met.w * met.w2).groupby(met.pair).sum()
+    got = validation.discordant_pairs(spark.createDataFrame(points).repartition(4), "pair", size=40).collect()
+    assert {r.pair: int(r.discordant) for r in got} == {p: wanted.get(p, 0) for p in points.pair.unique()}
+
+
+def test_points_that_share_a_value_are_dealt_over_blocks(spark):
+    points = spark.range(4000).selectExpr("0L AS g", "id AS x", "7L AS y", "1L AS w")
+    for order in (["x", "y"], ["y", "x"]):
+        sizes = [r["count"] for r in validation._blocks(points, 8, "g", order, "block", "x").groupBy("block").count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1000
+
+
 def test_fewer_than_three_shared_locations_are_skipped(spark):
     long = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "a", 3.0), (1, "b", 1.0), (2, "b", 5.0), (3, "b", None)],
                                  "k long, scenario string, psi double")
