@@ -70,23 +70,51 @@ class Network:
         frequent = tokens >= 2
         return np.where(frequent, (tokens - 2) // CLASS_WORDS + 2, tokens), np.where(frequent, (tokens - 2) % CLASS_WORDS, 0)
 
-    def states(self, inputs, keep, h):
-        """States before each prediction, for a window (steps x lanes)."""
+    def gates(self, name):
+        """The parts of ``wx``, ``b``, ``uzr`` or ``uh`` of one gate each, every one laid out by itself."""
         import numpy as np
 
-        x = self.embed[inputs]
-        g = x @ self.wx + self.b
+        whole = getattr(self, name)
+        return np.stack(np.split(whole, whole.shape[-1] // STATE, axis=-1))
+
+    def states(self, inputs, keep, h, hold=True):
+        """States after each step of a window (steps x lanes), what led to them step by step, and the last state.
+
+        A step is state before, z, r, r * state, c, state after; unless ``hold``, steps are not kept.
+        """
+        import numpy as np
+
+        # A gate's values lie together: numpy is slow on slices of 16 values.
+        gz, gr, gc = (table[inputs] for table in self.embed @ self.gates("wx") + self.gates("b")[:, None])
+        (uz, ur), uh = self.gates("uzr"), self.uh
+        hidden = np.empty((*inputs.shape, STATE), self.flat.dtype)
+        spare = np.empty((5, *hidden.shape[1:]), hidden.dtype)
         steps = []
         for t in range(len(inputs)):
-            h = h * keep[t][:, None]
-            zr = 1 / (1 + np.exp(-(g[t, :, : 2 * STATE] + h @ self.uzr)))
-            z, r = zr[:, :STATE], zr[:, STATE:]
-            rh = r * h
-            c = np.tanh(g[t, :, 2 * STATE :] + rh @ self.uh)
-            new = h + z * (c - h)
-            steps.append((h, z, r, rh, c, new))
+            if hold:
+                spare = np.empty_like(spare)
+            before, z, r, rh, c = spare
+            new = hidden[t]
+            before[:] = h
+            before[keep[t] == 0] = 0
+            for gate, g, u in ((z, gz[t], uz), (r, gr[t], ur)):
+                np.matmul(before, u, out=gate)
+                gate += g
+                np.negative(gate, out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            np.multiply(r, before, out=rh)
+            np.matmul(rh, uh, out=c)
+            c += gc[t]
+            np.tanh(c, out=c)
+            np.subtract(c, before, out=new)
+            new *= z
+            new += before
+            if hold:
+                steps.append((before, z, r, rh, c, new))
             h = new
-        return x, steps, h
+        return hidden, steps, h
 
     def outputs(self, hidden, targets, grads=None):
         """log P of every target; with ``grads``, also adds gradients and returns the states' gradient."""
@@ -94,7 +122,12 @@ class Network:
 
         n = len(hidden)
         cls, place = self.parts(targets)
-        logits = hidden @ self.cw + self.cb
+        # Sorted by class once, so that each class is a slice.
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        hidden, cls, place = hidden[order], cls[order], place[order]
+        bounds = np.searchsorted(cls, np.arange(2, CLASSES + 3))
+        logits = hidden @ self.cw
+        logits += self.cb
         log_p = logits[np.arange(n), cls]
         e = np.exp(logits, out=logits)
         total = e @ np.ones(e.shape[1], e.dtype)
@@ -105,18 +138,17 @@ class Network:
             p /= total[:, None]
             p[np.arange(n), cls] -= 1
             grads["cw"] += hidden.T @ p
-            grads["cb"] += p.sum(axis=0)
+            grads["cb"] += np.ones(n, p.dtype) @ p
             back = p @ self.cw.T
         ones = np.ones(CLASS_WORDS, hidden.dtype)
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(2, CLASSES + 3))
         for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if not len(rows):
-                continue
+            rows = slice(bounds[c], bounds[c + 1])
             h = hidden[rows]
-            inner = h @ self.ww[c] + self.wb[c]
-            at = np.arange(len(rows)), place[rows]
+            if not len(h):
+                continue
+            inner = h @ self.ww[c]
+            inner += self.wb[c]
+            at = np.arange(len(h)), place[rows]
             picked = inner[at]
             p = np.exp(inner, out=inner)
             total = p @ ones
@@ -125,9 +157,14 @@ class Network:
                 p /= total[:, None]
                 p[at] -= 1
                 grads["ww"][c] += h.T @ p
-                grads["wb"][c] += p.sum(axis=0)
+                grads["wb"][c] += np.ones(len(h), p.dtype) @ p
                 back[rows] += p @ self.ww[c].T
-        return log_p, back
+        given = np.empty_like(log_p)
+        given[order] = log_p
+        if back is not None:
+            sorted_back, back = back, np.empty_like(back)
+            back[order] = sorted_back
+        return given, back
 
     def gradients(self, inputs, targets, keep, valid, h):
         """Gradients over one window, its mean loss and the state after it."""
@@ -135,31 +172,51 @@ class Network:
 
         flat = np.zeros_like(self.flat)
         grads = vars(Network(flat))
-        x, steps, last = self.states(inputs, keep, h)
-        hidden = np.stack([s[5] for s in steps])
+        hidden, steps, last = self.states(inputs, keep, h)
         log_p, back = self.outputs(hidden[valid], targets[valid], grads)
         into = np.zeros_like(hidden)
         into[valid] = back
         dh = np.zeros_like(h)
-        dg = np.empty((len(inputs), len(h), 3 * STATE), np.float32)
+        d_gates = np.empty((3, *hidden.shape), hidden.dtype)
+        uzt, urt = (np.ascontiguousarray(u.T) for u in self.gates("uzr"))
+        uht = np.ascontiguousarray(self.uh.T)
+        gates = [np.zeros((STATE, STATE), hidden.dtype) for _ in range(2)]
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, rh, c, _ = steps[t]
-            dh = dh + into[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ self.uh.T
-            dz = dh * (c - before) * z * (1 - z)
-            dr = drh * before * r * (1 - r)
-            dg[t, :, :STATE], dg[t, :, STATE : 2 * STATE], dg[t, :, 2 * STATE :] = dz, dr, dc
-            dzr = dg[t, :, : 2 * STATE]
+            dz, dr, dc = d_gates[:, t]
+            dh += into[t]
+            stay = 1 - z
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= z
+            dc *= dh
+            np.subtract(c, before, out=dz)
+            dz *= z
+            dz *= stay
+            dz *= dh
+            drh = dc @ uht
+            np.subtract(1, r, out=dr)
+            dr *= rh
+            dr *= drh
             grads["uh"] += rh.T @ dc
-            grads["uzr"] += before.T @ dzr
-            dh = (dh * (1 - z) + drh * r + dzr @ self.uzr.T) * keep[t][:, None]
-        rows = dg.reshape(-1, 3 * STATE)
-        grads["wx"] += x.reshape(-1, STATE).T @ rows
-        grads["b"] += rows.sum(axis=0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        ids, starts = np.unique(inputs.ravel()[order], return_index=True)
-        grads["embed"][ids] += np.add.reduceat((rows @ self.wx.T)[order], starts, axis=0)
+            gates[0] += before.T @ dz
+            gates[1] += before.T @ dr
+            dh *= stay
+            drh *= r
+            dh += drh
+            dh += dz @ uzt
+            dh += dr @ urt
+            dh[keep[t] == 0] = 0
+        grads["uzr"] += np.hstack(gates)
+        tokens = inputs.ravel()
+        rows = d_gates.reshape(3, -1, STATE)
+        # A token's rows are added up first; what follows is per token.
+        order = np.argsort(tokens.astype(np.int16), kind="stable")
+        ids, starts = np.unique(tokens[order], return_index=True)
+        sums = [np.add.reduceat(d[order], starts, axis=0) for d in rows]
+        grads["wx"] += self.embed[ids].T @ np.hstack(sums)
+        grads["b"] += np.hstack(sums).sum(axis=0)
+        grads["embed"][ids] += np.hstack(sums) @ self.wx.T
         return flat / max(1, int(valid.sum())), float(-log_p.mean()) if len(log_p) else 0.0, last
 
 
@@ -226,8 +283,7 @@ def log10_scores(network: Network, texts: list):
     h = None
     for inputs, targets, keep, valid, document in lanes(texts, SCORE_WINDOW):
         h = np.zeros((inputs.shape[1], STATE), np.float32) if h is None else h[: inputs.shape[1]]
-        _, steps, h = network.states(inputs, keep, h)
-        hidden = np.stack([s[5] for s in steps])
+        hidden, _, h = network.states(inputs, keep, h, hold=False)
         log_p, _ = network.outputs(hidden[valid], targets[valid])
         out += np.bincount(document[valid], log_p, len(texts))
     return out / np.log(10)
@@ -387,32 +443,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         base_all, rare_all = math.log10(n_all + base_floor), math.log10(n_rare + rare_floor)
         end_log = math.log10(n_ends + 0.5) - base_all
 
-        def out(ids, out_flags, held, kept):
+        def out(parts, kept):
             lm = log10_scores(network, [k[0] for k in kept])
-            columns = {"id": pa.chunked_array(ids).combine_chunks() if len(ids) > 1 else ids[0]}
-            columns["held_out"] = pa.array(out_flags, pa.bool_())
+            columns = {name: pa.concat_arrays(part) for name, part in zip(("id", "held_out", "words", "times"), zip(*parts))}
             columns["n_tokens"] = pa.array([len(k[0]) for k in kept], pa.int64())
             columns["n_known"] = pa.array([k[1] for k in kept], pa.int64())
             columns["base_part"] = pa.array([k[2] for k in kept], pa.float64())
             columns["score_part"] = pa.array([float(s) + k[3] for s, k in zip(lm, kept)], pa.float64())
-            columns["words"] = pa.array([list(k[4]) for k in kept], pa.list_(pa.binary()))
-            columns["times"] = pa.array([list(k[4].values()) for k in kept], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_pydict(columns)
+            return pa.RecordBatch.from_pydict({name: columns[name] for name in (
+                "id", "held_out", "n_tokens", "n_known", "base_part", "score_part", "words", "times")})
 
+        # Texts of several batches are read side by side: few would leave most lanes empty beside a long text.
+        parts, kept, n = [], [], 0
         for batch in batches:
-            begin, kept, n = 0, [], 0
+            begin, unknown = 0, []
             for i, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
                 at, tokens = token_ids(words, index, vocab.own)
                 part = logs[at]
-                unknown = Counter(words[j] for j in np.flatnonzero(at < 0))
+                unknown.append(Counter(words[j] for j in np.flatnonzero(at < 0)))
                 rare = tokens[:-1] == 1
                 kept.append((tokens, int((at >= 0).sum()) + bool(n_ends), float(part.sum()) - len(words) * base_all + end_log,
-                             float(part[rare].sum()) - int(rare.sum()) * rare_all, unknown))
+                             float(part[rare].sum()) - int(rare.sum()) * rare_all))
                 n += len(tokens)
                 if n >= HELD_TOKENS or i + 1 == len(batch):
-                    yield out([batch.column(0).slice(begin, len(kept))], batch.column(1).slice(begin, len(kept)).to_pylist(), None, kept)
-                    begin, kept, n = i + 1, [], 0
+                    parts.append((batch.column(0).slice(begin, len(unknown)), batch.column(1).slice(begin, len(unknown)),
+                                  pa.array([list(u) for u in unknown], pa.list_(pa.binary())),
+                                  pa.array([list(u.values()) for u in unknown], pa.list_(pa.int64()))))
+                    begin, unknown = i + 1, []
+                if n >= HELD_TOKENS:
+                    yield out(parts, kept)
+                    parts, kept, n = [], [], 0
+        if kept:
+            yield out(parts, kept)
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_part double, "

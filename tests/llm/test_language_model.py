@@ -93,3 +93,32 @@ def test_training_learns_an_order():
     for _ in range(30):
         memory = lm.learn(network, texts, 0.02, memory)
     assert lm.log10_scores(network, texts).mean() > before + 25
+
+
+def test_states_that_are_not_held_are_the_same():
+    draw = np.random.default_rng(3)
+    network = lm.Network()
+    texts = [np.append(draw.integers(1, 200, n), 0).astype(np.int32) for n in (1, 9, 30, 70, 2)]
+    inputs, _, keep, _, _ = next(iter(lm.lanes(texts)))
+    h = draw.normal(size=(inputs.shape[1], lm.STATE)).astype(np.float32) / 2
+    held, steps, last = network.states(inputs, keep, h)
+    hidden, none, end = network.states(inputs, keep, h, hold=False)
+    assert len(steps) == len(inputs) and not none
+    assert np.array_equal(held, np.stack([s[5] for s in steps])) and np.array_equal(held, hidden) and np.array_equal(last, end)
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    """Texts of several batches are read side by side, a long one and an empty one among them."""
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 9 * 20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = []
+    for most in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            found.append({r.doc_id: r for r in lm.score(docs).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found[0]) == 60
+    for i, r in found[0].items():
+        assert r.score == pytest.approx(found[1][i].score, rel=1e-4)
+        assert (r.n_tokens, r.n_known, r.held_out) == (found[1][i].n_tokens, found[1][i].n_known, found[1][i].held_out)
