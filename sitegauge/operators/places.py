@@ -59,6 +59,9 @@ def resolve_places(
     the hinted state: unresolved.  A cached answer, hit or miss, comes first.
     """
     states = states if states is not None else dims.states(mentions.sparkSession)
+    if cache is not None:
+        # Read twice, for the cache's hot keys and for the join; finding the mentions in their texts is costly.
+        mentions = stage(mentions, "mentions")
     known = candidates.select(F.col("place").alias("_place"), "candidates")
     prefixes = states.select(F.col("state").alias("_state"), F.col("state_fips").alias("_prefix"))
     joined = (

@@ -149,3 +149,19 @@ def test_hot_address_is_not_one_group(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "[k#" in plan and "Window" not in plan
     assert got.count() == rows.select("k").distinct().count()
+
+
+def test_mentions_are_found_once_for_a_cache(spark):
+    """The cache's hot keys and the join both read the mentions; finding them is costly."""
+    found = spark.sparkContext.accumulator(0)
+
+    def find(i):
+        found.add(1)
+        return "fairfax" if i % 2 else "reston"
+
+    mentions = spark.range(40).select("id", F.udf(find, "string")("id").alias("place"), F.lit("VA").alias("state_hint"))
+    candidates = spark.createDataFrame([("fairfax", ["51059"]), ("reston", ["51107"])], "place string, candidates array<string>")
+    cache = spark.createDataFrame([("fairfax|VA", "99999")], "key string, fips string")
+    got = places.resolve_places(mentions, candidates, cache=cache).collect()
+    assert sorted({(r.place, r.county_fips) for r in got}) == [("fairfax", "99999"), ("reston", "51107")]
+    assert len(got) == 40 and found.value == 40
