@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,6 +24,10 @@ END = b""  # words are never empty
 STATE, CLASS_WORDS, CLASSES = 16, 32, 32
 #: Steps of truncated backpropagation, steps read at once in scoring (which changes no score), documents side by side.
 WINDOW, SCORE_WINDOW, LANES = 20, 80, 512
+#: Places whose classes are weighed at once, few enough for a core's own memory.
+BLOCK = 1000
+#: Values between the rows of a table: rows a power of two apart would push each other out of a core's cache.
+GAP = 16
 #: Parameters stay within this range; as states lie in (-1, 1), no exponential can overflow.
 RANGE = 4.0
 #: Words whose counts travel with every task; the counts of others are joined.
@@ -32,6 +35,8 @@ COMMON_WORDS = 1 << 18
 START_TEXTS, START_ROUNDS = 400, 4
 #: Tokens and distinct words that a task holds at a time.
 HELD_TOKENS, HELD_WORDS = 2_000_000, 400_000
+#: Bytes of text that are taken apart at a time.
+PIECE_BYTES = 4 << 20
 FAN = 16
 
 
@@ -39,6 +44,31 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def pieces(batch):
+    """Slices of a batch with about ``PIECE_BYTES`` of text in the last column, or with one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begins = [0, *(np.flatnonzero(np.diff(ends // PIECE_BYTES)) + 1), len(ends)]
+    for begin, end in zip(begins, begins[1:]):
+        if begin < end:
+            yield batch.slice(begin, end - begin)
+
+
+def words_in(texts):
+    """``words_of`` all texts of an Arrow array one after another, and the number of the text of each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, text = split.flatten(), pc.list_parent_indices(split)
+    there = pc.greater(pc.binary_length(words), 0)  # space at a text's begin or end leaves an empty word
+    if not pc.all(there, min_count=0).as_py():
+        words, text = words.filter(there), text.filter(there)
+    return words.cast(pa.binary()), text.to_numpy()
+
+
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
@@ -70,101 +100,110 @@ class Network:
         frequent = tokens >= 2
         return np.where(frequent, (tokens - 2) // CLASS_WORDS + 2, tokens), np.where(frequent, (tokens - 2) % CLASS_WORDS, 0)
 
-    def gates(self, name):
-        """The parts of ``wx``, ``b``, ``uzr`` or ``uh`` of one gate each, every one laid out by itself."""
+    def gates(self):
+        """Weights of z and r, which read state, word and 1, and of c, which reads word, 1 and r * state."""
         import numpy as np
 
-        whole = getattr(self, name)
-        return np.stack(np.split(whole, whole.shape[-1] // STATE, axis=-1))
+        wx, b, two = self.wx, self.b[None], 2 * STATE
+        return np.vstack([self.uzr, wx[:, :two], b[:, :two]]), np.vstack([wx[:, two:], b[:, two:], self.uh])
 
     def states(self, inputs, keep, h, hold=True):
         """States after each step of a window (steps x lanes), what led to them step by step, and the last state.
 
-        A step is state before, z, r, r * state, c, state after; unless ``hold``, steps are not kept.
+        A step is what the gates read, z, r, r * state, c, state after; unless ``hold``, steps are not kept.  All are
+        lanes x values to the caller, but a value's lanes lie together: numpy is slow on rows of 16.
         """
         import numpy as np
 
-        # A gate's values lie together: numpy is slow on slices of 16 values.
-        gz, gr, gc = (table[inputs] for table in self.embed @ self.gates("wx") + self.gates("b")[:, None])
-        (uz, ur), uh = self.gates("uzr"), self.uh
-        hidden = np.empty((*inputs.shape, STATE), self.flat.dtype)
-        spare = np.empty((5, *hidden.shape[1:]), hidden.dtype)
+        kind, width = self.flat.dtype, inputs.shape[1]
+        of_zr, of_c = (np.ascontiguousarray(w.T) for w in self.gates())
+        of_zr *= 0.5  # a sigmoid of x is half of 1 + tanh(x / 2)
+        embed = np.ascontiguousarray(self.embed.T)
+        hidden = rows(STATE, inputs.size, kind).reshape(STATE, *inputs.shape)
+        room = [rows(6 * STATE + 1, width, kind) for _ in range(len(inputs) if hold else 1)]
         steps = []
-        for t in range(len(inputs)):
-            if hold:
-                spare = np.empty_like(spare)
-            before, z, r, rh, c = spare
-            new = hidden[t]
-            before[:] = h
-            before[keep[t] == 0] = 0
-            for gate, g, u in ((z, gz[t], uz), (r, gr[t], ur)):
-                np.matmul(before, u, out=gate)
-                gate += g
-                np.negative(gate, out=gate)
-                np.exp(gate, out=gate)
-                gate += 1
-                np.reciprocal(gate, out=gate)
+        h = h.T
+        for t, tokens in enumerate(inputs.astype(np.intp)):
+            of_step, new = room[t if hold else 0], hidden[:, t]
+            read, zr, c = of_step[: 3 * STATE + 1], of_step[3 * STATE + 1 : -STATE], of_step[-STATE:]
+            before, rh, z, r = read[:STATE], read[-STATE:], zr[:STATE], zr[STATE:]
+            np.multiply(h, keep[t], out=before)
+            embed.take(tokens, axis=1, out=read[STATE : 2 * STATE], mode="clip")
+            read[2 * STATE] = 1
+            np.matmul(of_zr, read[: 2 * STATE + 1], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             np.multiply(r, before, out=rh)
-            np.matmul(rh, uh, out=c)
-            c += gc[t]
+            np.matmul(of_c, read[STATE:], out=c)
             np.tanh(c, out=c)
             np.subtract(c, before, out=new)
             new *= z
             new += before
             if hold:
-                steps.append((before, z, r, rh, c, new))
+                steps.append(tuple(x.T for x in (read, z, r, rh, c, new)))
             h = new
-        return hidden, steps, h
+        return hidden.transpose(1, 2, 0), steps, h.T
 
     def outputs(self, hidden, targets, grads=None):
         """log P of every target; with ``grads``, also adds gradients and returns the states' gradient."""
         import numpy as np
 
-        n = len(hidden)
+        n, kind = len(hidden), hidden.dtype
         cls, place = self.parts(targets)
-        # Sorted by class once, so that each class is a slice.
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        hidden, cls, place = hidden[order], cls[order], place[order]
-        bounds = np.searchsorted(cls, np.arange(2, CLASSES + 3))
-        logits = hidden @ self.cw
-        logits += self.cb
-        log_p = logits[np.arange(n), cls]
-        e = np.exp(logits, out=logits)
-        total = e @ np.ones(e.shape[1], e.dtype)
-        log_p -= np.log(total)
-        back = None
-        if grads is not None:
-            p = e
-            p /= total[:, None]
-            p[np.arange(n), cls] -= 1
-            grads["cw"] += hidden.T @ p
-            grads["cb"] += np.ones(n, p.dtype) @ p
-            back = p @ self.cw.T
-        ones = np.ones(CLASS_WORDS, hidden.dtype)
-        for c in range(CLASSES):
-            rows = slice(bounds[c], bounds[c + 1])
-            h = hidden[rows]
-            if not len(h):
-                continue
-            inner = h @ self.ww[c]
-            inner += self.wb[c]
-            at = np.arange(len(h)), place[rows]
-            picked = inner[at]
-            p = np.exp(inner, out=inner)
-            total = p @ ones
-            log_p[rows] += picked - np.log(total)
+        hidden = hidden.T
+        log_p, back = np.empty(n, kind), None if grads is None else rows(STATE, n, kind)
+        for at in range(0, n, BLOCK):
+            block = slice(at, at + BLOCK)
+            log_p[block], p = self._log_p(self.cw, self.cb, hidden[:, block], cls[block], grads is not None)
             if grads is not None:
-                p /= total[:, None]
-                p[at] -= 1
-                grads["ww"][c] += h.T @ p
-                grads["wb"][c] += np.ones(len(h), p.dtype) @ p
-                back[rows] += p @ self.ww[c].T
-        given = np.empty_like(log_p)
-        given[order] = log_p
-        if back is not None:
-            sorted_back, back = back, np.empty_like(back)
-            back[order] = sorted_back
-        return given, back
+                grads["cw"] += hidden[:, block] @ p.T
+                grads["cb"] += p.sum(axis=1)
+                np.matmul(self.cw, p, out=back[:, block])
+        # Frequent words, sorted by class once, so that each class is a slice.
+        order = np.flatnonzero(cls >= 2)
+        order = order[np.argsort(cls[order].astype(np.int16), kind="stable")]
+        bounds = np.searchsorted(cls[order], np.arange(2, CLASSES + 3))
+        owns = [(c, slice(*bounds[c : c + 2])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+        own, inner = hidden.take(order, axis=1, mode="clip"), np.empty((CLASS_WORDS, len(order)), kind)
+        for c, part in owns:
+            np.matmul(self.ww[c].T, own[:, part], out=inner[:, part])
+            inner[:, part] += self.wb[c][:, None]
+        found, p = self._picked(inner, place[order], grads is not None)
+        log_p[order] += found
+        if grads is not None:
+            # The last column is for all other places.
+            back_own = np.zeros((STATE, len(order) + 1), kind)
+            for c, part in owns:
+                grads["ww"][c] += own[:, part] @ p[:, part].T
+                grads["wb"][c] += p[:, part].sum(axis=1)
+                np.matmul(self.ww[c], p[:, part], out=back_own[:, part])
+            column = np.full(n, len(order))
+            column[order] = np.arange(len(order))
+            back += back_own.take(column, axis=1, mode="clip")
+        return log_p, None if back is None else back.T
+
+    def _log_p(self, weights, bias, hidden, at, grad):
+        import numpy as np
+
+        logits = weights.T @ hidden
+        logits += bias[:, None]
+        return self._picked(logits, at, grad)
+
+    @staticmethod
+    def _picked(logits, at, grad):
+        """log P of the choice ``at`` of every column; with ``grad``, also its gradient.  The logits are overwritten."""
+        import numpy as np
+
+        flat, places = logits.reshape(-1), at * logits.shape[1] + np.arange(logits.shape[1])
+        log_p = flat[places]
+        np.exp(logits, out=logits)
+        total = np.ones(len(logits), logits.dtype) @ logits
+        log_p -= np.log(total)
+        if grad:
+            logits /= total
+            flat[places] -= 1
+        return log_p, logits
 
     def gradients(self, inputs, targets, keep, valid, h):
         """Gradients over one window, its mean loss and the state after it."""
@@ -173,53 +212,70 @@ class Network:
         flat = np.zeros_like(self.flat)
         grads = vars(Network(flat))
         hidden, steps, last = self.states(inputs, keep, h)
-        log_p, back = self.outputs(hidden[valid], targets[valid], grads)
-        into = np.zeros_like(hidden)
-        into[valid] = back
-        dh = np.zeros_like(h)
-        d_gates = np.empty((3, *hidden.shape), hidden.dtype)
-        uzt, urt = (np.ascontiguousarray(u.T) for u in self.gates("uzr"))
-        uht = np.ascontiguousarray(self.uh.T)
-        gates = [np.zeros((STATE, STATE), hidden.dtype) for _ in range(2)]
+        log_p, back = self.outputs(columns(hidden, valid), targets[valid], grads)
+        width, kind = inputs.shape[1], hidden.dtype
+        into = back.T
+        if not valid.all():
+            into = rows(STATE, inputs.size, kind)
+            into[:] = 0
+            into[:, valid.ravel()] = back.T
+        into = into.reshape(STATE, *inputs.shape)
+        of_words = rows(STATE, inputs.size, kind).reshape(into.shape)
+        dh, stay, dzr, dc = (rows(n * STATE, width, kind) for n in (1, 1, 2, 1))
+        dh[:] = 0
+        dz, dr = dzr[:STATE], dzr[STATE:]
+        of_zr, of_c = self.gates()
+        g_zr, g_c = np.zeros_like(of_zr), np.zeros_like(of_c)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, rh, c, _ = steps[t]
-            dz, dr, dc = d_gates[:, t]
-            dh += into[t]
-            stay = 1 - z
+            read, z, r, rh, c, _ = (x.T for x in steps[t])
+            dh += into[:, t]
+            np.subtract(1, z, out=stay)
             np.multiply(c, c, out=dc)
             np.subtract(1, dc, out=dc)
             dc *= z
             dc *= dh
-            np.subtract(c, before, out=dz)
+            np.subtract(c, read[:STATE], out=dz)
             dz *= z
             dz *= stay
             dz *= dh
-            drh = dc @ uht
+            from_c = of_c @ dc
+            drh = from_c[-STATE:]
             np.subtract(1, r, out=dr)
             dr *= rh
             dr *= drh
-            grads["uh"] += rh.T @ dc
-            gates[0] += before.T @ dz
-            gates[1] += before.T @ dr
+            from_zr = of_zr @ dzr
+            g_zr += read[: 2 * STATE + 1] @ dzr.T
+            g_c += read[STATE:] @ dc.T
+            np.add(from_c[:STATE], from_zr[STATE : 2 * STATE], out=of_words[:, t])
             dh *= stay
             drh *= r
             dh += drh
-            dh += dz @ uzt
-            dh += dr @ urt
-            dh[keep[t] == 0] = 0
-        grads["uzr"] += np.hstack(gates)
-        tokens = inputs.ravel()
-        rows = d_gates.reshape(3, -1, STATE)
-        # A token's rows are added up first; what follows is per token.
-        order = np.argsort(tokens.astype(np.int16), kind="stable")
-        ids, starts = np.unique(tokens[order], return_index=True)
-        sums = [np.add.reduceat(d[order], starts, axis=0) for d in rows]
-        grads["wx"] += self.embed[ids].T @ np.hstack(sums)
-        grads["b"] += np.hstack(sums).sum(axis=0)
-        grads["embed"][ids] += np.hstack(sums) @ self.wx.T
+            dh += from_zr[:STATE]
+            dh *= keep[t]
+        grads["uzr"] += g_zr[:STATE]
+        grads["uh"] += g_c[-STATE:]
+        grads["wx"] += np.hstack([g_zr[STATE : 2 * STATE], g_c[:STATE]])
+        grads["b"] += np.hstack([g_zr[-1], g_c[STATE]])
+        # A token's places are added up, value by value.
+        tokens = inputs.ravel().astype(np.intp)
+        for k in range(STATE):
+            grads["embed"][:, k] += np.bincount(tokens, of_words[k].ravel(), len(self.embed))
         return flat / max(1, int(valid.sum())), float(-log_p.mean()) if len(log_p) else 0.0, last
 
 
+def columns(hidden, valid):
+    """The states of the valid places, a row each to the caller, laid out as columns."""
+    values = hidden.transpose(2, 0, 1).reshape(hidden.shape[2], -1)
+    return (values if valid.all() else values[:, valid.ravel()]).T
+
+
+def rows(n, width, kind):
+    """Room for ``n`` rows, with a gap between them."""
+    import numpy as np
+
+    return np.empty((n, width + GAP), kind)[:, :width]
+
+
 def lanes(texts: list, window: int = WINDOW):
     """Windows over documents laid into lanes: (inputs, targets, keep, valid, document of each place) arrays.
 
@@ -284,7 +340,7 @@ def log10_scores(network: Network, texts: list):
     for inputs, targets, keep, valid, document in lanes(texts, SCORE_WINDOW):
         h = np.zeros((inputs.shape[1], STATE), np.float32) if h is None else h[: inputs.shape[1]]
         hidden, _, h = network.states(inputs, keep, h, hold=False)
-        log_p, _ = network.outputs(hidden[valid], targets[valid])
+        log_p, _ = network.outputs(columns(hidden, valid), targets[valid])
         out += np.bincount(document[valid], log_p, len(texts))
     return out / np.log(10)
 
@@ -299,8 +355,11 @@ class Vocabulary:
     distinct: int
     own: int
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
+    def values(self, n: int | None = None):
+        """The first words as an Arrow array."""
+        import pyarrow as pa
+
+        return pa.array(self.words[:n], pa.binary())
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -315,9 +374,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
                                               names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-                seen[END] += 1
+            for piece in pieces(batch):
+                found = words_in(piece.column(0))[0].value_counts()
+                words, times = (found.field(k).to_numpy(zero_copy_only=False).tolist() for k in (0, 1))
+                seen.update(dict(zip(words, times)))
+                seen[END] += len(piece)
                 if len(seen) > HELD_WORDS:
                     yield out()
                     seen.clear()
@@ -343,13 +404,22 @@ def vocabulary(counts: DataFrame, common: int = COMMON_WORDS) -> Vocabulary:
     return Vocabulary([w for _, w in rows], [n for n, _ in rows], total, distinct, min(len(rows), CLASSES * CLASS_WORDS))
 
 
-def token_ids(words: list[bytes], index: dict[bytes, int], own: int):
-    """Indexes in the common words (-1: none) and the network's tokens, which end with the end token."""
+def places_in(words, common):
+    """Where the words stand in ``common`` (-1: nowhere)."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(words, value_set=common), -1).to_numpy()
+
+
+def network_tokens(at, text, n_texts: int, own: int) -> list:
+    """The network's tokens of every text, which end with the end token."""
     import numpy as np
 
-    at = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
-    tokens = np.append(np.where((at >= 0) & (at < own), at + 2, 1), 0).astype(np.int32)
-    return at, tokens
+    sizes = np.bincount(text, minlength=n_texts) + 1
+    tokens = np.zeros(int(sizes.sum()), np.int32)
+    tokens[np.arange(len(at)) + text] = np.where((at >= 0) & (at < own), at + 2, 1)
+    ends = np.cumsum(sizes).tolist()
+    return [tokens[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def train(rows: DataFrame, vocab: Vocabulary, n_texts: int, rate: float = 0.01) -> Network:
@@ -362,24 +432,29 @@ def train(rows: DataFrame, vocab: Vocabulary, n_texts: int, rate: float = 0.01)
     share = min(1.0, START_TEXTS / max(1, n_texts))
     picked = rows.where(F.pmod(F.xxhash64(F.lit("start"), "key"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
     sample = [r.text for r in picked.orderBy("key", "text").select("text").collect()]
-    index = {w: i for i, w in enumerate(vocab.words[: vocab.own])}
-    texts = [token_ids(words_of(t), index, vocab.own)[1] for t in sample]
+    own = vocab.own
+    own_words = vocab.values(own)
+
+    def tokens(texts) -> list:
+        words, text = words_in(texts)
+        return network_tokens(places_in(words, own_words), text, len(texts), own)
+
+    texts = tokens(pa.array(sample, pa.string()))
     memory = None
     for _ in range(START_ROUNDS if texts else 0):
         memory = learn(start, texts, rate, memory)
     begin = start.flat.copy()
-    own_words = vocab.words[: vocab.own]
 
     def run(batches: Iterator) -> Iterator:
-        index = {w: i for i, w in enumerate(own_words)}
         network, memory, n, held, total = Network(begin.copy()), None, 0, [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(token_ids(words_of(text.as_py()), index, len(own_words))[1])
-                n += len(held[-1])
-                if n >= HELD_TOKENS:
-                    memory = learn(network, held, rate / 3, memory)
-                    total, n, held = total + n, 0, []
+            for piece in pieces(batch):
+                for text in tokens(piece.column(0)):
+                    held.append(text)
+                    n += len(text)
+                    if n >= HELD_TOKENS:
+                        memory = learn(network, held, rate / 3, memory)
+                        total, n, held = total + n, 0, []
         if held:
             learn(network, held, rate / 3, memory)
             total += n
@@ -438,44 +513,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rare_floor = 0.5 * (v_all - vocab.own - bool(n_ends) + 1)
 
     def run(batches: Iterator) -> Iterator:
-        network, index = Network(flat), vocab.index()
+        network, common = Network(flat), vocab.values()
         logs = np.log10(np.array([*vocab.counts, 0.5]) + 0.5)  # the last, for words that are joined later, is log10(1)
         base_all, rare_all = math.log10(n_all + base_floor), math.log10(n_rare + rare_floor)
         end_log = math.log10(n_ends + 0.5) - base_all
 
-        def out(parts, kept):
-            lm = log10_scores(network, [k[0] for k in kept])
-            columns = {name: pa.concat_arrays(part) for name, part in zip(("id", "held_out", "words", "times"), zip(*parts))}
-            columns["n_tokens"] = pa.array([len(k[0]) for k in kept], pa.int64())
-            columns["n_known"] = pa.array([k[1] for k in kept], pa.int64())
-            columns["base_part"] = pa.array([k[2] for k in kept], pa.float64())
-            columns["score_part"] = pa.array([float(s) + k[3] for s, k in zip(lm, kept)], pa.float64())
-            return pa.RecordBatch.from_pydict({name: columns[name] for name in (
-                "id", "held_out", "n_tokens", "n_known", "base_part", "score_part", "words", "times")})
+        def lists(offsets, values):
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+        def read(piece):
+            """The columns of a piece's rows but the network's share of the score, and the network's tokens."""
+            n, (words, text) = len(piece), words_in(piece.column(2))
+            at = places_in(words, common)
+            part, rare, known = logs[at], (at < 0) | (at >= vocab.own), at >= 0
+            times = np.bincount(text, minlength=n)
+            times_rare = np.bincount(text[rare], minlength=n)
+            # The other words, each once per text.
+            unknown = words.filter(pa.array(~known)).dictionary_encode()
+            k = max(1, len(unknown.dictionary))
+            pairs, pair_times = np.unique(text[~known].astype(np.int64) * k + unknown.indices.to_numpy(), return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(n + 1, dtype=np.int64) * k)
+            columns = [piece.column(0), piece.column(1), pa.array(times + 1, pa.int64()),
+                       pa.array(np.bincount(text[known], minlength=n) + bool(n_ends), pa.int64()),
+                       pa.array(np.bincount(text, part, n) - times * base_all + end_log, pa.float64()),
+                       pa.array(np.bincount(text[rare], part[rare], n) - times_rare * rare_all, pa.float64()),
+                       lists(offsets, unknown.dictionary.take(pa.array(pairs % k))), lists(offsets, pa.array(pair_times, pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names), network_tokens(at, text, n, vocab.own)
+
+        names = ["id", "held_out", "n_tokens", "n_known", "base_part", "score_part", "words", "times"]
+
+        def out(parts, texts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            full = pa.array(table.column("score_part").to_numpy() + log10_scores(network, texts), pa.float64())
+            return table.set_column(names.index("score_part"), "score_part", full).to_batches()
 
         # Texts of several batches are read side by side: few would leave most lanes empty beside a long text.
-        parts, kept, n = [], [], 0
+        parts, texts, n = [], [], 0
         for batch in batches:
-            begin, unknown = 0, []
-            for i, text in enumerate(batch.column(2)):
-                words = words_of(text.as_py())
-                at, tokens = token_ids(words, index, vocab.own)
-                part = logs[at]
-                unknown.append(Counter(words[j] for j in np.flatnonzero(at < 0)))
-                rare = tokens[:-1] == 1
-                kept.append((tokens, int((at >= 0).sum()) + bool(n_ends), float(part.sum()) - len(words) * base_all + end_log,
-                             float(part[rare].sum()) - int(rare.sum()) * rare_all))
-                n += len(tokens)
-                if n >= HELD_TOKENS or i + 1 == len(batch):
-                    parts.append((batch.column(0).slice(begin, len(unknown)), batch.column(1).slice(begin, len(unknown)),
-                                  pa.array([list(u) for u in unknown], pa.list_(pa.binary())),
-                                  pa.array([list(u.values()) for u in unknown], pa.list_(pa.int64()))))
-                    begin, unknown = i + 1, []
+            for piece in pieces(batch):
+                part, tokens = read(piece)
+                parts.append(part)
+                texts += tokens
+                n += sum(map(len, tokens))
                 if n >= HELD_TOKENS:
-                    yield out(parts, kept)
-                    parts, kept, n = [], [], 0
-        if kept:
-            yield out(parts, kept)
+                    yield from out(parts, texts)
+                    parts, texts, n = [], [], 0
+        if texts:
+            yield from out(parts, texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_part double, "

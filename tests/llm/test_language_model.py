@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitegauge.llm import language_model as lm
@@ -122,3 +123,33 @@ def test_scores_do_not_depend_on_batches(spark):
     for i, r in found[0].items():
         assert r.score == pytest.approx(found[1][i].score, rel=1e-4)
         assert (r.n_tokens, r.n_known, r.held_out) == (found[1][i].n_tokens, found[1][i].n_known, found[1][i].held_out)
+
+
+def test_words_split_by_arrow_are_the_same():
+    texts = [" a\x0bB\x0c c\r\n\td ", "", " x Y É ÀB", "a\x00b \x1c z", "   ", "one", None, "W" * 50]
+    words, text = lm.words_in(pa.array(texts))
+    assert [(w, i) for w, i in zip(words.to_pylist(), text)] == [(w, i) for i, t in enumerate(texts) for w in lm.words_of(t)]
+    at = lm.places_in(words, pa.array([b"one", b"a", b"c"]))
+    tokens = lm.network_tokens(at, text, len(texts), 2)
+    place = {b"one": 2, b"a": 3}
+    assert [t.tolist() for t in tokens] == [[*(place.get(w, 1) for w in lm.words_of(t)), 0] for t in texts]
+
+
+def test_pieces_hold_all_rows_and_little_text(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE_BYTES", 100)
+    texts = ["x" * n for n in (0, 30, 60, 500, 0, 99, 1, 1, 250, 7)]
+    found = [p.column(1).to_pylist() for p in lm.pieces(pa.RecordBatch.from_pydict({"id": list(range(10)), "text": texts}))]
+    assert [t for p in found for t in p] == texts and len(found) > 3
+    assert all(sum(map(len, p)) - max(map(len, p)) <= 100 for p in found)
+    assert list(lm.pieces(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == []
+
+
+def test_a_value_s_lanes_lie_together():
+    """Numpy is slow on rows of 16 values; before, a lane's values lay together."""
+    draw = np.random.default_rng(4)
+    network = lm.Network()
+    texts = [np.append(draw.integers(1, 200, n), 0).astype(np.int32) for n in (40, 30, 21, 60)]
+    inputs, _, keep, _, _ = next(iter(lm.lanes(texts)))
+    hidden, steps, last = network.states(inputs, keep, np.zeros((inputs.shape[1], lm.STATE), np.float32))
+    assert hidden.shape == (*inputs.shape, lm.STATE) and hidden.strides[1] == last.strides[0] == hidden.itemsize
+    assert all(part.strides[0] == part.itemsize for step in steps for part in step)
