@@ -36,7 +36,7 @@ START_TEXTS, START_ROUNDS = 400, 4
 #: Tokens and distinct words that a task holds at a time.
 HELD_TOKENS, HELD_WORDS = 2_000_000, 400_000
 #: Bytes of text that are taken apart at a time.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 FAN = 16
 
 
