@@ -414,26 +414,28 @@ def document_topics(spark, folder):
     import pandas as pd
 
     docs = documents(spark, folder).select("doc_id", F.col("text").alias("clean_text"))
-    weighted, _, model, tfidf = topics.extract_topics(docs)
+    weighted, _, model, _ = topics.extract_topics(docs, kept_in="features")
     topic_of_term, alpha, k, digamma = np.exp(lda.expectation(model.parameters)), model.alpha, model.k, lda.digamma
 
     @F.pandas_udf("boolean")
     def follows(weights: pd.Series, terms: pd.Series, counts: pd.Series) -> pd.Series:
-        out = []
-        for w, ts, ns in zip(weights, terms, counts):
-            theta = np.exp(digamma(np.array(w) * (sum(ns) + alpha * k)))
-            gamma = np.full(k, alpha)
-            for t, n in zip(ts, ns):
-                share = theta * topic_of_term[:, t]
-                gamma += n * share / share.sum()
-            out.append(len(ts) == 0 or bool(np.abs(gamma / gamma.sum() - np.array(w)).max() < 0.01))
-        return pd.Series(out)
+        out = [np.zeros(0, bool)]
+        every = np.array([len(t) for t in terms], int)
+        for some in lda.portions(every):
+            w, sizes = np.array([*weights[some]]), every[some]
+            t, n = np.concatenate([*terms[some]]).astype(int), np.concatenate([*counts[some]])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            theta = np.exp(digamma(w * (np.bincount(row, n, len(sizes)) + alpha * k)[:, None]))
+            share = theta.T[:, row] * topic_of_term[:, t]
+            share *= n / share.sum(axis=0)
+            gamma = alpha + np.array([np.bincount(row, s, len(sizes)) for s in share]).T
+            out.append((sizes == 0) | (np.abs(gamma / gamma.sum(axis=1, keepdims=True) - w).max(axis=1) < 0.01))
+        return pd.Series(np.concatenate(out))
 
     weights = F.array(*[F.col(f"topic_{t}_weight") for t in range(k)])
-    features = tfidf.transform(topics.with_terms(docs, "clean_text", "_terms"), "_terms", "_features")
-    terms, counts = lda.sparse(F.col("_features"))
+    terms, counts = lda.sparse(F.col("features"))
     joined = weighted.select("doc_id", "dominant_topic", weights.alias("w")).join(
-        features.select("doc_id", terms.alias("terms"), counts.alias("counts")), "doc_id")
+        weighted.select("doc_id", terms.alias("terms"), counts.alias("counts")), "doc_id")
     return joined.select(
         "doc_id", F.size("w").alias("n_weights"), r(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"),
         (F.get("w", F.col("dominant_topic")) == F.array_max("w")).alias("dominant_is_largest"),

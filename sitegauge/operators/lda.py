@@ -30,8 +30,8 @@ BATCH_TEXTS, MOST_BATCHES = 128, 4
 OFFSET, DECAY = 10.0, 0.7
 #: Most rounds of the fit of one text's shares while topics are learned, and the mean change that ends them.
 ROUNDS, SETTLED = 100, 1e-3
-#: Texts fitted together in a task.
-TOGETHER = 256
+#: Most texts, and terms of these, that are fitted together in a task, and texts of about the same size.
+TOGETHER, TERMS_TOGETHER, ALIKE = 2048, 1 << 18, 64
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -61,42 +61,69 @@ def expectation(x: np.ndarray) -> np.ndarray:
     return digamma(x) - digamma(x.sum(axis=-1))[..., None]
 
 
-def text_shares(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, topics: np.ndarray, alpha: float,
-                rounds: int | None = ROUNDS):
-    """Dirichlet parameters of each text's topic shares, and of each of its terms the expected topic weights.
+def settled(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, topics: np.ndarray, alpha: float,
+            rounds: int | None = ROUNDS) -> np.ndarray:
+    """Dirichlet parameters of each text's topic shares.
 
     ``terms`` and ``counts`` hold the texts one after another, ``sizes`` how many belong to each; ``topics`` is
     exp(E[log p(term | topic)]), a row per topic.  A text leaves the rounds when it has settled; with ``rounds`` None
-    they go on until every text has, as each round raises the bound.
+    they go on until every text has, as each round raises the bound.  Texts of about the same size are filled up to the
+    longest of ``ALIKE`` and take a round as matrix products.
     """
     k, n = len(topics), len(sizes)
-    weight = topics[:, terms]
+    starts = np.cumsum(sizes) - sizes
     total = np.bincount(np.repeat(np.arange(n), sizes), counts, n)
     gamma = np.repeat(alpha + total[:, None] / k, k, axis=1)
-
-    def parts(gamma: np.ndarray, weight: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        part = np.repeat(np.exp(expectation(gamma)).T, sizes, axis=1)
-        part *= weight
-        part *= counts / np.maximum(part.sum(axis=0), 1e-300)
-        return part
-
-    open_texts = np.flatnonzero(sizes)
-    some_weight, some_counts, some_sizes = weight, counts, sizes[open_texts]
+    open_texts = np.argsort(sizes, kind="stable")
+    open_texts = open_texts[sizes[open_texts] > 0]
+    bands = []
+    for at in range(0, len(open_texts), ALIKE):
+        some = open_texts[at : at + ALIKE]
+        place = np.arange(sizes[some[-1]])
+        inside = place < sizes[some][:, None]
+        place = np.where(inside, starts[some][:, None] + place, 0)
+        bands.append((np.ascontiguousarray(topics[:, terms[place]].transpose(1, 0, 2)), np.where(inside, counts[place], 0.0)))
     done = 0
     while len(open_texts) and (rounds is None or done < rounds):
         done += 1
-        part = parts(gamma[open_texts], some_weight, some_counts, some_sizes)
-        new = alpha + np.add.reduceat(part, np.cumsum(some_sizes) - some_sizes, axis=1).T
+        theta = np.exp(expectation(gamma[open_texts]))
+        new, ends = np.empty_like(theta), np.cumsum([len(held) for _, held in bands])
+        for (weight, held), end in zip(bands, ends):
+            here = slice(end - len(held), end)
+            part = np.matmul(theta[here, None, :], weight)[:, 0, :]
+            np.divide(held, np.maximum(part, 1e-300, out=part), out=part)
+            new[here] = np.matmul(weight, part[:, :, None])[:, :, 0]
+        new = alpha + theta * new
         moving = np.abs(new - gamma[open_texts]).mean(axis=1) >= SETTLED
         gamma[open_texts] = new
         # Those that have settled are taken out a tenth at a time, as that costs about a round.
         if not moving.any():
             break
         if moving.sum() <= 0.9 * len(moving):
-            kept = np.repeat(moving, some_sizes)
-            some_weight, some_counts = some_weight[:, kept], some_counts[kept]
-            open_texts, some_sizes = open_texts[moving], some_sizes[moving]
-    return gamma, parts(gamma, weight, counts, sizes).T
+            kept = np.split(moving, ends[:-1])
+            bands = [(weight[m], held[m]) for (weight, held), m in zip(bands, kept) if m.any()]
+            open_texts = open_texts[moving]
+    return gamma
+
+
+def text_shares(terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, topics: np.ndarray, alpha: float,
+                rounds: int | None = ROUNDS):
+    """What ``settled`` gives, and of each term of each text the expected topic weights."""
+    gamma = settled(terms, counts, sizes, topics, alpha, rounds)
+    part = np.repeat(np.exp(expectation(gamma)).T, sizes, axis=1)
+    part *= topics[:, terms]
+    part *= counts / np.maximum(part.sum(axis=0), 1e-300)
+    return gamma, part.T
+
+
+def portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Texts to fit together: at most ``TOGETHER``, and ``TERMS_TOGETHER`` terms where they are more than one."""
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        some = np.searchsorted(ends, (ends[at - 1] if at else 0) + TERMS_TOGETHER, side="right")
+        until = int(min(at + TOGETHER, max(at + 1, some), len(sizes)))
+        yield slice(at, until)
+        at = until
 
 
 def text_bounds(terms, counts, sizes, gamma, topics, alpha: float) -> np.ndarray:
@@ -143,10 +170,10 @@ class TopicModel:
         @F.pandas_udf("array<double>")
         def of(terms: pd.Series, counts: pd.Series) -> pd.Series:
             out = []
-            for at in range(0, len(terms), TOGETHER):
-                sizes = np.array([len(t) for t in terms[at : at + TOGETHER]], int)
-                some = np.concatenate([*terms[at : at + TOGETHER], np.zeros(0)]).astype(int)
-                gamma, _ = text_shares(some, np.concatenate([*counts[at : at + TOGETHER], np.zeros(0)]), sizes, topics, alpha, None)
+            every = np.array([len(t) for t in terms], int)
+            for some in portions(every):
+                sizes, places = every[some], np.concatenate([*terms[some], np.zeros(0)]).astype(int)
+                gamma = settled(places, np.concatenate([*counts[some], np.zeros(0)]), sizes, topics, alpha, None)
                 gamma[sizes == 0] = 1.0
                 out += (gamma / gamma.sum(axis=1, keepdims=True)).tolist()
             return pd.Series(out)
@@ -183,8 +210,8 @@ def expected_uses(texts: DataFrame, parameters: np.ndarray, alpha: float) -> tup
         topics = np.exp(expectation(parameters))
         uses, bound, n = np.zeros((k, v)), 0.0, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(at, TOGETHER)
+            for some in portions(flat(whole.column(0))[1]):
+                batch = whole.slice(some.start, some.stop - some.start)
                 terms, sizes = flat(batch.column(0))
                 counts, _ = flat(batch.column(1))
                 gamma, part = text_shares(terms, counts, sizes, topics, alpha)

@@ -139,6 +139,64 @@ def test_digamma_and_log_gamma():
     assert np.allclose(lda.digamma(x), [(lgamma(v * (1 + 1e-6)) - lgamma(v * (1 - 1e-6))) / (2e-6 * v) for v in x], rtol=1e-5)
 
 
+def test_pairs_are_counted_of_common_words_only(spark, monkeypatch):
+    """The vocabulary is that of all words' and pairs' counts, in parts of any size; null texts and words count as before."""
+    monkeypatch.setattr(topics, "VALUES_TOGETHER", 50)
+    monkeypatch.setattr(topics, "TEXTS_TOGETHER", 7)
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    rows = [(" ".join(rng.choice(words, 15, p=np.arange(20, 0, -1) / 210)) + " new york" * (i % 3),) for i in range(60)] + [(None,), ("",)]
+    docs = topics.with_terms(spark.createDataFrame(rows, "t string").repartition(3), "t", stop_words=["wb"])
+    plain = [t for text in docs.select("terms").collect() for t in text.terms]
+    n = {r.term: (r.tf, r.df) for r in topics.term_counts(docs).collect()}
+    assert {t: tf for t, (tf, _) in n.items()} == pd.Series(plain).value_counts().to_dict()
+    seen, count = [], topics.pair_counts
+
+    def counting(docs, words, common):
+        seen.append(common.to_pylist())
+        return count(docs, words, common)
+
+    monkeypatch.setattr(topics, "pair_counts", counting)
+    for limits in ({"max_terms": 9}, {"max_terms": 9, "max_share": 0.5}, {"max_terms": 500}, {"min_docs": 2, "max_terms": 30}):
+        wanted = topics.vocabulary(topics.term_counts(docs), 62, **limits).collect()
+        for found in (topics.fit_tfidf(docs, **limits), topics.fit_tfidf(topics.with_words(docs, "t", stop_words=["wb"]), words="words", **limits)):
+            assert found.terms == [r.term for r in wanted] and found.idf == pytest.approx([r.idf for r in wanted])
+    assert 9 <= len(seen[0]) < 15 < len(seen[4]) and any(" " in r.term for r in wanted)
+    odd = spark.createDataFrame([(["a", None, "a", None],), (None,), ([],), (["a"],)], "terms array<string>")
+    assert {tuple(r) for r in topics.term_counts(odd).collect()} == {("a", 3, 2), (None, 2, 1)}
+
+
+def test_texts_are_taken_apart_once(spark, posts):
+    """Weights and the weighted terms come from a staged table, so neither splits a text again."""
+    weighted, _, model, tfidf = topics.extract_topics(posts, k=3, passes=1, max_share=1.0, kept_in="features")
+    assert weighted.columns == ["id", "clean_text", "features", *[f"topic_{i}_weight" for i in range(3)], "dominant_topic"]
+    assert "regexp_extract_all" not in weighted._jdf.queryExecution().executedPlan().toString()
+    again = tfidf.transform(topics.with_terms(posts, "clean_text"))
+    assert dict(weighted.select("id", "features").collect()) == dict(again.select("id", "features").collect())
+
+
+def test_shares_of_texts_fitted_together_are_those_of_each_alone(monkeypatch):
+    """Texts of many sizes, some empty, in bands and portions of any size."""
+    rng = np.random.default_rng(6)
+    values = np.exp(lda.expectation(rng.gamma(2.0, 1.0, (3, 40))))
+    sizes = rng.integers(0, 30, 50)
+    terms = np.concatenate([rng.choice(40, size, replace=False) for size in sizes])
+    counts = rng.uniform(0.2, 3.0, len(terms))
+    monkeypatch.setattr(lda, "SETTLED", 1e-9)
+    monkeypatch.setattr(lda, "ALIKE", 8)
+    gamma, part = lda.text_shares(terms, counts, sizes, values, 0.3, None)
+    for i, end in enumerate(np.cumsum(sizes)):
+        own = slice(end - sizes[i], end)
+        share = np.exp(lda.expectation(gamma[i]))[:, None] * values[:, terms[own]]
+        share *= counts[own] / share.sum(axis=0)
+        assert np.allclose(gamma[i], 0.3 + share.sum(axis=1), atol=1e-6) and np.allclose(part[own], share.T)
+    monkeypatch.setattr(lda, "TOGETHER", 6)
+    monkeypatch.setattr(lda, "TERMS_TOGETHER", 40)
+    portions = list(lda.portions(sizes))
+    assert [i for p in portions for i in range(p.start, p.stop)] == list(range(50))
+    assert all(p.stop - p.start == 1 or p.stop - p.start <= 6 and sizes[p].sum() <= 40 for p in portions)
+
+
 def test_a_pass_reads_every_text_once(spark, posts, monkeypatch):
     """Buckets are folders of their own: each step's scan has one of them as its only partition."""
     monkeypatch.setattr(lda, "BATCH_TEXTS", 30)
