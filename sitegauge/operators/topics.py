@@ -222,14 +222,14 @@ def extract_topics(
 ) -> tuple[DataFrame, DataFrame, lda.TopicModel, TfIdf]:
     """Posts with topic weights, the labelled topics, and the fitted models.
 
-    Texts are taken apart once, and their weighted terms are staged with them; ``kept_in`` names a column to give those in.
+    The weighted terms of the texts are staged with them; ``kept_in`` names a column to give those in.
     """
     if text not in posts.columns:
         raise ValueError(f"posts must have a {text!r} column")
-    docs = stage(with_words(posts, text, "_words", stop_words), "words")
-    docs = docs.withColumn("_terms", uni_and_bigrams(F.col("_words")))
-    tfidf = fit_tfidf(docs, "_terms", "_words", **limits)
-    features = stage(tfidf.transform(docs.drop("_words"), "_terms", "_features").drop("_terms"), "terms-of-texts")
+    words = stage(with_words(posts.select(text), text, "_words", stop_words).select("_words"), "words")
+    tfidf = fit_tfidf(words, words="_words", **limits)
+    docs = with_terms(posts, text, "_terms", stop_words)
+    features = stage(tfidf.transform(docs, "_terms", "_features").drop("_terms"), "terms-of-texts")
     model = lda.fit(features, len(tfidf.terms), k, seed, passes, "_features")
     weighted = with_topic_weights(features, model, "_features", kept_in)
     return weighted, label_topics(top_terms(posts.sparkSession, model, tfidf.terms)), model, tfidf

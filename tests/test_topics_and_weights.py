@@ -166,7 +166,7 @@ def test_pairs_are_counted_of_common_words_only(spark, monkeypatch):
     assert {tuple(r) for r in topics.term_counts(odd).collect()} == {("a", 3, 2), (None, 2, 1)}
 
 
-def test_texts_are_taken_apart_once(spark, posts):
+def test_weights_take_no_text_apart_again(spark, posts):
     """Weights and the weighted terms come from a staged table, so neither splits a text again."""
     weighted, _, model, tfidf = topics.extract_topics(posts, k=3, passes=1, max_share=1.0, kept_in="features")
     assert weighted.columns == ["id", "clean_text", "features", *[f"topic_{i}_weight" for i in range(3)], "dominant_topic"]
